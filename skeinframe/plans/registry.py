@@ -1,11 +1,671 @@
-"""Registered queries of the numerical operators."""
+"""Registered queries of the numerical operators, each with the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from skeinframe import dtypes
+from skeinframe.functions import elementwise as E
+from skeinframe.functions.kernels import image as I
+from skeinframe.functions.kernels import linalg as L
+from skeinframe.functions.kernels import signal as S
+from skeinframe.functions.kernels import vision as V
+from skeinframe.operators import dense, neighbours, order, reduce, scan, series, stats
+from skeinframe.operators.tensor import COORDS, Tensor, chain_matmul, to_csr
+from skeinframe.plans import programs
+from skeinframe.sources import files
+from skeinframe.sources.random import RandomEngine
+from skeinframe.streaming import stateful
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        _queries[name] = f
+        if sql:
+            _sql[name] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r(c: Column, digits: int = 6) -> Column:
+    """Rounded half to even, as round_even() does in the SQL."""
+    return F.rint(c.cast("double") * float(10**digits)) / float(10**digits)
+
+
+def s(text: str, digits: int = 6) -> str:
+    return f"round_even(CAST({text} AS DOUBLE) * 1e{digits}, 0) / 1e{digits}"
+
+
+# flagship and reductions -----------------------------------------------------------------------
+
+
+@query(
+    "flagship_masked_aggregation",
+    f"""SELECT l_returnflag, {s('sum(v)', 2)} AS sum_revenue, count(*) AS n, {s('avg(v)', 2)} AS mean_revenue, {s('var_samp(v)', 0)} AS var_revenue
+    FROM (SELECT l_returnflag, l_extendedprice * (1 - l_discount) AS v FROM lineitem WHERE l_discount >= 0.05 AND l_discount <= 0.07 AND l_quantity < 24) GROUP BY l_returnflag""",
+)
+def _(spark, d):
+    out = programs.masked_aggregation(read(spark, d, "lineitem"))
+    return out.select("l_returnflag", r(F.col("sum_revenue"), 2).alias("sum_revenue"), "n", r(F.col("mean_revenue"), 2).alias("mean_revenue"), r(F.col("var_revenue"), 0).alias("var_revenue"))
+
+
+@query(
+    "reduce_all",
+    f"""SELECT {s('sum(l_quantity)', 2)} AS "sum", {s('min(l_discount)')} AS "min", {s('max(l_tax)')} AS "max", count(*) FILTER (l_discount <> 0) AS "count", bool_and(l_quantity <> 0) AS all_true, bool_or(l_tax <> 0) AS any_true,
+    {s('product(1 + l_discount * 1e-6)', 8)} AS product FROM lineitem""",
+)
+def _(spark, d):
+    t = read(spark, d, "lineitem")
+    one = t.agg(
+        r(reduce.sum_(F.col("l_quantity")), 2).alias("sum"), r(reduce.min_(F.col("l_discount"))).alias("min"), r(reduce.max_(F.col("l_tax"))).alias("max"), reduce.count(F.col("l_discount")).alias("count"),
+        reduce.all_true(F.col("l_quantity")).alias("all_true"), reduce.any_true(F.col("l_tax")).alias("any_true"), r(reduce.product(1 + F.col("l_discount") * 1e-6), 8).alias("product"),
+    )
+    return one
+
+
+@query(
+    "reduce_lanes",
+    f"""SELECT l_returnflag, l_linestatus, {s('sum(l_linenumber)')} AS "sum", {s('min(l_linenumber)')} AS "min", {s('max(l_linenumber)')} AS "max", count(*) AS "count", TRUE AS all_true, TRUE AS any_true FROM lineitem GROUP BY ALL""",
+)
+def _(spark, d):
+    out = reduce.reduce(read(spark, d, "lineitem"), "l_linenumber", ["sum", "min", "max", "count", "all_true", "any_true"], ["l_returnflag", "l_linestatus"])
+    return out.select("l_returnflag", "l_linestatus", *[r(F.col(c)).alias(c) for c in ("sum", "min", "max")], "count", "all_true", "any_true")
+
+
+_NAN = "CASE WHEN l_linenumber = 3 THEN 'NaN'::DOUBLE ELSE l_quantity END"
+
+
+@query(
+    "reduce_nan",
+    f"""SELECT l_returnflag, {s("sum(CASE WHEN isnan(v) THEN 1.5 ELSE v END)", 2)} AS sum_nan, {s("min(v) FILTER (NOT isnan(v))")} AS "min", {s("max(v) FILTER (NOT isnan(v))")} AS "max", isnan(sum(v)) AS propagates,
+    {s("product(CASE WHEN isnan(v) THEN 1 ELSE 1 + v * 1e-7 END)", 8)} AS product_nan FROM (SELECT l_returnflag, {_NAN} AS v FROM lineitem) GROUP BY l_returnflag""",
+)
+def _(spark, d):
+    v = F.when(F.col("l_linenumber") == 3, F.lit(float("nan"))).otherwise(F.col("l_quantity"))
+    t = read(spark, d, "lineitem").select("l_returnflag", v.alias("v"))
+    c = F.col("v")
+    return t.groupBy("l_returnflag").agg(r(reduce.sum_(c, 1.5), 2).alias("sum_nan"), r(reduce.min_(c)).alias("min"), r(reduce.max_(c)).alias("max"), F.isnan(reduce.sum_(c)).alias("propagates"), r(reduce.product(1 + c * 1e-7, 1.0), 8).alias("product_nan"))
+
+
+_RUNS = """SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity, sum(changed) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS run FROM (
+    SELECT *, CASE WHEN lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) = l_returnflag THEN 0 ELSE 1 END AS changed FROM lineitem)"""
+_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+@query(
+    "reduce_by_key",
+    f"""SELECT l_orderkey, CAST(run AS BIGINT) AS run, l_returnflag, {s('sum(l_quantity)')} AS "sum", {s('product(l_quantity)', 0)} AS product, min(l_quantity) AS "min", max(l_quantity) AS "max", count(*) FILTER (l_quantity <> 0) AS "count", bool_and(l_quantity <> 0) AS all_true, bool_or(l_quantity <> 0) AS any_true
+    FROM ({_RUNS}) GROUP BY l_orderkey, run, l_returnflag""",
+)
+def _(spark, d):
+    out = reduce.reduce_by_key(read(spark, d, "lineitem"), "l_returnflag", "l_quantity", _ORDER, ["sum", "product", "min", "max", "count", "all_true", "any_true"], ["l_orderkey"])
+    return out.withColumn("sum", r(F.col("sum"))).withColumn("product", r(F.col("product"), 0))
+
+
+@query(
+    "reduce_by_key_nan",
+    f"""SELECT l_orderkey, CAST(run AS BIGINT) AS run, l_returnflag, {s('sum(CASE WHEN l_linenumber = 2 THEN 7 ELSE l_quantity END)')} AS "sum", {s('product(CASE WHEN l_linenumber = 2 THEN 7 ELSE l_quantity END)', 0)} AS product FROM ({_RUNS}) GROUP BY l_orderkey, run, l_returnflag""",
+)
+def _(spark, d):
+    t = read(spark, d, "lineitem").withColumn("v", F.when(F.col("l_linenumber") == 2, F.lit(float("nan"))).otherwise(F.col("l_quantity")))
+    out = reduce.reduce_by_key(t, "l_returnflag", "v", _ORDER, ["sum", "product"], ["l_orderkey"], nanval=7.0)
+    return out.withColumn("sum", r(F.col("sum"))).withColumn("product", r(F.col("product"), 0))
+
+
+@query(
+    "max_ragged",
+    """SELECT vec_id, max(v) AS value, CAST(arg_max(p, (v, -p)) AS BIGINT) AS "index" FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings) WHERE p < vec_id % 60 + 1 GROUP BY vec_id""",
+)
+def _(spark, d):
+    e = read(spark, d, "embeddings")
+    return reduce.max_ragged(e.select("vec_id", F.posexplode("embedding").alias("p", "v")), "v", "p", e.select("vec_id", (F.col("vec_id") % 60 + 1).alias("n")), "n", ["vec_id"]).withColumn("index", F.col("index").cast("long"))
+
+
+@query(
+    "arg_reduce",
+    """SELECT l_returnflag, min(l_quantity) AS min_value, CAST(max(k) FILTER (l_quantity = lo) AS BIGINT) AS min_index, max(l_quantity) AS max_value, CAST(min(k) FILTER (l_quantity = hi) AS BIGINT) AS max_index
+    FROM (SELECT *, l_orderkey * 8 + l_linenumber AS k, min(l_quantity) OVER (PARTITION BY l_returnflag) AS lo, max(l_quantity) OVER (PARTITION BY l_returnflag) AS hi FROM lineitem) GROUP BY l_returnflag""",
+)
+def _(spark, d):
+    t = read(spark, d, "lineitem").withColumn("k", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    lo, hi = (reduce.arg_reduce(t, "l_quantity", "k", op, ["l_returnflag"]).select("l_returnflag", F.col("value").alias(f"{op}_value"), F.col("index").alias(f"{op}_index")) for op in ("min", "max"))
+    return lo.join(hi, "l_returnflag")
+
+
+# scans, differences, sorting ---------------------------------------------------------------------
+
+_W = "OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING)"
+_X = "OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query(
+    "scan",
+    f"""SELECT l_orderkey, l_linenumber, l_partkey, {s(f'sum(l_quantity) {_W}')} AS add_in, {s(f'coalesce(sum(l_quantity) {_X}, 0)')} AS add_ex, {s(f'min(l_quantity) {_W}')} AS min_in, {s(f'max(l_quantity) {_W}')} AS max_in, {s(f'coalesce(product(l_quantity) {_X}, 1)', 0)} AS mul_ex FROM lineitem""",
+)
+def _(spark, d):
+    t, by = read(spark, d, "lineitem"), ["l_orderkey"]
+    for op, inclusive, name in (("add", True, "add_in"), ("add", False, "add_ex"), ("min", True, "min_in"), ("max", True, "max_in"), ("mul", False, "mul_ex")):
+        t = scan.scan(t, "l_quantity", _ORDER, op, inclusive, by, name)
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", *[r(F.col(c)).alias(c) for c in ("add_in", "add_ex", "min_in", "max_in")], r(F.col("mul_ex"), 0).alias("mul_ex"))
+
+
+@query("scan_by_key", f"SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, {s('sum(l_quantity) OVER (PARTITION BY l_orderkey, run ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING)')} AS scan FROM ({_RUNS.replace('l_quantity,', 'l_quantity, l_partkey, l_suppkey, l_extendedprice,')})")
+def _(spark, d):
+    out = scan.scan_by_key(read(spark, d, "lineitem"), "l_returnflag", "l_quantity", _ORDER, by=["l_orderkey"])
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", r(F.col("scan")).alias("scan"))
+
+
+@query("accum_long", f"SELECT event_id, {s('sum(value) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING)', 3)} AS accum FROM events")
+def _(spark, d):
+    out = scan.long_scan(read(spark, d, "events").select("event_id", "value"), "value", "event_id", block=4096, name="accum")
+    return out.select("event_id", r(F.col("accum"), 3).alias("accum"))
+
+
+@query("where", "SELECT event_id AS idx FROM events WHERE value > 50")
+def _(spark, d):
+    t = read(spark, d, "events").withColumn("m", E.gt(F.col("value"), 50).cast("int"))
+    return scan.where(t, "m", F.col("event_id"))
+
+
+@query("diff1", f"SELECT * FROM (SELECT user_id, event_id, {s('lead(value) OVER (PARTITION BY user_id ORDER BY event_id) - value')} AS diff FROM events) WHERE diff IS NOT NULL")
+def _(spark, d):
+    return scan.diff1(read(spark, d, "events"), "value", ["event_id"], ["user_id"]).select("user_id", "event_id", r(F.col("diff")).alias("diff"))
+
+
+@query("diff2", f"SELECT * FROM (SELECT user_id, event_id, {s('lead(value, 2) OVER w - 2 * lead(value) OVER w + value')} AS diff FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE diff IS NOT NULL")
+def _(spark, d):
+    return scan.diff2(read(spark, d, "events"), "value", ["event_id"], ["user_id"]).select("user_id", "event_id", r(F.col("diff")).alias("diff"))
+
+
+@query(
+    "shift",
+    """WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+    SELECT a.user_id, a.event_id, b.value AS shifted FROM e a JOIN e b ON a.user_id = b.user_id AND a.i = (b.i + 2) % b.n""",
+)
+def _(spark, d):
+    return scan.shift(read(spark, d, "events"), "value", ["event_id"], ["user_id"], 2).select("user_id", "event_id", "shifted")
+
+
+@query("sort", "SELECT l_returnflag, l_quantity, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity DESC) - 1 AS rank FROM lineitem")
+def _(spark, d):
+    out = order.sort(read(spark, d, "lineitem").select("l_returnflag", "l_quantity"), "l_quantity", False, ["l_returnflag"])
+    return out.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("sort_index", "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) - 1 AS rank, value, event_id AS \"index\" FROM events")
+def _(spark, d):
+    out = order.sort_index(read(spark, d, "events"), "value", "event_id", True, ["user_id"])
+    return out.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("sort_by_key", "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_type, event_id) - 1 AS rank, event_type AS \"key\", value FROM events")
+def _(spark, d):
+    out = order.sort_by_key(read(spark, d, "events"), "event_type", "value", "event_id", True, ["user_id"])
+    return out.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("topk", "SELECT * FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) - 1 AS rank, value, event_id AS \"index\" FROM events) WHERE rank < 3")
+def _(spark, d):
+    out = order.topk(read(spark, d, "events"), "value", "event_id", 3, True, ["user_id"])
+    return out.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("topk_all", "SELECT row_number() OVER (ORDER BY value, event_id) - 1 AS rank, value, event_id AS \"index\" FROM events ORDER BY value, event_id LIMIT 100")
+def _(spark, d):
+    return order.topk(read(spark, d, "events"), "value", "event_id", 100, False).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("set_unique", "SELECT DISTINCT l_quantity FROM lineitem")
+def _(spark, d):
+    return order.set_unique(read(spark, d, "lineitem"), "l_quantity")
+
+
+@query("set_union", "SELECT DISTINCT k FROM (SELECT l_partkey AS k FROM lineitem WHERE l_quantity < 3 UNION ALL SELECT p_partkey FROM part WHERE p_size < 10)")
+def _(spark, d):
+    a = read(spark, d, "lineitem").where("l_quantity < 3").select(F.col("l_partkey").alias("k"))
+    return order.set_union(a, read(spark, d, "part").where("p_size < 10").select(F.col("p_partkey").alias("k")), "k")
+
+
+@query("set_intersect", "SELECT k FROM (SELECT l_partkey AS k FROM lineitem WHERE l_quantity < 3 INTERSECT SELECT p_partkey FROM part WHERE p_size < 10)")
+def _(spark, d):
+    a = read(spark, d, "lineitem").where("l_quantity < 3").select(F.col("l_partkey").alias("k"))
+    return order.set_intersect(a, read(spark, d, "part").where("p_size < 10").select(F.col("p_partkey").alias("k")), "k")
+
+
+@query("sort_in_rows", "SELECT vec_id, CAST(list_sort(embedding)[1] AS DOUBLE) AS first, CAST(list_sort(embedding)[64] AS DOUBLE) AS last, CAST(list_position(embedding, list_min(embedding)) - 1 AS BIGINT) AS first_index FROM embeddings")
+def _(spark, d):
+    e = read(spark, d, "embeddings")
+    pairs = e.select("vec_id", order.array_sort("embedding").alias("v"), order.array_sort_index("embedding").alias("p"))
+    return pairs.select("vec_id", F.col("v")[0].cast("double").alias("first"), F.element_at("v", -1).cast("double").alias("last"), F.col("p")[0]["index"].cast("long").alias("first_index"))
+
+
+# elementwise --------------------------------------------------------------------------------------
+
+KEYS = "l_orderkey, l_linenumber, l_partkey"
+_A, _B = F.col("l_quantity"), F.col("l_discount")
+
+
+def elementwise(name: str, columns: dict[str, tuple[Column, str]], digits: int = 6) -> None:
+    """A query with a column for each name, and its SQL; numbers are rounded, booleans aren't."""
+    bools = {k for k, (_, text) in columns.items() if text.startswith("B:")}
+    sql = ", ".join(f"{text[2:]} AS {k}" if k in bools else f"{s(text, digits)} AS {k}" for k, (_, text) in columns.items())
+
+    @query(name, f"SELECT {KEYS}, {sql} FROM lineitem")
+    def _(spark, d):
+        return read(spark, d, "lineitem").select(*KEYS.split(", "), *[(c if k in bools else r(c, digits)).alias(k) for k, (c, _) in columns.items()])
+
+
+_x, _y = "l_quantity", "l_discount"
+elementwise("arith_basic", {
+    "add": (E.add(_A, _B), f"{_x} + {_y}"), "sub": (E.sub(_A, _B), f"{_x} - {_y}"), "mul": (E.mul(_A, _B), f"{_x} * {_y}"),
+    "div": (E.div(_A, _B), f"CASE WHEN {_y} = 0 THEN 'Infinity'::DOUBLE ELSE {_x} / {_y} END"),
+    "idiv": (E.idiv(F.col("l_partkey"), F.col("l_linenumber")), "l_partkey // l_linenumber"),
+    "imod": (E.mod(F.col("l_partkey"), F.col("l_linenumber")), "l_partkey % l_linenumber"), "mod": (E.mod(-_A, F.lit(7.5)), f"-{_x} - 7.5 * trunc(-{_x} / 7.5)"),
+    "rem": (E.rem(_A, F.lit(7.5)), f"{_x} - 7.5 * round_even({_x} / 7.5, 0)"), "neg": (E.neg(_A), f"-{_x}"),
+})
+elementwise("arith_compare", {
+    "lt": (E.lt(_A, F.lit(25)), f"B:{_x} < 25"), "gt": (E.gt(_A, F.lit(25)), f"B:{_x} > 25"), "le": (E.le(_A, F.lit(25)), f"B:{_x} <= 25"),
+    "ge": (E.ge(_A, F.lit(25)), f"B:{_x} >= 25"), "eq": (E.eq(_A, F.lit(25)), f"B:{_x} = 25"), "neq": (E.neq(_A, F.lit(25)), f"B:{_x} <> 25"),
+    "nan_eq": (E.eq(F.lit(float("nan")), F.lit(float("nan"))), "B:FALSE"), "nan_neq": (E.neq(F.lit(float("nan")), _A), "B:TRUE"), "nan_gt": (E.gt(F.lit(float("nan")), _A), "B:FALSE"),
+})
+elementwise("arith_logic", {
+    "land": (E.logical_and(_B, F.col("l_tax")), f"B:{_y} <> 0 AND l_tax <> 0"), "lor": (E.logical_or(_B, F.col("l_tax")), f"B:{_y} <> 0 OR l_tax <> 0"), "lnot": (E.logical_not(_B), f"B:{_y} = 0"),
+    "iszero": (E.iszero(_B), f"B:{_y} = 0"), "isinf": (E.isinf(E.div(1.0, _B)), f"B:{_y} = 0"), "isnan": (E.isnan(E.log(-_A)), "B:TRUE"), "sel": (E.select(_B, _A, -_A), f"CASE WHEN {_y} <> 0 THEN {_x} ELSE -{_x} END"),
+})
+_I, _J = F.col("l_partkey"), F.col("l_suppkey")
+elementwise("arith_bits", {
+    "band": (E.bitand(_I, _J), "l_partkey & l_suppkey"), "bor": (E.bitor(_I, _J), "l_partkey | l_suppkey"), "bxor": (E.bitxor(_I, _J), "xor(l_partkey, l_suppkey)"), "bnot": (E.bitnot(_I), "~l_partkey"),
+    "shl": (E.shiftl(_I, 3), "l_partkey << 3"), "shr": (E.shiftr(_I, 2), "l_partkey >> 2"),
+})
+_Z = (_A - 25) * _B
+_z = f"(({_x} - 25) * {_y})"
+elementwise("arith_rounding", {
+    "abs": (E.abs_(_Z), f"abs({_z})"), "sign": (E.sign(_A - 25), f"CASE WHEN {_x} < 25 THEN 1 ELSE 0 END"), "round": (E.round_((_A - 25) / 2), f"CASE WHEN {_x} < 25 THEN -floor((25 - {_x}) / 2 + 0.5) ELSE floor(({_x} - 25) / 2 + 0.5) END"),
+    "trunc": (E.trunc((_A - 25) / 4), f"trunc(({_x} - 25) / 4)"), "floor": (E.floor((_A - 25) / 4), f"floor(({_x} - 25) / 4)"), "ceil": (E.ceil((_A - 25) / 4), f"ceil(({_x} - 25) / 4)"),
+    "minof": (E.minof(_A, F.col("l_linenumber") * 7.0), f"least({_x}, l_linenumber * 7.0::DOUBLE)"), "maxof": (E.maxof(_A, F.col("l_linenumber") * 7.0), f"greatest({_x}, l_linenumber * 7.0::DOUBLE)"), "clamp": (E.clamp(_A, F.lit(10.0), F.lit(40.0)), f"least(greatest({_x}, 10), 40)"),
+})
+elementwise("arith_trigonometry", {
+    "sin": (E.sin(_A), f"sin({_x})"), "cos": (E.cos(_A), f"cos({_x})"), "tan": (E.tan(_B), f"tan({_y})"), "asin": (E.asin(_B), f"asin({_y})"), "acos": (E.acos(_B), f"acos({_y})"), "atan": (E.atan(_A), f"atan({_x})"),
+    "atan2": (E.atan2(_Z, _A), f"atan2({_z}, {_x})"), "hypot": (E.hypot(_A, _B), f"sqrt({_x} * {_x} + {_y} * {_y})"), "sinh": (E.sinh(_B), f"sinh({_y})"), "cosh": (E.cosh(_B), f"cosh({_y})"), "tanh": (E.tanh(_B), f"tanh({_y})"),
+    "asinh": (E.asinh(_A), f"asinh({_x})"), "acosh": (E.acosh(_A), f"acosh({_x})"), "atanh": (E.atanh(_B), f"atanh({_y})"),
+})
+elementwise("arith_exponential", {
+    "exp": (E.exp(_B), f"exp({_y})"), "expm1": (E.expm1(_B), f"exp({_y}) - 1"), "log": (E.log(_A), f"ln({_x})"), "log0": (E.log(_B), f"CASE WHEN {_y} = 0 THEN '-Infinity'::DOUBLE ELSE ln(CASE WHEN {_y} = 0 THEN 1 ELSE {_y} END) END"),
+    "log1p": (E.log1p(_B), f"ln(1 + {_y})"), "log10": (E.log10(_A), f"log10({_x})"), "log2": (E.log2(_A), f"log2({_x})"), "sqrt": (E.sqrt(_A), f"sqrt({_x})"), "rsqrt": (E.rsqrt(_A), f"1 / sqrt({_x})"), "cbrt": (E.cbrt(_A), f"cbrt({_x})"),
+    "pow": (E.pow_(_A, _B), f"pow({_x}, {_y})"), "root": (E.root(3.0, _A), f"pow({_x}, 1.0 / 3)"), "pow2": (E.pow2(_B), f"pow(2.0, {_y})"), "sigmoid": (E.sigmoid(_Z), f"1 / (1 + exp(-{_z}))"),
+})
+elementwise("arith_gamma", {
+    "tgamma": (E.tgamma(_B + 2.5), f"gamma({_y} + 2.5)"), "lgamma": (E.lgamma(_A), f"lgamma({_x})"), "factorial": (E.factorial(F.col("l_linenumber")), "gamma(l_linenumber + 1)"), "lgamma_small": (E.lgamma(_B + 0.1), f"lgamma({_y} + 0.1)"),
+})
+_C, _D = E.cplx(_A, _B), E.cplx(F.col("l_tax"), F.lit(1.0))
+elementwise("arith_complex", {
+    "re": (E.real(_C), _x), "im": (E.imag(E.conjg(_C)), f"-{_y}"), "mag": (E.cabs(_C), f"sqrt({_x} * {_x} + {_y} * {_y})"), "phase": (E.arg(_C), f"atan2({_y}, {_x})"), "phase_real": (E.arg_real(_A), "0"),
+    "mul_re": (E.cmul(_C, _D)["re"], f"{_x} * l_tax - {_y}"), "mul_im": (E.cmul(_C, _D)["im"], f"{_x} + {_y} * l_tax"), "div_re": (E.cdiv(_C, _D)["re"], f"({_x} * l_tax + {_y}) / (l_tax * l_tax + 1)"),
+    "exp_im": (E.cexp(_D)["im"], "exp(l_tax) * sin(1.0)"), "log_re": (E.clog(_C)["re"], f"ln(sqrt({_x} * {_x} + {_y} * {_y}))"), "sqrt_re": (E.csqrt(_C)["re"], f"sqrt(sqrt({_x} * {_x} + {_y} * {_y})) * cos(atan2({_y}, {_x}) / 2)"),
+    "less": (E.clt(_D, _C), f"B:sqrt(l_tax * l_tax + 1) < sqrt({_x} * {_x} + {_y} * {_y})"), "add_re": (E.cadd(_C, _D)["re"], f"{_x} + l_tax"), "sub_im": (E.csub(_C, _D)["im"], f"{_y} - 1"),
+})
+elementwise("arith_cast", {
+    "to_s32": (dtypes.cast(-_A * 1.5, "f64", "s32"), f"trunc(-{_x} * 1.5)"), "to_b8": (dtypes.cast(_B, "f64", "b8"), f"B:{_y} <> 0"), "to_s8": (dtypes.cast(F.col("l_partkey"), "s64", "s8"), "((l_partkey + 128) % 256) - 128"),
+    "to_u8": (dtypes.cast(F.col("l_partkey"), "s64", "u8"), "l_partkey % 256"), "complex_to_f64": (dtypes.cast(_C, "c64", "f64"), f"sqrt({_x} * {_x} + {_y} * {_y})"),
+})
+
+
+@query("arith_error_function")
+def _(spark, d):
+    return read(spark, d, "lineitem").select(*KEYS.split(", "), E.erf(_Z).alias("erf"), E.erfc(_A / 10).alias("erfc"))
+
+
+# statistics ---------------------------------------------------------------------------------------
+
+
+@query(
+    "statistics",
+    f"""SELECT l_returnflag, {s('avg(l_extendedprice)', 3)} AS mean, {s('var_pop(l_quantity)', 4)} AS var_population, {s('var_samp(l_quantity)', 4)} AS var_sample, {s('stddev_pop(l_quantity)', 4)} AS stdev_population, {s('stddev_samp(l_quantity)', 4)} AS stdev_sample,
+    {s('median(l_quantity)')} AS median, {s('covar_pop(l_quantity, l_extendedprice)', 2)} AS cov_population, {s('covar_samp(l_quantity, l_extendedprice)', 2)} AS cov_sample, {s('corr(l_quantity, l_extendedprice)')} AS corrcoef, {s('sum(l_tax * l_quantity) / sum(l_tax)')} AS mean_weighted FROM lineitem GROUP BY l_returnflag""",
+)
+def _(spark, d):
+    q, p = F.col("l_quantity"), F.col("l_extendedprice")
+    return read(spark, d, "lineitem").groupBy("l_returnflag").agg(
+        r(stats.mean(p), 3).alias("mean"), r(stats.var(q), 4).alias("var_population"), r(stats.var(q, "sample"), 4).alias("var_sample"), r(stats.stdev(q), 4).alias("stdev_population"), r(stats.stdev(q, "sample"), 4).alias("stdev_sample"),
+        r(stats.median(q)).alias("median"), r(stats.cov(q, p), 2).alias("cov_population"), r(stats.cov(q, p, "sample"), 2).alias("cov_sample"), r(stats.corrcoef(q, p)).alias("corrcoef"), r(stats.mean_weighted(q, F.col("l_tax"))).alias("mean_weighted"),
+    )
+
+
+@query("statistics_all", f"SELECT {s('avg(l_quantity)')} AS mean, {s('var_pop(l_quantity)', 4)} AS var, {s('median(l_extendedprice)', 3)} AS median, {s('corr(l_quantity, l_tax)')} AS corrcoef FROM lineitem")
+def _(spark, d):
+    q = F.col("l_quantity")
+    return read(spark, d, "lineitem").agg(r(stats.mean(q)).alias("mean"), r(stats.var(q), 4).alias("var"), r(stats.median(F.col("l_extendedprice")), 3).alias("median"), r(stats.corrcoef(q, F.col("l_tax"))).alias("corrcoef"))
+
+
+@query(
+    "var_weighted",
+    f"""SELECT l_returnflag, {s('sum(l_tax * l_quantity) / sum(l_tax)')} AS mean, {s('sum(l_tax * (l_quantity - m) * (l_quantity - m)) / sum(l_tax)', 4)} AS var
+    FROM (SELECT *, sum(l_tax * l_quantity) OVER (PARTITION BY l_returnflag) / sum(l_tax) OVER (PARTITION BY l_returnflag) AS m FROM lineitem) GROUP BY l_returnflag""",
+)
+def _(spark, d):
+    out = stats.var_weighted(read(spark, d, "lineitem"), "l_quantity", "l_tax", ["l_returnflag"])
+    return out.select("l_returnflag", r(F.col("mean")).alias("mean"), r(F.col("var"), 4).alias("var"))
+
+
+@query(
+    "histogram",
+    """SELECT g.l_returnflag, CAST(b AS INT) AS bin, coalesce(n, 0) AS "count" FROM (SELECT DISTINCT l_returnflag FROM lineitem) g CROSS JOIN range(12) t(b)
+    LEFT JOIN (SELECT l_returnflag, least(greatest(CAST(trunc((l_quantity - 5) / 3.0) AS INT), 0), 11) AS bin, count(*) AS n FROM lineitem GROUP BY ALL) h ON h.l_returnflag = g.l_returnflag AND h.bin = b""",
+)
+def _(spark, d):
+    return stats.histogram(read(spark, d, "lineitem"), "l_quantity", 12, 5.0, 41.0, ["l_returnflag"])
+
+
+@query("norms", f"SELECT {s('sum(abs(value))', 3)} AS n1, {s('sqrt(sum(value * value))', 3)} AS n2, {s('max(abs(value))')} AS ninf, {s('pow(sum(pow(abs(value), 3)), 1.0 / 3)', 3)} AS n3 FROM events")
+def _(spark, d):
+    v = F.col("value")
+    return read(spark, d, "events").agg(r(stats.vector_norm(v, 1), 3).alias("n1"), r(stats.vector_norm(v, 2), 3).alias("n2"), r(stats.vector_norm(v, float("inf"))).alias("ninf"), r(stats.vector_norm(v, 3.0), 3).alias("n3"))
+
+
+_EMB = "(SELECT vec_id AS d1, generate_subscripts(embedding, 1) - 1 AS d0, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
+
+
+@query("matrix_norms", f"""SELECT {s(f'(SELECT max(t) FROM (SELECT sum(abs(v)) AS t FROM {_EMB} GROUP BY d1))')} AS n1, {s(f'(SELECT max(t) FROM (SELECT sum(abs(v)) AS t FROM {_EMB} GROUP BY d0))')} AS ninf, {s(f'(SELECT sqrt(sum(t * t)) FROM (SELECT sum(abs(v)) AS t FROM {_EMB} GROUP BY d1))')} AS npq""")
+def _(spark, d):
+    e = _embedding_cells(spark, d)
+    one, inf, pq = stats.matrix_norm(e, "1"), stats.matrix_norm(e, "inf"), stats.matrix_norm(e, "pq", p=1.0, q=2.0)
+    return one.select(r(F.col("norm")).alias("n1")).crossJoin(inf.select(r(F.col("norm")).alias("ninf"))).crossJoin(pq.select(r(F.col("norm")).alias("npq")))
+
+
+@query("moments", f"SELECT d1 % 7 AS k, {s('sum(v)')} AS m00, {s('sum(d0 * v)', 4)} AS m01, {s('sum(d1 * v)', 3)} AS m10, {s('sum(d0 * d1 * v)', 1)} AS m11 FROM {_EMB} GROUP BY k")
+def _(spark, d):
+    out = stats.moments(_embedding_cells(spark, d).withColumn("k", F.col("d1") % 7), by=["k"])
+    return out.select("k", r(F.col("m00")).alias("m00"), r(F.col("m01"), 4).alias("m01"), r(F.col("m10"), 3).alias("m10"), r(F.col("m11"), 1).alias("m11"))
+
+
+# tensors ------------------------------------------------------------------------------------------
+
+
+def _embedding_cells(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("d1"), F.posexplode("embedding").alias("d0", "x"))
+    return e.select(F.col("d0").cast("long").alias("d0"), "d1", F.col("x").cast("double").alias("v"))
+
+
+def nations(spark: SparkSession, d: str) -> Tensor:
+    """5 x 5, from the 25 nations: element (i, j) is i + 5 j, plus a tenth of its region."""
+    n = read(spark, d, "nation")
+    return Tensor.of(n.select((F.col("n_nationkey") % 5).alias("d0"), F.floor(F.col("n_nationkey") / 5).alias("d1"), (F.col("n_nationkey") + F.col("n_regionkey") * 0.1).alias("v")), [5, 5])
+
+
+_N = "(SELECT CAST(n_nationkey % 5 AS BIGINT) AS d0, CAST(n_nationkey // 5 AS BIGINT) AS d1, n_nationkey + n_regionkey * 0.1::DOUBLE AS v FROM nation)"
+
+
+def tensor_query(name: str, make: Callable[[Tensor], Tensor], sql: str, digits: int = 6) -> None:
+    """sql: a query over (d0, d1, v)."""
+
+    @query(name, f"SELECT CAST(d0 AS BIGINT) AS d0, CAST(d1 AS BIGINT) AS d1, {s('v', digits)} AS v FROM ({sql})")
+    def _(spark, d):
+        return make(nations(spark, d)).df.select("d0", "d1", r(F.col("v"), digits).alias("v"))
+
+
+def _made(name: str, make: Callable[[SparkSession], Tensor], sql: str) -> None:
+    @query(name, f"SELECT CAST(d0 AS BIGINT) AS d0, CAST(d1 AS BIGINT) AS d1, {s('v')} AS v FROM ({sql})")
+    def _(spark, d):
+        return make(spark).df.select("d0", "d1", r(F.col("v")).alias("v"))
+
+
+_GRID = "range(40) a(d0) CROSS JOIN range(30) b(d1)"
+_made("tensor_constant", lambda spark: Tensor.constant(spark, 2.5, [40, 30]), f"SELECT d0, d1, 2.5 AS v FROM {_GRID}")
+_made("tensor_identity", lambda spark: Tensor.identity(spark, [40, 30]), f"SELECT d0, d1, CASE WHEN d0 = d1 THEN 1 ELSE 0 END AS v FROM {_GRID}")
+_made("tensor_range", lambda spark: Tensor.range(spark, [40, 30], 1), f"SELECT d0, d1, d1 AS v FROM {_GRID}")
+_made("tensor_iota", lambda spark: Tensor.iota(spark, [20, 30], [2]), f"SELECT d0, d1, d0 % 20 + 20 * d1 AS v FROM {_GRID}")
+tensor_query("tensor_moddims", lambda t: t.moddims(25), f"SELECT d0 + 5 * d1 AS d0, 0 AS d1, v FROM {_N}")
+tensor_query("tensor_flat", lambda t: t.flat(), f"SELECT d0 + 5 * d1 AS d0, 0 AS d1, v FROM {_N}")
+tensor_query("tensor_transpose", lambda t: t.transpose(), f"SELECT d1 AS d0, d0 AS d1, v FROM {_N}")
+tensor_query("tensor_reorder", lambda t: t.reorder(1, 0), f"SELECT d1 AS d0, d0 AS d1, v FROM {_N}")
+tensor_query("tensor_shift", lambda t: t.shift(2, -1), f"SELECT (d0 + 2) % 5 AS d0, (d1 + 4) % 5 AS d1, v FROM {_N}")
+tensor_query("tensor_flip", lambda t: t.flip(1), f"SELECT d0, 4 - d1 AS d1, v FROM {_N}")
+tensor_query("tensor_tile", lambda t: t.tile(2, 3), f"SELECT d0 + 5 * i AS d0, d1 + 5 * j AS d1, v FROM {_N} CROSS JOIN range(2) a(i) CROSS JOIN range(3) b(j)")
+tensor_query("tensor_join", lambda t: t.join(1, t, t), f"SELECT d0, d1 + 5 * j AS d1, v FROM {_N} CROSS JOIN range(3) b(j)")
+tensor_query("tensor_lower", lambda t: t.lower(True), f"SELECT d0, d1, CASE WHEN d0 = d1 THEN 1 WHEN d0 > d1 THEN v ELSE 0 END AS v FROM {_N}")
+tensor_query("tensor_upper", lambda t: t.upper(), f"SELECT d0, d1, CASE WHEN d0 <= d1 THEN v ELSE 0 END AS v FROM {_N}")
+tensor_query("tensor_diag_extract", lambda t: t.diag_extract(1), f"SELECT d0, 0 AS d1, v FROM {_N} WHERE d1 - d0 = 1")
+tensor_query("tensor_diag_create", lambda t: t[:, 2].diag_create(-1), f"SELECT a.d0, b.d1, coalesce(v, 0) AS v FROM range(6) a(d0) CROSS JOIN range(6) b(d1) LEFT JOIN (SELECT d0 + 1 AS i, d0 AS j, v FROM {_N} WHERE d1 = 2) ON i = a.d0 AND j = b.d1")
+tensor_query("tensor_select", lambda t: t.select(t > 10, -1.0), f"SELECT d0, d1, CASE WHEN v > 10 THEN v ELSE -1 END AS v FROM {_N}")
+tensor_query("tensor_select_tensor", lambda t: t.select(t > 10, t.transpose()), f"SELECT a.d0, a.d1, CASE WHEN a.v > 10 THEN a.v ELSE b.v END AS v FROM {_N} a JOIN {_N} b ON a.d0 = b.d1 AND a.d1 = b.d0")
+_PAD = f"SELECT p.i AS d0, q.j AS d1, coalesce(v, 0) AS v FROM range(8) p(i) CROSS JOIN range(9) q(j) LEFT JOIN {_N} n ON n.d0 = {{0}} AND n.d1 = {{1}}"
+tensor_query("tensor_pad_zero", lambda t: t.pad([1, 3], [2, 1]), _PAD.format("p.i - 1", "q.j - 3"))
+tensor_query("tensor_pad_clamp", lambda t: t.pad([1, 3], [2, 1], "clamp"), _PAD.format("least(greatest(p.i - 1, 0), 4)", "least(greatest(q.j - 3, 0), 4)"))
+tensor_query("tensor_pad_periodic", lambda t: t.pad([1, 3], [2, 1], "periodic"), _PAD.format("(p.i + 4) % 5", "(q.j + 2) % 5"))
+tensor_query("tensor_pad_symmetric", lambda t: t.pad([1, 3], [2, 1], "symmetric"), _PAD.format("CASE WHEN p.i < 1 THEN 0 - p.i WHEN p.i > 5 THEN 10 - p.i ELSE p.i - 1 END", "CASE WHEN q.j < 3 THEN 2 - q.j WHEN q.j > 7 THEN 12 - q.j ELSE q.j - 3 END"))
+tensor_query("tensor_index", lambda t: t[1:5:2, -1], f"SELECT (d0 - 1) / 2 AS d0, 0 AS d1, v FROM {_N} WHERE d0 IN (1, 3) AND d1 = 4")
+tensor_query("tensor_lookup", lambda t: t[[0, 7, -2, 3]], f"SELECT k AS d0, d1, v FROM {_N} JOIN (VALUES (0, 0), (1, 2), (2, 1), (3, 3)) x(k, i) ON d0 = i")
+tensor_query("tensor_assign", lambda t: t.assign((slice(0, 2), [1, 3]), t[0:2, 0:2]), f"SELECT a.d0, a.d1, coalesce(b.v, a.v) AS v FROM {_N} a LEFT JOIN {_N} b ON a.d0 = b.d0 AND a.d0 < 2 AND b.d1 < 2 AND a.d1 = b.d1 * 2 + 1")
+tensor_query("tensor_assign_scalar", lambda t: t.assign((slice(None), 2), 9.5), f"SELECT d0, d1, CASE WHEN d1 = 2 THEN 9.5 ELSE v END AS v FROM {_N}")
+tensor_query("tensor_broadcast", lambda t: t - t.reduce("sum", 0) / 5.0, f"SELECT d0, d1, v - avg(v) OVER (PARTITION BY d1) AS v FROM {_N}")
+tensor_query("tensor_reduce", lambda t: t.reduce("max", 1), f"SELECT d0, 0 AS d1, max(v) AS v FROM {_N} GROUP BY d0")
+tensor_query("tensor_scan", lambda t: t.scan("add", 1), f"SELECT d0, d1, sum(v) OVER (PARTITION BY d0 ORDER BY d1) AS v FROM {_N}")
+tensor_query("tensor_sort", lambda t: t.transpose().sort(1, False), f"SELECT d1 AS d0, row_number() OVER (PARTITION BY d1 ORDER BY v DESC) - 1 AS d1, v FROM {_N}")
+tensor_query("tensor_where", lambda t: (t > 12).where(), f"SELECT row_number() OVER (ORDER BY d0 + 5 * d1) - 1 AS d0, 0 AS d1, d0 + 5 * d1 AS v FROM {_N} WHERE v > 12")
+tensor_query("tensor_matmul", lambda t: t.matmul(t, trans_b=True), f"SELECT a.d0, b.d0 AS d1, sum(a.v * b.v) AS v FROM {_N} a JOIN {_N} b ON a.d1 = b.d1 GROUP BY a.d0, b.d0", 4)
+tensor_query("tensor_gemm", lambda t: t.gemm(t, 0.5, 2.0, t), f"SELECT p.d0, p.d1, 0.5 * p.v + 2 * n.v AS v FROM (SELECT a.d0, b.d1, sum(a.v * b.v) AS v FROM {_N} a JOIN {_N} b ON a.d1 = b.d0 GROUP BY a.d0, b.d1) p JOIN {_N} n ON n.d0 = p.d0 AND n.d1 = p.d1", 4)
+tensor_query("tensor_chain_matmul", lambda t: chain_matmul(t, t[:, 0:1], t[0:1]), f"SELECT p.d0, n.d1, p.v * n.v AS v FROM (SELECT a.d0, sum(a.v * b.v) AS v FROM {_N} a JOIN {_N} b ON a.d1 = b.d0 AND b.d1 = 0 GROUP BY a.d0) p CROSS JOIN {_N} n WHERE n.d0 = 0", 3)
+tensor_query("tensor_dot", lambda t: t[:, 1].dot(t[:, 2]), f"SELECT 0 AS d0, 0 AS d1, sum(a.v * b.v) AS v FROM {_N} a JOIN {_N} b ON a.d0 = b.d0 WHERE a.d1 = 1 AND b.d1 = 2", 4)
+tensor_query("tensor_sat", lambda t: t.scan("add", 0).scan("add", 1), f"SELECT d0, d1, sum(c) OVER (PARTITION BY d0 ORDER BY d1) AS v FROM (SELECT d0, d1, sum(v) OVER (PARTITION BY d1 ORDER BY d0) AS c FROM {_N})", 4)
+tensor_query("sparse_matmul", lambda t: t.select(t > 12, 0.0).to_sparse().matmul(t), f"SELECT a.d0, b.d1, sum(CASE WHEN a.v > 12 THEN a.v ELSE 0 END * b.v) AS v FROM {_N} a JOIN {_N} b ON a.d1 = b.d0 GROUP BY a.d0, b.d1", 3)
+tensor_query("sparse_add", lambda t: t.select(t > 12, 0.0).to_sparse() + t, f"SELECT d0, d1, v + CASE WHEN v > 12 THEN v ELSE 0 END AS v FROM {_N}")
+tensor_query("sparse_mul_dense", lambda t: t.select(t > 12, 0.0).to_sparse() * t, f"SELECT d0, d1, v * v AS v FROM {_N} WHERE v > 12", 4)
+tensor_query("sparse_to_dense", lambda t: t.select(t > 12, 0.0).to_sparse().dense(), f"SELECT d0, d1, CASE WHEN v > 12 THEN v ELSE 0 END AS v FROM {_N}")
+
+
+@query("sparse_csr", f"SELECT CAST(r AS BIGINT) AS row, count(v) AS ptr FROM range(6) t(r) LEFT JOIN (SELECT * FROM {_N} WHERE v > 12) n ON n.d0 < r GROUP BY r")
+def _(spark, d):
+    t = nations(spark, d)
+    return to_csr(t.select(t > 12, 0.0).to_sparse())[0]
+
+
+@query("matmul_gram", f"SELECT CAST(a.d0 AS BIGINT) AS d0, CAST(b.d0 AS BIGINT) AS d1, {s('sum(a.v * b.v)')} AS v FROM {_EMB} a JOIN {_EMB} b ON a.d1 = b.d1 GROUP BY a.d0, b.d0")
+def _(spark, d):
+    cells = _embedding_cells(spark, d)
+    n = read(spark, d, "embeddings").agg(F.max("vec_id") + 1).first()[0]
+    t = Tensor.of(cells, [64, n])
+    return t.matmul(t, trans_b=True).df.select("d0", "d1", r(F.col("v")).alias("v"))
+
+
+# series -------------------------------------------------------------------------------------------
+
+
+def series_query(name: str, column: str, make: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    @query(name, f"SELECT user_id, event_id, {s(sql)} AS {column} FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+    def _(spark, d):
+        return make(read(spark, d, "events")).select("user_id", "event_id", r(F.col(column)).alias(column))
+
+
+_lag = lambda k: f"coalesce({'lag' if k > 0 else 'lead'}(value, {abs(k)}) OVER w, 0)"
+_E, _U = ["event_id"], ["user_id"]
+series_query("fir", "fir", lambda e: series.fir(e, "value", [0.5, 0.3, 0.2], _E, _U), f"0.5 * value + 0.3 * {_lag(1)} + 0.2 * {_lag(2)}")
+series_query("convolve1", "conv", lambda e: series.convolve1(e, "value", [1.0, -2.0, 0.5], _E, _U), f"{_lag(-1)} - 2 * value + 0.5 * {_lag(1)}")
+series_query("medfilt1", "medfilt", lambda e: series.medfilt1(e, "value", 3, _E, _U), f"list_sort([value, {_lag(1)}, {_lag(-1)}])[2]")
+series_query("moving_max", "moving", lambda e: series.moving(e, "value", 3, _E, _U, "max"), "greatest(value, lag(value) OVER w, lead(value) OVER w)")
+series_query("moving_min", "moving", lambda e: series.moving(e, "value", 3, _E, _U, "min"), "least(value, lag(value) OVER w, lead(value) OVER w)")
+series_query("gradient", "gradient", lambda e: series.gradient(e, "value", _E, _U), "CASE WHEN lag(value) OVER w IS NULL AND lead(value) OVER w IS NULL THEN 0 WHEN lag(value) OVER w IS NULL THEN lead(value) OVER w - value WHEN lead(value) OVER w IS NULL THEN value - lag(value) OVER w ELSE (lead(value) OVER w - lag(value) OVER w) / 2 END")
+
+
+@query("approx1", f"SELECT x.event_id, {s('CASE WHEN p <= n - 1 THEN CASE WHEN p = floor(p) THEN a.value ELSE (1 - (p - floor(p))) * a.value + (p - floor(p)) * b.value END ELSE -1 END')} AS approx FROM (SELECT event_id, event_id * 1.25::DOUBLE AS p, max(event_id) OVER () + 1 AS n FROM events) x LEFT JOIN events a ON a.event_id = CAST(floor(p) AS BIGINT) LEFT JOIN events b ON b.event_id = CAST(floor(p) AS BIGINT) + 1")
+def _(spark, d):
+    e = read(spark, d, "events").select("event_id", "value")
+    n = e.agg(F.max("event_id") + 1).first()[0]
+    out = series.approx1(e.select("event_id", (F.col("event_id") * 1.25).alias("p")), e, "p", "event_id", "value", n, off_grid=-1.0)
+    return out.select("event_id", r(F.col("approx")).alias("approx"))
+
+
+@query("iir_in_rows", f"SELECT vec_id, CAST(i AS INT) AS i, {s('(SELECT sum(0.5 * pow(0.5, i - j) * CAST(embedding[j + 1] AS DOUBLE)) FROM range(i + 1) u(j))')} AS y FROM embeddings CROSS JOIN range(64) t(i)")
+def _(spark, d):
+    e = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    out = e.select("vec_id", F.posexplode(series.iir(F.col("x"), [0.5], [1.0, -0.5])).alias("i", "y"))
+    return out.select("vec_id", "i", r(F.col("y")).alias("y"))
+
+
+# neighbours ---------------------------------------------------------------------------------------
+
+
+@query(
+    "nearest_neighbour",
+    f"""WITH p AS (SELECT q.d1 AS query_id, t.d1 AS train_id, sum((q.v - t.v) * (q.v - t.v)) AS distance FROM {_EMB} q JOIN {_EMB} t ON q.d0 = t.d0 WHERE q.d1 % 100 = 0 GROUP BY q.d1, t.d1)
+    SELECT query_id, rank, train_id, {s('distance')} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), train_id) - 1 AS rank FROM p) WHERE rank < 5""",
+)
+def _(spark, d):
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    out = neighbours.nearest_neighbours(e.where("id % 100 = 0"), e, 5)
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "train_id", r(F.col("distance")).alias("distance"))
+
+
+_BITS = "(SELECT l_suppkey AS id, max(l_partkey) AS a, min(l_partkey) AS b FROM lineitem GROUP BY l_suppkey)"
+
+
+@query("hamming_matcher", f"""SELECT q.id AS query_id, rank, t AS train_id, CAST(distance AS DOUBLE) AS distance FROM {_BITS} q, LATERAL (SELECT t.id AS t, bit_count(xor(q.a, t.a)) + bit_count(xor(q.b, t.b)) AS distance, row_number() OVER (ORDER BY bit_count(xor(q.a, t.a)) + bit_count(xor(q.b, t.b)), t.id) - 1 AS rank FROM {_BITS} t) WHERE rank < 2""")
+def _(spark, d):
+    t = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.array(F.max("l_partkey"), F.min("l_partkey")).alias("v"))
+    return neighbours.hamming_matcher(t, t, 2).withColumn("rank", F.col("rank").cast("long"))
+
+
+# dense arrays: transforms, factorizations, images -----------------------------------------------------
+
+
+def squares(spark: SparkSession, d: str) -> DataFrame:
+    """(id, a): every embedding as an 8 x 8 array, column by column."""
+    e = read(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), F.struct(F.array(F.lit(8), F.lit(8)).alias("dims"), F.col("embedding").cast("array<double>").alias("re"), F.lit(None).cast("array<double>").alias("im")).alias("a"))
+
+
+def dense_query(name: str, f: Callable[..., object], outputs: tuple[str, ...] = ("out",), digits: int = 9) -> None:
+    @query(name)
+    def _(spark, d):
+        out = dense.apply(squares(spark, d), ["a"], list(outputs), f)
+        return out.select("id", *[F.col(f"{o}.{p}").alias(f"{o}_{p}") for o in outputs for p in ("dims", "re", "im")])
+
+
+_K3 = np.outer([1.0, 2, 1], [1.0, 0, -1])
+_SPD = np.eye(8) * 4
+for _name, _f, _out in (
+    ("fft", lambda a: S.fft(a), ("out",)), ("fft2", lambda a: S.fft(a, 2), ("out",)), ("fft3", lambda a: S.fft(a.reshape(4, 4, 4), 3), ("out",)), ("ifft", lambda a: S.ifft(S.fft(a)), ("out",)), ("ifft2", lambda a: S.ifft(S.fft(a, 2), 2), ("out",)),
+    ("ifft3", lambda a: S.ifft(S.fft(a.reshape(4, 4, 4), 3), 3), ("out",)), ("fft_r2c", lambda a: S.fft_r2c(a), ("out",)), ("fft2_r2c", lambda a: S.fft_r2c(a, 2), ("out",)), ("fft3_r2c", lambda a: S.fft_r2c(a.reshape(4, 4, 4), 3), ("out",)),
+    ("fft_c2r", lambda a: S.fft_c2r(S.fft_r2c(a), 1, 1 / 8), ("out",)), ("fft2_c2r", lambda a: S.fft_c2r(S.fft_r2c(a, 2), 2, 1 / 64), ("out",)), ("fft3_c2r", lambda a: S.fft_c2r(S.fft_r2c(a.reshape(4, 4, 4), 3), 3, 1 / 64), ("out",)),
+    ("convolve2", lambda a: S.convolve(a, _K3), ("out",)), ("convolve3", lambda a: S.convolve(a.reshape(4, 4, 4), np.ones((2, 2, 2))), ("out",)), ("convolve2_sep", lambda a: S.convolve_sep(a, np.array([1.0, 2, 1]), np.array([1.0, 0, -1])), ("out",)),
+    ("fft_convolve1", lambda a: S.fft_convolve(a, np.array([1.0, 2, 1])), ("out",)), ("fft_convolve2", lambda a: S.fft_convolve(a, _K3), ("out",)), ("fft_convolve3", lambda a: S.fft_convolve(a.reshape(4, 4, 4), np.ones((2, 2, 2))), ("out",)),
+    ("convolve2_nn", lambda a: S.convolve_nn(a, _K3, (2, 2), (1, 1)), ("out",)), ("convolve2_gradient_nn", lambda a: S.convolve_nn_gradient(S.convolve_nn(a, _K3), a, _K3), ("out",)), ("iir", lambda a: S.iir(np.array([1.0, 0.5]), np.array([1.0, -0.3]), a), ("out",)),
+    ("medfilt2", lambda a: S.medfilt(a, (3, 3), "symmetric"), ("out",)), ("approx1_cubic", lambda a: S.approx1(a, np.arange(0, 7, 0.5), "cubic"), ("out",)), ("approx1_spline", lambda a: S.approx1(a, np.arange(0, 7, 0.5), "spline"), ("out",)),
+    ("approx1_uniform", lambda a: S.approx1(a, np.arange(1, 2, 0.125), "linear", 0.0, 1.0, 0.25), ("out",)), ("approx2", lambda a: S.approx2(a, *np.meshgrid(np.arange(0, 9, 0.7), np.arange(0, 9, 0.7)), "bilinear", -1.0), ("out",)), ("approx2_bicubic", lambda a: S.approx2(a, *np.meshgrid(np.arange(0, 7, 0.7), np.arange(0, 7, 0.7)), "bicubic"), ("out",)),
+    ("svd", L.svd, ("u", "s", "vt")), ("lu", L.lu, ("lower", "upper", "pivot")), ("qr", L.qr, ("q", "r", "tau")), ("cholesky", lambda a: L.cholesky(a @ a.T + _SPD), ("factor", "info")), ("solve", lambda a: L.solve(a + _SPD, a), ("x",)),
+    ("solve_lu", lambda a: L.solve_lu(*L.lu_packed(a + _SPD), a), ("x",)), ("solve_triangular", lambda a: L.solve(np.tril(a + _SPD), a, "lower"), ("x",)), ("inverse", lambda a: L.inverse(a + _SPD), ("x",)), ("pinverse", lambda a: L.pinverse(a[:, :5]), ("x",)),
+    ("rank", L.rank, ("rank",)), ("det", L.det, ("det",)), ("norm_matrix_2", lambda a: L.norm(a, "matrix_2"), ("norm",)),
+    ("image_gradient", I.gradient, ("dx", "dy")), ("resize", lambda a: I.resize(a, 12, 5, "bilinear"), ("out",)), ("transform", lambda a: I.transform(a, np.array([[1, 0.1], [-0.1, 1], [0.5, 0]]), 8, 8, "bilinear"), ("out",)), ("transform_coordinates", lambda a: I.transform_coordinates(np.array([[1, 0.1], [-0.1, 1], [0.5, 0]]), 8, 8), ("out",)),
+    ("rotate", lambda a: I.rotate(a, 0.4, False, "bilinear"), ("out",)), ("translate", lambda a: I.translate(a, 1, 2), ("out",)), ("scale", lambda a: I.scale(a, 0.5, 2.0), ("out",)), ("skew", lambda a: I.skew(a, 0.1, 0.2), ("out",)),
+    ("dilate", lambda a: I.dilate(a, np.ones((3, 3))), ("out",)), ("erode", lambda a: I.erode(a, np.ones((3, 3))), ("out",)), ("dilate3", lambda a: I.dilate(a.reshape(4, 4, 4), np.ones((3, 3, 3))), ("out",)), ("erode3", lambda a: I.erode(a.reshape(4, 4, 4), np.ones((3, 3, 3))), ("out",)),
+    ("bilateral", lambda a: I.bilateral(a, 1.5, 0.2), ("out",)), ("mean_shift", lambda a: I.mean_shift(a, 2.0, 0.3, 3), ("out",)), ("minfilt", I.minfilt, ("out",)), ("maxfilt", I.maxfilt, ("out",)), ("regions", lambda a: I.regions(a > 0, 8), ("out",)), ("sobel", I.sobel, ("dx", "dy")),
+    ("rgb2gray", lambda a: I.rgb2gray(a[:6].reshape(4, 4, 3)), ("out",)), ("gray2rgb", lambda a: I.gray2rgb(a, 0.5, 0.3, 0.2), ("out",)), ("rgb2hsv", lambda a: I.rgb2hsv(np.abs(a[:6]).reshape(4, 4, 3)), ("out",)), ("hsv2rgb", lambda a: I.hsv2rgb(np.abs(a[:6]).reshape(4, 4, 3)), ("out",)),
+    ("rgb2ycbcr", lambda a: I.rgb2ycbcr(np.abs(a[:6]).reshape(4, 4, 3)), ("out",)), ("ycbcr2rgb", lambda a: I.ycbcr2rgb(np.abs(a[:6]).reshape(4, 4, 3), "709"), ("out",)), ("color_space", lambda a: I.color_space(np.abs(a[:6]).reshape(4, 4, 3), "hsv", "ycbcr"), ("out",)), ("hist_equal", lambda a: I.hist_equal((a * 100 + 50).clip(0, 255), I.histogram(a * 100 + 50, 256, 0, 256)), ("out",)),
+    ("gaussian_kernel", lambda a: I.gaussian_kernel(5, 3), ("out",)), ("unwrap", lambda a: I.unwrap(a, (3, 3), (1, 1), (1, 1)), ("out",)), ("wrap", lambda a: I.wrap(I.unwrap(a, (3, 3), (1, 1), (1, 1)), (8, 8), (3, 3), (1, 1), (1, 1)), ("out",)), ("image_moments", I.moments, ("out",)),
+    ("canny", lambda a: I.canny(a), ("out",)), ("anisotropic_diffusion", lambda a: I.anisotropic_diffusion(a, 0.1, 1.0, 5), ("out",)), ("iterative_deconv", lambda a: I.iterative_deconv(np.abs(a), I.gaussian_kernel(3, 3), 5), ("out",)), ("inverse_deconv", lambda a: I.inverse_deconv(a, I.gaussian_kernel(3, 3), 0.1), ("out",)),
+    ("confidence_cc", lambda a: I.confidence_cc(a, [[4, 4]], 1, 2.0, 3), ("out",)), ("dog", lambda a: I.dog(a, 1, 2), ("out",)), ("match_template", lambda a: V.match_template(a, a[2:5, 2:5], "ssd"), ("out",)),
+    ("homography", lambda a: V.homography(a[:, :2] * 10, a[:, :2] * 20 + 3, iterations=20), ("h", "inliers")),
+):
+    dense_query(_name, _f, _out)
+
+
+for _name, _f in (("fast", lambda a: V.fast(V.picture(a), 20.0)), ("harris", lambda a: V.harris(V.picture(a), 100)), ("susan", lambda a: V.susan(V.picture(a), 3, 32.0, 20.0)), ("orb", lambda a: V.orb(V.picture(a), 20.0, 50)), ("sift", lambda a: V.sift(V.picture(a), max_features=20, double=False)), ("gloh", lambda a: V.gloh(V.picture(a), max_features=20, double=False))):
+
+    @query(_name)
+    def _(spark, d, f=_f):
+        return dense.features(squares(spark, d), "a", f)
+
+
+# sources, sinks, random, programs, streams ----------------------------------------------------------
+
+
+@query("save_read_array", f"SELECT d0, d1, {s('v')} AS v FROM {_N}")
+def _(spark, d):
+    import tempfile
+
+    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    path = f"{where}/arrays-{spark.sparkContext.applicationId}-{id(object())}"
+    files.save_array(nations(spark, d), "nations", path)
+    return files.read_array(spark, path, "nations").df.select("d0", "d1", r(F.col("v")).alias("v"))
+
+
+@query("random_uniform")
+def _(spark, d):
+    return RandomEngine("philox", 7).uniform(spark, [1000, 50]).df
+
+
+@query("random_normal")
+def _(spark, d):
+    return RandomEngine("threefry", 7).normal(spark, [1000, 50]).df
+
+
+@query("monte_carlo_pi")
+def _(spark, d):
+    return programs.monte_carlo_pi(spark, 20_000_000)
+
+
+@query("rainfall", f"SELECT user_id, {s('sum(value)', 3)} AS total, count(*) FILTER (value > 0) AS rainy FROM events GROUP BY user_id")
+def _(spark, d):
+    e = read(spark, d, "events").select("user_id", F.unix_date(F.col("ts").cast("date")).alias("day"), "value")
+    return programs.rainfall(e, "user_id", "day", "value")[0].select("user_id", r(F.col("total"), 3).alias("total"), "rainy")
+
+
+@query("black_scholes")
+def _(spark, d):
+    t = read(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("s"), (F.col("p_retailprice") * 1.1).alias("x"), F.lit(0.02).alias("r"), F.lit(0.3).alias("v"), (F.col("p_size") / 50.0).alias("t"))
+    return programs.black_scholes(t)
+
+
+@query("kmeans")
+def _(spark, d):
+    e = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return programs.kmeans(e, 5, 3)[0].select("vec_id", "cluster")
+
+
+@query("naive_bayes")
+def _(spark, d):
+    t = read(spark, d, "lineitem").withColumn("key", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    features = ["l_quantity", "l_extendedprice", "l_discount"]
+    return programs.naive_bayes_predict(t, programs.naive_bayes_fit(t, "l_returnflag", features), "l_returnflag", features, "key")
+
+
+@query("conjugate_gradient")
+def _(spark, d):
+    t = nations(spark, d)
+    a = t.matmul(t, trans_b=True) + Tensor.identity(spark, [5, 5]) * 10.0
+    return programs.conjugate_gradient(a, t[:, 0], 5).df
+
+
+@query("life", "WITH c AS (SELECT DISTINCT l_partkey % 50 AS x, l_suppkey % 50 AS y FROM lineitem WHERE l_quantity < 10), n AS (SELECT x + i AS x, y + j AS y, i = 0 AND j = 0 AS own FROM c CROSS JOIN (VALUES (-1), (0), (1)) a(i) CROSS JOIN (VALUES (-1), (0), (1)) b(j)) SELECT x, y FROM n GROUP BY x, y HAVING count(*) FILTER (NOT own) = 3 OR (count(*) FILTER (NOT own) = 2 AND bool_or(own))")
+def _(spark, d):
+    cells = read(spark, d, "lineitem").where("l_quantity < 10").select((F.col("l_partkey") % 50).alias("x"), (F.col("l_suppkey") % 50).alias("y")).distinct()
+    return programs.life(cells, "x", "y")
+
+
+@query("stream_windows", f"SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(value) AS n, {s('sum(value)', 3)} AS sum, {s('avg(value)', 3)} AS mean, min(value) AS \"min\", max(value) AS \"max\" FROM events GROUP BY ALL")
+def _(spark, d):
+    out = stateful.windowed(read(spark, d, "events"), "ts", "value", ["event_type"])
+    return out.select("start", "event_type", "n", r(F.col("sum"), 3).alias("sum"), r(F.col("mean"), 3).alias("mean"), "min", "max")
+
+
+__all__ = ["COORDS", "oracle_sql", "queries"]
