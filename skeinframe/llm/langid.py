@@ -26,13 +26,20 @@ from skeinframe.llm.toxic import remainder
 SAMPLE, DICTIONARY_BYTES = 200, 1 << 17
 #: Languages learned, at most: the most frequent.
 LANGUAGES = 200
-LEVEL = 3
+LEVEL = 6
+#: A size is close to the best if it is at most CLOSE_BYTES and CLOSE_SHARE of the best above it.
+CLOSE_BYTES, CLOSE_SHARE = 8, 0.03
 #: Bytes saved, as a share of the best size, below which a choice is rejected.
 MARGIN = 0.01
-_WORD = re.compile(r"[^\W\d_]+")
+_GAP = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 
 
+def plain(text: str) -> str:
+    """The whole text's words in lower case with single spaces between: what is compressed, and what dictionaries hold."""
+    return _GAP.sub(" ", text.lower())
+
+
 class Model:
     """dictionaries: bytes by language."""
 
@@ -43,19 +50,20 @@ class Model:
             data = zstandard.ZstdCompressionDict(dictionaries[name] or b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             data.precompute_compress(level=level)
             self.compressors.append(zstandard.ZstdCompressor(level=level, dict_data=data, write_checksum=False, write_content_size=False, write_dict_id=False))
-            self.words.append(frozenset(w.lower() for w in _WORD.findall(dictionaries[name].decode("utf-8", "ignore"))))
+            self.words.append(frozenset(dictionaries[name].decode("utf-8", "ignore").split()))
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score from 0 to 1, confident)."""
-        if not text or not self.names or not any(map(str.isalpha, text)):
+        text = plain(text or "").strip()
+        if not self.names or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, False
         raw = text.encode()
         sizes = [len(c.compress(raw)) for c in self.compressors]
         best = min(sizes)
-        near = [i for i, n in enumerate(sizes) if n <= best + 2 + best * MARGIN / 4]
+        near = [i for i, n in enumerate(sizes) if n <= best + CLOSE_BYTES + best * CLOSE_SHARE]
         at = sizes.index(best)
         if len(near) > 1:
-            found = [w.lower() for w in _WORD.findall(text)]
+            found = text.split()
             at = max(near, key=lambda i: (sum(len(w) for w in found if w in self.words[i]), -sizes[i], -i))
         others = [n for i, n in enumerate(sizes) if i != at]
         gap = (min(others) - sizes[at]) / max(sizes[at], 1) if others else 1.0
@@ -72,14 +80,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     chosen = _common.settle(rows.withColumn("rank", rank).where(F.col("rank") <= sample).select("id", "lang", "rank").dropDuplicates(["id", "lang"]), "langid-sample")
     texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), ["id", "lang"])
-    texts = texts.select("lang", "rank", F.substring("t", 1, size).alias("t")).groupBy("lang", "rank").agg(F.min("t").alias("t"))
+    texts = texts.select("lang", "rank", "t").groupBy("lang", "rank").agg(F.min("t").alias("t"))
     # as many texts, from the first rank on, as fill the dictionary: size bytes a language reach the driver, and one text over
     upto = F.sum(F.octet_length("t")).over(Window.partitionBy("lang").orderBy("rank")) - F.octet_length("t")
     got = texts.withColumn("upto", upto).where(F.col("upto") < size).orderBy("lang", "rank").select("lang", "t").toArrow()
     parts: dict[str, list[str]] = {}
     for lang, text in zip(got.column("lang").to_pylist(), got.column("t").to_pylist(), strict=True):
         parts.setdefault(lang, []).append(text)
-    return {lang: "\n".join(texts).encode()[-size:] for lang, texts in parts.items()}
+    return {lang: plain(" ".join(texts)).encode()[:size] for lang, texts in parts.items()}
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held: int = 2) -> DataFrame:

@@ -1,7 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text's terms are its words and the words' beginnings of 4 and 6 bytes (A-Z in
-lower case), hashed. fit() keeps the terms that go with the label and learns a
+A text's terms are its words and the words' beginnings of 4 to 8 bytes (A-Z in
+lower case), hashed; a term that comes 2 or 4 times or more is a term of its own
+besides. fit() keeps the terms that go with the label and learns a
 weight and a small vector for each: a score adds the weights and the products of
 all pairs' vectors, so that two terms together may say what neither says alone.
 
@@ -23,12 +24,14 @@ from skeinframe.llm import _common
 from skeinframe.llm.exact import drop_ids
 
 BITS = 20
-PREFIXES = (4, 6)
+PREFIXES = (4, 5, 6, 8)
+#: Counts from which a repeated term is a further term.
+LEVELS = (1, 2, 4)
 #: Labelled rows of each class that are learned from, at most: those with the smallest hash of the id.
 SAMPLE = 2_000
 #: Terms kept: seen in LEAST_DOCS sampled texts, and with a z-score of at least LEAST_Z; the TERMS highest.
-LEAST_DOCS, LEAST_Z, TERMS = 3, 4.0, 4096
-FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 12, 64, 0.1, 1e-4
+LEAST_DOCS, LEAST_Z, TERMS = 3, 5.0, 4096
+FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 20, 64, 0.1, 1e-4
 
 
 def terms(buf: np.ndarray, off: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +47,7 @@ def terms(buf: np.ndarray, off: np.ndarray, bits: int = BITS) -> tuple[np.ndarra
 @dataclass
 class Machine:
     bits: int
-    place: np.ndarray  # of each hashed term among the kept ones, or -1
+    place: np.ndarray  # of each level's hashed terms among the kept ones, or -1
     bias: float
     weight: np.ndarray
     factor: np.ndarray
@@ -61,23 +64,33 @@ class Machine:
 
     def kept(self, hashed: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of each text's distinct kept terms, and where they begin."""
-        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        index = self.place[hashed]
-        some = index >= 0
-        pair = np.unique(text[some] * len(self.weight) + index[some]) if len(self.weight) else np.zeros(0, np.int64)
-        return pair % max(len(self.weight), 1), np.searchsorted(pair, np.arange(len(first)) * max(len(self.weight), 1))
+        text, width = np.repeat(np.arange(len(first) - 1), np.diff(first)), max(len(self.weight), 1)
+        pairs = []
+        for level, least in enumerate(LEVELS):
+            index = self.place[level][hashed]
+            some = index >= 0
+            pair, count = np.unique(text[some] * width + index[some], return_counts=True)
+            pairs.append(pair[count >= least])
+        pair = np.sort(np.concatenate(pairs))
+        return pair % width, np.searchsorted(pair, np.arange(len(first)) * width)
 
     def scores(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.margins(*self.kept(*terms(buf, off, self.bits))), -30, 30)))
 
 
+def levelled(hashed: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """A text's distinct terms, those for repeats among them: level * 2^bits + hash."""
+    distinct, counts = np.unique(hashed, return_counts=True)
+    return np.concatenate([distinct[counts >= least] + (level << bits) for level, least in enumerate(LEVELS)])
+
+
 def learn(texts: list[np.ndarray], labels: np.ndarray, bits: int = BITS, seed: int = 7) -> Machine:
-    """texts: each one's distinct hashed terms. Without texts of both labels, the score is the share of label 1."""
+    """texts: each one's terms, of levelled(). Without texts of both labels, the score is the share of label 1."""
     share = float(labels.mean()) if len(labels) else 0.0
-    place = np.full(1 << bits, -1, np.int32)
+    place = np.full(len(LEVELS) << bits, -1, np.int32)
     if not 0 < share < 1:
-        return Machine(bits, place, 30.0 if share else -30.0, np.zeros(0), np.zeros((0, FACTORS)))
-    seen = [np.bincount(np.concatenate([t for t, y in zip(texts, labels, strict=True) if y == k] or [np.zeros(0, np.int64)]), minlength=1 << bits) for k in (0, 1)]
+        return Machine(bits, place.reshape(len(LEVELS), -1), 30.0 if share else -30.0, np.zeros(0), np.zeros((0, FACTORS)))
+    seen = [np.bincount(np.concatenate([t for t, y in zip(texts, labels, strict=True) if y == k] or [np.zeros(0, np.int64)]), minlength=len(LEVELS) << bits) for k in (0, 1)]
     total = [int((labels == k).sum()) for k in (0, 1)]
     both = seen[0] + seen[1]
     mean = both / len(labels)
@@ -86,7 +99,7 @@ def learn(texts: list[np.ndarray], labels: np.ndarray, bits: int = BITS, seed: i
     ok = ok[np.argsort(-np.abs(z[ok]), kind="stable")][:TERMS]
     place[ok] = np.arange(len(ok))
     rng = np.random.default_rng(seed)
-    machine = Machine(bits, place, float(np.log(share / (1 - share))), np.zeros(len(ok)), rng.normal(0, 0.01, (len(ok), FACTORS)))
+    machine = Machine(bits, place.reshape(len(LEVELS), -1), float(np.log(share / (1 - share))), np.zeros(len(ok)), rng.normal(0, 0.01, (len(ok), FACTORS)))
     rows = [np.sort(i[i >= 0]) for i in (place[t] for t in texts)]
     y = labels.astype(float)
     # both classes weigh alike; adaptive steps
@@ -132,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for i, j, buf, off in _common.text_chunks(batch.column(1)):
                 hashed, first = terms(buf, off)
-                rows = [np.unique(hashed[a:b]).astype("<i4").tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                rows = [levelled(hashed[a:b]).astype("<i4").tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in (0, 2)), pa.array(rows, pa.binary())], ["id", "y", "terms"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), "id").select("id", "t", "y")
