@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,7 +64,57 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _LOWER = f"translate(coalesce(text, ''), '{_common.AZ[0]}', '{_common.AZ[1]}')"
 
+
+def _pattern(markup: str) -> str:
+    """A template as a regular expression over words that a blank follows."""
+    out = []
+    for mark, word in re.findall(r"<<(.*?)>>|([^\s<>]+)", markup):
+        kind, _, rest = mark.partition(";")
+        if kind == "beginOptional":
+            out.append("(?:")
+        elif kind == "endOptional":
+            out.append(")?")
+        elif kind == "var":
+            least, most = rest.removeprefix("match=").split("-")
+            out.append(f"(?:[^ ]+ ){{{least},{most}}}")
+        elif kind == "alt":
+            out.append(f"(?:{rest}) ")
+        else:
+            out.append(f"{word} ")
+    return "".join(out)
+
+
+def _license_sql() -> str:
+    base, full = {}, {}
+    for markup, label in license.BASE:
+        base.setdefault(label, []).append(f"regexp_matches(line, ' {_pattern(markup)}')")
+    for markup, label in license.TEMPLATES:
+        full.setdefault(label, []).append(f"regexp_matches(line, ' {_pattern(markup)}')")
+    every = {k: base.get(k, []) + full.get(k, []) for k in sorted({*base, *full})}
+    names = lambda hits: "concat_ws(',', " + ", ".join(f"CASE WHEN {' OR '.join(hits[k])} THEN '{k}' END" for k in sorted(hits)) + ")"
+    places = " || ".join(f"list_filter(range(n_words), lambda i: list_slice(words, i + 1, i + {len(p.split())}) = {p.split()})" for p, _ in license.BASE)
+    return f"""
+        WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+        l AS (SELECT doc_id, words, len(words) AS n_words, ' ' || array_to_string(words, ' ') || ' ' AS line FROM w),
+        p AS (SELECT *, {places} AS places FROM l)
+        SELECT doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word, {names(base)} AS base_labels, {names(every)} AS labels,
+        CASE WHEN {' OR '.join(sum(full.values(), []))} THEN 1.0::DOUBLE WHEN len(places) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score FROM p"""
+
+
 ORACLES = {
+    "op1_license": _license_sql(),
+    "op2_mixing": """
+        WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+            CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':17'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY source),
+        w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w, 3.0::DOUBLE * n AS cap, CAST(sum(n) OVER () AS DOUBLE) AS total FROM s),
+        l AS (SELECT *, (total - coalesce(sum(cap) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level FROM w
+            WINDOW before AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        t AS (SELECT source, n AS source_size, least(cap, coalesce((SELECT arg_min(level, cap / w) FROM l WHERE level <= cap / w) * w, cap)) AS target FROM l),
+        r AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size + 1e-12), 3) ELSE 0 END AS times FROM t),
+        x AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.times, greatest(0, r.target - r.times * r.source_size) AS extra,
+            sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id) AS upto FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+        SELECT doc_id, size, source_size, target, CAST(size * (times + CASE WHEN extra > 0 AND upto - size / 2.0 <= extra THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM x""",
     "op3_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
