@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ def codes(rows: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
 
 
 def by_length(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    sizes = pa.compute.list_value_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    sizes = pc.list_value_length(batch.column(column)).to_numpy(zero_copy_only=False)
     for n in np.unique(sizes):
         yield batch if (sizes == n).all() else batch.filter(pa.array(sizes == n))
 
