@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Rows up to which an id set may be broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text handled by numpy at a time, unless a single text is longer.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
