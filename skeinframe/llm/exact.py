@@ -48,9 +48,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without those whose id is in dropped (one column, id_col); all columns stay as they are."""
-    dropped = _common.settle(dropped.select(F.col(id_col).alias("__gone")).where(F.col("__gone").isNotNull()).distinct(), "dropped")
-    return docs.join(F.broadcast(dropped) if _common.few(dropped) else dropped, F.col(id_col) == F.col("__gone"), "left_anti")
+    """docs without those whose id is in dropped (one column, id_col); all columns stay as they are. Rows that share an id go together; null ids stay."""
+    gone = _common.fresh(docs, "__gone")
+    dropped = _common.settle(dropped.select(F.col(id_col).alias(gone)).where(F.col(gone).isNotNull()).distinct(), "dropped")
+    return docs.join(F.broadcast(dropped) if _common.few(dropped) else dropped, docs[id_col] == F.col(gone), "left_anti")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

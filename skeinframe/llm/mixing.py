@@ -93,10 +93,10 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     return sized, _common.settle(out, "mix-sources")
 
 
-def _copies(u: F.Column, key: F.Column) -> F.Column:
-    """A bar without an id takes draws below it."""
-    more = (u < F.col("bar_u")) | ((u == F.col("bar_u")) & F.col("bar_id").isNotNull() & (key <= F.col("bar_id")))
-    return F.col("times") + F.when(more, 1).otherwise(0)
+def _copies(u: F.Column, key: F.Column, times: str = "times", bar_u: str = "bar_u", bar_id: str = "bar_id") -> F.Column:
+    """How often a document is taken. A bar without an id takes draws below it."""
+    more = (u < F.col(bar_u)) | ((u == F.col(bar_u)) & F.col(bar_id).isNotNull() & (key <= F.col(bar_id)))
+    return F.col(times) + F.when(more, 1).otherwise(0)
 
 
 def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **more) -> DataFrame:
@@ -113,10 +113,8 @@ def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, **more) -> DataFrame:
     """docs, all columns, each row as often as the mix takes it. Texts aren't shuffled: the sources' bars are broadcast."""
     _, sources = plan(docs, id_col, text_col, source_col, seed=seed, **more)
-    names = {c: f"__mix_{c}" for c in ("src", "times", "bar_u", "bar_id")}
-    rates = sources.select([F.col(c).alias(n) for c, n in names.items()])
-    joined = docs.join(F.broadcast(rates) if _common.few(rates) else rates, F.col(source_col).eqNullSafe(F.col("__mix_src")))
-    u, key = draw(F.col(id_col), seed), F.col(id_col)
-    more = (u < F.col("__mix_bar_u")) | ((u == F.col("__mix_bar_u")) & F.col("__mix_bar_id").isNotNull() & (key <= F.col("__mix_bar_id")))
-    copies = (F.col("__mix_times") + F.when(more, 1).otherwise(0)).cast("int")
-    return joined.where(copies > 0).withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(0), copies))).select([docs[c] for c in docs.columns])
+    src, times, bar_u, bar_id, copy = (_common.fresh(docs, f"__mix_{c}") for c in ("src", "times", "bar_u", "bar_id", "copy"))
+    rates = sources.select(F.col("src").alias(src), F.col("times").alias(times), F.col("bar_u").alias(bar_u), F.col("bar_id").alias(bar_id))
+    joined = docs.join(F.broadcast(rates) if _common.few(rates) else rates, docs[source_col].eqNullSafe(F.col(src)))
+    copies = _copies(draw(docs[id_col], seed), docs[id_col], times, bar_u, bar_id).cast("int")
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies))).select([F.col(f"`{c}`") for c in docs.columns])
