@@ -88,13 +88,11 @@ def link_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(bucket)], ["rep", "space", "bucket"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[tuple[np.ndarray, ...]] = []  # parts of the group at hand: unit rows, rep, m, side
         key = None
 
         def group() -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held).combine_chunks()
-            rows = unit_rows(table.column("v").combine_chunks())
-            rep, m, side = (table.column(c).to_numpy() for c in ("rep", "m", "side"))
+            rows, rep, m, side = held[0] if len(held) == 1 else (np.concatenate(x) for x in zip(*held, strict=True))
             one = key[2] == key[3]
             first, second = (np.arange(len(rep)),) * 2 if one else (np.flatnonzero(side == key[2]), np.flatnonzero(side == key[3]))
             close = rows[first] @ rows[second].T >= threshold
@@ -114,17 +112,24 @@ def link_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
                 got = np.flatnonzero(links)
                 yield pa.RecordBatch.from_arrays([pa.array(rep[got]), pa.array(links[got].astype(np.int64)), pa.array(root[got])], ["rep", "links", "root"])
 
-        for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("space", "bucket", "bi", "bj")), strict=True))
-            start = 0
-            for n, k in enumerate(keys):
-                if k != key:
-                    if n > start:
-                        held.append(batch.slice(start, n - start))
-                    if held:
-                        yield from group()
-                    held, key, start = [], k, n
-            held.append(batch.slice(start))
+        for whole in batches:
+            # a group's vectors have one length, and rows of a group follow each other
+            sizes = pc.list_value_length(whole.column(7)).to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.diff(sizes)) + 1
+            for begin, end in zip([0, *edge.tolist()], [*edge.tolist(), len(sizes)], strict=True):
+                batch = whole.slice(begin, end - begin)
+                if not batch.num_rows:
+                    continue
+                space, bucket, bi, bj, side, rep, m = (batch.column(c).to_numpy() for c in range(7))
+                parts = (unit_rows(batch.column(7)), rep, m, side)
+                new = np.flatnonzero((np.diff(space) != 0) | (np.diff(bucket) != 0) | (np.diff(bi) != 0) | (np.diff(bj) != 0)) + 1
+                for s, e in zip([0, *new.tolist()], [*new.tolist(), len(rep)], strict=True):
+                    k = (int(space[s]), int(bucket[s]), int(bi[s]), int(bj[s]))
+                    if k != key:
+                        if held:
+                            yield from group()
+                        held, key = [], k
+                    held.append(tuple(x[s:e] for x in parts))
         if held:
             yield from group()
 
