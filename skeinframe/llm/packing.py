@@ -74,7 +74,7 @@ class Windows:
             yield self._take((self.frees & -self.frees).bit_length() - 1)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, open_windows: int = 64, vocab: str = bpe.VOCAB, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, open_windows: int = 512, vocab: str = bpe.VOCAB, end_id: int = 0) -> DataFrame:
     """A row per piece: the id, start (the document's ids before it), length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are those of the vocabulary and end_id. Each lies in one piece. Only the last piece of a document is
