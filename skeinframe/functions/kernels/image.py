@@ -293,7 +293,7 @@ def hist_equal(a, hist):
 
 def canny(a, low: float = 0.1, high: float | None = None, fast: bool = False):
     """Edges (1 or 0). Thresholds are shares of the largest gradient; with high None, Otsu's method finds it and low is a share of it."""
-    smooth = convolve(a, gaussian_kernel(5, 5, 1.4, 1.4))
+    smooth = convolve(np.pad(a, 2, mode="edge"), gaussian_kernel(5, 5, 1.4, 1.4))[2:-2, 2:-2]
     dx, dy = sobel(smooth)
     size = np.abs(dx) + np.abs(dy) if fast else np.hypot(dx, dy)
     top = size.max() or 1.0

@@ -263,77 +263,77 @@ def _(spark, d):
 # elementwise --------------------------------------------------------------------------------------
 
 KEYS = "l_orderkey, l_linenumber, l_partkey"
-_A, _B = F.col("l_quantity"), F.col("l_discount")
+_A, _B = (lambda: F.col("l_quantity")), (lambda: F.col("l_discount"))
 
 
-def elementwise(name: str, columns: dict[str, tuple[Column, str]], digits: int = 6) -> None:
-    """A query with a column for each name, and its SQL; numbers are rounded, booleans aren't."""
+def elementwise(name: str, columns: dict[str, tuple[Callable[[], Column], str]], digits: int = 6) -> None:
+    """A query with a column for each name, made when it runs, and its SQL; numbers are rounded, booleans aren't."""
     bools = {k for k, (_, text) in columns.items() if text.startswith("B:")}
     sql = ", ".join(f"{text[2:]} AS {k}" if k in bools else f"{s(text, digits)} AS {k}" for k, (_, text) in columns.items())
 
     @query(name, f"SELECT {KEYS}, {sql} FROM lineitem")
     def _(spark, d):
-        return read(spark, d, "lineitem").select(*KEYS.split(", "), *[(c if k in bools else r(c, digits)).alias(k) for k, (c, _) in columns.items()])
+        return read(spark, d, "lineitem").select(*KEYS.split(", "), *[(c() if k in bools else r(c(), digits)).alias(k) for k, (c, _) in columns.items()])
 
 
 _x, _y = "l_quantity", "l_discount"
 elementwise("arith_basic", {
-    "add": (E.add(_A, _B), f"{_x} + {_y}"), "sub": (E.sub(_A, _B), f"{_x} - {_y}"), "mul": (E.mul(_A, _B), f"{_x} * {_y}"),
-    "div": (E.div(_A, _B), f"CASE WHEN {_y} = 0 THEN 'Infinity'::DOUBLE ELSE {_x} / {_y} END"),
-    "idiv": (E.idiv(F.col("l_partkey"), F.col("l_linenumber")), "l_partkey // l_linenumber"),
-    "imod": (E.mod(F.col("l_partkey"), F.col("l_linenumber")), "l_partkey % l_linenumber"), "mod": (E.mod(-_A, F.lit(7.5)), f"-{_x} - 7.5 * trunc(-{_x} / 7.5)"),
-    "rem": (E.rem(_A, F.lit(7.5)), f"{_x} - 7.5 * round_even({_x} / 7.5, 0)"), "neg": (E.neg(_A), f"-{_x}"),
+    "add": (lambda: E.add(_A(), _B()), f"{_x} + {_y}"), "sub": (lambda: E.sub(_A(), _B()), f"{_x} - {_y}"), "mul": (lambda: E.mul(_A(), _B()), f"{_x} * {_y}"),
+    "div": (lambda: E.div(_A(), _B()), f"CASE WHEN {_y} = 0 THEN 'Infinity'::DOUBLE ELSE {_x} / {_y} END"),
+    "idiv": (lambda: E.idiv(F.col("l_partkey"), F.col("l_linenumber")), "l_partkey // l_linenumber"),
+    "imod": (lambda: E.mod(F.col("l_partkey"), F.col("l_linenumber")), "l_partkey % l_linenumber"), "mod": (lambda: E.mod(-_A(), F.lit(7.5)), f"-{_x} - 7.5 * trunc(-{_x} / 7.5)"),
+    "rem": (lambda: E.rem(_A(), F.lit(7.5)), f"{_x} - 7.5 * round_even({_x} / 7.5, 0)"), "neg": (lambda: E.neg(_A()), f"-{_x}"),
 })
 elementwise("arith_compare", {
-    "lt": (E.lt(_A, F.lit(25)), f"B:{_x} < 25"), "gt": (E.gt(_A, F.lit(25)), f"B:{_x} > 25"), "le": (E.le(_A, F.lit(25)), f"B:{_x} <= 25"),
-    "ge": (E.ge(_A, F.lit(25)), f"B:{_x} >= 25"), "eq": (E.eq(_A, F.lit(25)), f"B:{_x} = 25"), "neq": (E.neq(_A, F.lit(25)), f"B:{_x} <> 25"),
-    "nan_eq": (E.eq(F.lit(float("nan")), F.lit(float("nan"))), "B:FALSE"), "nan_neq": (E.neq(F.lit(float("nan")), _A), "B:TRUE"), "nan_gt": (E.gt(F.lit(float("nan")), _A), "B:FALSE"),
+    "lt": (lambda: E.lt(_A(), F.lit(25)), f"B:{_x} < 25"), "gt": (lambda: E.gt(_A(), F.lit(25)), f"B:{_x} > 25"), "le": (lambda: E.le(_A(), F.lit(25)), f"B:{_x} <= 25"),
+    "ge": (lambda: E.ge(_A(), F.lit(25)), f"B:{_x} >= 25"), "eq": (lambda: E.eq(_A(), F.lit(25)), f"B:{_x} = 25"), "neq": (lambda: E.neq(_A(), F.lit(25)), f"B:{_x} <> 25"),
+    "nan_eq": (lambda: E.eq(F.lit(float("nan")), F.lit(float("nan"))), "B:FALSE"), "nan_neq": (lambda: E.neq(F.lit(float("nan")), _A()), "B:TRUE"), "nan_gt": (lambda: E.gt(F.lit(float("nan")), _A()), "B:FALSE"),
 })
 elementwise("arith_logic", {
-    "land": (E.logical_and(_B, F.col("l_tax")), f"B:{_y} <> 0 AND l_tax <> 0"), "lor": (E.logical_or(_B, F.col("l_tax")), f"B:{_y} <> 0 OR l_tax <> 0"), "lnot": (E.logical_not(_B), f"B:{_y} = 0"),
-    "iszero": (E.iszero(_B), f"B:{_y} = 0"), "isinf": (E.isinf(E.div(1.0, _B)), f"B:{_y} = 0"), "isnan": (E.isnan(E.log(-_A)), "B:TRUE"), "sel": (E.select(_B, _A, -_A), f"CASE WHEN {_y} <> 0 THEN {_x} ELSE -{_x} END"),
+    "land": (lambda: E.logical_and(_B(), F.col("l_tax")), f"B:{_y} <> 0 AND l_tax <> 0"), "lor": (lambda: E.logical_or(_B(), F.col("l_tax")), f"B:{_y} <> 0 OR l_tax <> 0"), "lnot": (lambda: E.logical_not(_B()), f"B:{_y} = 0"),
+    "iszero": (lambda: E.iszero(_B()), f"B:{_y} = 0"), "isinf": (lambda: E.isinf(E.div(1.0, _B())), f"B:{_y} = 0"), "isnan": (lambda: E.isnan(E.log(-_A())), "B:TRUE"), "sel": (lambda: E.select(_B(), _A(), -_A()), f"CASE WHEN {_y} <> 0 THEN {_x} ELSE -{_x} END"),
 })
-_I, _J = F.col("l_partkey"), F.col("l_suppkey")
+_I, _J = (lambda: F.col("l_partkey")), (lambda: F.col("l_suppkey"))
 elementwise("arith_bits", {
-    "band": (E.bitand(_I, _J), "l_partkey & l_suppkey"), "bor": (E.bitor(_I, _J), "l_partkey | l_suppkey"), "bxor": (E.bitxor(_I, _J), "xor(l_partkey, l_suppkey)"), "bnot": (E.bitnot(_I), "~l_partkey"),
-    "shl": (E.shiftl(_I, 3), "l_partkey << 3"), "shr": (E.shiftr(_I, 2), "l_partkey >> 2"),
+    "band": (lambda: E.bitand(_I(), _J()), "l_partkey & l_suppkey"), "bor": (lambda: E.bitor(_I(), _J()), "l_partkey | l_suppkey"), "bxor": (lambda: E.bitxor(_I(), _J()), "xor(l_partkey, l_suppkey)"), "bnot": (lambda: E.bitnot(_I()), "~l_partkey"),
+    "shl": (lambda: E.shiftl(_I(), 3), "l_partkey << 3"), "shr": (lambda: E.shiftr(_I(), 2), "l_partkey >> 2"),
 })
-_Z = (_A - 25) * _B
+_Z = lambda: (_A() - 25) * _B()
 _z = f"(({_x} - 25) * {_y})"
 elementwise("arith_rounding", {
-    "abs": (E.abs_(_Z), f"abs({_z})"), "sign": (E.sign(_A - 25), f"CASE WHEN {_x} < 25 THEN 1 ELSE 0 END"), "round": (E.round_((_A - 25) / 2), f"CASE WHEN {_x} < 25 THEN -floor((25 - {_x}) / 2 + 0.5) ELSE floor(({_x} - 25) / 2 + 0.5) END"),
-    "trunc": (E.trunc((_A - 25) / 4), f"trunc(({_x} - 25) / 4)"), "floor": (E.floor((_A - 25) / 4), f"floor(({_x} - 25) / 4)"), "ceil": (E.ceil((_A - 25) / 4), f"ceil(({_x} - 25) / 4)"),
-    "minof": (E.minof(_A, F.col("l_linenumber") * 7.0), f"least({_x}, l_linenumber * 7.0::DOUBLE)"), "maxof": (E.maxof(_A, F.col("l_linenumber") * 7.0), f"greatest({_x}, l_linenumber * 7.0::DOUBLE)"), "clamp": (E.clamp(_A, F.lit(10.0), F.lit(40.0)), f"least(greatest({_x}, 10), 40)"),
+    "abs": (lambda: E.abs_(_Z()), f"abs({_z})"), "sign": (lambda: E.sign(_A() - 25), f"CASE WHEN {_x} < 25 THEN 1 ELSE 0 END"), "round": (lambda: E.round_((_A() - 25) / 2), f"CASE WHEN {_x} < 25 THEN -floor((25 - {_x}) / 2 + 0.5) ELSE floor(({_x} - 25) / 2 + 0.5) END"),
+    "trunc": (lambda: E.trunc((_A() - 25) / 4), f"trunc(({_x} - 25) / 4)"), "floor": (lambda: E.floor((_A() - 25) / 4), f"floor(({_x} - 25) / 4)"), "ceil": (lambda: E.ceil((_A() - 25) / 4), f"ceil(({_x} - 25) / 4)"),
+    "minof": (lambda: E.minof(_A(), F.col("l_linenumber") * 7.0), f"least({_x}, l_linenumber * 7.0::DOUBLE)"), "maxof": (lambda: E.maxof(_A(), F.col("l_linenumber") * 7.0), f"greatest({_x}, l_linenumber * 7.0::DOUBLE)"), "clamp": (lambda: E.clamp(_A(), F.lit(10.0), F.lit(40.0)), f"least(greatest({_x}, 10), 40)"),
 })
 elementwise("arith_trigonometry", {
-    "sin": (E.sin(_A), f"sin({_x})"), "cos": (E.cos(_A), f"cos({_x})"), "tan": (E.tan(_B), f"tan({_y})"), "asin": (E.asin(_B), f"asin({_y})"), "acos": (E.acos(_B), f"acos({_y})"), "atan": (E.atan(_A), f"atan({_x})"),
-    "atan2": (E.atan2(_Z, _A), f"atan2({_z}, {_x})"), "hypot": (E.hypot(_A, _B), f"sqrt({_x} * {_x} + {_y} * {_y})"), "sinh": (E.sinh(_B), f"sinh({_y})"), "cosh": (E.cosh(_B), f"cosh({_y})"), "tanh": (E.tanh(_B), f"tanh({_y})"),
-    "asinh": (E.asinh(_A), f"asinh({_x})"), "acosh": (E.acosh(_A), f"acosh({_x})"), "atanh": (E.atanh(_B), f"atanh({_y})"),
+    "sin": (lambda: E.sin(_A()), f"sin({_x})"), "cos": (lambda: E.cos(_A()), f"cos({_x})"), "tan": (lambda: E.tan(_B()), f"tan({_y})"), "asin": (lambda: E.asin(_B()), f"asin({_y})"), "acos": (lambda: E.acos(_B()), f"acos({_y})"), "atan": (lambda: E.atan(_A()), f"atan({_x})"),
+    "atan2": (lambda: E.atan2(_Z(), _A()), f"atan2({_z}, {_x})"), "hypot": (lambda: E.hypot(_A(), _B()), f"sqrt({_x} * {_x} + {_y} * {_y})"), "sinh": (lambda: E.sinh(_B()), f"sinh({_y})"), "cosh": (lambda: E.cosh(_B()), f"cosh({_y})"), "tanh": (lambda: E.tanh(_B()), f"tanh({_y})"),
+    "asinh": (lambda: E.asinh(_A()), f"asinh({_x})"), "acosh": (lambda: E.acosh(_A()), f"acosh({_x})"), "atanh": (lambda: E.atanh(_B()), f"atanh({_y})"),
 })
 elementwise("arith_exponential", {
-    "exp": (E.exp(_B), f"exp({_y})"), "expm1": (E.expm1(_B), f"exp({_y}) - 1"), "log": (E.log(_A), f"ln({_x})"), "log0": (E.log(_B), f"CASE WHEN {_y} = 0 THEN '-Infinity'::DOUBLE ELSE ln(CASE WHEN {_y} = 0 THEN 1 ELSE {_y} END) END"),
-    "log1p": (E.log1p(_B), f"ln(1 + {_y})"), "log10": (E.log10(_A), f"log10({_x})"), "log2": (E.log2(_A), f"log2({_x})"), "sqrt": (E.sqrt(_A), f"sqrt({_x})"), "rsqrt": (E.rsqrt(_A), f"1 / sqrt({_x})"), "cbrt": (E.cbrt(_A), f"cbrt({_x})"),
-    "pow": (E.pow_(_A, _B), f"pow({_x}, {_y})"), "root": (E.root(3.0, _A), f"pow({_x}, 1.0 / 3)"), "pow2": (E.pow2(_B), f"pow(2.0, {_y})"), "sigmoid": (E.sigmoid(_Z), f"1 / (1 + exp(-{_z}))"),
+    "exp": (lambda: E.exp(_B()), f"exp({_y})"), "expm1": (lambda: E.expm1(_B()), f"exp({_y}) - 1"), "log": (lambda: E.log(_A()), f"ln({_x})"), "log0": (lambda: E.log(_B()), f"CASE WHEN {_y} = 0 THEN '-Infinity'::DOUBLE ELSE ln(CASE WHEN {_y} = 0 THEN 1 ELSE {_y} END) END"),
+    "log1p": (lambda: E.log1p(_B()), f"ln(1 + {_y})"), "log10": (lambda: E.log10(_A()), f"log10({_x})"), "log2": (lambda: E.log2(_A()), f"log2({_x})"), "sqrt": (lambda: E.sqrt(_A()), f"sqrt({_x})"), "rsqrt": (lambda: E.rsqrt(_A()), f"1 / sqrt({_x})"), "cbrt": (lambda: E.cbrt(_A()), f"cbrt({_x})"),
+    "pow": (lambda: E.pow_(_A(), _B()), f"pow({_x}, {_y})"), "root": (lambda: E.root(3.0, _A()), f"pow({_x}, 1.0 / 3)"), "pow2": (lambda: E.pow2(_B()), f"pow(2.0, {_y})"), "sigmoid": (lambda: E.sigmoid(_Z()), f"1 / (1 + exp(-{_z}))"),
 })
 elementwise("arith_gamma", {
-    "tgamma": (E.tgamma(_B + 2.5), f"gamma({_y} + 2.5)"), "lgamma": (E.lgamma(_A), f"lgamma({_x})"), "factorial": (E.factorial(F.col("l_linenumber")), "gamma(l_linenumber + 1)"), "lgamma_small": (E.lgamma(_B + 0.1), f"lgamma({_y} + 0.1)"),
+    "tgamma": (lambda: E.tgamma(_B() + 2.5), f"gamma({_y} + 2.5)"), "lgamma": (lambda: E.lgamma(_A()), f"lgamma({_x})"), "factorial": (lambda: E.factorial(F.col("l_linenumber")), "gamma(l_linenumber + 1)"), "lgamma_small": (lambda: E.lgamma(_B() + 0.1), f"lgamma({_y} + 0.1)"),
 })
-_C, _D = E.cplx(_A, _B), E.cplx(F.col("l_tax"), F.lit(1.0))
+_C, _D = (lambda: E.cplx(_A(), _B())), (lambda: E.cplx(F.col("l_tax"), F.lit(1.0)))
 elementwise("arith_complex", {
-    "re": (E.real(_C), _x), "im": (E.imag(E.conjg(_C)), f"-{_y}"), "mag": (E.cabs(_C), f"sqrt({_x} * {_x} + {_y} * {_y})"), "phase": (E.arg(_C), f"atan2({_y}, {_x})"), "phase_real": (E.arg_real(_A), "0"),
-    "mul_re": (E.cmul(_C, _D)["re"], f"{_x} * l_tax - {_y}"), "mul_im": (E.cmul(_C, _D)["im"], f"{_x} + {_y} * l_tax"), "div_re": (E.cdiv(_C, _D)["re"], f"({_x} * l_tax + {_y}) / (l_tax * l_tax + 1)"),
-    "exp_im": (E.cexp(_D)["im"], "exp(l_tax) * sin(1.0)"), "log_re": (E.clog(_C)["re"], f"ln(sqrt({_x} * {_x} + {_y} * {_y}))"), "sqrt_re": (E.csqrt(_C)["re"], f"sqrt(sqrt({_x} * {_x} + {_y} * {_y})) * cos(atan2({_y}, {_x}) / 2)"),
-    "less": (E.clt(_D, _C), f"B:sqrt(l_tax * l_tax + 1) < sqrt({_x} * {_x} + {_y} * {_y})"), "add_re": (E.cadd(_C, _D)["re"], f"{_x} + l_tax"), "sub_im": (E.csub(_C, _D)["im"], f"{_y} - 1"),
+    "re": (lambda: E.real(_C()), _x), "im": (lambda: E.imag(E.conjg(_C())), f"-{_y}"), "mag": (lambda: E.cabs(_C()), f"sqrt({_x} * {_x} + {_y} * {_y})"), "phase": (lambda: E.arg(_C()), f"atan2({_y}, {_x})"), "phase_real": (lambda: E.arg_real(_A()), "0"),
+    "mul_re": (lambda: E.cmul(_C(), _D())["re"], f"{_x} * l_tax - {_y}"), "mul_im": (lambda: E.cmul(_C(), _D())["im"], f"{_x} + {_y} * l_tax"), "div_re": (lambda: E.cdiv(_C(), _D())["re"], f"({_x} * l_tax + {_y}) / (l_tax * l_tax + 1)"),
+    "exp_im": (lambda: E.cexp(_D())["im"], "exp(l_tax) * sin(1.0)"), "log_re": (lambda: E.clog(_C())["re"], f"ln(sqrt({_x} * {_x} + {_y} * {_y}))"), "sqrt_re": (lambda: E.csqrt(_C())["re"], f"sqrt(sqrt({_x} * {_x} + {_y} * {_y})) * cos(atan2({_y}, {_x}) / 2)"),
+    "less": (lambda: E.clt(_D(), _C()), f"B:sqrt(l_tax * l_tax + 1) < sqrt({_x} * {_x} + {_y} * {_y})"), "add_re": (lambda: E.cadd(_C(), _D())["re"], f"{_x} + l_tax"), "sub_im": (lambda: E.csub(_C(), _D())["im"], f"{_y} - 1"),
 })
 elementwise("arith_cast", {
-    "to_s32": (dtypes.cast(-_A * 1.5, "f64", "s32"), f"trunc(-{_x} * 1.5)"), "to_b8": (dtypes.cast(_B, "f64", "b8"), f"B:{_y} <> 0"), "to_s8": (dtypes.cast(F.col("l_partkey"), "s64", "s8"), "((l_partkey + 128) % 256) - 128"),
-    "to_u8": (dtypes.cast(F.col("l_partkey"), "s64", "u8"), "l_partkey % 256"), "complex_to_f64": (dtypes.cast(_C, "c64", "f64"), f"sqrt({_x} * {_x} + {_y} * {_y})"),
+    "to_s32": (lambda: dtypes.cast(-_A() * 1.5, "f64", "s32"), f"trunc(-{_x} * 1.5)"), "to_b8": (lambda: dtypes.cast(_B(), "f64", "b8"), f"B:{_y} <> 0"), "to_s8": (lambda: dtypes.cast(F.col("l_partkey"), "s64", "s8"), "((l_partkey + 128) % 256) - 128"),
+    "to_u8": (lambda: dtypes.cast(F.col("l_partkey"), "s64", "u8"), "l_partkey % 256"), "complex_to_f64": (lambda: dtypes.cast(_C(), "c64", "f64"), f"sqrt({_x} * {_x} + {_y} * {_y})"),
 })
 
 
 @query("arith_error_function")
 def _(spark, d):
-    return read(spark, d, "lineitem").select(*KEYS.split(", "), E.erf(_Z).alias("erf"), E.erfc(_A / 10).alias("erfc"))
+    return read(spark, d, "lineitem").select(*KEYS.split(", "), E.erf(_Z()).alias("erf"), E.erfc(_A() / 10).alias("erfc"))
 
 
 # statistics ---------------------------------------------------------------------------------------
