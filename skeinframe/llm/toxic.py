@@ -90,13 +90,16 @@ def learn(texts: list[np.ndarray], labels: np.ndarray, bits: int = BITS, seed: i
     place = np.full(len(LEVELS) << bits, -1, np.int32)
     if not 0 < share < 1:
         return Machine(bits, place.reshape(len(LEVELS), -1), 30.0 if share else -30.0, np.zeros(0), np.zeros((0, FACTORS)))
-    seen = [np.bincount(np.concatenate([t for t, y in zip(texts, labels, strict=True) if y == k] or [np.zeros(0, np.int64)]), minlength=len(LEVELS) << bits) for k in (0, 1)]
+    seen = np.zeros((2, len(place)), np.int32)
+    for terms_, y in zip(texts, labels.tolist(), strict=True):
+        seen[y][terms_] += 1  # a text's terms are distinct
     total = [int((labels == k).sum()) for k in (0, 1)]
-    both = seen[0] + seen[1]
-    mean = both / len(labels)
-    z = (seen[1] / total[1] - seen[0] / total[0]) / np.sqrt(np.maximum(mean * (1 - mean), 1e-12) * (1 / total[0] + 1 / total[1]))
-    ok = np.flatnonzero((both >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z))
-    ok = ok[np.argsort(-np.abs(z[ok]), kind="stable")][:TERMS]
+    ok = np.flatnonzero(seen.sum(axis=0) >= LEAST_DOCS)
+    clean, toxic_ = seen[:, ok].astype(float)
+    mean = (clean + toxic_) / len(labels)
+    z = np.abs(toxic_ / total[1] - clean / total[0]) / np.sqrt(np.maximum(mean * (1 - mean), 1e-12) * (1 / total[0] + 1 / total[1]))
+    best = np.argsort(-z, kind="stable")[:TERMS]
+    ok = ok[best[z[best] >= LEAST_Z]]
     place[ok] = np.arange(len(ok))
     rng = np.random.default_rng(seed)
     machine = Machine(bits, place.reshape(len(LEVELS), -1), float(np.log(share / (1 - share))), np.zeros(len(ok)), rng.normal(0, 0.01, (len(ok), FACTORS)))
@@ -152,8 +155,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     kind = docs.schema[id_col].dataType.simpleString()
     # an id that many rows repeat counts once: its smallest row of terms
     got = rows.mapInArrow(extracted, f"id {kind}, y int, terms binary").groupBy("id", "y").agg(F.min("terms").alias("terms")).orderBy(F.xxhash64("id"), "id").select("y", "terms").toArrow()
-    texts = [np.frombuffer(t, "<i4").astype(np.int64) for t in got.column("terms").to_pylist()]
-    return learn(texts, got.column("y").to_numpy().astype(int), seed=seed)
+    texts = [np.frombuffer(t.as_buffer(), "<i4") for t in got.column("terms")]  # views, not copies
+    machine = learn(texts, got.column("y").to_numpy().astype(int), seed=seed)
+    del texts, got
+    pa.default_memory_pool().release_unused()
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> DataFrame:
