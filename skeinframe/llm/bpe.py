@@ -21,6 +21,8 @@ from skeinframe.llm._common import Spans, mix, text_chunks
 VOCAB = "byte_bpe_50k.json"
 #: Distinct pre-tokens kept per process; the table starts anew when full.
 CACHED = 1_000_000
+#: Bytes of text worked on at a time.
+CHUNK = 1 << 21
 #: Characters of a run beyond which a text goes to the library as it is (a run's hash and cache entry would be large).
 LONG_RUN = 4_000
 #: Code points of the White_Space property.
@@ -65,30 +67,47 @@ class BatchBpe:
         self.clear()
 
     def clear(self) -> None:
-        """Known hashes in order, with where their ids begin in flat and how many they are."""
+        """Known hashes in order with their slots; a slot says where its ids begin in flat and how many they are."""
         self.known = np.zeros(0, np.uint64)
-        self.begin = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        self.slot = np.zeros(0, np.int32)
+        self.begin = np.zeros(1 << 14, np.int64)
+        self.count = np.zeros(1 << 14, np.int32)
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
-    def learn(self, hashes: np.ndarray, tokens: list[str]) -> None:
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        return a if n <= len(a) else np.concatenate([a, np.zeros(max(len(a), n - len(a)), a.dtype)])
+
+    def learn(self, tokens: list[str]) -> np.ndarray:
+        """New slots for the tokens."""
         parts = [e.ids for e in self.tokenizer.encode_batch_fast(tokens, add_special_tokens=False)]
-        count = np.fromiter(map(len, parts), np.int64, len(parts))
-        upto = self.used + int(count.sum())
-        if upto > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), upto), np.uint32)])
+        count = np.fromiter(map(len, parts), np.int32, len(parts))
+        upto, first = self.used + int(count.sum()), len(self.known)
+        self.flat, self.begin, self.count = self._room(self.flat, upto), self._room(self.begin, first + len(parts)), self._room(self.count, first + len(parts))
         self.flat[self.used : upto] = np.fromiter(chain.from_iterable(parts), np.uint32, upto - self.used)
-        order = np.argsort(hashes)
-        at = np.searchsorted(self.known, hashes[order])
-        begin = self.used + np.cumsum(count) - count
-        self.known, self.begin, self.count = (np.insert(old, at, new[order]) for old, new in ((self.known, hashes), (self.begin, begin), (self.count, count)))
+        slots = np.arange(first, first + len(parts), dtype=np.int32)
+        self.count[slots] = count
+        self.begin[slots] = self.used + np.cumsum(count) - count
         self.used = upto
+        return slots
 
-    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Their places among the known hashes, and which are known."""
-        at = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
-        return at, (self.known[at] == hashes if len(self.known) else np.zeros(len(hashes), bool))
+    def slots(self, hashes: np.ndarray, token) -> np.ndarray:
+        """Slots of distinct hashes; token(i) gives the text of those that aren't known yet."""
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+        at = np.searchsorted(self.known, ordered)
+        place = np.minimum(at, max(len(self.known) - 1, 0))
+        known = self.known[place] == ordered if len(self.known) else np.zeros(len(ordered), bool)
+        out = np.zeros(len(hashes), np.int32)
+        out[order[known]] = self.slot[place[known]]
+        lacking = ~known
+        if lacking.any():
+            new = self.learn([token(i) for i in order[lacking].tolist()])
+            out[order[lacking]] = new
+            self.known = np.insert(self.known, at[lacking], ordered[lacking])
+            self.slot = np.insert(self.slot, at[lacking], new)
+        return out
 
     def token_starts(self, cp: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Where pre-tokens begin; each ends where the next begins."""
@@ -148,14 +167,9 @@ class BatchBpe:
         codes, distinct = pd.factorize(hashes)
         if len(self.known) + len(distinct) > CACHED:
             self.clear()
-        lacking = np.flatnonzero(~self.look_up(distinct)[1])
-        if len(lacking):
-            first = np.zeros(len(distinct), np.int64)
-            first[codes[::-1]] = np.arange(len(codes))[::-1]
-            at = first[lacking]
-            self.learn(distinct[lacking], [text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-        index = self.look_up(distinct)[0]
-        token = index[codes]
+        first = np.zeros(len(distinct), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        token = self.slots(distinct, lambda i: text[starts[first[i]] : ends[first[i]]])[codes]
         size = self.count[token]
         upto = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=upto[1:])
@@ -164,7 +178,7 @@ class BatchBpe:
 
     def column(self, column: pa.Array):
         """(first row, end row, ids, ids per text) of runs of rows."""
-        for i, j, buf, off in text_chunks(column):
+        for i, j, buf, off in text_chunks(column, CHUNK):
             yield i, j, *self.chunk(buf, off)
 
 
