@@ -21,6 +21,7 @@ CHUNK_BYTES = 1 << 20
 _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _shipped: set[str] = set()
+_own: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> None:
@@ -44,10 +45,10 @@ def prepare(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    app = spark.sparkContext.applicationId
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own.get(app)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="skeinframe-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = _own[app] = "file://" + tempfile.mkdtemp(prefix="skeinframe-shared-")
     return where.rstrip("/")
 
 

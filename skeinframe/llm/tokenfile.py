@@ -8,7 +8,8 @@ document's end without decoding the others.
 
 Blocks are rows of a Parquet data set, written through Spark's committer: a lost
 or repeated task leaves no half-written or doubled block, and any store that
-Spark writes to will do. `shard` and `block` give their order.
+Spark writes to will do. `shard` and `block` give their order, `before` the ids of the same
+shard that precede a block.
 
 Layout of a payload (little-endian), fixed values:
   8 bytes  magic "SKNEF\\x01\\0\\0"
@@ -123,21 +124,21 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, block, encoder = TaskContext.get().partitionId(), 0, bpe.load(vocab)
+        shard, block, before, encoder = TaskContext.get().partitionId(), 0, 0, bpe.load(vocab)
         keys: list = []
         counts: list[np.ndarray] = []
         parts: list[np.ndarray] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal block, held
+            nonlocal block, before, held
             ids = np.concatenate(parts)
             if len(ids) and id_bits < 32 and ids.max() >> id_bits:
                 raise ValueError(f"an id doesn't fit {id_bits} bits")
             payload = encode(keys, np.cumsum(np.concatenate(counts)), ids, id_bits)
-            out = pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "n_docs": pa.array([len(keys)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "payload": pa.array([payload], pa.binary())})
+            out = pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "before": pa.array([before], pa.int64()), "n_docs": pa.array([len(keys)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "payload": pa.array([payload], pa.binary())})
             keys.clear(), counts.clear(), parts.clear()
-            block, held = block + 1, 0
+            block, before, held = block + 1, before + len(ids), 0
             return out
 
         for batch in batches:
@@ -159,7 +160,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
     rows = rows.repartitionByRange("k").sortWithinPartitions("k", F.xxhash64("t"))
-    rows.mapInArrow(blocks, "shard int, block int, n_docs long, n_ids long, payload binary").write.mode("overwrite").option("compression", "zstd").parquet(path)
+    rows.mapInArrow(blocks, "shard int, block int, before long, n_docs long, n_ids long, payload binary").write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -168,12 +169,10 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     Shards follow each other in order; the first id of each comes from a sum over one row a shard.
     """
     _common.prepare(spark)
-    blocks = spark.read.schema("shard int, block int, n_docs long, n_ids long, payload binary").parquet(path)
-    sizes = blocks.groupBy("shard", "block").agg(F.sum("n_ids").alias("n"))
-    shards = sizes.groupBy("shard").agg(F.sum("n").alias("n"))
-    before = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
-    within = sizes.select("shard", "block", (F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n")).alias("block_start"))
-    starts = _common.settle(within.join(before, "shard").select("shard", "block", (F.col("shard_start") + F.col("block_start")).alias("base")), "tokenfile-starts")
+    blocks = spark.read.schema("shard int, block int, before long, n_docs long, n_ids long, payload binary").parquet(path)
+    shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    starts = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("first"))
+    starts = _common.settle(starts, "tokenfile-starts")  # a row a shard
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,5 +184,5 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(block.keys(), pa.int64()), pa.array(first + base), pa.array(ends - first), pa.array(crc, pa.int64())], ["k", "start", "n_tokens", "ids_crc32"])
 
-    joined = _common.attach(blocks.select("shard", "block", "payload"), starts, ["shard", "block"], "inner").select("base", "payload")
+    joined = _common.attach(blocks.select("shard", "before", "payload"), starts, "shard", "inner").select((F.col("first") + F.col("before")).alias("base"), "payload")
     return joined.mapInArrow(documents, "k long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("k", id_col)
