@@ -40,7 +40,7 @@ def prepare(spark: SparkSession) -> None:
         sc.addPyFile(path)
         _shipped.add(sc.applicationId)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def shared_dir(spark: SparkSession) -> str:
