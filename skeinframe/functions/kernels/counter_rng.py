@@ -1,4 +1,5 @@
-"""Counter-based random numbers: Philox-4x32-10 and Threefry-2x32-16 (Salmon et al., 2011), vectorized.
+"""Counter-based random numbers: Philox-4x32-10 and Threefry-2x32-16 (Salmon et al., 2011), vectorized; and
+Mersenne twisters by blocks of the counter.
 
 A draw depends on the key and its counter alone, so partitions can be made in any
 order, or again, with the same values.
@@ -52,15 +53,36 @@ def words(index: np.ndarray, seed: int, kind: str = "philox", per: int = 2) -> n
     return philox(np.stack([*halves, zero, zero], axis=1), key)[:, :per]
 
 
+#: Numbers that one Mersenne twister gives before the next index block starts its own.
+TWISTER_BLOCK = 1 << 16
+
+
+def _twisted(index: np.ndarray, seed: int, normal: bool) -> np.ndarray:
+    """A Mersenne twister (MT19937) a block of indices, seeded by (seed, block)."""
+    index = index.astype(np.int64)
+    out = np.empty(len(index))
+    block = index // TWISTER_BLOCK
+    for b in np.unique(block):
+        draw = np.random.Generator(np.random.MT19937([seed & 0xFFFFFFFFFFFFFFFF, int(b)]))
+        values = draw.standard_normal(TWISTER_BLOCK) if normal else 1.0 - draw.random(TWISTER_BLOCK)
+        at = block == b
+        out[at] = values[index[at] % TWISTER_BLOCK]
+    return out
+
+
 def uniform(index: np.ndarray, seed: int, kind: str = "philox") -> np.ndarray:
-    """Doubles in (0, 1], of 53 bits."""
+    """Doubles in (0, 1], of 53 bits. kind: philox, threefry or mersenne."""
+    if kind == "mersenne":
+        return _twisted(index, seed, False)
     w = words(index, seed, kind)
     bits = (w[:, 0].astype(U64) << U64(21)) ^ (w[:, 1].astype(U64) >> U64(11))
     return 1.0 - (bits & U64((1 << 53) - 1)).astype(np.float64) / float(1 << 53)
 
 
 def normal(index: np.ndarray, seed: int, kind: str = "philox") -> np.ndarray:
-    """Box-Muller, from two uniforms of 32 bits each."""
+    """Box-Muller, from two uniforms of 32 bits each; the twister has its own method."""
+    if kind == "mersenne":
+        return _twisted(index, seed, True)
     w = words(index, seed, kind).astype(np.float64)
     radius = np.sqrt(-2 * np.log((w[:, 0] + 1) / 2**32))
     return radius * np.cos(2 * np.pi * w[:, 1] / 2**32)

@@ -619,6 +619,11 @@ def _(spark, d):
     return RandomEngine("threefry", 7).normal(spark, [1000, 50]).df
 
 
+@query("random_mersenne")
+def _(spark, d):
+    return RandomEngine("mersenne", 7).uniform(spark, [1000, 50]).df
+
+
 @query("monte_carlo_pi")
 def _(spark, d):
     return programs.monte_carlo_pi(spark, 20_000_000)

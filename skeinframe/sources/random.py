@@ -17,14 +17,14 @@ from skeinframe.operators.tensor import Tensor, coordinates, full
 
 @dataclass
 class RandomEngine:
-    """kind: philox, threefry, or hash (draws from xxhash64 inside the JVM: fastest, the values differ). Each draw moves the counter on."""
+    """kind: philox, threefry, mersenne, or hash (draws from xxhash64 inside the JVM: fastest, the values differ). Each draw moves the counter on."""
 
     kind: str = "philox"
     seed: int = 0
     counter: int = 0
 
     def set_type(self, kind: str) -> None:
-        if kind not in ("philox", "threefry", "hash"):
+        if kind not in ("philox", "threefry", "mersenne", "hash"):
             raise ValueError(f"no such engine: {kind}")
         self.kind = kind
 

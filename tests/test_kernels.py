@@ -125,7 +125,7 @@ def test_counter_generators():
     assert [hex(x) for x in ones] == ["0x408f276d", "0x41c83b0e", "0xa20bc7c6", "0x6d5451fd"]
     assert [hex(x) for x in R.threefry(np.zeros((1, 2), np.uint32), (0, 0), 20)[0]] == ["0x6b200159", "0x99ba4efe"]
     i = np.arange(200_000, dtype=np.uint64)
-    for kind in ("philox", "threefry"):
+    for kind in ("philox", "threefry", "mersenne"):
         u, z = R.uniform(i, 5, kind), R.normal(i, 5, kind)
         assert 0 < u.min() and u.max() <= 1 and abs(u.mean() - 0.5) < 3e-3 and abs(z.mean()) < 0.01 and abs(z.std() - 1) < 0.01
         np.testing.assert_array_equal(u[100:200], R.uniform(i[100:200], 5, kind))

@@ -41,7 +41,7 @@ def test_images(spark, tmp_path, kind):
 
 
 def test_random(spark):
-    for kind in ("philox", "threefry", "hash"):
+    for kind in ("philox", "threefry", "mersenne", "hash"):
         one, two = RandomEngine(kind, 3), RandomEngine(kind, 3)
         whole = one.uniform(spark, [100]).values()
         assert two.uniform(spark, [60]).values() + two.uniform(spark, [40]).values() == pytest.approx(whole)
