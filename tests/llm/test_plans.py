@@ -24,8 +24,9 @@ def test_scans_dont_shuffle(docs):
         assert "MapInArrow" in text and "hashpartitioning" not in text
 
 
-def test_mixing_is_native(docs):
-    text = plan(mixing.mix(docs))
+def test_mixing_is_native(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "d"))
+    text = plan(mixing.mix(spark.read.parquet(str(tmp_path / "d"))))
     assert "Python" not in text and "Arrow" not in text and "Cartesian" not in text
 
 
