@@ -116,7 +116,8 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     """Write the ids of all texts, each with end_id at its end, in ascending order of id_col (a bigint or narrower).
 
     id_bits: 16 if all ids are below 65536, else 32. The only shuffle deals out the texts by ranges of id_col.
-    Cases: a null text counts as empty; null ids come first; rows with equal ids follow each other by their texts' hash;
+    Cases: a null text counts as empty; null ids come first; rows with equal ids follow each other by their texts'
+    hash;
     an empty table gives a data set without rows; other columns are ignored.
     """
     _common.prepare(docs.sparkSession)
@@ -159,7 +160,8 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
-    rows = rows.repartitionByRange("k").sortWithinPartitions("k", F.xxhash64("t"))
+    # the text's hash orders rows that share an id, and lets them part
+    rows = rows.repartitionByRange("k", F.xxhash64("t")).sortWithinPartitions("k", F.xxhash64("t"))
     rows.mapInArrow(blocks, "shard int, block int, before long, n_docs long, n_ids long, payload binary").write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
