@@ -20,9 +20,9 @@ from skeinframe.llm._common import Spans, mix, text_chunks
 
 VOCAB = "byte_bpe_50k.json"
 #: Distinct pre-tokens kept per process; the table starts anew when full.
-CACHED = 1_000_000
+CACHED = 700_000
 #: Bytes of text worked on at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Characters of a run beyond which a text goes to the library as it is (a run's hash and cache entry would be large).
 LONG_RUN = 4_000
 #: Code points of the White_Space property.
