@@ -8,6 +8,7 @@ are false. NULL stays NULL. Complex numbers are structs (re, im); functions name
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -346,37 +347,52 @@ def isnan(x) -> Column:
 _LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, with x worked out once however often f uses it: long formulas would else outgrow a generated method."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _lanczos(x: Column) -> tuple[Column, Column]:
-    """(t, series) of Gamma(x) for x >= 0.5."""
-    x = x - 1.0
+    """(t, series) of Gamma(x) for x >= 0.5; t - 7 is x - 0.5."""
     series = F.lit(_LANCZOS[0])
-    for i, c in enumerate(_LANCZOS[1:], 1):
+    for i, c in enumerate(_LANCZOS[1:]):
         series = series + c / (x + float(i))
-    return x + 7.5, series
+    return x + 6.5, series
 
 
 def lgamma(x) -> Column:
     """Logarithm of the gamma function's absolute value; infinite at 0 and negative integers."""
-    x = _number(x).cast("double")
-    positive = F.when(x >= 0.5, x).otherwise(1.0 - x)
-    t, series = _lanczos(positive)
-    direct = 0.5 * math.log(2 * math.pi) + (positive - 0.5) * F.log(t) - t + F.log(series)
-    pole = (x <= 0) & (F.floor(x) == x)
-    reflected = log(math.pi) - log(F.abs(F.sin(math.pi * x))) - direct
-    return F.when(pole | isinf(x), INF).when(isnan(x), x).when(x >= 0.5, direct).otherwise(reflected)
+
+    def direct(x: Column) -> Column:
+        t, series = _lanczos(x)
+        return 0.5 * math.log(2 * math.pi) + (t - 7.0) * F.log(t) - t + F.log(series)
+
+    def value(x: Column) -> Column:
+        # below 1/2 by reflection
+        pole = (x <= 0) & (F.floor(x) == x)
+        reflected = math.log(math.pi) - F.log(F.abs(F.sin(math.pi * x))) - _let(1.0 - x, direct)
+        return F.when(pole | isinf(x), INF).when(isnan(x), x).when(x >= 0.5, direct(x)).otherwise(reflected)
+
+    return _let(_number(x).cast("double"), value)
 
 
 def tgamma(x) -> Column:
     """Gamma function; NaN at negative integers, infinite at 0."""
-    x = _number(x).cast("double")
-    positive = F.when(x >= 0.5, x).otherwise(1.0 - x)
-    t, series = _lanczos(positive)
-    # two powers, lest one overflow before the exponential brings it down
-    half = F.pow(t, (positive - 0.5) / 2)
-    direct = math.sqrt(2 * math.pi) * half * F.exp(-t) * half * series
-    whole = (F.floor(x) == x) & _finite(x)
-    exact = F.when(whole & (x >= 1) & (x <= 21), F.factorial(F.when(whole & (x >= 1) & (x <= 21), x - 1).cast("int")).cast("double"))
-    return F.when(isnan(x), x).when(x == 0, F.when(signbit(x), -INF).otherwise(INF)).when(whole & (x < 0), NAN).when(x > 171.7, INF).otherwise(F.coalesce(exact, F.when(x >= 0.5, direct).otherwise(div(math.pi, F.sin(math.pi * x) * direct))))
+
+    def direct(x: Column) -> Column:
+        t, series = _lanczos(x)
+        # two powers, lest one overflow before the exponential brings it down
+        return _let(F.pow(t, (t - 7.0) / 2), lambda half: math.sqrt(2 * math.pi) * half * F.exp(-t) * half * series)
+
+    def value(x: Column) -> Column:
+        whole = (F.floor(x) == x) & _finite(x)
+        small = whole & (x >= 1) & (x <= 21)
+        exact = F.factorial(F.when(small, x - 1).otherwise(0.0).cast("int")).cast("double")
+        reflected = F.try_divide(F.lit(math.pi), F.sin(math.pi * x) * _let(1.0 - x, direct))
+        edges = F.when(isnan(x), x).when(x == 0, F.when(signbit(x), -INF).otherwise(INF)).when(whole & (x < 0), NAN).when(x > 171.7, INF)
+        return edges.when(small, exact).when(x >= 0.5, direct(x)).otherwise(reflected)
+
+    return _let(_number(x).cast("double"), value)
 
 
 def factorial(x) -> Column:
