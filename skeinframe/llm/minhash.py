@@ -11,8 +11,12 @@
    bucket; then, for buckets that still hold several components, all pairs across components are, in blocks. So every
    candidate pair is verified or already connected, without a row per pair.
 4. Classes are the connected components of pairs with weighted Jaccard similarity >= threshold.
+5. Copies mustn't make their own text look common. With `by_class`, as in the query and near_dedup, a candidate pair is near
+   also if the plain Jaccard similarity of its sets of shingles is >= threshold, and df is counted once more, over the
+   smallest of each class: texts with a shingle that weighs more by it are sampled anew, and candidates of different
+   components verified with the new weights.
 
-A pair at 0.8 is missed by all 14 bands of 3 with probability 4e-5.
+A pair at weighted similarity 0.8 is missed by all 14 bands of 3 with probability 4e-5.
 """
 
 from __future__ import annotations
@@ -114,17 +118,20 @@ class Sampler:
         return out
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray, float], b: tuple[np.ndarray, np.ndarray, float], threshold: float) -> bool:
-    """Whether the weighted Jaccard similarity of two (hashes in order, weights, sum of weights) is at least threshold."""
-    x, y = a[2], b[2]
-    if min(x, y) < threshold * max(x, y) * (1 - 1e-9):
+def similarity(a: tuple[np.ndarray, np.ndarray, float], b: tuple[np.ndarray, np.ndarray, float], threshold: float, plain: bool = False) -> bool:
+    """Whether the weighted Jaccard similarity of two (hashes in order, weights, sum of weights), or with plain that of their sets, is at least threshold."""
+    x, y, m, n, threshold = a[2], b[2], len(a[0]), len(b[0]), threshold * (1 - 1e-9)
+    if min(x, y) < threshold * max(x, y) and not (plain and min(m, n) >= threshold * max(m, n)):
         return False
     if len(a[0]) > len(b[0]):
         a, b = b, a
     at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
     same = b[0][at] == a[0]
+    both = int(np.count_nonzero(same))
+    if plain and both >= threshold * (m + n - both):
+        return True
     least = float(np.minimum(a[1][same], b[1][at[same]]).sum(dtype=np.float64))
-    return least >= threshold * (x + y - least) * (1 - 1e-9)
+    return least >= threshold * (x + y - least)
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, float]:
@@ -141,10 +148,29 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
     return groupby(rows, lambda row: tuple(row[k] for k in keys))
 
 
+def document_counts(docs: DataFrame, names: np.ndarray, size: int, least: float = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, df) of those of the shingles in names, in order, that at least `least` documents (column t) have."""
+    if not len(names):
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    known = docs.sparkSession.sparkContext.broadcast(names)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = known.value
+        df = np.zeros(len(names), np.int64)
+        for batch in batches:
+            for _, _, buf, off in _common.text_chunks(batch.column(0)):
+                hashes = shingles(buf, off, size)[0]
+                if len(hashes):
+                    at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
+                    df += np.bincount(at[names[at] == hashes], minlength=len(names))
+        yield pa.RecordBatch.from_arrays([pa.array(names[df > 0].view(np.int64)), pa.array(df[df > 0])], ["h", "df"])
+
+    table = docs.select("t").mapInArrow(counted, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")).where(F.col("df") >= least).toArrow()
+    return table.column("h").to_numpy().astype(np.int64).view(U), table.column("df").to_numpy().astype(np.int64)
+
+
 def frequent(docs: DataFrame, size: int = SHINGLE, share: float = SHARE, most: int = MOST_FREQUENT) -> tuple[int, float, np.ndarray, np.ndarray]:
     """(documents, share, hashes, df) of the shingles that at least share of the documents (column t) have."""
-    spark = docs.sparkSession
-
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [shingles(buf, off, size)[0] for _, _, buf, off in _common.text_chunks(batch.column(0))]
@@ -164,27 +190,11 @@ def frequent(docs: DataFrame, size: int = SHINGLE, share: float = SHARE, most: i
     while possible().count() > most:
         share *= 1.5
     listed = possible().select("h").toArrow().column("h").to_numpy()  # at most `most`
-    known = spark.sparkContext.broadcast(np.sort(listed.astype(np.int64).view(U)))
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = known.value
-        df = np.zeros(len(names), np.int64)
-        for batch in batches:
-            for _, _, buf, off in _common.text_chunks(batch.column(0)):
-                hashes = shingles(buf, off, size)[0]
-                if len(names) and len(hashes):
-                    at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
-                    df += np.bincount(at[names[at] == hashes], minlength=len(names))
-        yield pa.RecordBatch.from_arrays([pa.array(names[df > 0].view(np.int64)), pa.array(df[df > 0])], ["h", "df"])
-
-    if not len(listed):
-        return total, share, np.zeros(0, U), np.zeros(0, np.int64)
-    table = docs.select("t").mapInArrow(counted, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")).where(F.col("df") >= share * total).toArrow()
-    return total, share, table.column("h").to_numpy().astype(np.int64).view(U), table.column("df").to_numpy().astype(np.int64)
+    return total, share, *document_counts(docs, np.sort(listed.astype(np.int64).view(U)), size, share * total)
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, share: float = SHARE, seed: int = 5) -> DataFrame:
-    """A row per document: the id (long), class_id (the smallest id of its class), kept (id = class_id).
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, share: float = SHARE, seed: int = 5, by_class: bool = False) -> DataFrame:
+    """A row per document: the id (long), class_id (the smallest id of its class), kept (id = class_id). by_class: see above.
 
     Cases: texts without a word, null ones among them, are classes of their own, as are rows with a null id, whose class_id
     is null; repeated rows share a class; an empty table gives no rows; other columns are ignored.
@@ -194,41 +204,38 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     total, share, hashes, df = frequent(whole, size, share)
     floor = max(share * total, 1.0)
-    idf = spark.sparkContext.broadcast(Idf(hashes, np.log(np.log1p(total / np.maximum(df, floor))), np.log(np.log1p(total / floor)) if total else 0.0))
+    top = np.log(np.log1p(total / floor)) if total else 0.0
+    weights = lambda df: spark.sparkContext.broadcast(Idf(hashes, np.log(np.log1p(total / np.maximum(df, floor))), top))
+    idf = weights(df)
+    band = np.arange(1, bands + 1, dtype=U)
+
+    def bucketed(sampler: Sampler, hashes: np.ndarray, ln_w: np.ndarray, first: np.ndarray) -> pa.Array:
+        """Of each text its bands' buckets."""
+        samples = sampler(hashes, ln_w, first).reshape(-1, bands, rows)
+        buckets = band * U(0xD1342543DE82EF95) + np.zeros((len(samples), bands), U)
+        for k in range(rows):
+            buckets = mix(buckets + samples[:, :, k])
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(samples) + 1, bands), pa.int32()), pa.array(buckets.ravel().view(np.int64)))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, weigh = Sampler(bands * rows, seed), idf.value
-        band = np.arange(1, bands + 1, dtype=U)
         for batch in batches:
             for i, j, buf, off in _common.text_chunks(batch.column(1), 1 << 20):
                 hashes, tf, first = shingles(buf, off, size)
-                samples = sampler(hashes, np.log(tf).astype(np.float32) + weigh(hashes), first).reshape(-1, bands, rows)
-                buckets = band * U(0xD1342543DE82EF95) + np.zeros((len(samples), bands), U)
-                for k in range(rows):
-                    buckets = mix(buckets + samples[:, :, k])
+                lists = bucketed(sampler, hashes, np.log(tf).astype(np.float32) + weigh(hashes), first)
                 digest = []
                 for salt in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
                     terms = mix(hashes * U(salt) + tf.astype(U))
                     sums = np.zeros(len(terms) + 1, U)
                     np.cumsum(terms, out=sums[1:])
                     digest.append(pa.array((sums[first[1:]] - sums[first[:-1]]).view(np.int64)))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * (j - i) + 1, bands), pa.int32()), pa.array(buckets.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *digest, pa.array(np.diff(first)), lists], ["id", "d1", "d2", "n", "buckets"])
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigh = idf.value
-        for batch in batches:
-            for i, j, buf, off in _common.text_chunks(batch.column(1)):
-                hashes, tf, first = shingles(buf, off, size)
-                w = (tf * np.exp(weigh(hashes))).astype(np.float32)
-                data = [hashes[a:b].tobytes() + w[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(data, pa.binary())], ["id", "vec"])
-
     def against_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, members in grouped(batches, ["pivot", "salt"]):
             pivot = next(members)  # comes first
             base = unpacked(pivot["vec"])
-            linked = [m["id"] for m in members if similarity(base, unpacked(m["vec"]), threshold)]
+            linked = [m["id"] for m in members if similarity(base, unpacked(m["vec"]), threshold, by_class)]
             if linked:
                 yield pa.RecordBatch.from_arrays([pa.array(linked, pa.int64()), pa.array([pivot["id"]] * len(linked), pa.int64())], ["a", "b"])
 
@@ -245,53 +252,99 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             a, b = [], []
             for n, x in enumerate(rows):
                 for y in rows[n + 1 :] if left == right else (rows[n + 1 :] if x[2] != right else []):
-                    if (left == right or x[2] != y[2]) and root(x[1]) != root(y[1]) and similarity(x[3], y[3], threshold):
+                    if (left == right or x[2] != y[2]) and root(x[1]) != root(y[1]) and similarity(x[3], y[3], threshold, by_class):
                         joined[root(x[1])] = root(y[1])
                         a.append(x[0])
                         b.append(y[0])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+    def linked(texts: DataFrame, idf, known: DataFrame | None = None) -> DataFrame:
+        """known and the edges found among texts (rep, was, buckets) of which a bucket holds several; was: the component so far."""
+
+        def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weigh = idf.value
+            for batch in batches:
+                for i, j, buf, off in _common.text_chunks(batch.column(1)):
+                    hashes, tf, first = shingles(buf, off, size)
+                    w = (tf * np.exp(weigh(hashes))).astype(np.float32)
+                    data = [hashes[a:b].tobytes() + w[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(data, pa.binary())], ["id", "vec"])
+
+        dealt = texts.select("rep", "was", F.explode("buckets").alias("bucket"))
+        shared = dealt.groupBy("bucket").agg(F.min(F.struct("rep", "was")).alias("head"), F.min("was").alias("low"), F.max("was").alias("high")).where("low < high")
+        live = _common.settle(dealt.join(shared.select("bucket", F.col("head.rep").alias("pivot"), F.col("head.was").alias("pivot_was")), "bucket"), "minhash-live")
+
+        # the shingles of texts that share a bucket, once each
+        need = _common.settle(live.select(F.col("rep").alias("id")).distinct(), "minhash-need")
+        found = _common.attach(whole, need, "id", "inner").select("id", "t").mapInArrow(vectors, "id long, vec binary")
+        found = _common.settle(found, "minhash-vectors").dropDuplicates(["id"])
+
+        pairs = live.where("was <> pivot_was").select("rep", "pivot").distinct()
+        salts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("salts"))
+        pairs = pairs.join(salts, "pivot").select("pivot", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.col("rep").alias("id"), F.lit(1).alias("member"))
+        heads = salts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("id"), F.lit(0).alias("member"))
+        met = pairs.unionByName(heads).join(found, "id").select("pivot", "salt", "member", "id", "vec")
+        edges = met.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "member", "id").mapInArrow(against_pivot, "a long, b long")
+        edges = _common.settle(edges, "minhash-edges")
+        edges = edges if known is None else known.unionByName(edges)
+        parts = _common.settle(components(edges), "minhash-parts")
+
+        # buckets whose texts aren't all connected yet: all pairs across components. A bucket of two was settled above, and of
+        # buckets with the same texts one will do.
+        labelled = live.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("part"))
+        sizes = labelled.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y"))
+        open_ = sizes.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+        open_ = open_.where("parts > 1 and n > 2").groupBy("x", "y", "n").agg(F.min("bucket").alias("bucket"), F.min("top").alias("top"))
+        # blocks of the largest component come after those of the rest, and aren't paired with each other
+        open_ = open_.select("bucket", F.col("top.part").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("many"))
+        open_ = _common.settle(open_, "minhash-open")
+        left = labelled.join(open_, "bucket")
+        is_main = F.col("part") == F.col("main")
+        left = left.withColumn("side", F.when(is_main, F.col("few") + F.pmod(F.xxhash64("rep"), F.col("many"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("few"))).cast("int"))
+        last = F.when(is_main, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
+        left = left.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+        left = left.select("bucket", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "part", F.col("rep").alias("id"))
+        keys = ["bucket", "bi", "bj"]
+        met = left.join(found, "id").select(*keys, "side", "part", "id", "vec").repartition(*keys).sortWithinPartitions(*keys, "side", "id")
+        more = _common.settle(met.mapInArrow(across, "a long, b long"), "minhash-more")
+        return edges.unionByName(more)
+
     sketches = _common.settle(whole.mapInArrow(sketched, "id long, d1 long, d2 long, n long, buckets array<long>"), "minhash-sketches")
     worded = sketches.where("n > 0 and id is not null")
     reps = _common.settle(worded.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("buckets").alias("buckets")), "minhash-reps")
-    dealt = reps.select("rep", F.explode("buckets").alias("bucket"))
-    shared = dealt.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot")
-    live = _common.settle(dealt.join(shared, "bucket"), "minhash-live")
-
-    # the shingles of texts that share a bucket, once each
-    need = _common.settle(live.select(F.col("rep").alias("id")).distinct(), "minhash-need")
-    found = _common.attach(whole, need, "id", "inner").select("id", "t").mapInArrow(vectors, "id long, vec binary")
-    found = _common.settle(found, "minhash-vectors").dropDuplicates(["id"])
-
-    pairs = live.where("rep <> pivot").select("rep", "pivot").distinct()
-    salts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("salts"))
-    pairs = pairs.join(salts, "pivot").select("pivot", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.col("rep").alias("id"), F.lit(1).alias("member"))
-    heads = salts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("id"), F.lit(0).alias("member"))
-    met = pairs.unionByName(heads).join(found, "id").select("pivot", "salt", "member", "id", "vec")
-    edges = met.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "member", "id").mapInArrow(against_pivot, "a long, b long")
-    edges = _common.settle(edges, "minhash-edges")
-    parts = _common.settle(components(edges), "minhash-parts")
-
-    # buckets whose texts aren't all connected yet: all pairs across components. A bucket of two was settled above, and of
-    # buckets with the same texts one will do.
-    labelled = live.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("part"))
-    sizes = labelled.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y"))
-    open_ = sizes.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
-    open_ = open_.where("parts > 1 and n > 2").groupBy("x", "y", "n").agg(F.min("bucket").alias("bucket"), F.min("top").alias("top"))
-    # blocks of the largest component come after those of the rest, and aren't paired with each other
-    open_ = open_.select("bucket", F.col("top.part").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("many"))
-    open_ = _common.settle(open_, "minhash-open")
-    left = labelled.join(open_, "bucket")
-    is_main = F.col("part") == F.col("main")
-    left = left.withColumn("side", F.when(is_main, F.col("few") + F.pmod(F.xxhash64("rep"), F.col("many"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("few"))).cast("int"))
-    last = F.when(is_main, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    left = left.select("bucket", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "part", F.col("rep").alias("id"))
-    keys = ["bucket", "bi", "bj"]
-    met = left.join(found, "id").select(*keys, "side", "part", "id", "vec").repartition(*keys).sortWithinPartitions(*keys, "side", "id")
-    more = _common.settle(met.mapInArrow(across, "a long, b long"), "minhash-more")
-    parts = components(edges.unionByName(more)).withColumnRenamed("node", "rep")
+    edges = linked(reps.select("rep", F.col("rep").alias("was"), "buckets"), idf)
+    parts = _common.settle(components(edges).withColumnRenamed("node", "rep"), "minhash-first")
+
+    # the second round: df over the smallest of each class
+    if by_class and len(hashes):
+        copies = worded.select("id", "d1", "d2").join(reps.select("d1", "d2", "rep"), ["d1", "d2"]).join(parts, "rep", "left").select("id", F.coalesce("component", "rep").alias("c"))
+        copies = _common.settle(copies.where("id <> c").select("id").distinct(), "minhash-copies")
+        order = np.argsort(hashes)
+        hashes, df, fewer = hashes[order], df[order], np.zeros(len(hashes), np.int64)
+        counted, n = document_counts(_common.attach(whole, copies, "id", "left_anti"), hashes, size)
+        fewer[np.searchsorted(hashes, counted)] = n
+        rises = spark.sparkContext.broadcast(hashes[np.maximum(fewer, floor) < np.maximum(df, floor)])
+        if len(rises.value):
+            raised = weights(fewer)
+
+            def sketched_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                sampler, weigh, names = Sampler(bands * rows, seed), raised.value, rises.value
+                for batch in batches:
+                    for i, j, buf, off in _common.text_chunks(batch.column(1), 1 << 20):
+                        hashes, tf, first = shingles(buf, off, size)
+                        hit = np.zeros(len(hashes) + 1, np.int64)
+                        np.cumsum(names[np.minimum(np.searchsorted(names, hashes), len(names) - 1)] == hashes, out=hit[1:])
+                        some = hit[first[1:]] > hit[first[:-1]]
+                        if some.any():
+                            mine = np.repeat(some, np.diff(first))
+                            first = np.append(0, np.cumsum(np.diff(first)[some]))
+                            lists = bucketed(sampler, hashes[mine], np.log(tf[mine]).astype(np.float32) + weigh(hashes[mine]), first)
+                            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).filter(pa.array(some)), lists], ["rep", "buckets"])
+
+            again = whole.mapInArrow(sketched_again, "rep long, buckets array<long>").join(reps.select("rep"), "rep", "left_semi").distinct()
+            again = again.join(parts, "rep", "left").select("rep", F.coalesce("component", "rep").alias("was"), "buckets")
+            parts = components(linked(_common.settle(again, "minhash-again"), raised, edges)).withColumnRenamed("node", "rep")
 
     classes = reps.select("d1", "d2", "rep").join(parts, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("class_id"))
     members = worded.select("id", "d1", "d2").join(classes, ["d1", "d2"]).select("id", "class_id")
@@ -302,4 +355,4 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """docs, all columns, with one document of each class: the one with the smallest id."""
-    return drop_ids(docs, near_groups(docs, id_col, text_col, **more).where("not kept"), id_col)
+    return drop_ids(docs, near_groups(docs, id_col, text_col, **{"by_class": True} | more).where("not kept"), id_col)

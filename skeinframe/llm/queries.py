@@ -27,7 +27,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_groups(table(spark, sf_dir, "documents"))
+    return minhash.near_groups(table(spark, sf_dir, "documents"), by_class=True)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

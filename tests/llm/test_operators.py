@@ -163,6 +163,27 @@ def test_near_duplicate_chains(spark):
     assert {v for k, v in out.items() if k < 1000} == {0} and {v for k, v in out.items() if k >= 1000} == {1000}
 
 
+def test_near_duplicates_in_large_groups(spark, tmp_path):
+    """A third of the rows are copies of a text: with edits of their own, or exact ones beside two that only weights over classes join."""
+    rng = random.Random(8)
+    plain = lambda i: " ".join(f"p{i}x{k}" for k in range(60))
+    base = [f"b{k}" for k in range(300)]
+    edited = []
+    for i in range(100):
+        words = list(base)
+        for k in (rng.randrange(10, 90), rng.randrange(110, 190), rng.randrange(210, 290)):
+            words[k] = f"e{i}y{k}"
+        edited.append(" ".join(words))
+    rows = [(i, t) for i, t in enumerate(edited)] + [(1000 + i, plain(i)) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r["class_id"] for r in queries.op4_near_dedup(spark, str(tmp_path)).collect()}
+    assert {out[i] for i in range(100)} == {0} and all(out[1000 + i] == 1000 + i for i in range(200))
+    thrice = " ".join(base[:100] * 3)
+    rows = [(i, thrice) for i in range(98)] + [(98 + j, thrice + "".join(f" o{j}z{k}" for k in range(20))) for j in range(2)] + rows[100:]
+    kept = {r["doc_id"] for r in minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert kept == {0, *range(1000, 1200)}
+
+
 def test_sampling_matches_similarity():
     rng = np.random.default_rng(0)
     h = rng.integers(1, 1 << 63, 600, dtype=np.uint64)
