@@ -54,7 +54,16 @@ def drop_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> Dat
     return docs.join(F.broadcast(dropped) if _common.few(dropped) else dropped, docs[id_col] == F.col(gone), "left_anti")
 
 
+def drop_texts(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without those whose id and text (as normalised) are in dropped (id_col, text_sha256); all columns stay as they are. Null ids stay."""
+    gone, key = _common.fresh(docs, "__gone"), _common.fresh(docs, "__gone_text")
+    dropped = dropped.select(F.col(id_col).alias(gone), F.xxhash64("text_sha256").alias(key)).where(F.col(gone).isNotNull()).distinct()
+    dropped = _common.settle(dropped, "dropped")
+    same = (docs[id_col] == F.col(gone)) & (F.xxhash64(F.sha2(normalised(docs[text_col]), 256)) == F.col(key))
+    return docs.join(F.broadcast(dropped) if _common.few(dropped) else dropped, same, "left_anti")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, without those whose text another row with a larger id has. Rows with a null id stay."""
     groups = exact_groups(docs, id_col, text_col)
-    return drop_ids(docs, groups.where("not kept"), id_col)
+    return drop_texts(docs, groups.where("not kept"), id_col, text_col)

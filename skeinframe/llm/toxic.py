@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinframe.llm import _common
-from skeinframe.llm.exact import drop_ids
+from skeinframe.llm.exact import drop_texts, normalised
 
 BITS = 20
 PREFIXES = (4, 5, 6, 8)
@@ -184,4 +184,6 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
 def drop_toxic(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, without those whose score is 0.5 or more. Rows with a null id stay."""
-    return drop_ids(docs, score(docs, machine, id_col, text_col).where("predicted = 1"), id_col)
+    key = F.struct(F.col(id_col).alias("id"), F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256"))
+    scores = score(docs.select(key.alias("key"), F.col(text_col).alias("t")), machine, "key", "t")
+    return drop_texts(docs, scores.where("predicted = 1").select(F.col("key.id").alias(id_col), "key.text_sha256"), id_col, text_col)

@@ -77,3 +77,13 @@ def test_embedding_edges(spark):
     for k in (3, 4, 5, 6, 7, 8, 9, 10, 11):
         assert by[k] == [(0, k, True)]
     assert embed.link_groups(df.limit(0)).collect() == []
+
+
+def test_repeated_ids_with_other_texts_stay(spark, monkeypatch):
+    """A row that shares its id with a copy or a toxic text, but not the text, stays."""
+    df = spark.createDataFrame([(1, "One text that is a copy.", "en", "a"), (1, "Another one, alone.", "en", "a"), (2, "one text that is a COPY.", "en", "a")], SCHEMA)
+    assert sorted((r["doc_id"], r["text"]) for r in exact.exact_dedup(df).collect()) == [(1, "Another one, alone."), (2, "one text that is a COPY.")]
+    score = toxic.score
+    flagged = lambda d, m, id_col, text_col: score(d, m, id_col, text_col).join(d.select(F.col(id_col).alias("k"), F.col(text_col).alias("x")), F.col(id_col).eqNullSafe(F.col("k"))).withColumn("predicted", F.col("x").startswith("Another").cast("int"))
+    monkeypatch.setattr(toxic, "score", flagged)
+    assert sorted(r["text"] for r in toxic.drop_toxic(df, learned(spark)).collect()) == ["One text that is a copy.", "one text that is a COPY."]
