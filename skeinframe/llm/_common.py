@@ -10,11 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which an id set may be broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Keys at most that count as heavy: those with more than 1 / MOST_HEAVY of the rows.
+MOST_HEAVY = 2_000
 #: Bytes of text handled by numpy at a time, unless a single text is longer.
 CHUNK_BYTES = 1 << 20
 
@@ -61,7 +63,17 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete settled tables that nothing reads any more; what was made from them must have been settled itself."""
+    for table in tables:
+        if path := getattr(table, "settled_at", None):
+            jvm = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            jvm.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(jvm, True)
 
 
 def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
@@ -74,6 +86,58 @@ def attach(df: DataFrame, side: DataFrame, on: str | list[str], how: str, limit:
     return df.join(F.broadcast(side) if few(side, limit) else side, on, how)
 
 
+def meet(df: DataFrame, side: DataFrame, on: list[str], n: str, limit: int = BROADCAST_ROWS, how: str = "inner") -> DataFrame:
+    """df joined with side, a settled table with a row a key, whose column n says how many rows of df have the key.
+
+    A side of at most limit rows is broadcast. Of a larger one the keys with more than 1/MOST_HEAVY of all rows are, at most
+    MOST_HEAVY of them, so that no key's rows gather in one task; the others meet by shuffle. Same result.
+    """
+    if few(side, limit):
+        return df.join(F.broadcast(side.drop(n)), on, how)
+    total = side.agg(F.sum(n)).first()[0] or 0
+    heavy = F.broadcast(side.where(F.col(n) > total / MOST_HEAVY).drop(n))
+    rest = df.join(heavy.select(*on), on, "left_anti").join(side.where(F.col(n) <= total / MOST_HEAVY).drop(n), on, how)
+    return df.join(heavy, on).unionByName(rest)
+
+
+def numbered(df: DataFrame, order: F.Column, name: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df with each row's place from 0 in the order: by a window over all rows if they are few, else by ranges and counts of them."""
+    df = settle(df, "numbered")
+    if few(df, limit):
+        return df.withColumn(name, F.row_number().over(Window.orderBy(order)) - 1)
+    part = fresh(df, "__part")
+    ranges = settle(df.repartitionByRange(order).withColumn(part, F.spark_partition_id()), "ranges")
+    before = F.sum("count").over(Window.orderBy(part)) - F.col("count")
+    offsets = ranges.groupBy(part).count().select(part, before.alias("__before"))
+    place = F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1
+    return ranges.withColumn(name, place).join(F.broadcast(offsets), part).withColumn(name, F.col(name) + F.col("__before")).drop(part, "__before")
+
+
+def keep_one(docs: DataFrame, decided: DataFrame, id_col: str, key: F.Column) -> DataFrame:
+    """docs, all columns, without the rows that decided drops.
+
+    decided has a row (id, key, kept) for every row of docs that is dropped or may be a repeated one; key tells texts apart,
+    as the expression `key` over docs does. Rows meet by id and key, null ids being equal. A row goes if no row of its id and
+    key is kept. Of several rows with an id and key that are kept one stays; if their other columns differ, any one.
+    """
+    per = settle(decided.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(F.max("kept").alias("__kept"), F.count("*").alias("__n")).where("not __kept or __n > 1"), "decided")
+    near = few(per)
+
+    def matched(rows: DataFrame, side: DataFrame, how: str) -> DataFrame:
+        k, i, x = fresh(rows, "__k_key"), fresh(rows, "__k_id"), rows.columns
+        side = side.select(F.col("__id").alias(i), F.col("__key").alias(k))
+        same = rows[id_col].eqNullSafe(F.col(i)) & (key == F.col(k))
+        return rows.join(F.broadcast(side) if near else side, same, how).select([rows[f"`{c}`"] for c in x])
+
+    left = matched(docs, per.where("not __kept"), "left_anti")
+    twice = per.where("__kept")
+    if not twice.take(1):
+        return left
+    by = [fresh(docs, "__one_id"), fresh(docs, "__one_key")]
+    once = matched(left, twice, "left_semi").withColumns({by[0]: F.col(f"`{id_col}`"), by[1]: key}).dropDuplicates(by).drop(*by)
+    return matched(left, twice, "left_anti").union(once)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -3,12 +3,13 @@
 1. Every text's SHA-256 is taken once; (id, digest) goes to a shared table.
 2. Misra-Gries summaries (DataFrame.freqItems: mergeable, 1/share counters) name every digest with more than `share` of the rows.
 3. Their exact counts and winners come from one map-side aggregate; those verified as frequent, at most 1/share, are broadcast.
-4. Rows of verified digests meet their winner on the map side; only the others are shuffled, by digest, without any text.
+4. Rows of verified digests meet their winner on the map side; only the others are shuffled, by digest, without any text,
+   and of those the winners of digests that come twice go back: by broadcast if they are few, else by shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinframe.llm import _common
@@ -23,47 +24,42 @@ def normalised(text: F.Column) -> F.Column:
     return F.translate(text, *_common.AZ)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
-    """A row per document: the id, keep_id, group_size, kept, text_sha256.
-
-    Of equal texts (identical once A-Z is in lower case; null counts as empty) the row with the largest id stays; among
-    rows that share that id too, which are the same row repeated, all have kept true, and group_size counts them all. A
-    null id is smaller than any other. An empty table gives no rows; other columns are ignored.
-    """
-    digests = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("d"))
+def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
+    """A row per document, settled: id, d (the digest), keep_id, group_size, kept. Of equal texts exactly one row is kept."""
+    digests = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("d"), F.monotonically_increasing_id().alias("row"))
     digests = _common.settle(digests, "exact-digests")
     total = digests.count()
+    best = [F.max(F.struct("id", "row")).alias("best"), F.count("*").alias("group_size")]
     # Misra-Gries over hex strings: the summary's values come back as an array in one row of at most 1 / share items
     found = digests.select(F.hex("d").alias("h")).freqItems(["h"], share).select(F.explode("h_freqItems").alias("h")).select(F.unhex("h").alias("d"))
-    candidates = digests.join(F.broadcast(found), "d", "left_semi")
-    winners = candidates.groupBy("d").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).where(F.col("group_size") > share * total)
-    winners = _common.settle(winners, "exact-winners")  # at most 1 / share rows
-    heavy = digests.join(F.broadcast(winners), "d")
-    same = Window.partitionBy("d")
-    light = digests.join(F.broadcast(winners.select("d")), "d", "left_anti")
-    light = light.select("d", "id", F.max("id").over(same).alias("keep_id"), F.count("*").over(same).alias("group_size"))
-    return heavy.unionByName(light).select(
-        F.col("id").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("d")).alias("text_sha256")
-    )
-
+    heavy = digests.join(F.broadcast(found), "d", "left_semi").groupBy("d").agg(*best).where(F.col("group_size") > share * total)
+    heavy = _common.settle(heavy, "exact-heavy")  # at most 1 / share rows
+    light = digests.join(F.broadcast(heavy.select("d")), "d", "left_anti")
+    # of the others only digests that come twice have a winner to send back
+    pairs = _common.settle(light.groupBy("d").agg(*best).where("group_size > 1"), "exact-light")
+    met = digests.join(F.broadcast(heavy), "d").unionByName(_common.attach(light, pairs, "d", "left"))
+    me = F.struct("id", "row")
+    out = met.select("id", "d", F.coalesce("best", me)["id"].alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (me == F.coalesce("best", me)).alias("kept"))
+    out = _common.settle(out, "exact-decided")
+    _common.forget(digests, heavy, pairs)
+    return out
 
-def drop_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without those whose id is in dropped (one column, id_col); all columns stay as they are. Rows that share an id go together; null ids stay."""
-    gone = _common.fresh(docs, "__gone")
-    dropped = _common.settle(dropped.select(F.col(id_col).alias(gone)).where(F.col(gone).isNotNull()).distinct(), "dropped")
-    return docs.join(F.broadcast(dropped) if _common.few(dropped) else dropped, docs[id_col] == F.col(gone), "left_anti")
 
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
+    """A row per document: the id, keep_id, group_size, kept, text_sha256.
 
-def drop_texts(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those whose id and text (as normalised) are in dropped (id_col, text_sha256); all columns stay as they are. Null ids stay."""
-    gone, key = _common.fresh(docs, "__gone"), _common.fresh(docs, "__gone_text")
-    dropped = dropped.select(F.col(id_col).alias(gone), F.xxhash64("text_sha256").alias(key)).where(F.col(gone).isNotNull()).distinct()
-    dropped = _common.settle(dropped, "dropped")
-    same = (docs[id_col] == F.col(gone)) & (F.xxhash64(F.sha2(normalised(docs[text_col]), 256)) == F.col(key))
-    return docs.join(F.broadcast(dropped) if _common.few(dropped) else dropped, same, "left_anti")
+    Of equal texts (identical once A-Z is in lower case; null counts as empty) the row with the largest id stays; among rows
+    that share that id too, which are the same row repeated, one has kept true, and group_size counts them all. A null id is
+    smaller than any other. An empty table gives no rows; other columns are ignored.
+    """
+    return decide(docs, id_col, text_col, share).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("d")).alias("text_sha256"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, without those whose text another row with a larger id has. Rows with a null id stay."""
-    groups = exact_groups(docs, id_col, text_col)
-    return drop_texts(docs, groups.where("not kept"), id_col, text_col)
+    """docs, all columns, with one row of each text: the one with the largest id.
+
+    Rows are told apart by id and text, so one that shares its id with a copy, but not its text, stays. Of a row that is
+    repeated one stays; a row without an id stays if no other has its text. An empty table gives no rows.
+    """
+    decided = decide(docs, id_col, text_col).where("group_size > 1")
+    return _common.keep_one(docs, decided.select("id", F.xxhash64("d").alias("key"), "kept"), id_col, F.xxhash64(F.unhex(F.sha2(normalised(F.col(f"`{text_col}`")), 256))))
