@@ -39,7 +39,8 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digest(secrets.scan(docs, model=secrets.fit(docs)))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,16 +106,19 @@ ORACLES = {
     "op1_license": _license_sql(),
     "op2_mixing": """
         WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-            CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':17'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM documents),
-        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY source),
+            CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':17:' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS z FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, CAST('0x' || substr(md5(coalesce(source, '') || ':17'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS start FROM d GROUP BY source),
         w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w, 3.0::DOUBLE * n AS cap, CAST(sum(n) OVER () AS DOUBLE) AS total FROM s),
         l AS (SELECT *, (total - coalesce(sum(cap) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level FROM w
             WINDOW before AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-        t AS (SELECT source, n AS source_size, least(cap, coalesce((SELECT arg_min(level, cap / w) FROM l WHERE level <= cap / w) * w, cap)) AS target FROM l),
+        t AS (SELECT source, start, n AS source_size, least(cap, coalesce((SELECT arg_min(level, cap / w) FROM l WHERE level <= cap / w) * w, cap)) AS target FROM l),
         r AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size + 1e-12), 3) ELSE 0 END AS times FROM t),
-        x AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.times, greatest(0, r.target - r.times * r.source_size) AS extra,
-            sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id) AS upto FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
-        SELECT doc_id, size, source_size, target, CAST(size * (times + CASE WHEN extra > 0 AND upto - size / 2.0 <= extra THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM x""",
+        f AS (SELECT *, CASE WHEN times < 3 AND source_size > 0 THEN greatest(0.0::DOUBLE, target / source_size - times) ELSE 0.0::DOUBLE END AS fraction FROM r),
+        n AS (SELECT source, size, count(*) AS n, sum(count(*)) OVER (PARTITION BY source ORDER BY size) AS upto FROM d GROUP BY source, size),
+        k AS (SELECT n.source, n.size, floor(CAST(upto AS DOUBLE) * fraction + start) - floor(CAST(upto - n AS DOUBLE) * fraction + start) AS k FROM n JOIN f ON n.source IS NOT DISTINCT FROM f.source),
+        x AS (SELECT *, row_number() OVER (PARTITION BY source, size ORDER BY z) AS place FROM d)
+        SELECT x.doc_id, x.size, f.source_size, f.target, CAST(x.size * (f.times + CASE WHEN x.place <= k.k THEN 1 ELSE 0 END) AS BIGINT) AS taken
+        FROM x JOIN f ON x.source IS NOT DISTINCT FROM f.source JOIN k ON x.source IS NOT DISTINCT FROM k.source AND x.size = k.size""",
     "op3_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
