@@ -1,6 +1,6 @@
 """Near-duplicate embeddings by random-hyperplane sign hashing in several tables.
 
-1. Exact copies (same label and vector) become one vector with a weight.
+1. Exact copies (same label and vector) become one node with a weight, whatever their ids.
 2. Every such vector gets a code per table: the signs of its products with k random hyperplanes.
    k follows the largest label's size, so that unrelated vectors seldom meet; the number of tables
    follows from k and the threshold, so that a pair at the threshold is missed with probability `miss`.
@@ -62,9 +62,10 @@ def link_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     """A row per vector: the id, n_links, component_id, kept.
 
     Two vectors are linked if their labels are equal and not null, their lengths are equal, and their cosine is at least
-    `threshold` (above 0). Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor
-    do those with a null id. Rows that repeat an id count as vectors of their own. An empty table gives no rows; other
-    columns are ignored.
+    `threshold` (above 0). Vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Rows
+    that repeat an id, or have none, count as vectors of their own; component_id is the smallest id reachable, null if no
+    vector of the component has one, and kept tells whether it is the row's own. An empty table gives no rows; other columns
+    are ignored.
     """
     spark = vectors.sparkSession
     _common.prepare(spark)
@@ -72,10 +73,12 @@ def link_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
-    usable = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size(v) > 0) & ~bad & some, F.lit(False))
+    usable = F.coalesce(F.col("label").isNotNull() & (F.size(v) > 0) & ~bad & some, F.lit(False))
     rows = rows.withColumn("ok", usable)
     valid = rows.where("ok").select("id", F.xxhash64("label", F.size("v"), "v").alias("h1"), F.xxhash64(F.lit("2"), "v", "label").alias("h2"), F.xxhash64("label", F.size("v")).alias("space"), "v")
-    groups = _common.settle(valid.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.first("space").alias("space"), F.first("v").alias("v")), "embed-groups")
+    groups = valid.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("m"), F.first("space").alias("space"), F.first("v").alias("v"))
+    # nodes are numbered as they are written
+    groups = _common.settle(groups.withColumn("rep", F.monotonically_increasing_id()), "embed-groups")
     largest = groups.groupBy("space").count().agg(F.max("count")).first()[0] or 0
     bits, tables = shape(largest, threshold, miss)
 
@@ -135,8 +138,8 @@ def link_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 
     all_codes = _common.settle(groups.select("rep", "space", "v").mapInArrow(hashed, "rep long, space long, bucket long"), "embed-codes")
     shared = all_codes.groupBy("space", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = shared.select("space", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    live = all_codes.join(shared, ["space", "bucket"])
+    shared = _common.settle(shared.select("space", "bucket", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "embed-shared")
+    live = _common.meet(all_codes, shared, ["space", "bucket"], "n")
     live = live.withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     live = live.select("rep", "space", "bucket", "side", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"))
@@ -146,9 +149,13 @@ def link_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     found = _common.settle(found, "embed-links")
     parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = groups.select("h1", "h2", "rep", "m").join(sums, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("h1", "h2", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    members = valid.select("id", "h1", "h2").join(known, ["h1", "h2"]).select("id", "n_links", "component_id")
-    alone = rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"))
+    known = groups.select("h1", "h2", "rep", "least", "m").join(sums, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    known = known.select("h1", "h2", "m", "least", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("part"))
+    known = _common.settle(known, "embed-known")
+    names = known.groupBy("part").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes"))
+    known = _common.settle(_common.meet(known, _common.settle(names, "embed-names"), ["part"], "nodes").select("h1", "h2", "m", "n_links", "component_id"), "embed-results")
+    _common.forget(all_codes, found)
+    members = _common.meet(valid.select("id", "h1", "h2"), known, ["h1", "h2"], "m").select("id", "n_links", "component_id")
+    alone = rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     both = members.unionByName(alone)
     return both.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
