@@ -1,19 +1,21 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles.
 
 1. A text's words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` once A-Z is in lower case; its shingles are five
-   consecutive words (all its words if it has fewer). Weights are tf * idf with idf = ln(1 + documents / max(df, share *
-   documents)): shingles in less than `share` of the documents weigh most and alike, so only the frequent ones' df is
-   needed. It is exact: batches name the shingles in `share` of their texts, which bounds every df from above, and a second
-   pass counts those whose bound reaches `share` of all documents. There are at most (shingles a document) / share, however large the corpus is.
+   consecutive words (all its words if it has fewer). Weights are tf * idf with idf = ln(1 + documents / df). Document
+   frequencies come from a count sketch of one row and 2^40 counters: tasks add up their texts' shingles by the first 40 bits
+   of their hashes and only counters that aren't zero are moved, four bytes each. A counter is too high by the shingles that
+   share it, shingles / 2^40 on average, which is 1e-4 of FLOOR or less for texts of up to 1,000 words, however many they are.
+   Shingles in FLOOR of the documents or less, or in one, weigh most and alike. The others, at most (shingles a document) /
+   FLOOR, are looked up in a broadcast table of about 7 bytes each.
 2. Each text gets `bands` x `rows` consistent weighted samples; two texts agree in one with probability equal to their
    weighted Jaccard similarity. A band's samples are a bucket.
-3. Texts with the same shingles become one. The others' buckets name candidates. Each is first verified against the smallest of its
-   bucket; then, for buckets that still hold several components, all pairs across components are, in blocks. So every
-   candidate pair is verified or already connected, without a row per pair.
+3. Texts with the same shingles become one node, whatever their ids. The others' buckets name candidates. Each is first
+   verified against the smallest of its bucket; then, for buckets that still hold several components, all pairs across
+   components are, in blocks. So every candidate pair is verified or already connected, without a row per pair.
 4. Classes are the connected components of pairs with weighted Jaccard similarity >= threshold.
 5. Copies mustn't make their own text look common. With `by_class`, as in the query and near_dedup, a candidate pair is near
-   also if the plain Jaccard similarity of its sets of shingles is >= threshold, and df is counted once more, over the
-   smallest of each class: texts with a shingle that weighs more by it are sampled anew, and candidates of different
+   also if the plain Jaccard similarity of its sets of shingles is >= threshold, and df is counted once more, over one
+   document of each class: texts with a shingle that weighs more by it are sampled anew, and candidates of different
    components verified with the new weights.
 
 A pair at weighted similarity 0.8 is missed by all 14 bands of 3 with probability 4e-5.
@@ -31,18 +33,15 @@ from pyspark.sql import functions as F
 from skeinframe.llm import _common
 from skeinframe.llm._common import mix
 from skeinframe.llm.components import components
-from skeinframe.llm.exact import drop_ids
 
 U = np.uint64
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 14, 3
-#: Share of the documents below which all shingles weigh alike.
-SHARE = 1 / 200
-#: Frequent shingles that are broadcast; with more, the share is raised until they fit.
-MOST_FREQUENT = 2_000_000
+#: Share of the documents up to which all shingles weigh alike.
+FLOOR = 1e-5
+#: Bits of the counters' numbers; counters summed together, about; shingles that a task holds before it adds them up.
+SLOT_BITS, PART, HELD = 40, 1 << 21, 1 << 21
 #: Texts compared with each other at a time, and members of a bucket dealt to a task.
 BLOCK, DEALT = 256, 128
-#: Texts among which a batch looks for frequent shingles.
-BATCH_TEXTS = 2_000
 TABLE_BITS = 16
 
 
@@ -67,19 +66,51 @@ def shingles(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, n
 
 
 class Idf:
-    """ln of the idf of shingles: looked up for frequent ones, else the largest."""
+    """ln of the idf of shingles: of those in the table by their df, to 1/254 of its logarithm's range, of others the largest.
 
-    def __init__(self, hashes: np.ndarray, logs: np.ndarray, top: float):
-        order = np.argsort(hashes)
-        self.hashes, self.logs, self.top = hashes[order], logs[order].astype(np.float32), np.float32(top)
+    The table is sorted by the first bits of the hashes: `loads` says how many entries share these, `tags` tells them apart by
+    16 further bits, and a level stands for a df between floor (1) and documents (255).
+    """
+
+    def __init__(self, documents: int, floor: float, bits: int, loads: np.ndarray, tags: np.ndarray, levels: np.ndarray):
+        self.bits, self.loads, self.tags, self.levels = bits, loads, tags, levels
+        df = floor * (max(documents, 1) / floor) ** (np.arange(-1, 255) / 254)
+        df[0] = floor
+        self.logs = np.log(np.log1p(documents / df)).astype(np.float32) if documents else np.zeros(256, np.float32)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "starts"}
+
+    def __setstate__(self, state):
+        self.__dict__ = state
+        self.starts = np.zeros(len(self.loads) + 1, np.int32)
+        np.cumsum(self.loads, out=self.starts[1:])
+
+    @staticmethod
+    def tag(slots: np.ndarray, bits: int) -> np.ndarray:
+        """The 16 bits after the first `bits`, zeros beyond the last."""
+        shift = SLOT_BITS - bits - 16
+        return (slots >> U(shift) if shift >= 0 else slots << U(-shift)).astype(np.uint16)
+
+    @staticmethod
+    def level(df: np.ndarray, documents: int, floor: float) -> np.ndarray:
+        return (1 + np.rint(254 * np.log(df / floor) / max(np.log(max(documents, 1) / floor), 1e-9))).clip(1, 255).astype(np.uint8)
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.full(len(hashes), self.top, np.float32)
-        if len(self.hashes) and len(hashes):
-            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            same = self.hashes[at] == hashes
-            out[same] = self.logs[at[same]]
-        return out
+        level = np.zeros(len(hashes), np.uint8)
+        if len(self.tags) and len(hashes):
+            slots = hashes >> U(64 - SLOT_BITS)
+            at, tag = (slots >> U(SLOT_BITS - self.bits)).astype(np.int64), self.tag(slots, self.bits)
+            load, start = self.loads[at], self.starts[at]
+            left = np.flatnonzero(load)
+            j = 0
+            while len(left):
+                place = start[left] + j
+                hit = self.tags[place] == tag[left]
+                level[left[hit]] = self.levels[place[hit]]
+                j += 1
+                left = left[~hit & (load[left] > j)]
+        return self.logs[level]
 
 
 class Sampler:
@@ -148,65 +179,102 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
     return groupby(rows, lambda row: tuple(row[k] for k in keys))
 
 
-def document_counts(docs: DataFrame, names: np.ndarray, size: int, least: float = 1) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, df) of those of the shingles in names, in order, that at least `least` documents (column t) have."""
-    if not len(names):
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    known = docs.sparkSession.sparkContext.broadcast(names)
+def added_up(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order with the sums of their counts."""
+    if not len(values):
+        return values, counts
+    order = np.argsort(values, kind="stable")
+    values, counts = values[order], counts[order]
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    return values[first], np.add.reduceat(counts, first)
+
+
+PARTS = "part int, ones binary, slots binary, counts binary"
+
+
+def counters(texts: DataFrame, size: int, bits: int, sign: int = 1) -> DataFrame:
+    """Of texts (t, n: how often each counts) the sketch's counters, in pieces: PARTS. part: a counter's first `bits` bits."""
+    low = SLOT_BITS - bits
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            slots = np.concatenate([h for h, _ in held]) >> U(64 - SLOT_BITS)
+            slots, counts = added_up(slots, np.concatenate([c for _, c in held]))
+            held.clear()
+            edge = np.searchsorted(slots, np.arange((1 << bits) + 1, dtype=np.uint64) << U(low))
+            slots = (slots & U((1 << low) - 1)).astype("<u4")
+            one, rows = counts == 1, []
+            for part in np.flatnonzero(np.diff(edge)).tolist():
+                s, c, x = (v[edge[part] : edge[part + 1]] for v in (slots, counts, one))
+                rows.append((part, s[x].tobytes(), s[~x].tobytes(), c[~x].astype("<i8").tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "ones", "slots", "counts"])
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = known.value
-        df = np.zeros(len(names), np.int64)
         for batch in batches:
-            for _, _, buf, off in _common.text_chunks(batch.column(0)):
-                hashes = shingles(buf, off, size)[0]
+            often = batch.column(1).to_numpy().astype(np.int64)
+            for i, j, buf, off in _common.text_chunks(batch.column(0)):
+                hashes, _, first = shingles(buf, off, size)
                 if len(hashes):
-                    at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
-                    df += np.bincount(at[names[at] == hashes], minlength=len(names))
-        yield pa.RecordBatch.from_arrays([pa.array(names[df > 0].view(np.int64)), pa.array(df[df > 0])], ["h", "df"])
+                    held.append((hashes, np.repeat(often[i:j], np.diff(first))))
+                if sum(len(h) for h, _ in held) >= HELD:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return texts.select("t", F.col("n").cast("long")).mapInArrow(added, PARTS).withColumn("sign", F.lit(sign))
+
+
+def frequencies(pieces: DataFrame, least: float) -> DataFrame:
+    """The sums of pieces' counters by part, less those of sign -1; only counters above `least`. Settled: PARTS, n (their number)."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (part,), rows in grouped(batches, ["part"]):
+            values, counts = [], []
+            for row in rows:
+                ones, slots, more = (np.frombuffer(row[k], t) for k, t in (("ones", "<u4"), ("slots", "<u4"), ("counts", "<i8")))
+                values += [ones, slots]
+                counts += [np.full(len(ones), row["sign"], np.int64), more * row["sign"]]
+            values, counts = added_up(np.concatenate(values), np.concatenate(counts))
+            keep = counts > least
+            if keep.any():
+                columns = [[part], [b""], [values[keep].tobytes()], [counts[keep].tobytes()], [int(keep.sum())]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["part", "ones", "slots", "counts", "n"])
 
-    table = docs.select("t").mapInArrow(counted, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")).where(F.col("df") >= least).toArrow()
-    return table.column("h").to_numpy().astype(np.int64).view(U), table.column("df").to_numpy().astype(np.int64)
+    return _common.settle(pieces.repartition("part").sortWithinPartitions("part").mapInArrow(summed, f"{PARTS}, n long"), "minhash-df")
 
 
-def frequent(docs: DataFrame, size: int = SHINGLE, share: float = SHARE, most: int = MOST_FREQUENT) -> tuple[int, float, np.ndarray, np.ndarray]:
-    """(documents, share, hashes, df) of the shingles that at least share of the documents (column t) have."""
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def idf_table(df: DataFrame, documents: int, floor: float, bits: int) -> Idf:
+    """The table of frequencies() as broadcast: it is put in order on the executors, and the driver joins its parts."""
+    entries = df.agg(F.sum("n")).first()[0] or 0
+    top = min(max(bits, int(np.ceil(np.log2(max(entries, 1))))), 31)
+    local = top - bits
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [shingles(buf, off, size)[0] for _, _, buf, off in _common.text_chunks(batch.column(0))]
-            if parts:
-                hashes, counts = np.unique(np.concatenate(parts), return_counts=True)
-                # what isn't named is in `rest` of the batch's texts at most
-                rest = max(int(np.ceil(share * batch.num_rows)) - 1, 0)
-                keep = counts > rest
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), pa.array(counts[keep] - rest)], ["h", "gain"])
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([rest], pa.int64())], ["h", "gain"])
-
-    # the sum of all rests, and of a shingle's gains over them, bounds its df from above
-    bounds = _common.settle(docs.select("t").mapInArrow(named, "h long, gain long").groupBy("h").agg(F.sum("gain").alias("gain")), "minhash-candidates")
-    total = docs.count()
-    rests = (bounds.where("h is null").first() or [None, 0])[1]
-    possible = lambda: bounds.where(F.col("h").isNotNull() & (F.col("gain") + rests >= share * total))
-    while possible().count() > most:
-        share *= 1.5
-    listed = possible().select("h").toArrow().column("h").to_numpy()  # at most `most`
-    return total, share, *document_counts(docs, np.sort(listed.astype(np.int64).view(U)), size, share * total)
-
-
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, share: float = SHARE, seed: int = 5, by_class: bool = False) -> DataFrame:
-    """A row per document: the id (long), class_id (the smallest id of its class), kept (id = class_id). by_class: see above.
-
-    Cases: texts without a word, null ones among them, are classes of their own, as are rows with a null id, whose class_id
-    is null; repeated rows share a class; an empty table gives no rows; other columns are ignored.
-    """
+            for part, slots, counts in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                slots, counts = np.frombuffer(slots, "<u4").astype(np.uint64), np.frombuffer(counts, "<i8")
+                loads = np.bincount((slots >> U(SLOT_BITS - top)).astype(np.int64), minlength=1 << local)
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((part, loads.astype("<u2").tobytes(), Idf.tag(slots, top).tobytes(), Idf.level(counts, documents, floor).tobytes()), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "loads", "tags", "levels"])
+
+    got = df.select("part", "slots", "counts").mapInArrow(sliced, "part int, loads binary, tags binary, levels binary").toArrow().sort_by("part")
+    loads = np.zeros((1 << bits, 1 << local), np.uint16)
+    for part, data in zip(got.column("part").to_pylist(), got.column("loads"), strict=True):
+        loads[part] = np.frombuffer(data.as_buffer(), "<u2")
+    tags, levels = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in got.column(name))]) for name, kind in (("tags", np.uint16), ("levels", np.uint8)))
+    return Idf(documents, floor, top, loads.ravel(), tags, levels)
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, floor: float = FLOOR, seed: int = 5, by_class: bool = False) -> DataFrame:
+    """A row per document, settled: id, h (the text's xxhash64), class_id, class_size, kept (of each class one row is)."""
     spark = docs.sparkSession
     _common.prepare(spark)
-    whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    total, share, hashes, df = frequent(whole, size, share)
-    floor = max(share * total, 1.0)
-    top = np.log(np.log1p(total / floor)) if total else 0.0
-    weights = lambda df: spark.sparkContext.broadcast(Idf(hashes, np.log(np.log1p(total / np.maximum(df, floor))), top))
-    idf = weights(df)
+    whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
+    total, bytes_ = whole.agg(F.count("*"), F.sum(F.octet_length("t"))).first()
+    bits = int(min(max(np.ceil(np.log2(max((bytes_ or 0) / 6 / PART, 1))), 8), 20))
+    least = max(floor * total, 1.0)
+    df = frequencies(counters(whole.select("t", F.lit(1).alias("n")), size, bits), least)
+    idf = spark.sparkContext.broadcast(idf_table(df, total, least, bits))
     band = np.arange(1, bands + 1, dtype=U)
 
     def bucketed(sampler: Sampler, hashes: np.ndarray, ln_w: np.ndarray, first: np.ndarray) -> pa.Array:
@@ -229,7 +297,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     sums = np.zeros(len(terms) + 1, U)
                     np.cumsum(terms, out=sums[1:])
                     digest.append(pa.array((sums[first[1:]] - sums[first[:-1]]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *digest, pa.array(np.diff(first)), lists], ["id", "d1", "d2", "n", "buckets"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in (0, 2, 3)), *digest, pa.array(np.diff(first)), lists], ["id", "h", "row", "d1", "d2", "n", "buckets"])
 
     def against_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, members in grouped(batches, ["pivot", "salt"]):
@@ -259,12 +327,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+    def fetched(keys: DataFrame, extra: str) -> DataFrame:
+        """Column extra and the text t of the nodes in keys (rep, id, h, extra), settled, by id and text; of a repeated row several, at most."""
+        side = keys.select("rep", F.col("id").alias("__id"), F.col("h").alias("__h"), *([extra] if extra != "rep" else []))
+        same = whole["id"].eqNullSafe(F.col("__id")) & (whole["h"] == F.col("__h"))
+        return whole.join(F.broadcast(side) if _common.few(keys) else side, same).select(extra, "t")
+
     def linked(texts: DataFrame, idf, known: DataFrame | None = None) -> DataFrame:
         """known and the edges found among texts (rep, was, buckets) of which a bucket holds several; was: the component so far."""
 
         def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            weigh = idf.value
+            weigh, seen = idf.value, set()
             for batch in batches:
+                # a repeated row is one node
+                new = [r not in seen and not seen.add(r) for r in batch.column(0).to_pylist()]
+                batch = batch if all(new) else batch.filter(pa.array(new))
                 for i, j, buf, off in _common.text_chunks(batch.column(1)):
                     hashes, tf, first = shingles(buf, off, size)
                     w = (tf * np.exp(weigh(hashes))).astype(np.float32)
@@ -272,17 +349,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(data, pa.binary())], ["id", "vec"])
 
         dealt = texts.select("rep", "was", F.explode("buckets").alias("bucket"))
-        shared = dealt.groupBy("bucket").agg(F.min(F.struct("rep", "was")).alias("head"), F.min("was").alias("low"), F.max("was").alias("high")).where("low < high")
-        live = _common.settle(dealt.join(shared.select("bucket", F.col("head.rep").alias("pivot"), F.col("head.was").alias("pivot_was")), "bucket"), "minhash-live")
+        shared = dealt.groupBy("bucket").agg(F.min(F.struct("rep", "was")).alias("head"), F.min("was").alias("low"), F.max("was").alias("high"), F.count("*").alias("n")).where("low < high")
+        shared = _common.settle(shared.select("bucket", "n", F.col("head.rep").alias("pivot"), F.col("head.was").alias("pivot_was")), "minhash-shared")
+        live = _common.settle(_common.meet(dealt, shared, ["bucket"], "n"), "minhash-live")
 
         # the shingles of texts that share a bucket, once each
-        need = _common.settle(live.select(F.col("rep").alias("id")).distinct(), "minhash-need")
-        found = _common.attach(whole, need, "id", "inner").select("id", "t").mapInArrow(vectors, "id long, vec binary")
-        found = _common.settle(found, "minhash-vectors").dropDuplicates(["id"])
+        need = _common.settle(_common.attach(reps.select("rep", "id", "h"), _common.settle(live.select("rep").distinct(), "minhash-need"), "rep", "left_semi"), "minhash-keys")
+        found = fetched(need, "rep").mapInArrow(vectors, "id long, vec binary")
+        kept = _common.settle(found, "minhash-vectors")
+        found = kept.dropDuplicates(["id"])
 
         pairs = live.where("was <> pivot_was").select("rep", "pivot").distinct()
-        salts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("salts"))
-        pairs = pairs.join(salts, "pivot").select("pivot", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.col("rep").alias("id"), F.lit(1).alias("member"))
+        salts = pairs.groupBy("pivot").agg(F.count("*").alias("n"), F.ceil(F.count("*") / DEALT).cast("int").alias("salts"))
+        salts = _common.settle(salts, "minhash-salts")
+        pairs = _common.meet(pairs, salts, ["pivot"], "n").select("pivot", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.col("rep").alias("id"), F.lit(1).alias("member"))
         heads = salts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("id"), F.lit(0).alias("member"))
         met = pairs.unionByName(heads).join(found, "id").select("pivot", "salt", "member", "id", "vec")
         edges = met.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "member", "id").mapInArrow(against_pivot, "a long, b long")
@@ -297,9 +377,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         open_ = sizes.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
         open_ = open_.where("parts > 1 and n > 2").groupBy("x", "y", "n").agg(F.min("bucket").alias("bucket"), F.min("top").alias("top"))
         # blocks of the largest component come after those of the rest, and aren't paired with each other
-        open_ = open_.select("bucket", F.col("top.part").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("many"))
+        open_ = open_.select("bucket", F.col("top.part").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("many"), "n")
         open_ = _common.settle(open_, "minhash-open")
-        left = labelled.join(open_, "bucket")
+        left = _common.meet(labelled, open_, ["bucket"], "n")
         is_main = F.col("part") == F.col("main")
         left = left.withColumn("side", F.when(is_main, F.col("few") + F.pmod(F.xxhash64("rep"), F.col("many"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("few"))).cast("int"))
         last = F.when(is_main, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
@@ -308,51 +388,84 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         keys = ["bucket", "bi", "bj"]
         met = left.join(found, "id").select(*keys, "side", "part", "id", "vec").repartition(*keys).sortWithinPartitions(*keys, "side", "id")
         more = _common.settle(met.mapInArrow(across, "a long, b long"), "minhash-more")
+        _common.forget(shared, live, need, kept, salts, parts, open_)
         return edges.unionByName(more)
 
-    sketches = _common.settle(whole.mapInArrow(sketched, "id long, d1 long, d2 long, n long, buckets array<long>"), "minhash-sketches")
-    worded = sketches.where("n > 0 and id is not null")
-    reps = _common.settle(worded.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("buckets").alias("buckets")), "minhash-reps")
+    kind = whole.schema["id"].dataType.simpleString()
+    numbered = whole.select("id", "t", "h", F.monotonically_increasing_id().alias("row"))
+    sketches = _common.settle(numbered.mapInArrow(sketched, f"id {kind}, h long, row long, d1 long, d2 long, n long, buckets array<long>"), "minhash-sketches")
+    worded = sketches.where("n > 0")
+    # a node is a set of shingles; it goes by the row of one of its texts
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
+    reps = worded.groupBy("d1", "d2").agg(F.min(F.struct("row", "id", "h")).alias("one"), best, F.count("*").alias("m"), F.first("buckets").alias("buckets"))
+    reps = _common.settle(reps.select("d1", "d2", F.col("one.row").alias("rep"), "one.id", "one.h", "best", "m", "buckets"), "minhash-reps")
     edges = linked(reps.select("rep", F.col("rep").alias("was"), "buckets"), idf)
-    parts = _common.settle(components(edges).withColumnRenamed("node", "rep"), "minhash-first")
-
-    # the second round: df over the smallest of each class
-    if by_class and len(hashes):
-        copies = worded.select("id", "d1", "d2").join(reps.select("d1", "d2", "rep"), ["d1", "d2"]).join(parts, "rep", "left").select("id", F.coalesce("component", "rep").alias("c"))
-        copies = _common.settle(copies.where("id <> c").select("id").distinct(), "minhash-copies")
-        order = np.argsort(hashes)
-        hashes, df, fewer = hashes[order], df[order], np.zeros(len(hashes), np.int64)
-        counted, n = document_counts(_common.attach(whole, copies, "id", "left_anti"), hashes, size)
-        fewer[np.searchsorted(hashes, counted)] = n
-        rises = spark.sparkContext.broadcast(hashes[np.maximum(fewer, floor) < np.maximum(df, floor)])
-        if len(rises.value):
-            raised = weights(fewer)
+
+    def named(edges: DataFrame) -> DataFrame:
+        """Each node's class: rep, d1, d2, id, h, m, part, first (of its rows), class_size."""
+        parts = _common.settle(components(edges).withColumnRenamed("node", "rep"), "minhash-classes")
+        whole_ = _common.settle(reps.drop("buckets").join(parts, "rep", "left").withColumn("part", F.coalesce("component", "rep")), "minhash-nodes")
+        names = whole_.groupBy("part").agg(F.min("best").alias("first"), F.sum("m").alias("class_size"), F.count("*").alias("nodes"))
+        out = _common.settle(_common.meet(whole_.drop("component"), _common.settle(names, "minhash-names"), ["part"], "nodes"), "minhash-named")
+        _common.forget(parts, whole_)
+        return out
+
+    nodes = named(edges)
+
+    # the second round: df over one document of each class
+    if by_class:
+        copies = nodes.where("class_size > 1").withColumn("n", F.col("m") - (F.col("best") == F.col("first")).cast("long")).where("n > 0")
+        copies = _common.settle(copies.select("rep", "id", "h", "n"), "minhash-copies")
+        if copies.take(1):
+            fewer = frequencies(df.drop("n").withColumn("sign", F.lit(1)).unionByName(counters(fetched(copies, "n").select("t", "n"), size, bits, -1)), least)
+            raised = spark.sparkContext.broadcast(idf_table(fewer, total, least, bits))
 
             def sketched_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                sampler, weigh, names = Sampler(bands * rows, seed), raised.value, rises.value
+                sampler, before, after, seen = Sampler(bands * rows, seed), idf.value, raised.value, set()
                 for batch in batches:
+                    new = [h not in seen and not seen.add(h) for h in batch.column(0).to_pylist()]
+                    batch = batch if all(new) else batch.filter(pa.array(new))
                     for i, j, buf, off in _common.text_chunks(batch.column(1), 1 << 20):
                         hashes, tf, first = shingles(buf, off, size)
+                        ln_w = after(hashes)
                         hit = np.zeros(len(hashes) + 1, np.int64)
-                        np.cumsum(names[np.minimum(np.searchsorted(names, hashes), len(names) - 1)] == hashes, out=hit[1:])
+                        np.cumsum(ln_w != before(hashes), out=hit[1:])
                         some = hit[first[1:]] > hit[first[:-1]]
                         if some.any():
                             mine = np.repeat(some, np.diff(first))
                             first = np.append(0, np.cumsum(np.diff(first)[some]))
-                            lists = bucketed(sampler, hashes[mine], np.log(tf[mine]).astype(np.float32) + weigh(hashes[mine]), first)
-                            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).filter(pa.array(some)), lists], ["rep", "buckets"])
+                            lists = bucketed(sampler, hashes[mine], np.log(tf[mine]).astype(np.float32) + ln_w[mine], first)
+                            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).filter(pa.array(some)), lists], ["h", "buckets"])
+
+            again = _common.settle(whole.select("h", "t").mapInArrow(sketched_again, "h long, buckets array<long>"), "minhash-again").dropDuplicates(["h"])
+            again = again.join(nodes.select("h", "rep", F.col("part").alias("was")), "h").select("rep", "was", "buckets")
+            nodes = named(linked(_common.settle(again, "minhash-anew"), raised, edges))
+            _common.forget(fewer, copies)
+
+    members = _common.meet(worded.select("id", "h", "row", "d1", "d2"), nodes.select("d1", "d2", "m", "first", "class_size"), ["d1", "d2"], "m")
+    members = members.select("id", "h", F.col("first.id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept"))
+    alone = sketches.where("n = 0").select("id", "h", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    out = _common.settle(members.unionByName(alone), "minhash-members")
+    _common.forget(df, sketches, reps, nodes)
+    return out
 
-            again = whole.mapInArrow(sketched_again, "rep long, buckets array<long>").join(reps.select("rep"), "rep", "left_semi").distinct()
-            again = again.join(parts, "rep", "left").select("rep", F.coalesce("component", "rep").alias("was"), "buckets")
-            parts = components(linked(_common.settle(again, "minhash-again"), raised, edges)).withColumnRenamed("node", "rep")
 
-    classes = reps.select("d1", "d2", "rep").join(parts, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("class_id"))
-    members = worded.select("id", "d1", "d2").join(classes, ["d1", "d2"]).select("id", "class_id")
-    alone = sketches.where("n = 0 or id is null").select("id", F.col("id").alias("class_id"))
-    both = members.unionByName(alone)
-    return both.select(F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """A row per document: the id, class_id (the smallest id of its class), kept, class_size. Options: those of classes().
+
+    Of each class one row has kept true, one with the smallest id. Rows are told apart by themselves, not by their ids: rows
+    that share an id may be of different classes, and rows without an id are documents like others (class_id is null if none
+    of the class has one; such a row is kept only if no other is). Texts without a word, null ones among them, are classes of
+    their own; repeated rows share a class; an empty table gives no rows; other columns are ignored.
+    """
+    return classes(docs, id_col, text_col, **more).select(F.col("id").alias(id_col), "class_id", "kept", "class_size")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """docs, all columns, with one document of each class: the one with the smallest id."""
-    return drop_ids(docs, near_groups(docs, id_col, text_col, **{"by_class": True} | more).where("not kept"), id_col)
+    """docs, all columns, with one row of each class: one with the smallest id.
+
+    Rows are told apart by id and text, so one that shares its id with a near copy, but not its text, stays. Of a row that is
+    repeated one stays. Texts without a word all stay. An empty table gives no rows.
+    """
+    decided = classes(docs, id_col, text_col, **{"by_class": True} | more).where("class_size > 1")
+    return _common.keep_one(docs, decided.select("id", F.col("h").alias("key"), "kept"), id_col, F.xxhash64(F.col(f"`{text_col}`").cast("string")))
