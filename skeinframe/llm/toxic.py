@@ -2,12 +2,13 @@
 
 A text's terms are its words and the words' beginnings of 4 to 8 bytes (A-Z in
 lower case), hashed; a term that comes 2 or 4 times or more is a term of its own
-besides. fit() keeps the terms that go with the label and learns a
-weight and a small vector for each: a score adds the weights and the products of
-all pairs' vectors, so that two terms together may say what neither says alone.
+besides. learn() gives every term a weight and a small vector: a score adds the
+weights and the products of all pairs' vectors, so that two terms together may say
+what neither says alone. No term is chosen beforehand: all have part in all rounds,
+by dual averaging, which leaves at zero what gradients don't move more than chance.
 
-Only a bounded sample of labelled rows reaches the driver. Scoring reads every
-whole text once, without a shuffle.
+Only a sample of labelled rows reaches the driver, bounded in rows and in bytes.
+Scoring reads every whole text once, without a shuffle.
 """
 
 from __future__ import annotations
@@ -17,21 +18,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinframe.llm import _common
-from skeinframe.llm.exact import drop_texts, normalised
 
 BITS = 20
 PREFIXES = (4, 5, 6, 8)
 #: Counts from which a repeated term is a further term.
 LEVELS = (1, 2, 4)
-#: Labelled rows of each class that are learned from, at most: those with the smallest hash of the id.
-SAMPLE = 2_000
-#: Terms kept: seen in LEAST_DOCS sampled texts, and with a z-score of at least LEAST_Z; the TERMS highest.
-LEAST_DOCS, LEAST_Z, TERMS = 3, 5.0, 4096
-FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 20, 64, 0.1, 1e-4
+#: Labelled rows of each label that are learned from, at most: those with the smallest hash of the id; and bytes of their terms.
+SAMPLE, SAMPLE_BYTES = 2_000, 24 << 20
+FACTORS, EPOCHS, BATCH = 3, 5, 64
+#: Step sizes of weights and vectors; standard errors that their gradients' sums must pass; the size of the vectors' first values.
+RATE, RATE_FACTORS, SURE, SURE_FACTORS, START = 0.5, 0.1, 4.0, 3.0, 0.003
 
 
 def terms(buf: np.ndarray, off: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -47,15 +47,22 @@ def terms(buf: np.ndarray, off: np.ndarray, bits: int = BITS) -> tuple[np.ndarra
 @dataclass
 class Machine:
     bits: int
-    place: np.ndarray  # of each level's hashed terms among the kept ones, or -1
+    terms: np.ndarray  # in order: level * 2^bits + hash of those whose weight or vector isn't zero
     bias: float
     weight: np.ndarray
     factor: np.ndarray
 
+    def __post_init__(self):
+        self.place = np.full(len(LEVELS) << self.bits, -1, np.int32)
+        self.place[self.terms] = np.arange(len(self.terms))
+
+    def __reduce__(self):
+        return Machine, (self.bits, self.terms, self.bias, self.weight, self.factor)
+
     def margins(self, index: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """first: one longer than the texts; index: places of distinct kept terms."""
-        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        """first: one longer than the texts; index: places of distinct terms."""
         n = len(first) - 1
+        text = np.repeat(np.arange(n), np.diff(first))
         out = self.bias + np.bincount(text, self.weight[index], n)
         for f in range(self.factor.shape[1]):
             v = self.factor[index, f]
@@ -63,11 +70,11 @@ class Machine:
         return out
 
     def kept(self, hashed: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of each text's distinct kept terms, and where they begin."""
-        text, width = np.repeat(np.arange(len(first) - 1), np.diff(first)), max(len(self.weight), 1)
+        """Places of each text's distinct terms, and where they begin."""
+        text, width = np.repeat(np.arange(len(first) - 1), np.diff(first)), max(len(self.terms), 1)
         pairs = []
         for level, least in enumerate(LEVELS):
-            index = self.place[level][hashed]
+            index = self.place[hashed + (level << self.bits)]
             some = index >= 0
             pair, count = np.unique(text[some] * width + index[some], return_counts=True)
             pairs.append(pair[count >= least])
@@ -87,47 +94,62 @@ def levelled(hashed: np.ndarray, bits: int = BITS) -> np.ndarray:
 def learn(texts: list[np.ndarray], labels: np.ndarray, bits: int = BITS, seed: int = 7) -> Machine:
     """texts: each one's terms, of levelled(). Without texts of both labels, the score is the share of label 1."""
     share = float(labels.mean()) if len(labels) else 0.0
-    place = np.full(len(LEVELS) << bits, -1, np.int32)
     if not 0 < share < 1:
-        return Machine(bits, place.reshape(len(LEVELS), -1), 30.0 if share else -30.0, np.zeros(0), np.zeros((0, FACTORS)))
-    seen = np.zeros((2, len(place)), np.int32)
-    for terms_, y in zip(texts, labels.tolist(), strict=True):
-        seen[y][terms_] += 1  # a text's terms are distinct
-    total = [int((labels == k).sum()) for k in (0, 1)]
-    ok = np.flatnonzero(seen.sum(axis=0) >= LEAST_DOCS)
-    clean, toxic_ = seen[:, ok].astype(float)
-    mean = (clean + toxic_) / len(labels)
-    z = np.abs(toxic_ / total[1] - clean / total[0]) / np.sqrt(np.maximum(mean * (1 - mean), 1e-12) * (1 / total[0] + 1 / total[1]))
-    best = np.argsort(-z, kind="stable")[:TERMS]
-    ok = ok[best[z[best] >= LEAST_Z]]
-    place[ok] = np.arange(len(ok))
+        return Machine(bits, np.zeros(0, np.int64), 30.0 if share else -30.0, np.zeros(0), np.zeros((0, FACTORS)))
+    # terms that no text of the sample has would keep a weight of zero
+    names, flat = np.unique(np.concatenate(texts), return_inverse=True)
+    flat, first = flat.astype(np.int32), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     rng = np.random.default_rng(seed)
-    machine = Machine(bits, place.reshape(len(LEVELS), -1), float(np.log(share / (1 - share))), np.zeros(len(ok)), rng.normal(0, 0.01, (len(ok), FACTORS)))
-    rows = [np.sort(i[i >= 0]) for i in (place[t] for t in texts)]
-    y = labels.astype(float)
-    # both classes weigh alike; adaptive steps
-    balance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
-    sums = [1e-8, np.full(len(ok), 1e-8), np.full((len(ok), FACTORS), 1e-8)]
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(rows))
-        for s in range(0, len(order), BATCH):
-            part = order[s : s + BATCH]
-            index = np.concatenate([rows[i] for i in part])
-            first = np.concatenate([[0], np.cumsum([len(rows[i]) for i in part])])
-            text = np.repeat(np.arange(len(part)), np.diff(first))
-            p = 1 / (1 + np.exp(-np.clip(machine.margins(index, first), -30, 30)))
-            g = (p - y[part]) * balance[part] / len(part)
-            total_v = np.stack([np.bincount(text, machine.factor[index, f], len(part)) for f in range(FACTORS)], axis=1)
-            gw = np.bincount(index, g[text], len(ok)) + DECAY * machine.weight
-            each = g[text][:, None] * (total_v[text] - machine.factor[index])
-            gv = np.stack([np.bincount(index, each[:, f], len(ok)) for f in range(FACTORS)], axis=1) + DECAY * machine.factor
-            sums[0] += g.sum() ** 2
-            sums[1] += gw * gw
-            sums[2] += gv * gv
-            machine.bias -= RATE * g.sum() / np.sqrt(sums[0])
-            machine.weight -= RATE * gw / np.sqrt(sums[1])
-            machine.factor -= RATE * gv / np.sqrt(sums[2])
-    return machine
+    base, bias, bias_square = float(np.log(share / (1 - share))), 0.0, 1e-4
+    start = rng.normal(0, START, (len(names), FACTORS)).astype(np.float32)
+    # sums of gradients and of their squares
+    g_weight, q_weight = np.zeros(len(names), np.float32), np.full(len(names), 1e-12, np.float32)
+    g_factor, q_factor = np.zeros((len(names), FACTORS), np.float32), np.full((len(names), FACTORS), 1e-12, np.float32)
+    # both labels weigh alike
+    balance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+    batches, order = [], rng.permutation(len(texts))
+    for s in range(0, len(order), BATCH):
+        part = order[s : s + BATCH]
+        size = first[part + 1] - first[part]
+        begin = np.append(0, np.cumsum(size))
+        used, at = np.unique(flat[np.repeat(first[part] - begin[:-1], size) + np.arange(begin[-1])], return_inverse=True)
+        by_term = np.argsort(at, kind="stable").astype(np.int32)
+        text = np.repeat(np.arange(len(part), dtype=np.int16), size)[by_term]
+        batches.append((part, begin, used, at.astype(np.int32), text, np.flatnonzero(np.diff(at[by_term], prepend=-1))))
+    del flat
+
+    def moved(g: np.ndarray, q: np.ndarray, rate: float, sure: float) -> np.ndarray:
+        """Dual averaging: against the sum of gradients, less what chance gives it; epochs repeat the same chance."""
+        root = np.sqrt(q)
+        return -rate * np.sign(g) * np.maximum(np.abs(g) / root - sure, 0)
+
+    for epoch in range(EPOCHS):
+        for b in rng.permutation(len(batches)).tolist():
+            part, begin, used, at, text, runs = batches[b]
+            if not len(used):
+                continue
+            w = moved(g_weight[used], q_weight[used], RATE, SURE * (1 + epoch) ** 0.5)
+            v = start[used] + moved(g_factor[used], q_factor[used], RATE_FACTORS, SURE_FACTORS)
+            some = begin[1:] > begin[:-1]
+            sums, line, squares = np.zeros((len(part), FACTORS), np.float32), np.zeros(len(part), np.float32), np.zeros(len(part), np.float32)
+            sums[some] = np.add.reduceat(v[at], begin[:-1][some], axis=0)
+            squares[some] = np.add.reduceat((v * v).sum(axis=1)[at], begin[:-1][some])
+            line[some] = np.add.reduceat(w[at], begin[:-1][some])
+            margin = base + bias + line + 0.5 * ((sums * sums).sum(axis=1) - squares)
+            g = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[part]).astype(np.float32) * balance[part]
+            gw = np.add.reduceat(g[text], runs)
+            gv = np.add.reduceat((g[:, None] * sums)[text], runs, axis=0) - gw[:, None] * v
+            g_weight[used] += gw
+            q_weight[used] += np.add.reduceat((g * g)[text], runs)
+            g_factor[used] += gv
+            q_factor[used] += gv * gv
+            bias_square += float(g.sum()) ** 2
+            bias -= 0.1 * float(g.sum()) / np.sqrt(bias_square)
+    weight = moved(g_weight, q_weight, RATE, SURE * EPOCHS**0.5)
+    factor = moved(g_factor, q_factor, RATE_FACTORS, SURE_FACTORS)
+    bias += base
+    some = (weight != 0) | (factor != 0).any(axis=1)
+    return Machine(bits, names[some].astype(np.int64), bias, weight[some].astype(float), factor[some].astype(float))
 
 
 def remainder(id_col: F.Column, by: int) -> F.Column:
@@ -135,8 +157,13 @@ def remainder(id_col: F.Column, by: int) -> F.Column:
     return F.crc32(id_col.cast("string").cast("binary")) % by
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, folds: int = 5, seed: int = 7) -> Machine:
-    """Learn from at most `sample` rows of each label, none of them with crc32(id as text) mod folds = 0."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, most: int = SAMPLE_BYTES, folds: int = 5, seed: int = 7) -> Machine:
+    """Learn from at most `sample` rows of each label and `most` bytes of terms, none of them with crc32(id as text) mod folds = 0.
+
+    Cases: rows of labels with a null id, or another label than 0 or 1, aren't learned from; an id with both labels counts as 1;
+    of rows of docs that share an id one is learned from, the one whose terms are smallest as bytes; null texts are empty ones.
+    Without texts of both labels every score is 0, or 1 if all labels are. Empty tables are such a case.
+    """
     _common.prepare(docs.sparkSession)
     named = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & (remainder(F.col("id"), folds) != 0))
     # one label an id: the larger, if rows differ
@@ -154,7 +181,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), "id").select("id", "t", "y")
     kind = docs.schema[id_col].dataType.simpleString()
     # an id that many rows repeat counts once: its smallest row of terms
-    got = rows.mapInArrow(extracted, f"id {kind}, y int, terms binary").groupBy("id", "y").agg(F.min("terms").alias("terms")).orderBy(F.xxhash64("id"), "id").select("y", "terms").toArrow()
+    found = rows.mapInArrow(extracted, f"id {kind}, y int, terms binary").groupBy("id", "y").agg(F.min("terms").alias("terms"))
+    found = _common.settle(found, "toxic-terms")  # 2 * sample rows at most
+    # of each label as many whole texts, in the order of the hash, as make half of the bytes; one at least
+    line = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
+    sizes = found.select("id", "y", F.octet_length("terms").alias("n")).withColumn("before", F.sum("n").over(line) - F.col("n"))
+    fitting = sizes.where((F.col("before") + F.col("n") <= most // 2) | (F.col("before") == 0)).select("id", "y")
+    got = found.join(F.broadcast(fitting), ["id", "y"]).orderBy(F.xxhash64("id"), "id").select("y", "terms").toArrow()
     texts = [np.frombuffer(t.as_buffer(), "<i4") for t in got.column("terms")]  # views, not copies
     machine = learn(texts, got.column("y").to_numpy().astype(int), seed=seed)
     del texts, got
@@ -182,8 +215,18 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     return out.select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, without those whose score is 0.5 or more. Rows with a null id stay."""
-    key = F.struct(F.col(id_col).alias("id"), F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256"))
-    scores = score(docs.select(key.alias("key"), F.col(text_col).alias("t")), machine, "key", "t")
-    return drop_texts(docs, scores.where("predicted = 1").select(F.col("key.id").alias(id_col), "key.text_sha256"), id_col, text_col)
+def drop_toxic(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
+    """docs, all columns, without those whose score is 0.5 or more.
+
+    Every row is judged by its own text, whatever its id: rows with a null or repeated id are like others, and repeated rows
+    stay or go together. Null and empty texts get the score of a text without terms. An empty table gives no rows.
+    """
+    _common.prepare(docs.sparkSession)
+    shared, at, names = docs.sparkSession.sparkContext.broadcast(machine), docs.columns.index(text_col), docs.columns
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, buf, off in _common.text_chunks(batch.column(at).cast(pa.string())):
+                yield batch.slice(i, j - i).filter(pa.array(shared.value.scores(buf, off) < 0.5))
+
+    return docs.select([F.col(f"`{c}`") for c in names]).mapInArrow(clean, docs.schema)
