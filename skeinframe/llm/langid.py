@@ -5,8 +5,10 @@ with every language's dictionary by zstandard, and the language whose dictionary
 leaves the fewest bytes wins. Where the best two are close, the choice is flagged as
 rejected: `confident` is false.
 
-Texts whose sizes tie (short ones, mostly) are told apart by how many of their
-bytes lie in words that the dictionary holds, then by the language's name.
+The smallest size decides. Only texts whose smallest sizes are equal (very short
+ones) are told apart by how many of their bytes lie in words that the dictionary
+holds, then by the language's name. A text is compressed once a language, so time and
+the dictionaries' memory (DICTIONARY_BYTES each) are linear in the number of languages.
 """
 
 from __future__ import annotations
@@ -24,11 +26,7 @@ from skeinframe.llm.toxic import remainder
 
 #: Texts of a language that may be learned from, at most: those with the smallest hash of the id; bytes of its dictionary.
 SAMPLE, DICTIONARY_BYTES = 200, 1 << 17
-#: Languages learned, at most: the most frequent.
-LANGUAGES = 200
 LEVEL = 6
-#: A size is close to the best if it is at most CLOSE_BYTES and CLOSE_SHARE of the best above it.
-CLOSE_BYTES, CLOSE_SHARE = 8, 0.03
 #: Bytes saved, as a share of the best size, below which a choice is rejected.
 MARGIN = 0.01
 _GAP = re.compile(r"[\W\d_]+")
@@ -59,23 +57,23 @@ class Model:
             return UNKNOWN, 0.0, False
         raw = text.encode()
         sizes = [len(c.compress(raw)) for c in self.compressors]
-        best = min(sizes)
-        near = [i for i, n in enumerate(sizes) if n <= best + CLOSE_BYTES + best * CLOSE_SHARE]
-        at = sizes.index(best)
-        if len(near) > 1:
+        at = sizes.index(min(sizes))
+        if sizes.count(sizes[at]) > 1:
             found = text.split()
-            at = max(near, key=lambda i: (sum(len(w) for w in found if w in self.words[i]), -sizes[i], -i))
+            at = max((i for i, n in enumerate(sizes) if n == sizes[at]), key=lambda i: (sum(len(w) for w in found if w in self.words[i]), -i))
         others = [n for i, n in enumerate(sizes) if i != at]
         gap = (min(others) - sizes[at]) / max(sizes[at], 1) if others else 1.0
         return self.names[at], min(1.0, max(0.0, 0.5 + gap)), gap >= MARGIN
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2, sample: int = SAMPLE, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """Dictionaries from at most `sample` texts of each language, none of them with crc32(id as text) mod folds = held."""
+    """Dictionaries from at most `sample` texts of each language, none of them with crc32(id as text) mod folds = held.
+
+    Every language of a row with an id, a text that isn't empty and a lang that isn't null is learned, however rare. Rows that
+    share an id and a language are one: their smallest text. An empty table gives no dictionaries.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.length(F.col(text_col).cast("string")).alias("n"))
     rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & (F.col("n") > 0) & (remainder(F.col("id"), folds) != held))
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    rows = rows.join(F.broadcast(common.select("lang")), "lang")
     # the limit on the rank is applied within each task before the shuffle
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     chosen = _common.settle(rows.withColumn("rank", rank).where(F.col("rank") <= sample).select("id", "lang", "rank").dropDuplicates(["id", "lang"]), "langid-sample")
