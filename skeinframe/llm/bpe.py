@@ -2,8 +2,9 @@
 
 Byte-level BPE encodes each pre-token alone, so a text's ids are its pre-tokens'
 ids in turn. The pre-tokens are found with numpy over a whole batch, and only
-those not met before in this process go to the library. tests/llm compares the
-ids with the library's own for whole texts.
+those not met before in this process go to the library. Texts that hold an added
+token (such as `<|endoftext|>`) go to it whole. tests/llm compares the ids with the
+library's own for whole texts.
 """
 
 from __future__ import annotations
@@ -62,7 +63,8 @@ class BatchBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts that hold one of these go to the library as they are: it cuts them out before it looks for pre-tokens.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kinds = classes()
         self.clear()
 
@@ -157,12 +159,32 @@ class BatchBpe:
             return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
         chars = np.zeros(len(buf) + 1, np.int64)
         np.cumsum((buf & 0xC0) != 0x80, out=chars[1:])
-        off = chars[off]
+        bytes_off, off = off, chars[off]
         starts = self.token_starts(cp, off)
         ends = np.append(starts[1:], len(cp))
-        if (ends - starts).max() > LONG_RUN or (self.kinds[cp] == UNKNOWN).any():
-            parts = [self.plain(text[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        odd = np.zeros(len(off) - 1, bool)  # texts for the library
+        if (ends - starts).max() > LONG_RUN:
+            odd[np.searchsorted(off, starts[ends - starts > LONG_RUN], "right") - 1] = True
+        if (unknown := self.kinds[cp] == UNKNOWN).any():
+            odd[np.searchsorted(off, np.flatnonzero(unknown), "right") - 1] = True
+        for token in self.added:
+            at = text.find(token)
+            while at >= 0:
+                odd[np.searchsorted(off, at, "right") - 1] = True
+                at = text.find(token, at + 1)
+        if odd.any():
+            parts, counts, edge = [], [], np.flatnonzero(np.diff(odd)) + 1
+            for i, j in zip([0, *edge.tolist()], [*edge.tolist(), len(odd)], strict=True):
+                if odd[i]:
+                    alone = [self.plain(text[off[k] : off[k + 1]]) for k in range(i, j)]
+                    parts += alone
+                    counts.append(np.array([len(p) for p in alone], np.int64))
+                else:
+                    sub = np.frombuffer(text[off[i] : off[j]].encode(), np.uint8)
+                    ids, n = self.chunk(sub, bytes_off[i : j + 1] - bytes_off[i])
+                    parts.append(ids)
+                    counts.append(n)
+            return np.concatenate(parts), np.concatenate(counts)
         hashes = Spans(mix(cp.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D))).hash(starts, ends)
         codes, distinct = pd.factorize(hashes)
         if len(self.known) + len(distinct) > CACHED:
