@@ -3,8 +3,9 @@
 A block holds the ids of consecutive documents in one array of 16- or 32-bit
 little-endian integers. The documents' end offsets are Elias-Fano coded: l low
 bits each, and the high parts in unary, 2 + log2(ids / documents) bits a document
-in place of 64. Every SAMPLE-th set bit's place is kept, so that select() finds one
-document's end without decoding the others.
+in place of 64. The documents' own ids, ascending too, are coded in the same way. Every
+SAMPLE-th set bit's place is kept, so that select() finds some documents' ends without
+decoding the others. All offsets that read() and lookup() return come from select().
 
 Blocks are rows of a Parquet data set, written through Spark's committer: a lost
 or repeated task leaves no half-written or doubled block, and any store that
@@ -12,10 +13,11 @@ Spark writes to will do. `shard` and `block` give their order, `before` the ids
 shard that precede a block.
 
 Layout of a payload (little-endian), fixed values:
-  8 bytes  magic "SKNEF\\x01\\0\\0"
-  u32 bits of an id, u32 documents n, u64 ids u, u32 low bits l, u32 bytes of the high part
-  i64 x n  document ids;  ceil(n / 8) bytes  bit set of those that are null
-  ceil(n * l / 8) bytes  low parts;  the high part;  u32 per SAMPLE documents  their set bits' places
+  8 bytes  magic "SKNEF\\x02\\0\\0"
+  u32 bits of an id, u32 documents n, u32 of them, the first ones, without an id, u64 ids u, i64 least document id
+  twice, for the ends and for the document ids less the least one (of the n - m that have one), an Elias-Fano sequence:
+    u32 low bits l, u32 bytes of the high part,
+    ceil(n * l / 8) bytes  low parts;  the high part;  u32 per SAMPLE values  their set bits' places
   the ids
 """
 
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 
 from skeinframe.llm import _common, bpe
 
-MAGIC = b"SKNEF\x01\0\0"
-HEAD = struct.Struct("<8sIIQII")
+MAGIC = b"SKNEF\x02\0\0"
+HEAD, PART = struct.Struct("<8sIIIQq"), struct.Struct("<II")
 SAMPLE = 64
 #: A block ends with the document that brings it to this many ids.
 BLOCK_IDS = 1 << 18
@@ -44,72 +46,90 @@ def to_bits(values: np.ndarray, width: int) -> bytes:
     return np.packbits(((values[:, None] >> np.arange(width)) & 1).astype(np.uint8).ravel(), bitorder="little").tobytes()
 
 
-def from_bits(data: bytes, n: int, width: int) -> np.ndarray:
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little", count=n * width)
-    return bits.reshape(n, width).astype(np.int64) @ (1 << np.arange(width, dtype=np.int64)) if width else np.zeros(n, np.int64)
+class EliasFano:
+    """Ascending numbers from 0 on; nothing is decoded before it is asked for."""
+
+    def __init__(self, data: memoryview, n: int):
+        self.n = n
+        self.low, high = PART.unpack_from(data)
+        ends = np.cumsum([PART.size, (n * self.low + 7) // 8, high, 4 * -(-n // SAMPLE)]).tolist()
+        self._low, self._high = (np.frombuffer(data[a:b], np.uint8) for a, b in zip(ends[:2], ends[1:3]))
+        self._samples = np.frombuffer(data[ends[2] : ends[3]], "<u4")
+        self.bytes = ends[3]
+
+    @staticmethod
+    def encode(values: np.ndarray) -> bytes:
+        n = len(values)
+        low = max(0, (int(values[-1]) // n).bit_length() - 1) if n else 0
+        places = (values >> low) + np.arange(n)
+        high = np.zeros(int(places[-1]) + 1 if n else 0, np.uint8)
+        high[places] = 1
+        high = np.packbits(high, bitorder="little").tobytes()
+        return b"".join([PART.pack(low, len(high)), to_bits(values, low), high, places[::SAMPLE].astype("<u4").tobytes()])
+
+    def select(self, index: np.ndarray) -> np.ndarray:
+        """The numbers at ascending places. Of the high part only the runs from one sample to the next that hold them are read."""
+        out = np.zeros(len(index), np.int64)
+        run = index // SAMPLE
+        edge = np.flatnonzero(np.diff(run, prepend=-1, append=-1)).tolist()
+        for a, b in zip(edge[:-1], edge[1:]):
+            k = int(run[a])
+            begin = int(self._samples[k]) // 8
+            end = int(self._samples[k + 1]) // 8 + 1 if k + 1 < len(self._samples) else len(self._high)
+            bits = np.flatnonzero(np.unpackbits(self._high[begin:end], bitorder="little")) + 8 * begin
+            bits = bits[bits >= self._samples[k]]
+            out[a:b] = (bits[index[a:b] - k * SAMPLE] - index[a:b]) << self.low
+        if self.low:
+            at = index[:, None] * self.low + np.arange(self.low)
+            out |= ((self._low[at >> 3] >> (at & 7)) & 1).astype(np.int64) @ (1 << np.arange(self.low, dtype=np.int64))
+        return out
+
+    def rank(self, value: int) -> int:
+        """How many numbers are below value: a search by select()."""
+        a, b = 0, self.n
+        while a < b:
+            m = (a + b) // 2
+            a, b = (m + 1, b) if self.select(np.array([m]))[0] < value else (a, m)
+        return a
 
 
 def encode(keys: list, ends: np.ndarray, ids: np.ndarray, id_bits: int) -> bytes:
-    """keys: document ids; ends: their end offsets, ascending, the last len(ids)."""
-    n, u = len(keys), len(ids)
-    low = max(0, (u // n).bit_length() - 1) if n else 0
-    places = (ends >> low) + np.arange(n)
-    high = np.zeros(int(places[-1]) + 1 if n else 0, np.uint8)
-    high[places] = 1
-    high = np.packbits(high, bitorder="little").tobytes()
-    null = np.packbits(np.array([k is None for k in keys], np.uint8), bitorder="little").tobytes()
-    numbers = np.array([k or 0 for k in keys], "<i8").tobytes()
-    return b"".join([HEAD.pack(MAGIC, id_bits, n, u, low, len(high)), numbers, null, to_bits(ends, low), high, places[::SAMPLE].astype("<u4").tobytes(), ids.astype(f"<u{id_bits // 8}").tobytes()])
+    """keys: document ids, ascending, nulls first; ends: their end offsets, ascending, the last len(ids)."""
+    named = np.array([k for k in keys if k is not None], np.int64)
+    least = int(named[0]) if len(named) else 0
+    head = HEAD.pack(MAGIC, id_bits, len(keys), len(keys) - len(named), len(ids), least)
+    return b"".join([head, EliasFano.encode(ends), EliasFano.encode(named - least), ids.astype(f"<u{id_bits // 8}").tobytes()])
 
 
 class Block:
-    """A payload's parts; nothing is decoded before it is asked for."""
+    """A payload's parts."""
 
     def __init__(self, payload: bytes):
-        magic, self.id_bits, self.n, self.u, self.low, high = HEAD.unpack_from(payload)
+        magic, self.id_bits, self.n, self.nulls, self.u, self.least = HEAD.unpack_from(payload)
         if magic != MAGIC:
             raise ValueError("not a block of token ids")
-        view, at = memoryview(payload), HEAD.size
-
-        def part(size: int) -> memoryview:
-            nonlocal at
-            at += size
-            return view[at - size : at]
-
-        self._keys, self._null = part(8 * self.n), part((self.n + 7) // 8)
-        self._low, self._high, self._samples = part((self.n * self.low + 7) // 8), part(high), part(4 * -(-self.n // SAMPLE))
-        self._ids = part(self.u * self.id_bits // 8)
+        view = memoryview(payload)
+        self.ends = EliasFano(view[HEAD.size :], self.n)
+        self.names = EliasFano(view[HEAD.size + self.ends.bytes :], self.n - self.nulls)
+        self._ids = view[HEAD.size + self.ends.bytes + self.names.bytes :]
 
     def keys(self) -> list:
-        null = np.unpackbits(np.frombuffer(self._null, np.uint8), bitorder="little", count=self.n)
-        return [None if x else k for k, x in zip(np.frombuffer(self._keys, "<i8").tolist(), null, strict=True)]
-
-    def ends(self) -> np.ndarray:
-        """All documents' end offsets."""
-        places = np.flatnonzero(np.unpackbits(np.frombuffer(self._high, np.uint8), bitorder="little"))[: self.n]
-        return ((places - np.arange(self.n)) << self.low) | from_bits(self._low, self.n, self.low)
-
-    def select(self, i: int) -> int:
-        """Document i's end offset, from the nearest sample on."""
-        left = i % SAMPLE
-        place = int(np.frombuffer(self._samples, "<u4")[i // SAMPLE])
-        at, bits = place // 8, self._high[place // 8] >> (place % 8) << (place % 8)
-        while left >= bits.bit_count():
-            left -= bits.bit_count()
-            at += 1
-            bits = self._high[at]
-        for _ in range(left):
-            bits &= bits - 1
-        place = 8 * at + (bits & -bits).bit_length() - 1
-        first = i * self.low
-        word = int.from_bytes(self._low[first // 8 : (first + self.low + 7) // 8], "little") >> (first % 8)
-        return ((place - i) << self.low) | (word & ((1 << self.low) - 1))
+        return [None] * self.nulls + (self.names.select(np.arange(self.names.n)) + self.least).tolist()
+
+    def bounds(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the documents at ascending places begin and end."""
+        both = self.ends.select(np.unique(np.concatenate([index - 1, index]).clip(0)))
+        at = {i: x for i, x in zip(np.unique(np.concatenate([index - 1, index]).clip(0)).tolist(), both.tolist())}
+        return np.array([at[i - 1] if i else 0 for i in index.tolist()], np.int64), np.array([at[i] for i in index.tolist()], np.int64)
 
     def ids(self, start: int = 0, end: int | None = None) -> np.ndarray:
         return np.frombuffer(self._ids, f"<u{self.id_bits // 8}")[start:end]
 
-    def document(self, i: int) -> np.ndarray:
-        return self.ids(self.select(i - 1) if i else 0, self.select(i))
+    def find(self, key: int) -> np.ndarray:
+        """The places of the documents with an id."""
+        if not self.names.n or key < self.least:
+            return np.zeros(0, np.int64)
+        return self.nulls + np.arange(self.names.rank(key - self.least), self.names.rank(key - self.least + 1))
 
 
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocab: str = bpe.VOCAB, end_id: int = 0, id_bits: int = 16, block_ids: int = BLOCK_IDS) -> None:
@@ -180,11 +200,32 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
         for batch in batches:
             for base, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 block = Block(payload.as_py())
-                ends = block.ends()
-                first = np.concatenate([[0], ends[:-1]])
+                first, ends = block.bounds(np.arange(block.n))
                 raw = memoryview(block.ids().astype("<u4").tobytes())
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(block.keys(), pa.int64()), pa.array(first + base), pa.array(ends - first), pa.array(crc, pa.int64())], ["k", "start", "n_tokens", "ids_crc32"])
 
     joined = _common.attach(blocks.select("shard", "before", "payload"), starts, "shard", "inner").select((F.col("first") + F.col("before")).alias("base"), "payload")
     return joined.mapInArrow(documents, "k long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("k", id_col)
+
+
+def lookup(spark: SparkSession, path: str, wanted: list[int], id_col: str = "doc_id") -> DataFrame:
+    """The ids of some documents: id_col, ids (array). Blocks are searched by their coded document ids; only what is found is decoded.
+
+    A document id that isn't there gives no row, a repeated one a row each time. An empty list gives no rows.
+    """
+    _common.prepare(spark)
+    wanted = sorted(set(wanted))
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column(0):
+                block = Block(payload.as_py())
+                for key in wanted:
+                    at = block.find(key)
+                    if len(at):
+                        ids = [block.ids(a, b).tolist() for a, b in zip(*block.bounds(at), strict=True)]
+                        yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["k", "ids"])
+
+    blocks = spark.read.schema("payload binary").parquet(path)
+    return blocks.mapInArrow(searched, "k long, ids array<int>").withColumnRenamed("k", id_col)
