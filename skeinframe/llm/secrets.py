@@ -1,11 +1,14 @@
 """Secret scans: fixed patterns, and formats inferred from labelled credentials.
 
-infer() builds the prefix tree of the credentials and merges states whose
-continuations are statistically compatible (Hoeffding bounds on how often a string
-ends there and on each symbol, checked down the tree). The result is a
-probabilistic automaton. Every candidate of a text is scored by its mean
-log-likelihood a symbol under that automaton; those that no credential's format
-explains have none. No row is shuffled.
+fit() takes the credentials that the base patterns find in the table, and the public
+formats, as labelled; other runs of credential characters are labelled as plain. Of
+each label infer() builds the prefix tree and merges states whose continuations are
+statistically compatible (Hoeffding bounds on how often a string ends there and on each
+symbol, checked down the tree), each state with the nearest of those that it may merge
+with. The results are two probabilistic automata. Every candidate of a text is scored
+by its mean log-likelihood a symbol under the credentials' automaton, and it is found
+if that is high enough and above the one under the plain strings' by a margin. No row
+is shuffled but the bounded sample that is learned from.
 """
 
 from __future__ import annotations
@@ -15,11 +18,13 @@ import math
 import random
 import re
 import string
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinframe.llm import _common
@@ -32,11 +37,16 @@ HEX_LONG = re.compile(r"[0-9a-f]{16,}")  # the same matches as HEX of 16 or more
 KINDS = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX_LONG, 0, 16))
 HINTS = ("password", "passwd", "secret", "token", "api")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9_-]{16,}")
+#: Candidates are parts of such runs, from their start or after a mark to their end or before a mark, of LEAST symbols or more.
+RUN, MARK, LEAST = re.compile(r"[A-Za-z0-9+/_.=-]{16,}"), frozenset("+/_.=-"), 16
 #: Symbols at the start of a string that stand for themselves; later ones stand for their kind.
 LITERAL = 4
-#: Mean natural log-likelihood a symbol below which a candidate is no credential.
-LEAST_SCORE = -1.6
+#: Mean natural log-likelihood a symbol below which a candidate is no credential, and by how much it must pass that of plain strings.
+LEAST_SCORE, MARGIN = -2.0, 0.1
+#: Strings of each label and base kind that are learned from, at most (those with the smallest hash), and the symbols of the longest.
+SAMPLE, LONGEST = 300, 200
+#: Passes of a state below which it is like any other.
+FEW = 4
 
 UPPER, LOWER, DIGITS = string.ascii_uppercase, string.ascii_lowercase, string.digits
 # Public token formats (prefix, alphabet, least and most further characters).
@@ -50,15 +60,20 @@ FORMATS = (
     ("npm_", UPPER + LOWER + DIGITS, 36, 36),
 )
 
+PUBLIC = re.compile("|".join(prefix for prefix, *_ in FORMATS))
 
-def labelled_credentials(each: int = 100, seed: int = 3) -> list[str]:
+
+def labelled_credentials(each: int = 200, seed: int = 3) -> list[str]:
     """`each` credentials of every public format."""
     rng = random.Random(seed)
     return [prefix + "".join(rng.choices(alphabet, k=rng.randint(least, most))) for prefix, alphabet, least, most in FORMATS for _ in range(each)]
 
 
+_KINDS = {c: k for k, chars in (("f", "abcdef"), ("a", LOWER[6:]), ("F", "ABCDEF"), ("A", UPPER[6:]), ("0", DIGITS)) for c in chars}
+
+
 def symbols(text: str, literal: int = LITERAL) -> list[str]:
-    return [c if i < literal else "a" if c in LOWER else "A" if c in UPPER else "0" if c in DIGITS else c for i, c in enumerate(text)]
+    return [c if i < literal else _KINDS.get(c, c) for i, c in enumerate(text)]
 
 
 class Tree:
@@ -118,14 +133,20 @@ def infer(credentials: list[str], alpha: float = 0.05, literal: int = LITERAL) -
                 else:
                     tree.next[p][c] = b
 
+    def distance(p: int, q: int) -> float:
+        """Between what follows two states."""
+        shares = ({c: tree.seen[x] / tree.seen[s] for c, x in tree.next[s].items()} | {"": tree.end[s] / tree.seen[s]} for s in (p, q))
+        a, b = shares
+        return sum(abs(a.get(c, 0) - b.get(c, 0)) for c in a.keys() | b.keys())
+
     depth = {0: 0}
     red = [0]
     while blue := min(((depth[p] + 1, p, c) for p in red for c, q in tree.next[p].items() if q not in depth), default=None):
         deep, p, c = blue
         q = tree.next[p][c]
-        # states within the literal part keep their place: formats are told apart by their first symbols
-        match = next((r for r in red if depth[r] >= literal and compatible(r, q)), None) if deep >= literal else None
-        if match is None:
+        fits = [r for r in red if (tree.seen[q] < FEW or compatible(r, q))]
+        match = min(fits, key=lambda r: (distance(r, q), r), default=None)
+        if match is None or distance(match, q) > 1.5:
             depth[q] = deep
             red.append(q)
         else:
@@ -159,65 +180,138 @@ def score(text: str, model: list, literal: int = LITERAL) -> float:
     return (total + model[at][0]) / (len(s) + 1)
 
 
+class Model(NamedTuple):
+    credentials: list
+    plain: list
+
+    def judge(self, text: str) -> tuple[float, bool]:
+        """(score under the credentials' automaton, whether the text is taken for a credential)."""
+        own = score(text, self.credentials)
+        return own, own >= LEAST_SCORE and own >= score(text, self.plain) + MARGIN
+
+    def longest(self, run: str, start: int) -> tuple[int, float] | None:
+        """(end, score) of the longest credential of a run that begins at start."""
+        at, total, best = 0, 0.0, None
+        for i in range(start, len(run)):
+            c = run[i] if i - start < LITERAL else _KINDS.get(run[i], run[i])
+            step = self.credentials[at][1].get(c)
+            if step is None:
+                break
+            total, at, n = total + step[0], step[1], i - start + 1
+            if n >= LEAST and (i + 1 == len(run) or run[i + 1] in MARK):
+                own = (total + self.credentials[at][0]) / (n + 1)
+                if own >= LEAST_SCORE and own >= score(run[start : i + 1], self.plain) + MARGIN:
+                    best = (i + 1, own)
+        return best
+
+
 @lru_cache(maxsize=1)
-def default_model() -> list:
-    return infer(labelled_credentials())
+def default_model() -> Model:
+    """Of the public formats alone."""
+    return Model(infer(labelled_credentials()), infer([]))
 
 
-def base_spans(text: str) -> list[list[tuple[int, int]]]:
-    """Of each base kind its spans."""
+def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model:
+    """Learn from at most `sample` strings of each base kind and as many plain ones of the table, and from the public formats.
+
+    Null and empty texts hold none; repeated strings count once; an empty table leaves the public formats.
+    """
+    _common.prepare(docs.sparkSession)
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[dict[str, int]] = [{} for _ in range(len(KINDS) + 1)]
+
+        def cut(k: int, most: int) -> None:
+            if len(found[k]) > most:
+                found[k] = dict(sorted(found[k].items(), key=lambda x: (x[1], x[0]))[:sample])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if not text:
+                    continue
+                spans = base_spans(text, True)
+                inside = [s for part in spans for s in part]
+                for k, part in enumerate(spans):
+                    found[k].update((text[a:b], zlib.crc32(text[a:b].encode())) for a, b in part if b - a <= LONGEST)
+                    cut(k, 8 * sample)
+                plain = ((m.group(), m.span()) for m in RUN.finditer(text))
+                found[-1].update((t, zlib.crc32(t.encode())) for t, (i, j) in plain if len(t) <= LONGEST and not any(a < j and i < b for a, b in inside) and not PUBLIC.search(t))
+                cut(-1 % len(found), 8 * sample)
+        for k in range(len(found)):
+            cut(k, sample)
+        rows = [(k, t) for k, part in enumerate(found) for t in part]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([t for _, t in rows], pa.string())], ["kind", "s"])
+
+    strings = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(labelled, "kind int, s string").distinct()
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.crc32(F.col("s").cast("binary")), "s"))
+    got = strings.withColumn("place", place).where(F.col("place") <= sample).orderBy("kind", "s").select("kind", "s").collect()  # sample rows a kind at most
+    own = [r["s"] for r in got if r["kind"] < len(KINDS)]
+    return Model(infer(labelled_credentials() + own), infer([r["s"] for r in got if r["kind"] == len(KINDS)]))
+
+
+def base_spans(text: str, secret: bool = False) -> list[list[tuple[int, int]]]:
+    """Of each base kind its spans, or those of the secrets in them."""
     low = text.lower()
     out = []
     for kind, pattern, group, least in KINDS:
         if kind == "assign" and not any(h in low for h in HINTS) or kind == "access" and "AKIA" not in text:
             out.append([])
         else:
-            out.append([m.span() for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least])
+            out.append([m.span(group if secret else 0) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least])
     return out
 
 
-def model_spans(text: str, model: list, taken: list[tuple[int, int]], least: float = LEAST_SCORE) -> list[tuple[int, int]]:
-    """Candidates that the automaton explains and that overlap no base span."""
-    begins = {c for c in model[0][1]}
+def model_spans(text: str, model: Model) -> list[tuple[int, int, float]]:
+    """(start, end, score) of the candidates taken for credentials, from the left, each as long as may be; none overlap."""
+    begins = model.credentials[0][1]
     out = []
-    for m in CANDIDATE.finditer(text):
-        if text[m.start()] in begins and score(m.group(), model) >= least and not any(a < m.end() and m.start() < b for a, b in taken):
-            out.append(m.span())
+    for m in RUN.finditer(text):
+        run, start = m.group(), 0
+        while start <= len(run) - LEAST:
+            best = model.longest(run, start) if (start == 0 or run[start - 1] in MARK) and run[start] in begins else None
+            if best:
+                out.append((m.start() + start, m.start() + best[0], best[1]))
+            start = best[0] if best else start + 1
     return out
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: list | None = None, least: float = LEAST_SCORE) -> DataFrame:
-    """A row per document: the id and the found spans, array<struct<kind, start, end>> by start, then kind; kind `format` is the automaton's.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
+    """A row per document: the id and the found spans, array<struct<kind, start, end, score>> by start, then kind.
 
-    Places count code points, ends exclusive. Cases: a null text is an empty one, without spans; any id, null or repeated,
-    is passed on; an empty table gives no rows; other columns are ignored.
+    Kind `format` is the automata's; it leaves out what is just a base span or its secret. score is the mean log-likelihood of the
+    secret under the credentials' automaton, null if it has no such string. Places count code points, ends exclusive.
+    Cases: a null text is an empty one, without spans; any id, null or repeated, is passed on; an empty table gives no rows;
+    other columns are ignored.
     """
     _common.prepare(docs.sparkSession)
     model = default_model() if model is None else model
     kind = docs.schema[id_col].dataType
     names = [k for k, *_ in KINDS] + ["format"]
-    struct = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+    struct = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                found = base_spans(text or "")
-                found.append(model_spans(text, model, [s for spans in found for s in spans], least) if text else [])
-                rows.append([{"kind": names[k], "start": a, "end": b} for a, k, b in sorted((a, k, b) for k, spans in enumerate(found) for a, b in spans)])
+                text = text or ""
+                spans, secrets = base_spans(text), base_spans(text, True)
+                found = [(a, k, b, score(text[i:j], model.credentials)) for k in range(len(KINDS)) for (a, b), (i, j) in zip(spans[k], secrets[k], strict=True)]
+                known = {s for part in (*spans, *secrets) for s in part}
+                found += [(a, len(KINDS), b, own) for a, b, own in model_spans(text, model) if (a, b) not in known]
+                rows.append([{"kind": names[k], "start": a, "end": b, "score": own if own > -math.inf else None} for a, k, b, own in sorted(found)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(struct))], ["id", "found"])
 
-    schema = f"id {kind.simpleString()}, found array<struct<kind: string, start: bigint, end: bigint>>"
+    schema = f"id {kind.simpleString()}, found array<struct<kind: string, start: bigint, end: bigint, score: double>>"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(scanned, schema).withColumnRenamed("id", id_col)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Of scan()'s rows: the id, n_assign, n_access, n_hex, base_sha256, spans."""
+    """Of scan()'s rows: the id, n_assign, n_access, n_hex, base_sha256, spans, best_score (the largest; null if there is none)."""
     spans = F.col("found")
     count = lambda k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     line = lambda which: F.concat_ws(",", F.transform(which, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     base = F.filter(spans, lambda s: s["kind"] != "format")
-    return found.select(id_col, count("assign"), count("access"), count("hex"), F.sha2(line(base), 256).alias("base_sha256"), line(spans).alias("spans"))
+    return found.select(id_col, count("assign"), count("access"), count("hex"), F.sha2(line(base), 256).alias("base_sha256"), line(spans).alias("spans"), F.array_max(F.transform(spans, lambda s: s["score"])).alias("best_score"))
 
 
 def sha256_of(spans: list[tuple[str, int, int]]) -> str:
