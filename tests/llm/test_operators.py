@@ -19,11 +19,15 @@ def low(t):
     return re.sub("[A-Z]", lambda m: m.group().lower(), t)
 
 
-ODD = ["", "a", "  ", "   a  b\n\n c", " it's we're I'll 've 'stop ''s \"'s\" a's' 'd", "x'", "'", "'s", "'re", "'r", "'l l", "1'll", "don't 　 x \t\n y ", "é'été 12½ ²", "日本語 テスト", "a\x85b\x1cc\x1d \x1e", "  lead", "trail  \n", "\n\n", "<|endoftext|> a", "😀 'm😀", "a​b", "Ᲊ unassigned once", "w" * 5000 + " end"]
+ODD = ["", "a", "  ", "   a  b\n\n c", " it's we're I'll 've 'stop ''s \"'s\" a's' 'd", "x'", "'", "'s", "'re", "'r", "'l l", "1'll", "don't 　 x \t\n y ", "é'été 12½ ²", "日本語 テスト", "a\x85b\x1cc\x1d \x1e", "  lead", "trail  \n", "\n\n", "<|endoftext|> a", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "plain", "<|endoftext|", "x <|endoftext|>", "😀 'm😀", "a​b", "Ᲊ unassigned once", "w" * 5000 + " end"]
 
 
 def library(texts):
-    return [np.array([*e.ids, 0], "<u4") for e in bpe.load().tokenizer.encode_batch(texts, add_special_tokens=False)]
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return [np.array([*e.ids, 0], "<u4") for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_batch_ids_are_the_librarys(corpus):
@@ -71,6 +75,31 @@ def test_license(docs, corpus):
     assert rows[3]["labels"] == "mit" and rows[4]["labels"] == "apache-2" and rows[4]["score"] == 1.0
 
 
+def test_whole_licenses(spark):
+    """Each template's own text, with its optional parts and without, is found as it is and not with a mandatory word changed."""
+    rng, texts = random.Random(5), []
+    for markup, label in license.TEMPLATES:
+        for optional in (True, False):
+            words, skipped = [], 0
+            for mark, word in license._PART.findall(markup):
+                kind, _, rest = mark.partition(";")
+                skipped += (kind == "beginOptional") - (kind == "endOptional")
+                if kind in ("beginOptional", "endOptional") or skipped and not optional:
+                    continue
+                words += ["some"] * int(rest.removeprefix("match=").split("-")[1]) if kind == "var" else [rest.split("|")[0]] if kind == "alt" else [word]
+            texts.append((label, words))
+            own = license.Automaton(markup)
+            hashes = [license._common.word_hash(w) for w in words]
+            assert own.accepts(hashes)
+            fixed = [k for k, w in enumerate(words) if f" {w} " in f" {markup} " and "<<" not in w and w not in ("some",)]
+            if not optional and len(fixed) == len(words):
+                k = rng.choice(fixed)
+                assert not own.accepts([*hashes[:k], 1, *hashes[k + 1 :]])
+    df = spark.createDataFrame([(i, "Intro. " + ", ".join(w.capitalize() for w in words) + " End.") for i, (_, words) in enumerate(texts)], "doc_id long, text string")
+    for r in license.scan(df).collect():
+        assert texts[r["doc_id"]][0] in r["labels"].split(",") and r["score"] == 1.0
+
+
 def test_exact(docs, corpus):
     rows = {r["doc_id"]: r for r in exact.exact_groups(docs).collect()}
     groups = defaultdict(list)
@@ -108,6 +137,45 @@ def test_mixing(docs, corpus):
     assert all(expanded[r["doc_id"]] * r["size"] == r["taken"] for r in rows)
 
 
+def test_mixing_draws(spark):
+    """Each document is copied with its source's fraction, over many seeds; sums stay within one document; rows without an id count."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 9)), "a") for i in range(12)] + [(50, "x " * 7, "b")] + [(None, "ten words " * 5, "c")] * 9 + [(60, "twice twice", "d"), (60, "twice twice", "d"), (60, "other text of it", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    seeds, taken = 60, Counter()
+    for seed in range(seeds):
+        got = mixing.mix_sizes(docs, seed=seed).collect()
+        assert len(got) == len(rows)
+        sums, targets, largest = Counter(), {}, Counter()
+        for r in got:
+            sums[r["source_size"]] += r["taken"]
+            targets[r["source_size"]], largest[r["source_size"]] = r["target"], max(largest[r["source_size"]], r["size"])
+            taken[r["doc_id"], r["size"]] += r["taken"] / r["size"]
+        assert all(abs(sums[s] - targets[s]) <= largest[s] + 1e-6 for s in targets)
+    size = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abcd"}
+    number = Counter((i, len(t.split())) for i, t, _ in rows)
+    for (i, n), total in taken.items():
+        s = next(x for j, t, x in rows if j == i and len(t.split()) == n)
+        rate = targets[size[s]] / size[s]
+        part = rate - int(rate + 1e-12)
+        mean = number[i, n] * seeds * rate
+        assert abs(total - mean) <= 3.5 * (number[i, n] ** 2 * seeds * part * (1 - part)) ** 0.5 + 1e-6
+    expanded = Counter((r["doc_id"], r["text"]) for r in mixing.mix(docs).collect())
+    sizes = Counter()
+    for r in mixing.mix_sizes(docs).collect():
+        sizes[r["doc_id"], r["size"]] += r["taken"] // r["size"]
+    assert {(i, len(t.split())): n for (i, t), n in expanded.items()} == {k: n for k, n in sizes.items() if n}
+
+
+def test_mixing_in_buckets(spark, monkeypatch):
+    """Small hash buckets and windows give what one order of the whole source gives."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 3 + 1).cast("int")).alias("text"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 5 == 0, "b").otherwise("c").alias("source"))
+    whole = sorted(map(tuple, mixing.mix_sizes(docs).collect()))
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 16)
+    monkeypatch.setattr(mixing._common, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, mixing.mix_sizes(docs).collect())) == whole
+
+
 def test_targets_are_reshared(spark):
     df = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), ("d", 1), (None, 500)], "src string, size long")
     got = {r["src"]: r["target"] for r in mixing.source_rates(df).collect()}
@@ -131,7 +199,7 @@ def test_near_duplicates(docs, corpus):
         sets.append(Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))))
         df.update(sets[-1].keys())
     n = len(corpus)
-    idf = {s: np.log1p(n / max(c, n * minhash.SHARE, 1)) for s, c in df.items()}
+    idf = {s: np.log1p(n / c) for s, c in df.items()}
     parent = list(range(n))
 
     def root(x):
@@ -149,6 +217,42 @@ def test_near_duplicates(docs, corpus):
     assert rows == {corpus[i][0]: corpus[root(i)][0] for i in range(n)}
 
 
+def test_document_frequencies(spark, monkeypatch):
+    """Counters, moved in many small pieces, against a Counter; the table gives every shingle's idf."""
+    monkeypatch.setattr(minhash, "HELD", 50)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    df, hashes = Counter(), {}
+    for t in texts:
+        b = np.frombuffer(t.encode(), np.uint8)
+        h = minhash.shingles(b, np.array([0, len(b)]), 2)[0]
+        df.update(h.tolist())
+    pieces = minhash.counters(spark.createDataFrame([(t, 1) for t in texts], "t string, n int").repartition(3), 2, 8)
+    for least in (1.0, 30.0):
+        table = minhash.frequencies(pieces, least)
+        assert table.agg(F.sum("n")).first()[0] == sum(c > least for c in df.values())
+        idf = minhash.idf_table(table, 200, least, 8)
+        idf.__setstate__(idf.__getstate__())
+        names = np.array(sorted(df), np.uint64)
+        want = np.array([np.log(np.log1p(200 / max(df[int(h)], least))) for h in names])
+        assert np.abs(idf(names) - want).max() < 0.02
+
+
+def test_rows_are_told_apart_by_themselves(spark):
+    """Near copies that share ids with other texts, repeated rows, and rows without an id."""
+    base = " ".join(f"n{k}" for k in range(60))
+    rows = [(7, base), (7, "a text of its own that is like no other one here"), (3, base + " more"), (None, base + " less"), (None, "alone and without any id at all, it stays"), (9, base), (9, base)]
+    rows += [(100 + i, " ".join(f"q{i}x{k}" for k in range(30))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for options in ({}, {"by_class": True}):
+        got = minhash.near_groups(df, **options).collect()
+        assert sorted((r["doc_id"] or -1, r["class_id"] or -1, r["kept"], r["class_size"]) for r in got if (r["doc_id"] or 0) < 100) == sorted([(-1, 3, False, 5), (-1, -1, True, 1), (3, 3, True, 5), (7, 3, False, 5), (7, 7, True, 1), (9, 3, False, 5), (9, 3, False, 5)])
+    left = Counter((r["doc_id"], r["text"]) for r in minhash.near_dedup(df).collect())
+    assert left == Counter([rows[1], rows[2], rows[4], *rows[7:]])
+    twice = spark.createDataFrame([(1, base), (1, base), (2, base + " x")], "doc_id long, text string")
+    assert [tuple(r) for r in minhash.near_dedup(twice).collect()] == [(1, base)]
+
+
 def test_near_duplicate_chains(spark):
     """A chain of texts, each like its neighbours but not like the first, and a large group of near copies in small blocks."""
     rng = random.Random(4)
@@ -277,13 +381,55 @@ def test_secrets(docs, corpus):
     assert "format:" in rows[5]["spans"] and rows[3]["n_hex"] == 1 and rows[3]["n_assign"] == 1 and rows[4]["n_access"] == 1
 
 
-def test_inferred_formats():
-    model = secrets.default_model()
+def test_inferred_formats(spark):
+    rng = random.Random(9)
+    keys = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(300)]
+    words = ["".join(rng.choices(["heit", "lich", "tion", "ment"], k=rng.randint(4, 7))) for _ in range(300)]
+    docs = spark.createDataFrame([(f'see token = "{k}" and {w}, then',) for k, w in zip(keys, words)], "text string").repartition(3)
+    model = secrets.fit(docs)
     held = secrets.labelled_credentials(100, seed=50)
-    assert np.mean([secrets.score(x, model) >= secrets.LEAST_SCORE for x in held]) > 0.95
-    for plain in ("internationalization", "this_is_not_a_secret_at_all", "0123456789012345678901", "some-long-hyphenated-word"):
-        assert secrets.score(plain, model) < secrets.LEAST_SCORE
-    assert len(model) < len(held)
+    assert np.mean([model.judge(x)[1] for x in held]) > 0.9
+    assert np.mean([model.judge("".join(rng.choices("0123456789abcdef", k=40)))[1] for _ in range(200)]) > 0.9
+    for plain in ("internationalization", "this_is_not_a_secret_at_all", "some-long-hyphenated-word", "heitlichtionment", "deadbeefheitlich"):
+        assert not model.judge(plain)[1] and not secrets.model_spans(plain, model)
+    # found from its own start, as long as it is, wherever it is glued to
+    key = held[0]
+    for before, after in (("", ""), ("key_", ""), ("a/b.", "/end"), ("x-", ".")):
+        assert [(a, b) for a, b, _ in secrets.model_spans(before + key + after, model)] == [(len(before), len(before + key))]
+    states = sum(len(set(x)) for x in (held,)) * 20
+    assert len(model.credentials) < states / 10
+
+
+def brute_score(text, model):
+    """By recursion over the automaton."""
+
+    def go(s, at):
+        if not s:
+            return model[at][0]
+        step = model[at][1].get(s[0])
+        return -np.inf if step is None else step[0] + go(s[1:], step[1])
+
+    return go(secrets.symbols(text), 0) / (len(text) + 1)
+
+
+def test_candidates_against_brute_force():
+    """Every part of a run between marks is scored; from the left the longest that is taken wins."""
+    model = secrets.default_model()
+    held = secrets.labelled_credentials(3, seed=12)
+    for run in ["a-" + "_".join(held[k::7][:2]) + ".z" for k in range(7)] + ["no_secret-in.here/at=all", "AIza" * 12]:
+        starts = [i for i in range(len(run)) if i == 0 or run[i - 1] in secrets.MARK]
+        want, upto = [], 0
+        for i in starts:
+            if i < upto:
+                continue
+            ends = [j for j in range(i + secrets.LEAST, len(run) + 1) if j == len(run) or run[j] in secrets.MARK]
+            taken = [j for j in ends if brute_score(run[i:j], model.credentials) >= max(secrets.LEAST_SCORE, brute_score(run[i:j], model.plain) + secrets.MARGIN)]
+            if taken:
+                want.append((i, max(taken)))
+                upto = max(taken)
+        assert [(a, b) for a, b, _ in secrets.model_spans(run, model)] == want
+        for a, b, own in secrets.model_spans(run, model):
+            assert own == pytest.approx(brute_score(run[a:b], model.credentials))
 
 
 def test_toxicity_learns_words_and_pairs(spark):
@@ -310,6 +456,50 @@ def test_toxicity_learns_words_and_pairs(spark):
     assert left == {i for i, r in out.items() if r["predicted"] == 0}
 
 
+def test_toxicity_learns_what_single_words_dont_say(spark):
+    """Two words, each neutral alone: the label is whether both or neither are there."""
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"w{rng.randrange(300)}" for _ in range(30)] + ["alpha"] * a + ["bravo"] * b
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(a == b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = {r["doc_id"]: r for r in toxic.score(docs, toxic.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()}
+    assert np.mean([out[i]["predicted"] == y for i, y in labels if out[i]["held_out"]]) >= 0.95
+
+
+def test_scores_against_all_pairs():
+    """A score is the bias, the weights, and the products of every pair of different terms."""
+    rng = np.random.default_rng(4)
+    texts = ["vile group vile group again", "group", "", "a b c d e f g h"]
+    names = np.unique(np.concatenate([toxic.levelled(toxic.terms(b, np.array([0, len(b)]))[0]) for b in (np.frombuffer(t.encode(), np.uint8) for t in texts)]))
+    names = names[rng.random(len(names)) < 0.7]
+    machine = toxic.Machine(toxic.BITS, names, -0.3, rng.normal(size=len(names)), rng.normal(size=(len(names), 3)) / 3)
+    buf, off = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    for t, got in zip(texts, machine.scores(buf, off)):
+        b = np.frombuffer(t.encode(), np.uint8)
+        own = toxic.levelled(toxic.terms(b, np.array([0, len(b)]))[0])
+        at = [int(np.flatnonzero(names == x)[0]) for x in own if x in names]
+        margin = -0.3 + sum(machine.weight[i] for i in at) + sum(machine.factor[i] @ machine.factor[j] for n, i in enumerate(at) for j in at[:n])
+        assert got == pytest.approx(1 / (1 + np.exp(-margin)))
+
+
+def test_toxicity_labels(spark):
+    """Null and odd labels aren't learned from, an id with both counts as toxic, and the bytes that are learned from are bounded."""
+    schema = "doc_id long, text string"
+    docs = spark.createDataFrame([(i, "bad word" if i % 2 else "good word") for i in range(400)] + [(None, "bad"), (1, None)], schema)
+    odd = [(i, i % 2) for i in range(400)] + [(3, None), (None, 1), (5, 7), (2, 1), (2, 0)]
+    machine = toxic.fit(docs, spark.createDataFrame(odd, "doc_id long, toxic int"), most=40_000)
+    out = {r["doc_id"]: r["predicted"] for r in toxic.score(docs.where("doc_id > 5"), machine).collect()}
+    assert out == {i: i % 2 for i in range(6, 400)}
+    for labels in ([], [(i, 1) for i in range(9)], [(i, None) for i in range(9)]):
+        machine = toxic.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+        assert {r["score"] > 0.5 for r in toxic.score(docs, machine).collect()} == {bool(labels and labels[0][1])}
+
+
 def test_elias_fano_block():
     rng = np.random.default_rng(1)
     for n in (1, 2, 63, 64, 65, 500):
@@ -317,14 +507,17 @@ def test_elias_fano_block():
         sizes[rng.integers(0, n)] = 5000
         ends = np.cumsum(sizes)
         ids = rng.integers(0, 50257, ends[-1]).astype(np.uint32)
-        keys = [None if k % 7 == 3 else k * 3 - 5 for k in range(n)]
+        keys = [None] * (n // 3) + sorted(rng.integers(-(10**6), 10**6, n - n // 3).tolist())
         for bits in (16, 32):
-            block = tokenfile.Block(tokenfile.encode(keys, ends, ids, bits))
-            assert block.keys() == keys and (block.ends() == ends).all() and (block.ids() == ids).all()
-            assert [block.select(i) for i in range(n)] == ends.tolist()
-            assert (block.document(n - 1) == ids[ends[-1] - sizes[-1] :]).all()
-    table = len(tokenfile.to_bits(np.zeros(500, int), block.low)) + len(block._high)
-    assert table < 8 * 500 / 4
+            payload = tokenfile.encode(keys, ends, ids, bits)
+            block = tokenfile.Block(payload)
+            assert block.keys() == keys and (block.ids() == ids).all()
+            first, last = block.bounds(np.arange(n))
+            assert (last == ends).all() and (first == ends - sizes).all()
+            some = np.sort(rng.choice(n, min(n, 7), replace=False))
+            assert (block.bounds(some)[1] == ends[some]).all()
+            assert all(k in block.find(keys[k]) for k in range(n // 3, n)) and not len(block.find(2 * 10**6)) and not len(block.find(-(2 * 10**6)))
+    assert len(payload) - 4 * len(ids) < 500 * 8  # ids and ends of documents: less than one 64-bit table
 
 
 def test_token_files(spark, docs, corpus):
@@ -334,6 +527,8 @@ def test_token_files(spark, docs, corpus):
     ids = library([r[1] for r in sorted(corpus)])
     starts = np.cumsum([0, *map(len, ids)])[:-1]
     assert [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in rows] == [(r[0], int(s), len(x), zlib.crc32(x.tobytes())) for r, s, x in zip(sorted(corpus), starts, ids)]
+    got = {r["doc_id"]: r["ids"] for r in tokenfile.lookup(spark, path, [17, 250, 9999]).collect()}
+    assert got == {i: ids[i].tolist() for i in (17, 250)}
 
 
 def test_language(spark):
@@ -346,6 +541,29 @@ def test_language(spark):
     assert np.mean([out[i]["lang_pred"] == lang for i, lang in held]) > 0.95
 
 
+def test_language_is_the_smallest_size(spark):
+    """Against zstandard itself; of equal sizes the language with more known words."""
+    import zstandard
+
+    rng = random.Random(11)
+    books = {lang: " ".join(text(rng, 60, lang) for _ in range(20)) for lang in ("en", "fr", "de")}
+    books = {lang: langid.plain(t).encode() for lang, t in books.items()}
+    model = langid.Model(books)
+    for _ in range(60):
+        t = text(rng, rng.randint(1, 30), rng.choice(["en", "fr", "de"]))
+        raw = langid.plain(t).strip().encode()
+        sizes = {}
+        for lang in sorted(books):
+            data = zstandard.ZstdCompressionDict(books[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes[lang] = len(zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=data, write_checksum=False, write_content_size=False, write_dict_id=False).compress(raw))
+        best = [lang for lang in sizes if sizes[lang] == min(sizes.values())]
+        name, score, sure = model.predict(t)
+        assert name in best and 0 <= score <= 1 and (not sure or len(best) == 1)
+    rare = spark.createDataFrame([(i, f"w{i} word", f"lang{i}") for i in range(400)], "doc_id long, text string, lang string")
+    learned = {f"lang{i}" for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert set(langid.fit(rare)) == learned  # however many and rare
+
+
 def test_held_out_labels_are_not_learned(spark):
     rows = [(i, f"word{i} " * 20, "xx" if zlib.crc32(str(i).encode()) % 4 == 2 else "yy") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
