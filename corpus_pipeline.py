@@ -12,28 +12,39 @@ from skeinframe.llm import _common, exact, minhash, mixing, packing, toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the machine, learned from the labelled ones, doesn't reject."""
+    """Documents that the machine, learned from the labelled ones, doesn't reject.
+
+    Each row by its own text: null and empty texts stay unless texts without terms are toxic; null and repeated ids are like
+    others; an empty table, or one without labels, loses nothing."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxic.drop_toxic(docs, toxic.fit(docs, labels))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One row of each text, the one with the largest id; null texts are empty ones, so one of these stays in all.
+
+    A null id is the smallest; of a repeated row one stays; an empty table gives no rows."""
     return exact.exact_dedup(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One row of each class of near duplicates, one with the smallest id; texts without a word, null ones among them, all stay.
+
+    Rows without an id stay if no other of their class is there; of a repeated row one stays; an empty table gives no rows."""
     return minhash.near_dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target asks for."""
+    """Documents as often as their source's target asks for; null sources are one source, null texts have no words.
+
+    Rows with a null or repeated id are documents each for itself; an empty table gives no rows."""
     return mixing.mix(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows of 1024 ids."""
+    """Pieces of documents in windows of 1024 ids; null and empty texts have the end id alone.
+
+    Null ids stay null; rows with equal ids, copies of the mix among them, are packed each for itself; an empty table gives no rows."""
     return packing.pack(docs)
 
 
