@@ -6,7 +6,7 @@
    of their hashes and only counters that aren't zero are moved, four bytes each. A counter is too high by the shingles that
    share it, shingles / 2^40 on average, which is 1e-4 of FLOOR or less for texts of up to 1,000 words, however many they are.
    Shingles in FLOOR of the documents or less, or in one, weigh most and alike. The others, at most (shingles a document) /
-   FLOOR, are looked up in a broadcast table of about 7 bytes each.
+   FLOOR, are looked up in a broadcast table of about 4 bytes each.
 2. Each text gets `bands` x `rows` consistent weighted samples; two texts agree in one with probability equal to their
    weighted Jaccard similarity. A band's samples are a bucket.
 3. Texts with the same shingles become one node, whatever their ids. The others' buckets name candidates. Each is first
@@ -39,10 +39,12 @@ SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 14, 3
 #: Share of the documents up to which all shingles weigh alike.
 FLOOR = 1e-5
 #: Bits of the counters' numbers; counters summed together, about; shingles that a task holds before it adds them up.
-SLOT_BITS, PART, HELD = 40, 1 << 21, 1 << 21
+SLOT_BITS, PART, HELD = 40, 1 << 19, 1 << 20
 #: Texts compared with each other at a time, and members of a bucket dealt to a task.
 BLOCK, DEALT = 256, 128
 TABLE_BITS = 16
+#: Entries of the idf table that are looked through one by one: 2^LOAD_BITS on average at most.
+LOAD_BITS = 2
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,6 +223,7 @@ def counters(texts: DataFrame, size: int, bits: int, sign: int = 1) -> DataFrame
                     yield flush()
         if held:
             yield flush()
+        pa.default_memory_pool().release_unused()
 
     return texts.select("t", F.col("n").cast("long")).mapInArrow(added, PARTS).withColumn("sign", F.lit(sign))
 
@@ -247,7 +250,7 @@ def frequencies(pieces: DataFrame, least: float) -> DataFrame:
 def idf_table(df: DataFrame, documents: int, floor: float, bits: int) -> Idf:
     """The table of frequencies() as broadcast: it is put in order on the executors, and the driver joins its parts."""
     entries = df.agg(F.sum("n")).first()[0] or 0
-    top = min(max(bits, int(np.ceil(np.log2(max(entries, 1))))), 31)
+    top = min(max(bits, int(np.ceil(np.log2(max(entries, 1)))) - LOAD_BITS), 31)
     local = top - bits
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
