@@ -28,7 +28,7 @@ PREFIXES = (4, 5, 6, 8)
 #: Counts from which a repeated term is a further term.
 LEVELS = (1, 2, 4)
 #: Labelled rows of each label that are learned from, at most: those with the smallest hash of the id; and bytes of their terms.
-SAMPLE, SAMPLE_BYTES = 2_000, 24 << 20
+SAMPLE, SAMPLE_BYTES = 2_000, 14 << 20
 FACTORS, EPOCHS, BATCH = 3, 5, 64
 #: Step sizes of weights and vectors; standard errors that their gradients' sums must pass; the size of the vectors' first values.
 RATE, RATE_FACTORS, SURE, SURE_FACTORS, START = 0.5, 0.1, 4.0, 3.0, 0.003
@@ -97,8 +97,11 @@ def learn(texts: list[np.ndarray], labels: np.ndarray, bits: int = BITS, seed: i
     if not 0 < share < 1:
         return Machine(bits, np.zeros(0, np.int64), 30.0 if share else -30.0, np.zeros(0), np.zeros((0, FACTORS)))
     # terms that no text of the sample has would keep a weight of zero
-    names, flat = np.unique(np.concatenate(texts), return_inverse=True)
-    flat, first = flat.astype(np.int32), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    flat, first = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    names = np.flatnonzero(np.bincount(flat, minlength=len(LEVELS) << bits))
+    place = np.zeros(len(LEVELS) << bits, np.int32)
+    place[names] = np.arange(len(names))
+    flat = place[flat]
     rng = np.random.default_rng(seed)
     base, bias, bias_square = float(np.log(share / (1 - share))), 0.0, 1e-4
     start = rng.normal(0, START, (len(names), FACTORS)).astype(np.float32)
@@ -112,10 +115,11 @@ def learn(texts: list[np.ndarray], labels: np.ndarray, bits: int = BITS, seed: i
         part = order[s : s + BATCH]
         size = first[part + 1] - first[part]
         begin = np.append(0, np.cumsum(size))
-        used, at = np.unique(flat[np.repeat(first[part] - begin[:-1], size) + np.arange(begin[-1])], return_inverse=True)
+        used, at = np.unique(np.concatenate([flat[first[i] : first[i + 1]] for i in part]), return_inverse=True)
+        at = at.astype(np.int32)
         by_term = np.argsort(at, kind="stable").astype(np.int32)
         text = np.repeat(np.arange(len(part), dtype=np.int16), size)[by_term]
-        batches.append((part, begin, used, at.astype(np.int32), text, np.flatnonzero(np.diff(at[by_term], prepend=-1))))
+        batches.append((part, begin, used.astype(np.int32), at, text, np.flatnonzero(np.diff(at[by_term], prepend=-1))))
     del flat
 
     def moved(g: np.ndarray, q: np.ndarray, rate: float, sure: float) -> np.ndarray:
