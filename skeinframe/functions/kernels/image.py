@@ -117,29 +117,32 @@ def bilateral(a, spatial: float, chromatic: float):
 
 
 def mean_shift(a, spatial: float, chromatic: float, iterations: int):
-    """Each pixel climbs to the mean of the near pixels of near colour. Channels along the third dimension count together."""
-    image = a if a.ndim > 2 else a[..., None]
-    rows, columns, _ = image.shape
-    radius = max(int(spatial * 1.5), 1)
-    out = np.zeros(image.shape)
-    for i in range(rows):
-        for j in range(columns):
-            x, y, colour = i, j, image[i, j].astype(float)
-            for _ in range(iterations):
-                lo_x, lo_y = max(x - radius, 0), max(y - radius, 0)
-                part = image[lo_x : x + radius + 1, lo_y : y + radius + 1]
-                near = ((part - colour) ** 2).sum(axis=2) <= chromatic**2
-                if not near.any():
-                    break
-                gx, gy = np.nonzero(near)
-                new = part[near].mean(axis=0)
-                nx, ny = int(lo_x + gx.mean()), int(lo_y + gy.mean())
-                moved = abs(nx - x) + abs(ny - y) + ((new - colour) ** 2).sum()
-                x, y, colour = nx, ny, new
-                if moved <= 1:
-                    break
-            out[i, j] = colour
-    return out.reshape(a.shape)
+    """Each pixel climbs to the mean of the near pixels of near colour, all pixels at a time. Mean places and colours lose their
+    fractions in every round. A pixel stops where its place stays, or where place and colour move by 1 or less. Channels along the
+    third dimension count together."""
+    image = np.asarray(a, float).reshape(*a.shape[:2], -1)
+    (rows, columns, _), radius = image.shape, max(int(spatial * 1.5), 1)
+    padded = np.pad(image, [(radius, radius), (radius, radius), (0, 0)], constant_values=np.nan)  # NaN is near nothing
+    offset = np.arange(-radius, radius + 1)
+    x, y = (g.ravel() for g in np.meshgrid(np.arange(rows), np.arange(columns), indexing="ij"))
+    colour, going = image[x, y], np.arange(rows * columns)
+    for _ in range(iterations):
+        at, old = (x[going], y[going]), colour[going]
+        spots = np.broadcast_arrays(at[0][:, None, None] + offset[:, None], at[1][:, None, None] + offset)
+        part = padded[spots[0] + radius, spots[1] + radius]
+        near = ((part - old[:, None, None]) ** 2).sum(axis=3) <= chromatic**2
+        count = near.sum(axis=(1, 2))
+        some = np.maximum(count, 1)
+        mean = [np.trunc((near * s).sum(axis=(1, 2)) / some).astype(int) for s in spots]
+        new = np.trunc(np.where(near[..., None], part, 0).sum(axis=(1, 2)) / some[:, None])
+        moved = abs(mean[0] - at[0]) + abs(mean[1] - at[1])
+        stop = (moved == 0) | (moved + ((new - old) ** 2).sum(axis=1) <= 1)
+        found = count > 0
+        x[going[found]], y[going[found]], colour[going[found]] = mean[0][found], mean[1][found], new[found]
+        going = going[found & ~stop]
+        if not len(going):
+            break
+    return colour.reshape(a.shape)
 
 
 def regions(a, connectivity: int = 4):
@@ -281,11 +284,10 @@ def histogram(a, bins: int, low: float, high: float):
 
 def hist_equal(a, hist):
     """Values (whole numbers from 0) through the normalized running sum of a histogram."""
-    hist = hist.ravel().real
-    upto = hist.cumsum()
-    first = upto[np.flatnonzero(hist)[0]] if hist.any() else 0
-    table = np.round((upto - first) / max(upto[-1] - first, 1) * (len(hist) - 1)).clip(0)
-    return table[np.asarray(a).astype(int).clip(0, len(hist) - 1)]
+    upto = hist.ravel().real.cumsum()
+    low, high = (upto.min(), upto.max()) if len(upto) else (0.0, 0.0)
+    table = np.trunc((len(upto) - 1) * (upto - low) / (high - low if high > low else 1.0))
+    return table[np.asarray(a).astype(int).clip(0, len(upto) - 1)]
 
 
 # edges, diffusion, deconvolution, regions ------------------------------------------------------------
@@ -323,68 +325,93 @@ def canny(a, low: float = 0.1, high: float | None = None, fast: bool = False):
 
 
 def anisotropic_diffusion(a, step: float, conductance: float, iterations: int, flux: str = "exponential", kind: str = "gradient"):
-    """flux: exponential or quadratic; kind: gradient (Perona-Malik) or curvature (modified curvature diffusion)."""
+    """flux: exponential or quadratic; kind: gradient (Perona-Malik) or curvature (modified curvature diffusion).
+
+    Between a pixel and its neighbour on an axis the squared gradient is that of their difference and of the other axis's central
+    difference, averaged over both. Edges are clamped.
+    """
     a = np.array(a, float)
-    g = (lambda d, k: np.exp(-d / k)) if flux == "exponential" else (lambda d, k: 1 / (1 + d / k))
     for _ in range(iterations):
+        mean = sum(np.gradient(a, axis=k) ** 2 for k in (0, 1)).mean() if min(a.shape) > 1 else 0.0
+        rate = 1 / max(2 * conductance * conductance * mean, 1e-12)
         p = np.pad(a, 1, mode="edge")
-        north, south, west, east = (p[:-2, 1:-1] - a, p[2:, 1:-1] - a, p[1:-1, :-2] - a, p[1:-1, 2:] - a)
-        mean = (np.gradient(a, axis=0) ** 2 + np.gradient(a, axis=1) ** 2).mean() if min(a.shape) > 1 else 0.0
-        k = max(2 * conductance * conductance * mean, 1e-12)
-        if kind == "gradient":
-            a = a + step * sum(g(d * d, k) * d for d in (north, south, west, east))
-        else:
-            dx, dy = (south - north) / 2, (east - west) / 2
-            size = np.sqrt(dx * dx + dy * dy + 1e-12)
-            c = g(size * size, k)
-            nx, ny = c * dx / size, c * dy / size
-            flow = np.gradient(nx, axis=0) + np.gradient(ny, axis=1)
-            up = np.sqrt(sum(np.where(flow > 0, np.maximum(s * d, 0), np.minimum(s * d, 0)) ** 2 for s, d in ((-1, north * -1), (1, south), (-1, west * -1), (1, east))))
-            a = a + step * flow * up
+        total, climb, sink = np.zeros(a.shape), np.zeros(a.shape), np.zeros(a.shape)
+        for axis in (0, 1):
+            q = p if axis == 0 else p.T
+            ahead = np.diff(q, axis=0)[:, 1:-1]  # between neighbours along the axis
+            slope = (q[:, 2:] - q[:, :-2]) / 2
+            square = ahead**2 + ((slope[1:] + slope[:-1]) / 2) ** 2
+            share = np.exp(-square * rate) if flux == "exponential" or kind != "gradient" else 1 / (1 + square * rate)
+            flow = ahead * share if kind == "gradient" else ahead / np.sqrt(1e-10 + square) * share
+            parts = np.diff(flow, axis=0), np.maximum(ahead[1:], 0) ** 2 + np.minimum(ahead[:-1], 0) ** 2, np.minimum(ahead[1:], 0) ** 2 + np.maximum(ahead[:-1], 0) ** 2
+            total, climb, sink = (t + (v if axis == 0 else v.T) for t, v in zip((total, climb, sink), parts))
+        a = a + step * (total if kind == "gradient" else total * np.sqrt(np.where(total > 0, climb, sink)))
     return a
 
 
-def _spectrum(psf, shape):
-    out = np.zeros(shape)
-    out[tuple(slice(0, n) for n in psf.shape)] = psf
-    return np.fft.fft2(np.roll(out, [-(n // 2) for n in psf.shape], (0, 1)))
+#: Fixed value: the largest prime factor of the sizes that transforms for deconvolution are padded to.
+LARGEST_FACTOR = 13
+
+
+def _smooth_size(n: int) -> int:
+    """The least size from n on without prime factors above LARGEST_FACTOR."""
+    rest = n
+    for p in (2, 3, 5, 7, 11, 13):
+        while rest % p == 0:
+            rest //= p
+    return n if rest == 1 else _smooth_size(n + 1)
+
+
+def _padded(a, psf):
+    """(a with its edges carried on to a size that holds a and psf, psf's spectrum, where a lies)."""
+    sizes = [_smooth_size(n + m) for n, m in zip(a.shape, psf.shape)]
+    room = [(s - n) // 2 for s, n in zip(sizes, a.shape)]
+    wide = np.pad(np.asarray(a, float), [(r, s - n - r) for r, s, n in zip(room, sizes, a.shape)], mode="edge")
+    spot = np.zeros(sizes)
+    spot[tuple(slice(0, n) for n in psf.shape)] = psf
+    spectrum = np.fft.fft2(np.roll(spot, [-(n // 2) for n in psf.shape], (0, 1)))
+    return wide, spectrum, tuple(slice(r, r + n) for r, n in zip(room, a.shape))
 
 
 def iterative_deconv(a, psf, iterations: int, relax: float = 0.05, method: str = "richardson_lucy"):
-    h = _spectrum(psf, a.shape)
+    wide, h, inside = _padded(a, psf)
     blur = lambda x, f: np.fft.ifft2(np.fft.fft2(x) * f).real
-    x = np.array(a, float)
+    x = wide
     for _ in range(iterations):
-        if method == "landweber":
-            x = x + relax * blur(a - blur(x, h), h.conj())
-        else:
-            x = x * blur(a / np.maximum(blur(x, h), 1e-12), h.conj())
-    return x
+        x = x + relax * blur(wide - blur(x, h), h.conj()) if method == "landweber" else x * blur(wide / blur(x, h), h.conj())
+    return x[inside]
 
 
 def inverse_deconv(a, psf, gamma: float):
-    """Tikhonov: conj(H) F / (|H|^2 + gamma)."""
-    h = _spectrum(psf, a.shape)
-    return np.fft.ifft2(h.conj() * np.fft.fft2(a) / (np.abs(h) ** 2 + gamma)).real
+    """Tikhonov: conj(H) F / (|H|^2 + gamma), zero where the divisor is below gamma."""
+    wide, h, inside = _padded(a, psf)
+    power = np.abs(h) ** 2 + gamma
+    return np.fft.ifft2(np.where(power >= gamma, h.conj() * np.fft.fft2(wide) / power, 0)).real[inside]
 
 
 def confidence_cc(a, seeds, radius: int, multiplier: float, iterations: int, value: float = 1.0):
-    """Pixels connected (4 ways) to the seeds (rows of x, y) within mean +- multiplier * deviation; the statistics start about the seeds and follow the region."""
-    seeds = np.asarray(seeds).real.astype(int).reshape(-1, 2)
-    near = np.zeros(a.shape, bool)
-    for x, y in seeds:
-        near[max(x - radius, 0) : x + radius + 1, max(y - radius, 0) : y + radius + 1] = True
-    region = near
-    for _ in range(max(iterations, 1)):
-        mean, deviation = a[region].mean(), a[region].std()
-        low, high = mean - multiplier * deviation, mean + multiplier * deviation
-        values = a[tuple(seeds.T)]
-        low, high = min(low, values.min()), max(high, values.max())
-        parts = regions((a >= low) & (a <= high), 4)
-        new = np.isin(parts, np.unique(parts[tuple(seeds.T)])) & (parts > 0)
-        if (new == region).all():
+    """Pixels connected (8 ways) to the seeds (rows of x, y) within mean +- multiplier * deviation, and at least the seeds' own values.
+
+    The statistics are those of the windows about the seeds, each counted by itself, then of the region, with the sample's variance.
+    """
+    seeds = tuple(np.asarray(seeds).real.astype(int).reshape(-1, 2).T)
+    span = a.max() - a.min()
+    image = (a - a.min()) / (span if span else 1.0)
+    padded = np.pad(image, radius)
+    near = sliding_window_view(padded, (2 * radius + 1, 2 * radius + 1))[seeds].ravel()
+    own = image[seeds]
+
+    def grown(sample):
+        mean, deviation = sample.mean(), sample.std(ddof=1) if len(sample) > 1 else 0.0
+        low, high = min(mean - multiplier * deviation, own.min()), max(mean + multiplier * deviation, own.max())
+        parts = regions((image >= low) & (image <= high), 8)
+        return deviation**2 >= 1e-6, np.isin(parts, np.unique(parts[seeds])) & (parts > 0)
+
+    varied, region = grown(near)
+    for _ in range(iterations):
+        if not varied or not region.any():
             break
-        region = new
+        varied, region = grown(image[region])
     return np.where(region, value, 0.0)
 
 

@@ -44,13 +44,13 @@ def cov(x: Column, y: Column, bias: str = "population") -> Column:
 
 
 def var_weighted(df: DataFrame, value: str, weight: str, by: Sequence[str] = (), bias: str = "population") -> DataFrame:
-    """by, mean, var: sum w (x - mean)^2 / sum w (less 1 for "sample"), by one aggregate over moments about the lane's first value."""
-    v, w = F.col("__v"), F.col(weight).cast("double")
-    first = df.groupBy(*by).agg(F.min(F.col(value).cast("double")).alias("__base"))
-    joined = (df.join(F.broadcast(first), list(by)) if by else df.crossJoin(F.broadcast(first))).withColumn("__v", F.col(value).cast("double") - F.col("__base"))
-    sums = joined.groupBy(*by).agg(F.first("__base").alias("b"), F.sum(w).alias("s0"), F.sum(w * v).alias("s1"), F.sum(w * v * v).alias("s2"))
+    """by, mean, var: sum w (x - mean)^2 / sum w (less 1 for "sample"), by one aggregate, without a join."""
+    v, w = F.col(value).cast("double"), F.col(weight).cast("double")
+    # one aggregate over moments about a value that all lanes share, near their middle
+    base = df.agg(F.avg(F.col(value).cast("double"))).first()[0] or 0.0
+    sums = df.groupBy(*by).agg(F.sum(w).alias("s0"), F.sum(w * (v - base)).alias("s1"), F.sum(w * (v - base) * (v - base)).alias("s2"))
     part = F.col("s0") if bias == "population" else F.col("s0") - 1
-    return sums.select(*by, (F.col("b") + div(F.col("s1"), F.col("s0"))).alias("mean"), div(F.col("s2") - div(F.col("s1") * F.col("s1"), F.col("s0")), part).alias("var"))
+    return sums.select(*by, (base + div(F.col("s1"), F.col("s0"))).alias("mean"), div(F.col("s2") - div(F.col("s1") * F.col("s1"), F.col("s0")), part).alias("var"))
 
 
 def meanvar(df: DataFrame, value: str, by: Sequence[str] = (), bias: str = "population") -> DataFrame:

@@ -91,11 +91,75 @@ def test_images():
     step[:, 10:] = 1
     edges = I.canny(step, 0.1, 0.3)
     assert set(np.nonzero(edges)[1]) <= {9, 10} and edges[2:-2].any(axis=1).all()
-    blurred = np.fft.ifft2(np.fft.fft2(flat) * I._spectrum(I.gaussian_kernel(3, 3), flat.shape)).real
-    np.testing.assert_allclose(I.inverse_deconv(blurred, I.gaussian_kernel(3, 3), 0.0), flat)
+    np.testing.assert_allclose(I.inverse_deconv(flat, I.gaussian_kernel(3, 3), 1e-12), flat, atol=1e-6)
+    np.testing.assert_allclose(I.iterative_deconv(flat, I.gaussian_kernel(3, 3), 4), flat, atol=1e-9)
     assert I.confidence_cc(step, [[5, 15]], 2, 2.0, 3).sum() == 200
 
 
+def test_kernels_pixel_by_pixel():
+    """Goldens from each operator's formula, one pixel at a time."""
+    a = np.round(RNG.random((14, 13)) * 200)
+    n0, n1 = a.shape
+    # susan: centre included, strictly within the radius, strictly above all neighbours
+    score = np.zeros(a.shape)
+    for x in range(3, n0 - 3):
+        for y in range(3, n1 - 3):
+            like = sum(np.exp(-(((a[x + i, y + j] - a[x, y]) / 32) ** 6)) for i in range(-3, 4) for j in range(-3, 4) if i * i + j * j < 9)
+            score[x, y] = max(12 - like, 0)
+    want = {(x, y) for x in range(4, n0 - 4) for y in range(4, n1 - 4) if score[x, y] > max(score[x + i, y + j] for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)}
+    got = V.susan(a, 3, 32.0, 12.0, 1.0)
+    assert {(p["x"], p["y"]) for p in got} == want and all(p["score"] == pytest.approx(score[int(p["x"]), int(p["y"])]) for p in got)
+    # templates: zeros beyond the edges, means over whole windows
+    t = a[2:5, 3:7]
+    pixel = lambda x, y: a[x, y] if x < n0 and y < n1 else 0.0
+    for kind in ("sad", "zsad", "lsad", "ssd", "zssd", "lssd"):
+        out = V.match_template(a, t, kind)
+        for x, y in ((0, 0), (5, 6), (n0 - 1, n1 - 2)):
+            part = np.array([[pixel(x + i, y + j) for j in range(4)] for i in range(3)])
+            d = part - part.mean() - t + t.mean() if kind[0] == "z" else part - part.mean() / t.mean() * t if kind[0] == "l" else part - t
+            assert out[x, y] == pytest.approx((abs(d) if kind.endswith("sad") else d * d).sum())
+    # mean shift: places and colours without fractions
+    out = I.mean_shift(a, 1.5, 60.0, 4)
+    for x0, y0 in ((0, 0), (4, 4), (13, 12), (7, 2)):
+        x, y, c = x0, y0, a[x0, y0]
+        for _ in range(4):
+            near = [(i, j) for i in range(max(x - 2, 0), min(x + 3, n0)) for j in range(max(y - 2, 0), min(y + 3, n1)) if (a[i, j] - c) ** 2 <= 3600]
+            if not near:
+                break
+            i, j, m = int(np.mean([p for p, _ in near])), int(np.mean([q for _, q in near])), np.trunc(np.mean([a[p] for p in near]))
+            moved, change = abs(i - x) + abs(j - y), (m - c) ** 2
+            x, y, c = i, j, m
+            if moved == 0 or moved + change <= 1:
+                break
+        assert out[x0, y0] == c
+    # histogram: from the least of the running sums, fractions cut off
+    hist = I.histogram(a, 256, 0, 256)
+    upto = hist.cumsum()
+    assert I.hist_equal(a, hist)[3, 3] == np.trunc(255 * (upto[int(a[3, 3])] - upto.min()) / (upto.max() - upto.min()))
+    # diffusion, one step in the middle
+    for flux in ("exponential", "quadratic"):
+        k = 2 * 0.8**2 * (np.gradient(a, axis=0) ** 2 + np.gradient(a, axis=1) ** 2).mean()
+        g = (lambda s: np.exp(-s / k)) if flux == "exponential" else (lambda s: 1 / (1 + s / k))
+        x, y, change = 6, 5, 0.0
+        for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1)):
+            d = a[x + dx, y + dy] - a[x, y]
+            cross = ((a[x + abs(dy), y + abs(dx)] - a[x - abs(dy), y - abs(dx)]) / 2 + (a[x + dx + abs(dy), y + dy + abs(dx)] - a[x + dx - abs(dy), y + dy - abs(dx)]) / 2) / 2
+            change += d * g(d * d + cross * cross)
+        assert I.anisotropic_diffusion(a, 0.1, 0.8, 1, flux)[x, y] == pytest.approx(a[x, y] + 0.1 * change)
+    # deconvolution: a padded by its edges, then Richardson-Lucy by direct sums
+    psf = I.gaussian_kernel(3, 3)
+    wide, _, inside = I._padded(a, psf)
+    assert wide.shape == (18, 16) and (wide[inside] == a).all() and wide[0, 0] == a[0, 0] and wide[-1, -1] == a[-1, -1]
+    blur = sum(psf[i + 1, j + 1] * np.roll(wide, (i, j), (0, 1)) for i in (-1, 0, 1) for j in (-1, 0, 1))
+    back = sum(psf[i + 1, j + 1] * np.roll(wide / blur, (-i, -j), (0, 1)) for i in (-1, 0, 1) for j in (-1, 0, 1))
+    np.testing.assert_allclose(I.iterative_deconv(a, psf, 1), (wide * back)[inside])
+    # confidence: windows counted each by itself, the sample's variance
+    two = np.concatenate([a[2:5, 2:5].ravel(), a[3:6, 3:6].ravel()])
+    low, high = two.mean() - two.std(ddof=1), two.mean() + two.std(ddof=1)
+    out = I.confidence_cc(a, [[3, 3], [4, 4]], 1, 1.0, 0)
+    assert out[3, 3] == out[4, 4] == 1 and all(low <= v <= high or v in (a[3, 3], a[4, 4]) or min(a[3, 3], a[4, 4]) <= v <= max(a[3, 3], a[4, 4]) for v in a[out > 0])
+
+
 def test_vision():
     image = np.zeros((60, 60))
     image[20:40, 20:40] = 200
