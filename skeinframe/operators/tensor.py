@@ -21,6 +21,8 @@ from skeinframe.operators import reduce as R
 COORDS = ("d0", "d1", "d2", "d3")
 #: Elements up to which an operand is small enough to send to every executor.
 BROADCAST_ELEMENTS = 1 << 20
+#: Products of two elements up to which a dense matrix product is a join.
+JOINED_PRODUCTS = 1 << 20
 
 
 def full(dims: Sequence[int]) -> tuple[int, int, int, int]:
@@ -481,7 +483,8 @@ class Tensor:
         from skeinframe.operators.scan import scan
 
         dim = first_dim(self.dims) if dim is None else dim
-        others = [c for k, c in enumerate(COORDS) if k != dim]
+        # a vector has no lanes: it is scanned in blocks
+        others = [c for k, c in enumerate(COORDS) if k != dim and self.dims[k] > 1]
         return replace(self, df=scan(self.df, "v", [COORDS[dim]], op, inclusive, others, "__s").select(*COORDS, F.col("__s").alias("v")))
 
     def sort(self, dim: int = 0, ascending: bool = True) -> Tensor:
@@ -490,18 +493,23 @@ class Tensor:
         return replace(self, df=self.df.withColumn(COORDS[dim], (F.row_number().over(w) - 1).cast("long")).select(*COORDS, "v"))
 
     def where(self) -> Tensor:
-        """Linear indices of the elements that aren't zero, ascending; the count of them is found first."""
-        hits = self.df.where(E.true(F.col("v"))).select(linear(self.dims).alias("i"))
+        """Linear indices of the elements that aren't zero, ascending; the count of them is found first.
+
+        Places are counted in blocks of indices, of which only the totals meet.
+        """
+        from skeinframe.operators.scan import scan
+
+        hits = self.df.where(E.true(F.col("v"))).select(linear(self.dims).alias("i"), F.lit(1).alias("one"))
         n = hits.count()
-        place = F.row_number().over(Window.orderBy("i")) - 1
-        return Tensor.of(hits.select(place.alias("d0"), F.col("i").alias("v")), [n], "u32")
+        return Tensor.of(scan(hits, "one", ["i"], name="place").select((F.col("place") - 1).alias("d0"), F.col("i").alias("v")), [n], "u32")
 
     # matrices --------------------------------------------------------------------------
 
     def matmul(self, other: Tensor, trans_a: bool = False, trans_b: bool = False) -> Tensor:
         """Product of matrices, batched over d2 and d3 (of one element: repeated). Rows missing from a sparse operand are zeros.
 
-        A join on the inner dimension and a sum with a partial step before the shuffle; a small operand is broadcast.
+        Products of few elements are a join on the inner dimension and a sum with a partial step before the shuffle; a small
+        operand is broadcast. Large dense ones go by tiles (skeinframe.operators.tiles). The shapes tell which.
         """
         a = self.transpose(True) if trans_a else self
         b = other.transpose(True) if trans_b else other
@@ -514,6 +522,12 @@ class Tensor:
             if a.dims[k] == b.dims[k]:
                 on.append(c)
             batch.append(max(a.dims[k], b.dims[k]))
+        dtype = dtypes.promote(a.dtype, b.dtype)
+        dims = (a.dims[0], b.dims[1], *batch)
+        if dtype in ("f32", "f64") and not (a.sparse or b.sparse) and math.prod(dims) * a.dims[1] > JOINED_PRODUCTS:
+            from skeinframe.operators.tiles import product
+
+            return Tensor(product(a.df, b.df, a.dims, b.dims), full(dims), dtype)
         left = a.df.select("d0", F.col("d1").alias("k"), *[F.col(c) if c in on else F.col(c).alias(f"l{c}") for c in ("d2", "d3")], F.col("v").alias("lv"))
         right = b.df.select(F.col("d0").alias("k"), "d1", *[F.col(c) if c in on else F.col(c).alias(f"r{c}") for c in ("d2", "d3")], F.col("v").alias("rv"))
         if b.elements <= BROADCAST_ELEMENTS and b.elements <= a.elements:
@@ -522,8 +536,6 @@ class Tensor:
             left = F.broadcast(left)
         joined = left.join(right, ["k", *on])
         depth = [F.col(c) if c in on else F.col(f"l{c}" if a.dims[k] >= b.dims[k] else f"r{c}").alias(c) for k, c in ((2, "d2"), (3, "d3"))]
-        dtype = dtypes.promote(a.dtype, b.dtype)
-        dims = (a.dims[0], b.dims[1], *batch)
         if dtypes.is_complex(dtype):
             x, y = (dtypes.cast(F.col(n), t.dtype, dtype) for n, t in (("lv", a), ("rv", b)))
             z = E.cmul(x, y)
@@ -594,11 +606,13 @@ def sparse_from_coo(df: DataFrame, rows: int, columns: int, row: str = "row", co
 
 def to_csr(t: Tensor) -> tuple[DataFrame, DataFrame]:
     """(row pointers: row, ptr for 0..rows; entries: n, col, v by row and column)."""
+    from skeinframe.operators.scan import scan
+
     spark = t.df.sparkSession
     counts = t.df.groupBy("d0").agg(F.count(F.lit(1)).alias("n"))
     every = spark.range(t.dims[0] + 1).withColumnRenamed("id", "row")
     joined = every.join(counts.select((F.col("d0") + 1).alias("row"), "n"), "row", "left")
-    pointers = joined.select("row", F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy("row")).alias("ptr"))
+    pointers = scan(joined.select("row", F.coalesce("n", F.lit(0)).alias("n")), "n", ["row"], name="ptr").select("row", "ptr")
     begin = pointers.select(F.col("row").alias("d0"), F.col("ptr").alias("base"))
     within = F.row_number().over(Window.partitionBy("d0").orderBy("d1")) - 1
     return pointers, t.df.withColumn("k", within).join(begin, "d0").select((F.col("base") + F.col("k")).alias("n"), F.col("d1").alias("col"), "v")
