@@ -65,6 +65,7 @@ def nearest_neighbours(query: DataFrame, train: DataFrame, k: int = 1, metric: s
 
         found = rows.mapInArrow(work, "q long, t long, distance double")
         out = found if out is None else out.unionByName(found)
+    numbered.unpersist()
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "t")) - 1).where(F.col("rank") < k)
     return ranked.select(F.col("q").alias("query_id"), "rank", F.col("t").alias("train_id"), "distance")
 

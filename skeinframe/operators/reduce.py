@@ -84,13 +84,34 @@ def arg_reduce(df: DataFrame, value: str, position: str, op: str, by: Sequence[s
     return df.groupBy(*by).agg(v.alias("value"), p.alias("index"))
 
 
+def in_blocks(df: DataFrame, order: Sequence[str]) -> bool:
+    """Whether a series without lanes is ordered by one whole number, so that it can be cut into blocks."""
+    return len(order) == 1 and dict(df.dtypes).get(order[0]) in ("tinyint", "smallint", "int", "bigint")
+
+
+def _long_runs(df: DataFrame, key: str, position: str, name: str, block: int = 1 << 20) -> DataFrame:
+    df = df.withColumn("__block", F.floor(F.col(position) / block))
+    w = Window.partitionBy("__block").orderBy(position)
+    at = F.struct(position, F.col(key).alias("k"))
+    inner = F.when(F.lag(F.lit(1)).over(w).isNull() | F.lag(key).over(w).eqNullSafe(F.col(key)), 0).otherwise(1)
+    df = df.withColumn("__new", inner)
+    ends = df.groupBy("__block").agg(F.min(at)["k"].alias("first"), F.max(at)["k"].alias("last"), F.sum("__new").alias("n"))
+    blocks = Window.orderBy("__block")
+    differs = F.when(F.lag(F.lit(1)).over(blocks).isNull() | F.lag("last").over(blocks).eqNullSafe(F.col("first")), 0).otherwise(1)
+    ends = ends.withColumn("differs", differs).select("__block", (F.sum(F.col("n") + F.col("differs")).over(blocks) - F.col("n")).alias("__before"))
+    return df.join(ends, "__block").withColumn(name, F.col("__before") + F.sum("__new").over(w)).drop("__block", "__new", "__before")
+
+
 def runs(df: DataFrame, key: str, order: Sequence[str], by: Sequence[str] = (), name: str = "run") -> DataFrame:
     """df with the number of the run of consecutive equal keys that a row lies in, from 0 in each lane.
 
-    One shuffle by lane. Give lanes for long inputs: a lane is sorted in one task.
+    One shuffle by lane, which is sorted in one task; a series without lanes that is ordered by one whole number goes in blocks
+    of that number, of which only the first and last keys and the counts of runs meet.
     """
+    if not by and in_blocks(df, order):
+        return _long_runs(df, key, order[0], name)
     w = Window.partitionBy(*by).orderBy(*order)
-    changed = F.when(F.lag(key).over(w).eqNullSafe(F.col(key)), 0).otherwise(1)
+    changed = F.when(F.lag(F.lit(1)).over(w).isNotNull() & F.lag(key).over(w).eqNullSafe(F.col(key)), 0).otherwise(1)
     return df.withColumn(name, F.sum(changed).over(w) - 1)
 
 

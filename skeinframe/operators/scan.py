@@ -1,9 +1,9 @@
 """Prefix scans, differences and positions.
 
 With lanes (`by`), a scan is one window: lanes are scanned in parallel. Without
-lanes a window would put all rows in one task, so long_scan() works in blocks of
-the ordering column: totals per block, a scan over the blocks' totals, and scans
-within the blocks.
+lanes a window would put all rows in one task, so a series that is ordered by one
+whole number goes to long_scan(), which works in blocks of the ordering column:
+totals per block, a scan over the blocks' totals, and scans within the blocks.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinframe.functions.elementwise import true
-from skeinframe.operators.reduce import runs
+from skeinframe.operators.reduce import in_blocks, runs
 
 #: Of each operation the aggregate, its start value, and how two partial results combine.
 OPS = {
@@ -28,6 +28,8 @@ OPS = {
 def scan(df: DataFrame, value: str, order: Sequence[str], op: str = "add", inclusive: bool = True, by: Sequence[str] = (), name: str = "scan") -> DataFrame:
     """df with the result of op over a lane's rows up to this one, or up to the one before (then the first has the start value)."""
     aggregate, start, _ = OPS[op]
+    if not by and in_blocks(df, order):
+        return long_scan(df, value, order[0], op, inclusive, name=name)
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     out = aggregate(F.col(value)).over(w)
     return df.withColumn(name, out if inclusive else F.coalesce(out, F.lit(start)))
@@ -52,9 +54,13 @@ def long_scan(df: DataFrame, value: str, position: str, op: str = "add", inclusi
     df = df.withColumn("__block", F.floor(F.col(position) / block))
     totals = df.groupBy("__block").agg(aggregate(F.col(value)).alias("__total"))
     before = aggregate(F.col("__total")).over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
-    totals = totals.select("__block", F.coalesce(before, F.lit(start)).alias("__before"))
-    within = scan(df, value, [position], op, inclusive, ["__block"], name).join(totals, "__block")
-    return within.withColumn(name, combine(F.col("__before"), F.col(name))).drop("__block", "__before")
+    totals = totals.select("__block", before.alias("__before"))
+    w = Window.partitionBy("__block").orderBy(position).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    within = df.withColumn("__within", aggregate(F.col(value)).over(w)).join(totals, "__block")
+    # NULLs are left out, so either part may be missing
+    a, b = F.col("__before"), F.col("__within")
+    out = F.when(a.isNull(), b).when(b.isNull(), a).otherwise(combine(a, b))
+    return within.withColumn(name, out if inclusive else F.coalesce(out, F.lit(start))).drop("__block", "__before", "__within")
 
 
 def where(df: DataFrame, value: str, index: Column) -> DataFrame:

@@ -36,17 +36,24 @@ def convolve1(df: DataFrame, value: str, kernel: Sequence[float], order: Sequenc
 
 
 def iir(column: Column, b: Sequence[float], a: Sequence[float]) -> Column:
-    """In-row form: the recursive filter b / a along an array of doubles, in the JVM. Keeps the last outputs as its state."""
+    """In-row form: the recursive filter b / a along an array of doubles, in the JVM.
+
+    The state is the last outputs, the outputs of this stretch of 64 and those of whole stretches, so that little is copied.
+    """
     b, a = [x / a[0] for x in b], [x / a[0] for x in a]
-    start = F.struct(F.array().cast("array<double>").alias("y"))
+    start = F.struct(F.array().cast("array<array<double>>").alias("done"), F.array().cast("array<double>").alias("y"), F.array_repeat(F.lit(0.0), len(a) - 1).alias("last"))
     taps = lambda i: sum((F.when(i >= k, c * F.get(column, i - k)).otherwise(0.0) for k, c in enumerate(b)), F.lit(0.0))
 
     def step(state: Column, i: Column) -> Column:
-        y = state["y"]
-        back = sum((F.coalesce(F.get(y, i - k), F.lit(0.0)) * -c for k, c in enumerate(a) if k), F.lit(0.0))
-        return F.struct(F.concat(y, F.array(taps(i) + back)).alias("y"))
-
-    return F.when(F.size(column) == 0, F.array().cast("array<double>")).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(column), F.lit(1)) - 1), start, step, lambda s: s["y"]))
+        last, full = state["last"], i % 64 == 63
+        back = sum((F.get(last, F.lit(len(a) - 1 - k)) * -c for k, c in enumerate(a) if k), F.lit(0.0))
+        new = F.array(taps(i) + back)
+        grown = F.concat(state["y"], new)
+        done = F.when(full, F.concat(state["done"], F.array(grown))).otherwise(state["done"])
+        rest = F.when(full, F.array().cast("array<double>")).otherwise(grown)
+        return F.struct(done.alias("done"), rest.alias("y"), (F.slice(F.concat(last, new), 2, len(a) - 1) if len(a) > 1 else last).alias("last"))
+
+    return F.when(F.size(column) == 0, F.array().cast("array<double>")).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(column), F.lit(1)) - 1), start, step, lambda s: F.concat(F.flatten(s["done"]), s["y"])))
 
 
 def moving(df: DataFrame, value: str, width: int, order: Sequence[str], by: Sequence[str], op: str = "median", name: str = "moving") -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinframe.functions import elementwise as E
-from skeinframe.operators.scan import diff1
 from skeinframe.operators.tensor import Tensor
 from skeinframe.sources.random import hashed_uniform
 
@@ -22,12 +21,10 @@ def masked_aggregation(lineitem: DataFrame) -> DataFrame:
 
 
 def rainfall(df: DataFrame, site: str, day: str, measurement: str) -> tuple[DataFrame, DataFrame, int]:
-    """(total and rainy days per site, total per day, days with a measurement): days are counted where the sorted days change."""
+    """(total and rainy days per site, total per day, days with a measurement)."""
     sites = df.groupBy(site).agg(F.sum(measurement).alias("total"), F.count_if(F.col(measurement) > 0).alias("rainy"))
     days = df.groupBy(day).agg(F.sum(measurement).alias("total"))
-    ordered = df.select(day).distinct().withColumn("lane", F.lit(0))
-    changes = diff1(ordered, day, [day], ["lane"]).where("diff > 0").count()
-    return sites, days, changes + (1 if ordered.take(1) else 0)
+    return sites, days, df.agg(F.count_distinct(day)).first()[0]
 
 
 def black_scholes(df: DataFrame, s: str = "s", x: str = "x", r: str = "r", v: str = "v", t: str = "t") -> DataFrame:

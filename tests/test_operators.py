@@ -161,3 +161,31 @@ def test_series(spark):
     for i in range(20):
         y[i] = 0.3 * x[i] + 0.1 * (x[i - 1] if i else 0) + 0.4 * (y[i - 1] if i else 0) - 0.2 * (y[i - 2] if i > 1 else 0)
     np.testing.assert_allclose(row, y)
+
+
+def test_blocks_give_what_one_window_gives(spark):
+    """Scans, runs and places without lanes go in blocks of a whole number; negative positions, NULLs and gaps among them."""
+    rows = [(i * 300_001 - 900_000, None if i % 5 == 0 else float(i), "ab"[i // 3 % 2] if i % 7 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "i long, v double, k string")
+    lane = df.withColumn("l", F.lit(0))
+    for op in ("add", "mul", "min", "max"):
+        for inclusive in (True, False):
+            a = [r["scan"] for r in scan.scan(df, "v", ["i"], op, inclusive).orderBy("i").collect()]
+            b = [r["scan"] for r in scan.scan(lane, "v", ["i"], op, inclusive, ["l"]).orderBy("i").collect()]
+            assert a == pytest.approx(b)
+    a = reduce.runs(df, "k", ["i"]).orderBy("i").collect()
+    b = reduce.runs(lane, "k", ["i"], ["l"]).orderBy("i").collect()
+    assert [r["run"] for r in a] == [r["run"] for r in b]
+    t = Tensor.grid(spark, [3 << 20], F.when(F.col("i") % 500_000 == 1, 1.0).otherwise(0.0)).where()
+    assert [r["v"] for r in t.df.orderBy("d0").collect()] == [1 + 500_000 * i for i in range(7)] and t.dims[0] == 7
+
+
+def test_products_by_tiles_and_by_joins_agree(spark, monkeypatch):
+    made = lambda dims, seed: Tensor.grid(spark, dims, F.pmod(F.xxhash64(F.lit(seed), "i"), F.lit(1000)) / 1000.0)
+    for x, y in (([3, 5], [5, 2]), ([260, 30], [30, 5]), ([2, 5000], [5000, 2]), ([3, 4, 2], [4, 5, 1]), ([3, 4, 1, 2], [4, 5, 3, 1])):
+        a, b = made(x, 1), made(y, 2)
+        monkeypatch.setattr("skeinframe.operators.tensor.JOINED_PRODUCTS", 1 << 40)
+        joined = {tuple(r)[:4]: r["v"] for r in a.matmul(b).df.collect()}
+        monkeypatch.setattr("skeinframe.operators.tensor.JOINED_PRODUCTS", 0)
+        tiled = {tuple(r)[:4]: r["v"] for r in a.matmul(b).df.collect()}
+        assert tiled == pytest.approx(joined)
