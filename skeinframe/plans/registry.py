@@ -501,11 +501,33 @@ def _(spark, d):
     return to_csr(t.select(t > 12, 0.0).to_sparse())[0]
 
 
+def embedded(spark: SparkSession, d: str) -> Tensor:
+    """64 x n: every embedding is a column."""
+    n = read(spark, d, "embeddings").agg(F.max("vec_id") + 1).first()[0]
+    return Tensor.of(_embedding_cells(spark, d), [64, n or 0])
+
+
+def matrix_query(name: str, make: Callable[[Tensor], Tensor], sql: str, digits: int = 6) -> None:
+    """A tensor query over the whole table of embeddings."""
+
+    @query(name, f"SELECT CAST(d0 AS BIGINT) AS d0, CAST(d1 AS BIGINT) AS d1, {s('v', digits)} AS v FROM ({sql})")
+    def _(spark, d):
+        return make(embedded(spark, d)).df.select("d0", "d1", r(F.col("v").cast("double"), digits).alias("v"))
+
+
+matrix_query("matrix_reduce", lambda t: t.reduce("sum", 1), f"SELECT d0, 0 AS d1, sum(v) AS v FROM {_EMB} GROUP BY d0")
+matrix_query("matrix_scan", lambda t: t.scan("add", 0), f"SELECT d0, d1, sum(v) OVER (PARTITION BY d1 ORDER BY d0) AS v FROM {_EMB}")
+matrix_query("matrix_sort", lambda t: t.sort(0), f"SELECT row_number() OVER (PARTITION BY d1 ORDER BY v) - 1 AS d0, d1, v FROM {_EMB}")
+matrix_query("matrix_where", lambda t: (t > 0.1).where(), f"SELECT row_number() OVER (ORDER BY d0 + 64 * d1) - 1 AS d0, 0 AS d1, d0 + 64 * d1 AS v FROM {_EMB} WHERE v > 0.1", 0)
+matrix_query("matrix_flat_scan", lambda t: t.flat().scan("max", 0), f"SELECT d0 + 64 * d1 AS d0, 0 AS d1, max(v) OVER (ORDER BY d1, d0) AS v FROM {_EMB}")
+matrix_query("matrix_transpose", lambda t: t.transpose(), f"SELECT d1 AS d0, d0 AS d1, v FROM {_EMB}")
+matrix_query("matrix_select", lambda t: t.select(t > 0, t.flip(0)), f"SELECT a.d0, a.d1, CASE WHEN a.v > 0 THEN a.v ELSE b.v END AS v FROM {_EMB} a JOIN {_EMB} b ON a.d1 = b.d1 AND a.d0 = 63 - b.d0")
+matrix_query("matrix_sparse_product", lambda t: t.select(t > 0.1, 0.0).to_sparse().matmul(t, trans_b=True), f"SELECT a.d0, b.d0 AS d1, sum(CASE WHEN a.v > 0.1 THEN a.v ELSE 0 END * b.v) AS v FROM {_EMB} a JOIN {_EMB} b ON a.d1 = b.d1 GROUP BY a.d0, b.d0")
+
+
 @query("matmul_gram", f"SELECT CAST(a.d0 AS BIGINT) AS d0, CAST(b.d0 AS BIGINT) AS d1, {s('sum(a.v * b.v)')} AS v FROM {_EMB} a JOIN {_EMB} b ON a.d1 = b.d1 GROUP BY a.d0, b.d0")
 def _(spark, d):
-    cells = _embedding_cells(spark, d)
-    n = read(spark, d, "embeddings").agg(F.max("vec_id") + 1).first()[0]
-    t = Tensor.of(cells, [64, n])
+    t = embedded(spark, d)
     return t.matmul(t, trans_b=True).df.select("d0", "d1", r(F.col("v")).alias("v"))
 
 
