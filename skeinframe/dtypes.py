@@ -51,7 +51,8 @@ def is_floating(dtype: str) -> bool:
 
 def cast(x: Column, source: str, target: str) -> Column:
     """x of one element type as another: complex to real takes the magnitude, anything to b8 is x != 0, floats lose their
-    fraction, and integers wrap around."""
+    fraction, and integers wrap around. Of a float beyond 64 bits the nearest 64-bit number is wrapped, so that infinity is -1
+    as s32; NaN is 0."""
     if is_complex(source):
         if is_complex(target):
             part = SPARK[target].split("re: ")[1].split(",")[0]
@@ -66,7 +67,12 @@ def cast(x: Column, source: str, target: str) -> Column:
         x = x.cast("int")
     if is_integer(target):
         bits = BITS[target]
-        whole = F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)) if is_floating(source) else x
+        if is_floating(source):
+            # a double's nearest bounds within 64 bits; beyond them Spark's cast raises an error
+            near = F.when(F.isnan(x), F.lit(0.0)).when(x >= 2.0**63, F.lit(None)).when(x < -(2.0**63), F.lit(-(2.0**63))).otherwise(x)
+            whole = F.when(~F.isnan(x) & (x >= 2.0**63), F.lit((1 << 63) - 1)).otherwise(near.cast("long"))
+        else:
+            whole = x
         if bits == 64:
             return whole.cast(SPARK[target])
         span = F.lit(1 << bits).cast("long")

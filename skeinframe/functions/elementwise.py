@@ -29,16 +29,46 @@ def _known(*columns: Column) -> Column:
 
 # arithmetic -------------------------------------------------------------------
 
-def add(a, b) -> Column:
-    return _number(a) + _number(b)
+_LOW = (1 << 32) - 1
 
 
-def sub(a, b) -> Column:
-    return _number(a) - _number(b)
+def wrapped_add(a, b) -> Column:
+    """The sum of two 64-bit whole numbers modulo 2^64, in halves of 32 bits, which can't overflow."""
+    a, b = _number(a).cast("long"), _number(b).cast("long")
+    low = a.bitwiseAND(F.lit(_LOW)) + b.bitwiseAND(F.lit(_LOW))
+    high = F.shiftright(a, 32) + F.shiftright(b, 32) + F.shiftright(low, 32)
+    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(F.lit(_LOW)))
 
 
-def mul(a, b) -> Column:
-    return _number(a) * _number(b)
+def wrapped_mul(a, b) -> Column:
+    """The product of two 64-bit whole numbers modulo 2^64."""
+    a, b = _number(a).cast("long"), _number(b).cast("long")
+    low = lambda x: x.bitwiseAND(F.lit(_LOW))
+    cross = low(F.shiftright(a, 32) * low(b)) + low(low(a) * F.shiftright(b, 32))
+    # of the low halves' product the lower half's 16 bits come apart, so that both parts stay below 2^48
+    first, second = low(a).bitwiseAND(F.lit(0xFFFF)) * low(b), F.shiftright(low(a), 16) * low(b)
+    return wrapped_add(F.shiftleft(cross, 32), wrapped_add(first, F.shiftleft(second, 16)))
+
+
+def _whole(wide: Column, dtype: str) -> Column:
+    from skeinframe import dtypes
+
+    return dtypes.cast(wide, "s64", dtype)
+
+
+def add(a, b, dtype: str | None = None) -> Column:
+    """With a whole dtype the result wraps around at its width; without, Spark's own sum, which raises an error on overflow."""
+    return _whole(wrapped_add(a, b), dtype) if dtype else _number(a) + _number(b)
+
+
+def sub(a, b, dtype: str | None = None) -> Column:
+    """dtype: as of add()."""
+    return _whole(wrapped_add(a, wrapped_add(F.bitwise_not(_number(b).cast("long")), F.lit(1))), dtype) if dtype else _number(a) - _number(b)
+
+
+def mul(a, b, dtype: str | None = None) -> Column:
+    """dtype: as of add()."""
+    return _whole(wrapped_mul(a, b), dtype) if dtype else _number(a) * _number(b)
 
 
 def div(a, b) -> Column:

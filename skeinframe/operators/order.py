@@ -4,14 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinframe.storage import settle
+
 
 def _by(column: str, ascending: bool):
     return F.col(column).asc() if ascending else F.col(column).desc()
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """df with each row's place from 0 in the order over all rows, without bringing them into one task.
+
+    Rows are dealt by ranges of the order's columns and sorted within a range, once; the written table keeps each row's range and
+    place in it, and only the counts of the ranges meet. Rows that share a value are told apart by the order's later columns, so
+    give it one that differs, such as the position: then a value that many rows share is spread over ranges, too. Rows that agree in
+    all columns of the order get successive places in any order.
+    """
+    at = fresh(df, "__at")
+    ranges = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "ranges")
+    # the id is the partition's number, then 33 bits of the row's place in it
+    part, place = F.shiftright(at, 33), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    offsets, before = [], 0
+    for number, n in sorted(ranges.groupBy(part.alias("part")).count().collect()):  # a row a partition
+        offsets.append((number, before))
+        before += n
+    offset = fresh(df, "__offset")
+    table = df.sparkSession.createDataFrame(offsets, f"__part long, `{offset}` long")
+    met = ranges.join(F.broadcast(table), part == F.col("__part"))
+    return met.select(*[F.col(f"`{c}`") for c in df.columns if c != name], (F.col(f"`{offset}`") + place).alias(name))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def ranked(df: DataFrame, order: Sequence[Column], by: Sequence[str], name: str) -> DataFrame:
+    """df with each row's place from 0 in its lane: a window a lane; without lanes by numbered()."""
+    if not by:
+        return numbered(df, order, name)
+    return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
+
+
 def sort(df: DataFrame, value: str, ascending: bool = True, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """Each lane's values with their place (from 0) in order. Without lanes: a range-partitioned total order, no places."""
     if not by:
@@ -20,15 +59,18 @@ def sort(df: DataFrame, value: str, ascending: bool = True, by: Sequence[str] =
 
 
 def sort_index(df: DataFrame, value: str, position: str, ascending: bool = True, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
-    """Stable: equal values keep the order of their positions. Columns by, rank, value, index."""
-    w = Window.partitionBy(*by).orderBy(_by(value, ascending), position)
-    return df.select(*by, (F.row_number().over(w) - 1).alias(name), F.col(value).alias("value"), F.col(position).alias("index"))
+    """Stable: equal values keep the order of their positions. Columns by, rank, value, index.
+
+    Spark's order: NULL is the smallest, NaN the largest value. Without lanes the ranks are distributed, see numbered().
+    """
+    rows = df.select(*by, F.col(value).alias("value"), F.col(position).alias("index"))
+    return ranked(rows, [_by("value", ascending), F.col("index").asc()], by, name).select(*by, name, "value", "index")
 
 
 def sort_by_key(df: DataFrame, key: str, value: str, position: str, ascending: bool = True, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
-    """Keys in order, values along with them. Columns by, rank, key, value."""
-    w = Window.partitionBy(*by).orderBy(_by(key, ascending), position)
-    return df.select(*by, (F.row_number().over(w) - 1).alias(name), F.col(key).alias("key"), F.col(value).alias("value"))
+    """Keys in order, values along with them, equal keys in order of position. Columns by, rank, key, value. Without lanes as sort_index."""
+    rows = df.select(*by, F.col(key).alias("key"), F.col(value).alias("value"), F.col(position).alias("__position"))
+    return ranked(rows, [_by("key", ascending), F.col("__position").asc()], by, name).select(*by, name, "key", "value")
 
 
 def topk(df: DataFrame, value: str, position: str, k: int, largest: bool = True, by: Sequence[str] = ()) -> DataFrame:

@@ -11,9 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinframe.functions.elementwise import true
+from skeinframe.functions.elementwise import true, wrapped_add
 
 INF = float("inf")
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 def _not_nan(v: Column) -> Column:
@@ -25,10 +26,21 @@ def _filled(v: Column, nanval: float | None) -> Column:
 
 
 def sum_(v: Column, nanval: float | None = None) -> Column:
-    """NaN propagates, or counts as nanval. Integers sum in 64 bits."""
+    """NaN propagates, or counts as nanval. Whole numbers: see sum_whole()."""
     return F.sum(_filled(v, nanval))
 
 
+def sum_whole(v: Column) -> Column:
+    """The sum of whole numbers in 64 bits that wraps around, as machine integers do, where Spark's sum raises an error.
+
+    Three pieces of the number's bits are added up apart, none of which 2^41 rows can overflow.
+    """
+    v = v.cast("long")
+    piece = F.lit((1 << 22) - 1)
+    low, middle, high = F.sum(v.bitwiseAND(piece)), F.sum(F.shiftright(v, 22).bitwiseAND(piece)), F.sum(F.shiftright(v, 44))
+    return wrapped_add(F.shiftleft(high, 44), wrapped_add(F.shiftleft(middle, 22), low))
+
+
 def product(v: Column, nanval: float | None = None) -> Column:
     return F.product(_filled(v, nanval).cast("double"))
 
@@ -74,7 +86,8 @@ REDUCTIONS = {"sum": sum_, "product": product, "min": min_, "max": max_, "count"
 def reduce(df: DataFrame, value: str, ops: Sequence[str], by: Sequence[str] = (), nanval: float | None = None) -> DataFrame:
     """Columns `by`, then one named after each of ops. nanval replaces NaN in sums and products."""
     v = F.col(value)
-    columns = [(REDUCTIONS[op](v, nanval) if op in ("sum", "product") else REDUCTIONS[op](v)).alias(op) for op in ops]
+    f = REDUCTIONS | {"sum": lambda v, _: sum_whole(v)} if dict(df.dtypes).get(value) == "bigint" else REDUCTIONS
+    columns = [(f[op](v, nanval) if op in ("sum", "product") else f[op](v)).alias(op) for op in ops]
     return df.groupBy(*by).agg(*columns)
 
 
@@ -86,13 +99,25 @@ def arg_reduce(df: DataFrame, value: str, position: str, op: str, by: Sequence[s
 
 def in_blocks(df: DataFrame, order: Sequence[str]) -> bool:
     """Whether a series without lanes is ordered by one whole number, so that it can be cut into blocks."""
-    return len(order) == 1 and dict(df.dtypes).get(order[0]) in ("tinyint", "smallint", "int", "bigint")
+    return len(order) == 1 and dict(df.dtypes).get(order[0]) in WHOLE
+
+
+def in_block(df: DataFrame, position: str, block: int) -> DataFrame:
+    """df with the number of the block that a row's position lies in; rows without one have a block of their own, the first."""
+    return df.withColumn("__block", F.coalesce(F.floor(F.col(position) / block), F.lit(-(1 << 62))))
+
+
+def null_safe_join(a: DataFrame, b: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """a joined with b on columns of which NULLs are equal; these come once, as a has them."""
+    b = b.withColumnsRenamed({c: f"__right_{c}" for c in on})
+    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"`__right_{c}`")) for c in on]
+    return a.join(b, same, how).drop(*[f"__right_{c}" for c in on])
 
 
 def _long_runs(df: DataFrame, key: str, position: str, name: str, block: int = 1 << 20) -> DataFrame:
-    df = df.withColumn("__block", F.floor(F.col(position) / block))
+    df = in_block(df, position, block)
     w = Window.partitionBy("__block").orderBy(position)
-    at = F.struct(position, F.col(key).alias("k"))
+    at = F.struct(position, F.col(key).alias("k"))  # a tie of positions, NULLs among them, is in order of key
     inner = F.when(F.lag(F.lit(1)).over(w).isNull() | F.lag(key).over(w).eqNullSafe(F.col(key)), 0).otherwise(1)
     df = df.withColumn("__new", inner)
     ends = df.groupBy("__block").agg(F.min(at)["k"].alias("first"), F.max(at)["k"].alias("last"), F.sum("__new").alias("n"))
@@ -122,4 +147,4 @@ def reduce_by_key(df: DataFrame, key: str, value: str, order: Sequence[str], ops
 
 def max_ragged(df: DataFrame, value: str, position: str, lengths: DataFrame, length: str, by: Sequence[str]) -> DataFrame:
     """Value and index of the largest of the first `length` elements of each lane; lengths has `by` and length."""
-    return arg_reduce(df.join(lengths, list(by)).where(F.col(position) < F.col(length)), value, position, "max", by)
+    return arg_reduce(null_safe_join(df, lengths, by).where(F.col(position) < F.col(length)), value, position, "max", by)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinframe.functions.elementwise import true
-from skeinframe.operators.reduce import in_blocks, runs
+from skeinframe.operators.reduce import in_block, in_blocks, null_safe_join, runs
 
 #: Of each operation the aggregate, its start value, and how two partial results combine.
 OPS = {
@@ -49,14 +49,17 @@ def scan_by_key(df: DataFrame, key: str, value: str, order: Sequence[str], op: s
 
 
 def long_scan(df: DataFrame, value: str, position: str, op: str = "add", inclusive: bool = True, block: int = 1 << 20, name: str = "scan") -> DataFrame:
-    """A scan over all rows by an integer position, in blocks of `block` positions; only the blocks' totals meet in one task."""
+    """A scan over all rows by an integer position, in blocks of `block` positions; only the blocks' totals meet in one task.
+
+    Rows without a position are one block, which comes first.
+    """
     aggregate, start, combine = OPS[op]
-    df = df.withColumn("__block", F.floor(F.col(position) / block))
+    df = in_block(df, position, block)
     totals = df.groupBy("__block").agg(aggregate(F.col(value)).alias("__total"))
     before = aggregate(F.col("__total")).over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
     totals = totals.select("__block", before.alias("__before"))
     w = Window.partitionBy("__block").orderBy(position).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    within = df.withColumn("__within", aggregate(F.col(value)).over(w)).join(totals, "__block")
+    within = df.withColumn("__within", aggregate(F.col(value)).over(w)).join(totals, "__block")  # its NULL has a number
     # NULLs are left out, so either part may be missing
     a, b = F.col("__before"), F.col("__within")
     out = F.when(a.isNull(), b).when(b.isNull(), a).otherwise(combine(a, b))
@@ -86,4 +89,4 @@ def shift(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str], by
     lane = Window.partitionBy(*by)
     numbered = df.withColumn("__i", F.row_number().over(lane.orderBy(*order)) - 1).withColumn("__n", F.count(F.lit(1)).over(lane))
     moved = numbered.select(*by, F.pmod(F.col("__i") + by_rows, F.col("__n")).alias("__i"), F.col(value).alias(name))
-    return numbered.join(moved, [*by, "__i"]).drop("__i", "__n")
+    return null_safe_join(numbered, moved, [*by, "__i"]).drop("__i", "__n")

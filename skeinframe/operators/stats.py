@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinframe.functions.elementwise import div
+from skeinframe.operators.reduce import null_safe_join
 
 
 def mean(v: Column) -> Column:
@@ -44,13 +45,25 @@ def cov(x: Column, y: Column, bias: str = "population") -> Column:
 
 
 def var_weighted(df: DataFrame, value: str, weight: str, by: Sequence[str] = (), bias: str = "population") -> DataFrame:
-    """by, mean, var: sum w (x - mean)^2 / sum w (less 1 for "sample"), by one aggregate, without a join."""
+    """by, mean, var: sum w (x - mean)^2 / sum w (less 1 for "sample"). A row with a NULL value or weight counts in neither.
+
+    Two aggregates: the lanes' means, then squares about each lane's own mean, so that lanes far apart or with NaN don't touch
+    each other's results.
+    """
     v, w = F.col(value).cast("double"), F.col(weight).cast("double")
-    # one aggregate over moments about a value that all lanes share, near their middle
-    base = df.agg(F.avg(F.col(value).cast("double"))).first()[0] or 0.0
-    sums = df.groupBy(*by).agg(F.sum(w).alias("s0"), F.sum(w * (v - base)).alias("s1"), F.sum(w * (v - base) * (v - base)).alias("s2"))
-    part = F.col("s0") if bias == "population" else F.col("s0") - 1
-    return sums.select(*by, (base + div(F.col("s1"), F.col("s0"))).alias("mean"), div(F.col("s2") - div(F.col("s1") * F.col("s1"), F.col("s0")), part).alias("var"))
+    rows = df.select(*by, v.alias("__v"), w.alias("__w")).where("__v is not null and __w is not null")
+    means = rows.groupBy(*by).agg(F.sum("__w").alias("__total"), div(F.sum(F.col("__w") * F.col("__v")), F.sum("__w")).alias("mean"))
+    off = F.col("__v") - F.col("mean")
+    if by:
+        sums = null_safe_join(rows, means, by).groupBy(*by).agg(F.first("mean").alias("mean"), F.first("__total").alias("__total"), F.sum(F.col("__w") * off * off).alias("__s"))
+    else:
+        mean_, total = means.select("mean", "__total").first()
+        off = F.col("__v") - F.lit(mean_)
+        sums = rows.agg(F.lit(mean_).cast("double").alias("mean"), F.lit(total).cast("double").alias("__total"), F.sum(F.col("__w") * off * off).alias("__s"))
+    part = F.col("__total") if bias == "population" else F.col("__total") - 1
+    out = sums.select(*by, "mean", div(F.col("__s"), part).alias("var"))
+    # lanes without any value and weight keep their row
+    return null_safe_join(df.select(*by).distinct(), out, by, "left").select(*by, "mean", "var") if by else out
 
 
 def meanvar(df: DataFrame, value: str, by: Sequence[str] = (), bias: str = "population") -> DataFrame:
@@ -60,16 +73,17 @@ def meanvar(df: DataFrame, value: str, by: Sequence[str] = (), bias: str = "popu
 def bin_of(v: Column, nbins: int, low: float, high: float) -> Column:
     """The bin of a value: out of range ones go to the first or last bin."""
     step = (high - low) / nbins
-    return F.least(F.greatest(((v.cast("double") - low) / step).cast("int"), F.lit(0)), F.lit(nbins - 1))
+    at = (v.cast("double") - low) / step
+    return F.least(F.greatest(at, F.lit(0.0)), F.lit(nbins - 1.0)).cast("int")
 
 
 def histogram(df: DataFrame, value: str, nbins: int, low: float, high: float, by: Sequence[str] = ()) -> DataFrame:
     """by, bin, count; empty bins have count 0. NaN and NULL count in no bin."""
     spark = df.sparkSession
-    counts = df.where(~F.isnan(F.col(value).cast("double"))).groupBy(*by, bin_of(F.col(value), nbins, low, high).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    counts = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, bin_of(F.col(value), nbins, low, high).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     bins = F.broadcast(spark.range(nbins).select(F.col("id").cast("int").alias("bin")))
     grid = df.select(*by).distinct().crossJoin(bins) if by else bins
-    return grid.join(counts, [*by, "bin"], "left").select(*by, "bin", F.coalesce("count", F.lit(0)).alias("count"))
+    return null_safe_join(grid, counts, [*by, "bin"], "left").select(*by, "bin", F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def moments(df: DataFrame, value: str = "v", x: str = "d0", y: str = "d1", by: Sequence[str] = ()) -> DataFrame:

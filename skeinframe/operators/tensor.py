@@ -488,9 +488,14 @@ class Tensor:
         return replace(self, df=scan(self.df, "v", [COORDS[dim]], op, inclusive, others, "__s").select(*COORDS, F.col("__s").alias("v")))
 
     def sort(self, dim: int = 0, ascending: bool = True) -> Tensor:
+        """Along dim. A vector has no lanes: its ranks are distributed, equal values in order of their places."""
+        from skeinframe.operators.order import ranked
+
         others = [c for k, c in enumerate(COORDS) if k != dim]
-        w = Window.partitionBy(*others).orderBy(F.col("v").asc() if ascending else F.col("v").desc())
-        return replace(self, df=self.df.withColumn(COORDS[dim], (F.row_number().over(w) - 1).cast("long")).select(*COORDS, "v"))
+        lanes = [c for k, c in enumerate(COORDS) if k != dim and self.dims[k] > 1]
+        order = [F.col("v").asc() if ascending else F.col("v").desc(), F.col(COORDS[dim]).asc()]
+        out = ranked(self.df.select(*COORDS, "v"), order, lanes, "__rank")
+        return replace(self, df=out.select(*others, F.col("__rank").alias(COORDS[dim]), "v").select(*COORDS, "v"))
 
     def where(self) -> Tensor:
         """Linear indices of the elements that aren't zero, ascending; the count of them is found first.
@@ -509,7 +514,7 @@ class Tensor:
         """Product of matrices, batched over d2 and d3 (of one element: repeated). Rows missing from a sparse operand are zeros.
 
         Products of few elements are a join on the inner dimension and a sum with a partial step before the shuffle; a small
-        operand is broadcast. Large dense ones go by tiles (skeinframe.operators.tiles). The shapes tell which.
+        operand is broadcast. NULLs count as zero. Large dense ones go by tiles (skeinframe.operators.tiles). The shapes tell which.
         """
         a = self.transpose(True) if trans_a else self
         b = other.transpose(True) if trans_b else other
@@ -541,7 +546,7 @@ class Tensor:
             z = E.cmul(x, y)
             sums = joined.select("d0", "d1", *depth, z["re"].alias("re"), z["im"].alias("im")).groupBy(*COORDS).agg(E.cplx(F.sum("re"), F.sum("im")).alias("v"))
             return Tensor(sums, full(dims), "c64", a.sparse and b.sparse)
-        sums = joined.select("d0", "d1", *depth, (F.col("lv") * F.col("rv")).alias("p")).groupBy(*COORDS).agg(F.sum("p").alias("v"))
+        sums = joined.select("d0", "d1", *depth, (F.col("lv") * F.col("rv")).alias("p")).groupBy(*COORDS).agg(F.coalesce(F.sum("p"), F.lit(0)).alias("v"))
         out = Tensor(sums, full(dims), dtype, a.sparse or b.sparse)
         return out.dense() if out.sparse and not (a.sparse and b.sparse) else out
 

@@ -231,6 +231,53 @@ def _(spark, d):
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("sort_index_all", "SELECT row_number() OVER (ORDER BY event_type DESC, event_id) - 1 AS rank, event_type AS value, event_id AS \"index\" FROM events")
+def _(spark, d):
+    # five values share all rows: ties are told apart by position, whichever range they lie in
+    return order.sort_index(read(spark, d, "events"), "event_type", "event_id", False)
+
+
+@query("sort_by_key_all", "SELECT row_number() OVER (ORDER BY l_extendedprice, k) - 1 AS rank, l_extendedprice AS \"key\", l_quantity AS value FROM (SELECT *, l_orderkey * 8 + l_linenumber AS k FROM lineitem)")
+def _(spark, d):
+    t = read(spark, d, "lineitem").withColumn("k", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    return order.sort_by_key(t, "l_extendedprice", "l_quantity", "k")
+
+
+@query("tensor_sort_vector", "SELECT row_number() OVER (ORDER BY value DESC) - 1 AS d0, value AS v FROM events")
+def _(spark, d):
+    e = read(spark, d, "events")
+    return Tensor.of(e.select(F.col("event_id").alias("d0"), F.col("value").alias("v")), [e.count()]).sort(ascending=False).df.select("d0", "v")
+
+
+# every seventh value is NULL, every lane of five a NULL lane, every eleventh position missing
+_HOLES = "(SELECT CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id END AS i, CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id END AS k, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS v, event_id FROM events)"
+
+
+def _holes(spark, d):
+    i, k, v = (F.when(F.col(c) % n != 0, F.col(x)) for c, n, x in (("event_id", 11, "event_id"), ("user_id", 5, "user_id"), ("event_id", 7, "value")))
+    return read(spark, d, "events").select(i.alias("i"), k.alias("k"), v.alias("v"), "event_id")
+
+
+@query("scan_holes", f"SELECT i, count(*) AS n, {s('max(t)', 3)} AS last FROM (SELECT i, sum(v) OVER (ORDER BY i NULLS FIRST ROWS UNBOUNDED PRECEDING) AS t FROM {_HOLES}) WHERE i IS NOT NULL GROUP BY i")
+def _(spark, d):
+    out = scan.long_scan(_holes(spark, d), "v", "i", block=4096).where("i is not null")
+    return out.groupBy("i").agg(F.count("*").alias("n"), r(F.max("scan"), 3).alias("last"))
+
+
+@query("var_weighted_holes", f"""SELECT k, {s('any_value(m)')} AS mean, {s('sum(w * (v - m) * (v - m)) / sum(w)', 4)} AS var
+    FROM (SELECT *, sum(w * v) OVER (PARTITION BY k) / sum(w) OVER (PARTITION BY k) AS m FROM (SELECT k, v, event_id % 3 + 1 AS w FROM {_HOLES} WHERE v IS NOT NULL)) GROUP BY k""")
+def _(spark, d):
+    out = stats.var_weighted(_holes(spark, d).withColumn("w", F.col("event_id") % 3 + 1), "v", "w", ["k"]).where("mean is not null")
+    return out.select("k", r(F.col("mean")).alias("mean"), r(F.col("var"), 4).alias("var"))
+
+
+@query("histogram_holes", f"""SELECT g.k, CAST(b AS INT) AS bin, coalesce(n, 0) AS "count" FROM (SELECT DISTINCT k FROM {_HOLES}) g CROSS JOIN range(4) t(b)
+    LEFT JOIN (SELECT k, CAST(least(greatest(trunc(v / 25.0), 0), 3) AS INT) AS bin, count(*) AS n FROM {_HOLES} WHERE v IS NOT NULL GROUP BY ALL) h ON h.k IS NOT DISTINCT FROM g.k AND h.bin = b""")
+def _(spark, d):
+    t = _holes(spark, d).withColumn("v", F.when(F.col("v") > 75, F.lit(float("inf"))).otherwise(F.col("v")))
+    return stats.histogram(t, "v", 4, 0.0, 100.0, ["k"])
+
+
 @query("topk", "SELECT * FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) - 1 AS rank, value, event_id AS \"index\" FROM events) WHERE rank < 3")
 def _(spark, d):
     out = order.topk(read(spark, d, "events"), "value", "event_id", 3, True, ["user_id"])
