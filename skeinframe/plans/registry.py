@@ -264,18 +264,18 @@ def _(spark, d):
     return out.groupBy("i").agg(F.count("*").alias("n"), r(F.max("scan"), 3).alias("last"))
 
 
-@query("var_weighted_holes", f"""SELECT k, {s('any_value(m)')} AS mean, {s('sum(w * (v - m) * (v - m)) / sum(w)', 4)} AS var
+@query("var_weighted_holes", f"""SELECT coalesce(k, -1) AS k, {s('any_value(m)')} AS mean, {s('sum(w * (v - m) * (v - m)) / sum(w)', 4)} AS var
     FROM (SELECT *, sum(w * v) OVER (PARTITION BY k) / sum(w) OVER (PARTITION BY k) AS m FROM (SELECT k, v, event_id % 3 + 1 AS w FROM {_HOLES} WHERE v IS NOT NULL)) GROUP BY k""")
 def _(spark, d):
     out = stats.var_weighted(_holes(spark, d).withColumn("w", F.col("event_id") % 3 + 1), "v", "w", ["k"]).where("mean is not null")
-    return out.select("k", r(F.col("mean")).alias("mean"), r(F.col("var"), 4).alias("var"))
+    return out.select(F.coalesce("k", F.lit(-1)).alias("k"), r(F.col("mean")).alias("mean"), r(F.col("var"), 4).alias("var"))
 
 
-@query("histogram_holes", f"""SELECT g.k, CAST(b AS INT) AS bin, coalesce(n, 0) AS "count" FROM (SELECT DISTINCT k FROM {_HOLES}) g CROSS JOIN range(4) t(b)
+@query("histogram_holes", f"""SELECT coalesce(g.k, -1) AS k, CAST(b AS INT) AS bin, coalesce(n, 0) AS "count" FROM (SELECT DISTINCT k FROM {_HOLES}) g CROSS JOIN range(4) t(b)
     LEFT JOIN (SELECT k, CAST(least(greatest(trunc(v / 25.0), 0), 3) AS INT) AS bin, count(*) AS n FROM {_HOLES} WHERE v IS NOT NULL GROUP BY ALL) h ON h.k IS NOT DISTINCT FROM g.k AND h.bin = b""")
 def _(spark, d):
     t = _holes(spark, d).withColumn("v", F.when(F.col("v") > 75, F.lit(float("inf"))).otherwise(F.col("v")))
-    return stats.histogram(t, "v", 4, 0.0, 100.0, ["k"])
+    return stats.histogram(t, "v", 4, 0.0, 100.0, ["k"]).withColumn("k", F.coalesce("k", F.lit(-1)))
 
 
 @query("topk", "SELECT * FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) - 1 AS rank, value, event_id AS \"index\" FROM events) WHERE rank < 3")
