@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinframe.llm import _common, embed, exact, langid, license, minhash, mixing, packing, secrets, tokenfile, toxic
+from skeinframe.llm import _common, embed, exact, langid, license, minhash, mixing, packing, repair, resample, search, secrets, sql, tokenfile, toxic
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +59,20 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+def op11_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"), damage=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license, op2_mixing, op3_exact_dedup, op4_near_dedup, op5_packing, op6_embedding_dedup, op7_secrets, op8_toxicity, op9_token_files, op10_language)}
+    return {f.__name__: f for f in (op1_license, op2_mixing, op3_exact_dedup, op4_near_dedup, op5_packing, op6_embedding_dedup, op7_secrets, op8_toxicity, op9_token_files, op10_language, op11_exact_search, op12_resampling, op13_conversation_repair)}
 
 
 _LOWER = f"translate(coalesce(text, ''), '{_common.AZ[0]}', '{_common.AZ[1]}')"
@@ -124,6 +136,9 @@ ORACLES = {
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256
         FROM d JOIN g USING (text_sha256)""",
+    "op11_exact_search": sql.SEARCH,
+    "op12_resampling": sql.RESAMPLE,
+    "op13_conversation_repair": sql.REPAIR,
     "op6_embedding_dedup": """
         WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
         ok AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
