@@ -13,10 +13,9 @@
    verified against the smallest of its bucket; then, for buckets that still hold several components, all pairs across
    components are, in blocks. So every candidate pair is verified or already connected, without a row per pair.
 4. Classes are the connected components of pairs with weighted Jaccard similarity >= threshold.
-5. Copies mustn't make their own text look common. With `by_class`, as in the query and near_dedup, a candidate pair is near
-   also if the plain Jaccard similarity of its sets of shingles is >= threshold, and df is counted once more, over one
-   document of each class: texts with a shingle that weighs more by it are sampled anew, and candidates of different
-   components verified with the new weights.
+5. Copies mustn't make their own text look common. With `by_class`, as in the query and near_dedup, df is counted once more, over
+   one document of each class that the first round found: texts with a shingle that weighs more by it are sampled anew, and
+   candidates of different components are verified with the new weights. Weighted similarity alone decides in both rounds.
 
 A pair at weighted similarity 0.8 is missed by all 14 bands of 3 with probability 4e-5.
 """
@@ -151,18 +150,15 @@ class Sampler:
         return out
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray, float], b: tuple[np.ndarray, np.ndarray, float], threshold: float, plain: bool = False) -> bool:
-    """Whether the weighted Jaccard similarity of two (hashes in order, weights, sum of weights), or with plain that of their sets, is at least threshold."""
-    x, y, m, n, threshold = a[2], b[2], len(a[0]), len(b[0]), threshold * (1 - 1e-9)
-    if min(x, y) < threshold * max(x, y) and not (plain and min(m, n) >= threshold * max(m, n)):
+def similarity(a: tuple[np.ndarray, np.ndarray, float], b: tuple[np.ndarray, np.ndarray, float], threshold: float) -> bool:
+    """Whether the weighted Jaccard similarity of two texts (hashes in order, weights, sum of weights) is at least threshold."""
+    x, y, threshold = a[2], b[2], threshold * (1 - 1e-9)
+    if min(x, y) < threshold * max(x, y):
         return False
     if len(a[0]) > len(b[0]):
         a, b = b, a
     at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
     same = b[0][at] == a[0]
-    both = int(np.count_nonzero(same))
-    if plain and both >= threshold * (m + n - both):
-        return True
     least = float(np.minimum(a[1][same], b[1][at[same]]).sum(dtype=np.float64))
     return least >= threshold * (x + y - least)
 
@@ -306,7 +302,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         for _, members in grouped(batches, ["pivot", "salt"]):
             pivot = next(members)  # comes first
             base = unpacked(pivot["vec"])
-            linked = [m["id"] for m in members if similarity(base, unpacked(m["vec"]), threshold, by_class)]
+            linked = [m["id"] for m in members if similarity(base, unpacked(m["vec"]), threshold)]
             if linked:
                 yield pa.RecordBatch.from_arrays([pa.array(linked, pa.int64()), pa.array([pivot["id"]] * len(linked), pa.int64())], ["a", "b"])
 
@@ -323,7 +319,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
             a, b = [], []
             for n, x in enumerate(rows):
                 for y in rows[n + 1 :] if left == right else (rows[n + 1 :] if x[2] != right else []):
-                    if (left == right or x[2] != y[2]) and root(x[1]) != root(y[1]) and similarity(x[3], y[3], threshold, by_class):
+                    if (left == right or x[2] != y[2]) and root(x[1]) != root(y[1]) and similarity(x[3], y[3], threshold):
                         joined[root(x[1])] = root(y[1])
                         a.append(x[0])
                         b.append(y[0])

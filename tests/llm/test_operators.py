@@ -191,15 +191,13 @@ def test_targets_are_reshared(spark):
     assert got == pytest.approx(share)
 
 
-def test_near_duplicates(docs, corpus):
-    rows = {r["doc_id"]: r["class_id"] for r in minhash.near_groups(docs).collect()}
-    sets, df = [], Counter()
-    for _, t, _, _ in corpus:
+def near_by_brute_force(rows, by_class):
+    """Of (id, text) each place's class by the smallest place in it: all pairs by weighted similarity, with df over all rows, then also with df over the first of each class."""
+    sets = []
+    for _, t in rows:
         w = WORD.findall(low(t))
-        sets.append(Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))))
-        df.update(sets[-1].keys())
-    n = len(corpus)
-    idf = {s: np.log1p(n / c) for s, c in df.items()}
+        sets.append(Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter())
+    n = len(rows)
     parent = list(range(n))
 
     def root(x):
@@ -207,14 +205,61 @@ def test_near_duplicates(docs, corpus):
             x = parent[x]
         return x
 
-    for a in range(n):
-        for b in range(a):
-            both = sum(min(sets[a][s], sets[b][s]) * idf[s] for s in sets[a].keys() & sets[b].keys())
-            every = sum(max(sets[a][s], sets[b][s]) * idf[s] for s in sets[a].keys() | sets[b].keys())
-            if both >= 0.8 * every:
-                x, y = sorted((root(a), root(b)))
-                parent[y] = x
-    assert rows == {corpus[i][0]: corpus[root(i)][0] for i in range(n)}
+    for _ in range(1 + by_class):
+        df = Counter(s for k in range(n) if root(k) == k for s in sets[k])
+        idf = lambda s: np.log1p(n / max(df[s], 1))
+        for a in range(n):
+            for b in range(a):
+                if root(a) != root(b) and sets[a].keys() & sets[b].keys():
+                    both = sum(min(sets[a][s], sets[b][s]) * idf(s) for s in sets[a].keys() & sets[b].keys())
+                    every = sum(max(sets[a][s], sets[b][s]) * idf(s) for s in sets[a].keys() | sets[b].keys())
+                    if both >= 0.8 * every:
+                        x, y = sorted((root(a), root(b)))
+                        parent[y] = x
+    return [root(k) for k in range(n)]
+
+
+@pytest.mark.parametrize("by_class", [False, True])
+def test_near_duplicates(docs, corpus, by_class):
+    want = near_by_brute_force([r[:2] for r in corpus], by_class)
+    got = minhash.near_groups(docs, by_class=by_class).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {corpus[k][0]: corpus[root][0] for k, root in enumerate(want)}
+    assert {r["doc_id"] for r in got if r["kept"]} == {corpus[k][0] for k, root in enumerate(want) if k == root}
+
+
+def test_registered_near_duplicates_and_their_stage(spark, tmp_path):
+    """queries.op4_near_dedup and the pipeline's stage against brute force, over groups of edited copies and texts of one passage."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    words = lambda n, tag: [f"{tag}{rng.randrange(10**6)}" for _ in range(n)]
+    rows = [" ".join(words(rng.randint(5, 90), "a")) for _ in range(150)]
+    for _ in range(8):  # copies with edits of their own
+        base = words(rng.randint(40, 120), "b")
+        for _ in range(rng.randint(2, 9)):
+            new = list(base)
+            for _ in range(rng.randint(0, 2)):
+                new[rng.randrange(len(new))] = f"edit{rng.randrange(10**6)}"
+            rows.append(" ".join(new))
+    passage = words(56, "p")
+    rows += [" ".join(words(4, "own") + passage) for _ in range(25)]
+    rows = list(enumerate([*rows, "", None, " . "]))
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    want = near_by_brute_force([(i, t or "") for i, t in rows], True)
+    got = queries.op4_near_dedup(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in got) == list(enumerate(want))
+    left = corpus_pipeline.near_dedup(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in left) == sorted(((i, t) for i, t in rows if want[i] == i), key=lambda r: r[0])
+
+
+def test_a_shared_passage_makes_no_copies(spark):
+    """Texts of four words of their own and 56 that all of them share stay, among other texts and alone."""
+    passage = " ".join(f"p{k}" for k in range(56))
+    own = lambda n: [(i, " ".join(f"own{i}x{k}" for k in range(4)) + " " + passage) for i in range(n)]
+    others = [(1000 + i, " ".join(f"o{i}x{k}" for k in range(30))) for i in range(2000)]
+    for rows, n in ((own(40) + others, 40), (own(300), 300)):
+        kept = minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).where("doc_id < 1000").count()
+        assert kept == n
 
 
 def test_document_frequencies(spark, monkeypatch):
@@ -268,7 +313,8 @@ def test_near_duplicate_chains(spark):
 
 
 def test_near_duplicates_in_large_groups(spark, tmp_path):
-    """A third of the rows are copies of a text: with edits of their own, or exact ones beside two that only weights over classes join."""
+    """A third of the rows are copies of a text: with edits of their own, which weigh more than what all share, as brute force has
+    it, or exact ones beside two that only weights over classes join."""
     rng = random.Random(8)
     plain = lambda i: " ".join(f"p{i}x{k}" for k in range(60))
     base = [f"b{k}" for k in range(300)]
@@ -281,7 +327,7 @@ def test_near_duplicates_in_large_groups(spark, tmp_path):
     rows = [(i, t) for i, t in enumerate(edited)] + [(1000 + i, plain(i)) for i in range(200)]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
     out = {r["doc_id"]: r["class_id"] for r in queries.op4_near_dedup(spark, str(tmp_path)).collect()}
-    assert {out[i] for i in range(100)} == {0} and all(out[1000 + i] == 1000 + i for i in range(200))
+    assert out == {rows[k][0]: rows[root][0] for k, root in enumerate(near_by_brute_force(rows, True))} and all(out[1000 + i] == 1000 + i for i in range(200))
     thrice = " ".join(base[:100] * 3)
     rows = [(i, thrice) for i in range(98)] + [(98 + j, thrice + "".join(f" o{j}z{k}" for k in range(20))) for j in range(2)] + rows[100:]
     kept = {r["doc_id"] for r in minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
@@ -571,5 +617,5 @@ def test_held_out_labels_are_not_learned(spark):
 
 
 def test_registered_queries():
-    assert sorted(queries.queries(), key=lambda n: int(re.match(r"op(\d+)_", n)[1]))[0].startswith("op1_") and len(queries.queries()) == 10
+    assert sorted(queries.queries(), key=lambda n: int(re.match(r"op(\d+)_", n)[1]))[0].startswith("op1_") and len(queries.queries()) == 13
     assert set(queries.oracle_sql()) <= set(queries.queries())
