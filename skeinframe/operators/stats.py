@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinframe.functions.elementwise import div
@@ -32,10 +32,84 @@ def stdev(v: Column, bias: str = "population") -> Column:
 
 
 def median(v: Column) -> Column:
-    """The middle value; of an even number the mean of the middle two."""
+    """The middle value; of an even number the mean of the middle two. A task holds a group's distinct values: see median_of()."""
     return F.median(v)
 
 
+#: Values of a group up to which they may meet in one task.
+FEW = 1 << 16
+
+
+def median_of(df: DataFrame, value: str, by: Sequence[str] = (), few: int = FEW) -> DataFrame:
+    """by, median: exact, also of groups whose values don't fit in a task. NULLs don't count; NaN is the largest value.
+
+    Groups of at most `few` values go by Spark's own median. The others are selected from by counts: a sketch of bounded size a
+    group brackets the middle places, one aggregate counts what lies below the bracket and within it, and the bracket is narrowed
+    until `few` values or less are left in it, or both its ends are one value. The last step sums up equal values first. Each round
+    reads the values of large groups alone and brings two numbers a large group to the driver; there are at most rows / few of them.
+    """
+    v = F.col("__v")
+    rows = df.select(*by, F.col(value).cast("double").alias("__v")).where(v.isNotNull())
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("__n"))
+    large = [tuple(r) for r in sizes.where(F.col("__n") > few).collect()]
+    every = df.select(*by).distinct() if by else None
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema}
+    spark = df.sparkSession
+
+    def table(found: list[tuple], columns: str) -> DataFrame:
+        return F.broadcast(spark.createDataFrame(found, ", ".join([*(f"`{c}` {fields[c]}" for c in by), columns])))
+
+    def at(group: tuple, columns: str) -> DataFrame:
+        """rows of the large groups with `columns` of each."""
+        return null_safe_join(rows, table(group, columns), by) if by else rows.crossJoin(table(group, columns))
+
+    if large:
+        n_by, done, open_ = len(by), [], {}
+        for g in large:
+            # the middle places from 0, apart, as values between them may be many
+            for k in {(g[n_by] - 1) // 2, g[n_by] // 2}:
+                open_[g[:n_by], k] = (float("-inf"), float("nan"), 0, g[n_by])
+        error = 1000
+        while open_:
+            state = [(*g, k, lo, hi, below, inside) for (g, k), (lo, hi, below, inside) in open_.items()]
+            within = at(state, "__k long, __lo double, __hi double, __below long, __inside long").where("__v >= __lo and __v <= __hi")
+            keys = [*by, "__k"]
+            share = (F.col("__k") - F.col("__below")) / F.col("__inside")
+            # the sketch's values at five places each side of the sought one in a thousand
+            sketch = within.groupBy(*keys, "__lo", "__hi", "__below", "__inside").agg(F.percentile_approx("__v", [i / error for i in range(error + 1)], 10 * error).alias("__q"))
+            first = F.greatest(F.floor(share * error) - 2, F.lit(0)).cast("int")
+            last = F.least(F.ceil(share * error) + 2, F.lit(error)).cast("int")
+            low = F.when(first == 0, F.col("__lo")).otherwise(F.get("__q", first))
+            high = F.when(last == error, F.col("__hi")).otherwise(F.get("__q", last))
+            brackets = [tuple(r) for r in sketch.select(*keys, low, high).collect()]
+            b = at(brackets, "__k long, __lo double, __hi double")
+            counted = b.groupBy(*keys, "__lo", "__hi").agg(F.count_if(F.col("__v") < F.col("__lo")).alias("__below"), F.count_if((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi"))).alias("__inside"))
+            for r in counted.collect():
+                g, k, lo, hi, below, inside = r[:n_by], *r[n_by:]
+                old = open_.pop((g, k))
+                if not below <= k < below + inside:  # the sketch was off: the bracket stays, by another sketch
+                    lo, hi, below, inside = old
+                    error *= 2
+                if inside <= few or lo == hi or inside == old[3]:
+                    done.append((*g, k, lo, hi, below))
+                else:
+                    open_[g, k] = lo, hi, below, inside
+        last_ = at(done, "__k long, __lo double, __hi double, __below long").where("__v >= __lo and __v <= __hi")
+        equal = last_.groupBy(*by, "__k", "__below", "__v").agg(F.count("*").alias("__c"))
+        upto = F.sum("__c").over(Window.partitionBy(*by, "__k").orderBy("__v")) + F.col("__below")
+        sought = equal.withColumn("__upto", upto).where((F.col("__upto") > F.col("__k")) & (F.col("__upto") - F.col("__c") <= F.col("__k")))
+        big = sought.groupBy(*by).agg(F.avg("__v").alias("median"))
+        names = table([(*g[:n_by], 1) for g in large], "__large int")
+        small = null_safe_join(rows, names, by, "left_anti") if by else rows.where("false")
+    else:
+        big, small = None, rows
+    out = small.groupBy(*by).agg(F.median("__v").alias("median"))
+    if not by:
+        return out if big is None else big
+    out = out if big is None else out.unionByName(big)
+    return null_safe_join(every, out, by, "left").select(*by, "median")
+
+
 def corrcoef(x: Column, y: Column) -> Column:
     return F.corr(x, y)
 

@@ -14,7 +14,7 @@ from skeinframe.functions.kernels import image as I
 from skeinframe.functions.kernels import linalg as L
 from skeinframe.functions.kernels import signal as S
 from skeinframe.functions.kernels import vision as V
-from skeinframe.operators import dense, neighbours, order, reduce, scan, series, stats
+from skeinframe.operators import dense, fourier, long, neighbours, order, reduce, scan, series, stats, tall
 from skeinframe.operators.tensor import COORDS, Tensor, chain_matmul, to_csr
 from skeinframe.plans import dense_sql, programs
 from skeinframe.sources import files
@@ -420,6 +420,18 @@ def _(spark, d):
     return read(spark, d, "lineitem").agg(r(stats.mean(q)).alias("mean"), r(stats.var(q), 4).alias("var"), r(stats.median(F.col("l_extendedprice")), 3).alias("median"), r(stats.corrcoef(q, F.col("l_tax"))).alias("corrcoef"))
 
 
+@query("median_groups", f"SELECT l_returnflag, {s('median(l_extendedprice)', 3)} AS median FROM lineitem GROUP BY l_returnflag")
+def _(spark, d):
+    # three groups hold all rows: each is selected from by counts
+    out = stats.median_of(read(spark, d, "lineitem"), "l_extendedprice", ["l_returnflag"], few=1000)
+    return out.select("l_returnflag", r(F.col("median"), 3).alias("median"))
+
+
+@query("median_all_rows", f"SELECT {s('median(value)')} AS median FROM events")
+def _(spark, d):
+    return stats.median_of(read(spark, d, "events"), "value", few=1000).select(r(F.col("median")).alias("median"))
+
+
 @query(
     "var_weighted",
     f"""SELECT l_returnflag, {s('sum(l_tax * l_quantity) / sum(l_tax)')} AS mean, {s('sum(l_tax * (l_quantity - m) * (l_quantity - m)) / sum(l_tax)', 4)} AS var
@@ -445,6 +457,90 @@ def _(spark, d):
     return stats.histogram(read(spark, d, "lineitem"), "l_quantity", 12, 5.0, 41.0, ["l_returnflag"])
 
 
+_SERIES_OF_EVENTS = "(SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events)"
+
+
+@query(
+    "iir_long",
+    # the filter's answer to one unit is a sum of powers of its poles, 0.8 and -0.5, which are below 1e-19 from 200 on
+    f"""SELECT event_id, {s('list_sum(list_transform(range(len(x)), lambda k: x[len(x) - k] * (8.0::DOUBLE * pow(0.8::DOUBLE, k) + 5 * pow(-0.5::DOUBLE, k)) / 13))', 3)} AS iir
+    FROM (SELECT event_id, array_agg(value) OVER (ORDER BY event_id ROWS 200 PRECEDING) AS x FROM events)""",
+)
+def _(spark, d):
+    out = long.iir_long(read(spark, d, "events").select("event_id", "value"), "value", [1.0], [1.0, -0.3, -0.4], ["event_id"], block=4096)
+    return out.select("event_id", r(F.col("iir"), 3).alias("iir"))
+
+
+@query(
+    "convolve1_long",
+    f"""SELECT a.event_id, {s('sum(b.value * exp((b.i - a.i - 500) / 300.0::DOUBLE) * cos((a.i + 500 - b.i) / 40.0::DOUBLE))', 3)} AS conv
+    FROM {_SERIES_OF_EVENTS} a JOIN {_SERIES_OF_EVENTS} b ON b.i BETWEEN a.i - 499 AND a.i + 500 GROUP BY a.event_id""",
+)
+def _(spark, d):
+    taps = [float(np.exp(-k / 300) * np.cos(k / 40)) for k in range(1000)]
+    out = long.convolve_long(read(spark, d, "events").select("event_id", "value"), "value", taps, ["event_id"])
+    return out.select("event_id", r(F.col("conv"), 3).alias("conv"))
+
+
+_TABLE_DFT = """
+    WITH e AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS c, CAST(embedding AS DOUBLE[]) AS v, count(*) OVER () AS n FROM embeddings),
+    x AS (SELECT c, n, k, list_sum(list_transform(range(64), lambda i: v[i + 1] * cos(2 * pi() * ((i * k) % 64) / 64))) AS re, -list_sum(list_transform(range(64), lambda i: v[i + 1] * sin(2 * pi() * ((i * k) % 64) / 64))) AS im FROM e, range(64) t(k)),
+    y AS (SELECT a.k, b.c AS m, sum(a.re * cos(2 * pi() * ((a.c * b.c) % a.n) / a.n) + a.im * sin(2 * pi() * ((a.c * b.c) % a.n) / a.n)) AS re, sum(a.im * cos(2 * pi() * ((a.c * b.c) % a.n) / a.n) - a.re * sin(2 * pi() * ((a.c * b.c) % a.n) / a.n)) AS im
+        FROM x a, (SELECT c FROM e) b GROUP BY a.k, b.c)"""
+
+
+def _numbered_embeddings(spark, d):
+    return order.numbered(read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), [F.col("vec_id").asc()], "c")
+
+
+@query("fft2_table", f"{_TABLE_DFT} SELECT CAST(k AS BIGINT) AS d0, CAST(m AS BIGINT) AS d1, {s('re', 3)} AS re, {s('im', 3)} AS im FROM y")
+def _(spark, d):
+    e = _numbered_embeddings(spark, d)
+    out = fourier.fft2_long(e.select(F.col("c").alias("d1"), F.posexplode("v").alias("d0", "re")), [64, e.count()], im=None)
+    return out.select("d0", "d1", r(F.col("re"), 3).alias("re"), r(F.col("im"), 3).alias("im"))
+
+
+@query("ifft2_table", f"SELECT CAST(d0 AS BIGINT) AS d0, CAST(d1 AS BIGINT) AS d1, {s('v', 6)} AS re, 0.0::DOUBLE AS im FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS d1, generate_subscripts(embedding, 1) - 1 AS d0, unnest(embedding) AS v FROM embeddings)")
+def _(spark, d):
+    e = _numbered_embeddings(spark, d)
+    dims = [64, e.count()]
+    there = fourier.fft2_long(e.select(F.col("c").alias("d1"), F.posexplode("v").alias("d0", "re")), dims, im=None)
+    back = fourier.fft2_long(there, dims, True)
+    return back.select("d0", "d1", r(F.col("re")).alias("re"), (r(F.col("im")) + 0.0).alias("im"))
+
+
+_GRAM = "(SELECT a.p AS i, b.p AS j, sum(a.v * b.v) AS g FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS p, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) a JOIN (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS p, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) b USING (vec_id) GROUP BY ALL)"
+
+
+@query("qr_table", f"SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, {s('g', 4)} AS gram, i > j AS zero_in_r, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS orthogonal FROM {_GRAM}")
+def _(spark, d):
+    q, top = tall.qr(read(spark, d, "embeddings").select("embedding"), "embedding", 64)
+    # Q is orthogonal if and only if it is its own factor with the identity
+    own, gram = tall.factor(q, "q", 64), top.T @ top
+    cells = [(i, j, float(gram[i, j]), bool(i > j and top[i, j] == 0), float(own[i, j])) for i in range(64) for j in range(64)]
+    out = spark.createDataFrame(cells, "i long, j long, gram double, zero_in_r boolean, orthogonal double")
+    return out.select("i", "j", r(F.col("gram"), 4).alias("gram"), "zero_in_r", F.abs(r(F.col("orthogonal"))).alias("orthogonal"))
+
+
+@query(
+    "singular_values_table",
+    f"""WITH g AS (SELECT * FROM {_GRAM}), h AS (SELECT a.i, b.j, sum(a.g * b.g) AS g FROM g a JOIN g b ON a.j = b.i GROUP BY a.i, b.j)
+    SELECT {s('(SELECT sum(g) FROM g WHERE i = j)', 3)} AS squares, {s('(SELECT sum(g) FROM h WHERE i = j)', 3)} AS fourth_powers, {s('(SELECT sum(h.g * g.g) FROM h JOIN g ON h.i = g.j AND h.j = g.i)', 2)} AS sixth_powers, {s('(SELECT sum(h.g * k.g) FROM h JOIN h k ON h.i = k.j AND h.j = k.i)', 1)} AS eighth_powers""",
+)
+def _(spark, d):
+    values = tall.singular_values(read(spark, d, "embeddings"), "embedding", 64)
+    out = spark.createDataFrame([tuple(float((values**p).sum()) for p in (2, 4, 6, 8))], "a double, b double, c double, d double")
+    return out.select(r(F.col("a"), 3).alias("squares"), r(F.col("b"), 3).alias("fourth_powers"), r(F.col("c"), 2).alias("sixth_powers"), r(F.col("d"), 1).alias("eighth_powers"))
+
+
+@query("least_squares_table", f"SELECT CAST(k AS BIGINT) AS k, {s('k + 1')} AS coefficient FROM range(64) t(k)")
+def _(spark, d):
+    e = read(spark, d, "embeddings")
+    target = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    found = tall.solve(e.withColumn("y", target), "embedding", 64, "y")
+    return spark.createDataFrame(list(enumerate(found.tolist())), "k long, v double").select("k", r(F.col("v")).alias("coefficient"))
+
+
 @query("norms", f"SELECT {s('sum(abs(value))', 3)} AS n1, {s('sqrt(sum(value * value))', 3)} AS n2, {s('max(abs(value))')} AS ninf, {s('pow(sum(pow(abs(value), 3)), 1.0 / 3)', 3)} AS n3 FROM events")
 def _(spark, d):
     v = F.col("value")
