@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skeinframe.storage import forget, settle, shared_dir  # noqa: F401
+
 #: Rows up to which an id set may be broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Keys at most that count as heavy: those with more than 1 / MOST_HEAVY of the rows.
@@ -23,7 +25,6 @@ CHUNK_BYTES = 1 << 20
 _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _shipped: set[str] = set()
-_own: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> None:
@@ -45,37 +46,10 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
-    app = spark.sparkContext.applicationId
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own.get(app)
-    if not where:
-        where = _own[app] = "file://" + tempfile.mkdtemp(prefix="skeinframe-shared-")
-    return where.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/skeinframe/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.settled_at = path
-    return out
-
-
-def forget(*tables: DataFrame | None) -> None:
-    """Delete settled tables that nothing reads any more; what was made from them must have been settled itself."""
-    for table in tables:
-        if path := getattr(table, "settled_at", None):
-            jvm = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            jvm.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(jvm, True)
-
-
 def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether df, a settled table, has at most limit rows."""
     return df.count() <= limit
