@@ -257,10 +257,12 @@ def idf_table(df: DataFrame, documents: int, floor: float, bits: int) -> Idf:
                 yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((part, loads.astype("<u2").tobytes(), Idf.tag(slots, top).tobytes(), Idf.level(counts, documents, floor).tobytes()), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "loads", "tags", "levels"])
 
     got = df.select("part", "slots", "counts").mapInArrow(sliced, "part int, loads binary, tags binary, levels binary").toArrow().sort_by("part")
-    loads = np.zeros((1 << bits, 1 << local), np.uint16)
+    loads, data = np.zeros((1 << bits, 1 << local), np.uint16), None
     for part, data in zip(got.column("part").to_pylist(), got.column("loads"), strict=True):
         loads[part] = np.frombuffer(data.as_buffer(), "<u2")
     tags, levels = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in got.column(name))]) for name, kind in (("tags", np.uint16), ("levels", np.uint8)))
+    del got, data
+    pa.default_memory_pool().release_unused()
     return Idf(documents, floor, top, loads.ravel(), tags, levels)
 
 
@@ -440,12 +442,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
             again = again.join(nodes.select("h", "rep", F.col("part").alias("was")), "h").select("rep", "was", "buckets")
             nodes = named(linked(_common.settle(again, "minhash-anew"), raised, edges))
             _common.forget(fewer, copies)
+            raised.destroy()
 
     members = _common.meet(worded.select("id", "h", "row", "d1", "d2"), nodes.select("d1", "d2", "m", "first", "class_size"), ["d1", "d2"], "m")
     members = members.select("id", "h", F.col("first.id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept"))
     alone = sketches.where("n = 0").select("id", "h", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     out = _common.settle(members.unionByName(alone), "minhash-members")
     _common.forget(df, sketches, reps, nodes)
+    idf.destroy()  # nothing is computed from it any more
     return out
 
 
