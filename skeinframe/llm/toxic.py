@@ -31,7 +31,9 @@ LEVELS = (1, 2, 4)
 SAMPLE, SAMPLE_BYTES = 2_000, 14 << 20
 FACTORS, EPOCHS, BATCH = 3, 5, 64
 #: Step sizes of weights and vectors; standard errors that their gradients' sums must pass; the size of the vectors' first values.
-RATE, RATE_FACTORS, SURE, SURE_FACTORS, START = 0.5, 0.1, 4.0, 3.0, 0.003
+RATE, RATE_FACTORS, SURE, SURE_FACTORS, START = 0.5, 0.1, 4.0, 4.5, 0.003
+#: Documents' worth of chance that every term has beforehand, and the part of the labels' log odds that the bias ends with.
+FEW, PRIOR = 5, 0.5
 
 
 def terms(buf: np.ndarray, off: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -103,13 +105,15 @@ def learn(texts: list[np.ndarray], labels: np.ndarray, bits: int = BITS, seed: i
     place[names] = np.arange(len(names))
     flat = place[flat]
     rng = np.random.default_rng(seed)
-    base, bias, bias_square = float(np.log(share / (1 - share))), 0.0, 1e-4
+    bias, bias_square = 0.0, 1.0
     start = rng.normal(0, START, (len(names), FACTORS)).astype(np.float32)
-    # sums of gradients and of their squares
-    g_weight, q_weight = np.zeros(len(names), np.float32), np.full(len(names), 1e-12, np.float32)
-    g_factor, q_factor = np.zeros((len(names), FACTORS), np.float32), np.full((len(names), FACTORS), 1e-12, np.float32)
     # both labels weigh alike
     balance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+    # sums of gradients, and of the squares that a document's has by chance, whatever its label: what a term's own
+    # documents have would be too small where all of them are of the frequent label, and too large where of the rare one
+    beforehand = FEW * float((balance * balance).mean()) / 4
+    g_weight, q_weight = np.zeros(len(names), np.float32), np.full(len(names), beforehand, np.float32)
+    g_factor, q_factor = np.zeros((len(names), FACTORS), np.float32), np.full((len(names), FACTORS), beforehand * START**2, np.float32)
     batches, order = [], rng.permutation(len(texts))
     for s in range(0, len(order), BATCH):
         part = order[s : s + BATCH]
@@ -139,19 +143,20 @@ def learn(texts: list[np.ndarray], labels: np.ndarray, bits: int = BITS, seed: i
             sums[some] = np.add.reduceat(v[at], begin[:-1][some], axis=0)
             squares[some] = np.add.reduceat((v * v).sum(axis=1)[at], begin[:-1][some])
             line[some] = np.add.reduceat(w[at], begin[:-1][some])
-            margin = base + bias + line + 0.5 * ((sums * sums).sum(axis=1) - squares)
+            margin = bias + line + 0.5 * ((sums * sums).sum(axis=1) - squares)
             g = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[part]).astype(np.float32) * balance[part]
             gw = np.add.reduceat(g[text], runs)
             gv = np.add.reduceat((g[:, None] * sums)[text], runs, axis=0) - gw[:, None] * v
+            chance = float((g * g).mean())
             g_weight[used] += gw
-            q_weight[used] += np.add.reduceat((g * g)[text], runs)
+            q_weight[used] += chance * np.diff(runs, append=len(text))
             g_factor[used] += gv
-            q_factor[used] += gv * gv
+            q_factor[used] += chance * np.add.reduceat((sums * sums)[text], runs, axis=0)
             bias_square += float(g.sum()) ** 2
             bias -= 0.1 * float(g.sum()) / np.sqrt(bias_square)
     weight = moved(g_weight, q_weight, RATE, SURE * EPOCHS**0.5)
     factor = moved(g_factor, q_factor, RATE_FACTORS, SURE_FACTORS)
-    bias += base
+    bias += PRIOR * float(np.log(share / (1 - share)))
     some = (weight != 0) | (factor != 0).any(axis=1)
     return Machine(bits, names[some].astype(np.int64), bias, weight[some].astype(float), factor[some].astype(float))
 
