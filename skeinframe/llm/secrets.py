@@ -7,8 +7,11 @@ statistically compatible (Hoeffding bounds on how often a string ends there and
 symbol, checked down the tree), each state with the nearest of those that it may merge
 with. The results are two probabilistic automata. Every candidate of a text is scored
 by its mean log-likelihood a symbol under the credentials' automaton, and it is found
-if that is high enough and above the one under the plain strings' by a margin. No row
-is shuffled but the bounded sample that is learned from.
+if that is high enough and above the one under the plain strings' by a margin. What
+these two leave of a run goes through a second pair, of shapes: no symbol stands for
+itself there, the beginning's states merge like others, and any symbol may follow any,
+so that a credential whose beginning nobody has labelled has a score too. No row is
+shuffled but the bounded sample that is learned from.
 """
 
 from __future__ import annotations
@@ -45,6 +48,10 @@ LITERAL = 4
 LEAST_SCORE, MARGIN = -2.0, 0.1
 #: Strings of each label and base kind that are learned from, at most (those with the smallest hash), and the symbols of the longest.
 SAMPLE, LONGEST = 300, 200
+#: By how much a shape's mean must pass that of plain shapes, and by how much the sum may fall behind before no longer part is tried.
+SHAPE_MARGIN, BEHIND = 0.35, 12.0
+#: Part of each state's probability that any symbol has.
+ANY = 0.05
 #: Passes of a state below which it is like any other.
 FEW = 4
 
@@ -69,6 +76,25 @@ def labelled_credentials(each: int = 200, seed: int = 3) -> list[str]:
     return [prefix + "".join(rng.choices(alphabet, k=rng.randint(least, most))) for prefix, alphabet, least, most in FORMATS for _ in range(each)]
 
 
+def plain_strings(each: int = 100, seed: int = 4) -> list[str]:
+    """Runs that are no credentials, by rule: `each` of words, words joined, capitals, names with numbers, dates and numbers."""
+    rng = random.Random(seed)
+
+    def word(least: int = 3, most: int = 10) -> str:
+        return "".join(rng.choice(LOWER[:6] if rng.random() < 0.27 else LOWER[6:]) for _ in range(rng.randint(least, most)))
+
+    def joined(mark: str, parts: list[str]) -> str:
+        return mark.join(parts)
+
+    out = []
+    for _ in range(each):
+        words = [word() for _ in range(rng.randint(3, 5))]
+        number = str(rng.randrange(1, 10 ** rng.randint(1, 4)))
+        out += [word(16, 30), joined(rng.choice("_-./"), words), joined("", [w.capitalize() for w in words]), joined(rng.choice("_-"), words).upper()]
+        out += [joined(".", [words[0] + number, *words[1:]]), joined("/", [*words, number]), joined(rng.choice("-./"), [f"{rng.randrange(10**4):0{rng.choice((2, 4))}d}" for _ in range(4)])]
+    return [s for s in out if len(s) >= LEAST]
+
+
 _KINDS = {c: k for k, chars in (("f", "abcdef"), ("a", LOWER[6:]), ("F", "ABCDEF"), ("A", UPPER[6:]), ("0", DIGITS)) for c in chars}
 
 
@@ -180,9 +206,43 @@ def score(text: str, model: list, literal: int = LITERAL) -> float:
     return (total + model[at][0]) / (len(s) + 1)
 
 
+def completed(model: list) -> list:
+    """The automaton with every symbol in every state: one that a state hasn't leads to where it leads most often elsewhere."""
+    alphabet = sorted(set(_KINDS.values()) | MARK)
+    leads: dict[str, dict[int, float]] = {c: {} for c in alphabet}
+    for _, steps in model:
+        for c, (own, to) in steps.items():
+            leads[c][to] = leads[c].get(to, 0.0) + math.exp(own)
+    usual = {c: max(to, key=lambda s: (to[s], -s)) if to else 0 for c, to in leads.items()}
+    floor = ANY / (len(alphabet) + 1)
+    log = lambda own: math.log((1 - ANY) * math.exp(own) + floor)
+    return [(log(end), {c: (log(steps[c][0] if c in steps else -math.inf), steps[c][1] if c in steps else usual[c]) for c in alphabet}) for end, steps in model]
+
+
+def shapes_of(credentials: list[str], plain: list[str]) -> tuple[list, list]:
+    return completed(infer(credentials, literal=0)), completed(infer(plain, literal=0))
+
+
 class Model(NamedTuple):
     credentials: list
     plain: list
+    shapes: list
+    plain_shapes: list
+
+    def longest_shape(self, run: str, start: int, stop: int) -> tuple[int, float] | None:
+        """(end, score) of the longest part of run[:stop] that begins at start and has a credential's shape."""
+        at, other, total, ahead, best = 0, 0, 0.0, 0.0, None
+        for i in range(start, stop):
+            c = _KINDS.get(run[i], run[i])
+            (own, at), (theirs, other) = self.shapes[at][1][c], self.plain_shapes[other][1][c]
+            total, ahead, n = total + own, ahead + own - theirs, i - start + 1
+            if ahead < -BEHIND:
+                break
+            if n >= LEAST and run[i] not in MARK and (i + 1 == stop or run[i + 1] in MARK):
+                end = self.shapes[at][0]
+                if (ahead + end - self.plain_shapes[other][0]) / (n + 1) >= SHAPE_MARGIN:
+                    best = (i + 1, (total + end) / (n + 1))
+        return best
 
     def judge(self, text: str) -> tuple[float, bool]:
         """(score under the credentials' automaton, whether the text is taken for a credential)."""
@@ -208,7 +268,7 @@ class Model(NamedTuple):
 @lru_cache(maxsize=1)
 def default_model() -> Model:
     """Of the public formats alone."""
-    return Model(infer(labelled_credentials()), infer([]))
+    return Model(infer(labelled_credentials()), infer([]), *shapes_of(labelled_credentials(40), plain_strings()))
 
 
 def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model:
@@ -246,7 +306,20 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model:
     place = F.row_number().over(Window.partitionBy("kind").orderBy(F.crc32(F.col("s").cast("binary")), "s"))
     got = strings.withColumn("place", place).where(F.col("place") <= sample).orderBy("kind", "s").select("kind", "s").collect()  # sample rows a kind at most
     own = [r["s"] for r in got if r["kind"] < len(KINDS)]
-    return Model(infer(labelled_credentials() + own), infer([r["s"] for r in got if r["kind"] == len(KINDS)]))
+    plain = [r["s"] for r in got if r["kind"] == len(KINDS)]
+    # shapes come from the table first: of each public format a few only
+    return Model(infer(labelled_credentials() + own), infer(plain), *shapes_of(labelled_credentials(40) + own, plain_strings() + plain))
+
+
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """In order, those that touch or overlap made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def base_spans(text: str, secret: bool = False) -> list[list[tuple[int, int]]]:
@@ -275,18 +348,38 @@ def model_spans(text: str, model: Model) -> list[tuple[int, int, float]]:
     return out
 
 
+def shape_spans(text: str, model: Model, taken: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
+    """(start, end, score) of the parts of runs outside `taken`, which is in order, that have a credential's shape; none overlap."""
+    out, k = [], 0
+    for m in RUN.finditer(text):
+        run, start, base = m.group(), 0, m.start()
+        while start <= len(run) - LEAST:
+            while k < len(taken) and taken[k][1] <= base + start:
+                k += 1
+            stop = min(len(run), taken[k][0] - base) if k < len(taken) else len(run)
+            if stop - start < LEAST:
+                start = taken[k][1] - base if stop < len(run) else len(run)
+                continue
+            best = model.longest_shape(run, start, stop) if run[start] not in MARK and (start == 0 or run[start - 1] in MARK) else None
+            if best:
+                out.append((base + start, base + best[0], best[1]))
+            start = best[0] if best else start + 1
+    return out
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """A row per document: the id and the found spans, array<struct<kind, start, end, score>> by start, then kind.
 
-    Kind `format` is the automata's; it leaves out what is just a base span or its secret. score is the mean log-likelihood of the
-    secret under the credentials' automaton, null if it has no such string. Places count code points, ends exclusive.
+    Kinds `format` and `shape` are the automata's; they leave out what is just a base span or its secret, and shapes are sought
+    outside of formats and of the base spans' secrets. score is the mean log-likelihood of the secret under the credentials' automaton
+    (for a shape, of shapes), null if it has no such string. Places count code points, ends exclusive.
     Cases: a null text is an empty one, without spans; any id, null or repeated, is passed on; an empty table gives no rows;
     other columns are ignored.
     """
     _common.prepare(docs.sparkSession)
     model = default_model() if model is None else model
     kind = docs.schema[id_col].dataType
-    names = [k for k, *_ in KINDS] + ["format"]
+    names = [k for k, *_ in KINDS] + ["format", "shape"]
     struct = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +390,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
                 spans, secrets = base_spans(text), base_spans(text, True)
                 found = [(a, k, b, score(text[i:j], model.credentials)) for k in range(len(KINDS)) for (a, b), (i, j) in zip(spans[k], secrets[k], strict=True)]
                 known = {s for part in (*spans, *secrets) for s in part}
-                found += [(a, len(KINDS), b, own) for a, b, own in model_spans(text, model) if (a, b) not in known]
+                formats = model_spans(text, model)
+                found += [(a, len(KINDS), b, own) for a, b, own in formats if (a, b) not in known]
+                taken = _union([*((a, b) for a, b, _ in formats), *(s for k in (0, 1) for s in secrets[k])])
+                found += [(a, len(KINDS) + 1, b, own) for a, b, own in shape_spans(text, model, taken) if (a, b) not in known]
                 rows.append([{"kind": names[k], "start": a, "end": b, "score": own if own > -math.inf else None} for a, k, b, own in sorted(found)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(struct))], ["id", "found"])
 
@@ -310,7 +406,7 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     spans = F.col("found")
     count = lambda k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     line = lambda which: F.concat_ws(",", F.transform(which, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
-    base = F.filter(spans, lambda s: s["kind"] != "format")
+    base = F.filter(spans, lambda s: ~s["kind"].isin("format", "shape"))
     return found.select(id_col, count("assign"), count("access"), count("hex"), F.sha2(line(base), 256).alias("base_sha256"), line(spans).alias("spans"), F.array_max(F.transform(spans, lambda s: s["score"])).alias("best_score"))
 
 

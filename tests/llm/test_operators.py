@@ -478,6 +478,64 @@ def test_candidates_against_brute_force():
             assert own == pytest.approx(brute_score(run[a:b], model.credentials))
 
 
+def unseen_credentials(rng):
+    """One of each of some public formats that no automaton has learned."""
+    letters, hexa = secrets.UPPER + secrets.LOWER, "0123456789abcdef"
+    of = lambda a, k: "".join(rng.choices(a, k=k))
+    mixed = letters + secrets.DIGITS
+    return ["ghs_" + of(mixed, 36), "dop_v1_" + of(hexa, 64), "hf_" + of(letters, 34), "shpat_" + of(hexa, 32), f"SG.{of(mixed, 22)}.{of(mixed, 43)}", f"eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.{of(mixed, 50)}.{of(mixed, 43)}"]
+
+
+def test_shapes_of_unseen_formats(spark):
+    rng = random.Random(21)
+    keys = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(100)]
+    model = secrets.fit(spark.createDataFrame([(f'token = "{k}" internationalization and-some-hyphenated-word',) for k in keys], "text string"))
+    unseen = [k for _ in range(40) for k in unseen_credentials(rng)]
+    assert np.mean([any(b - a >= len(k) / 2 for a, b, _ in secrets.shape_spans(k, model, [])) for k in unseen]) > 0.9
+    plain = [*secrets.plain_strings(100, seed=60), "internationalization", "this_is_not_a_secret_at_all", "https/docs.example.org/3/library/index.html", "2024-01-15T10.30.00", "user_id_to_name_map_v2"]
+    assert np.mean([bool(secrets.shape_spans(x, model, [])) for x in plain]) < 0.01
+    # through the scan, whole texts; what is a format or a base span's secret is no shape besides
+    texts = [f"see {unseen[0]}, then", f"key {secrets.labelled_credentials(1, seed=5)[0]}", f"token={unseen[0]}", "", None, "plain words-and-more_words only"]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["found"]] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model=model).collect()}
+    assert got[0] == [("shape", 4, 4 + len(unseen[0]))] and [k for k, *_ in got[1]] == ["format"] and [k for k, *_ in got[2]] == ["assign"] and not (got[3] or got[4] or got[5])
+
+
+def test_shapes_against_brute_force():
+    """Outside what is taken, from the left, the longest part between marks whose mean passes the plain shapes' by the margin; a part that falls far behind ends the search from its start."""
+    model, rng = secrets.default_model(), random.Random(8)
+
+    def mean(text, automaton, ends=True):
+        at, total = 0, 0.0
+        for c in secrets.symbols(text, 0):
+            total, at = total + automaton[at][1][c][0], automaton[at][1][c][1]
+        return (total + automaton[at][0]) / (len(text) + 1) if ends else total
+
+    for state in (*model.shapes, *model.plain_shapes):
+        assert len(state[1]) == 11 and np.exp(state[0]) + sum(np.exp(p) for p, _ in state[1].values()) == pytest.approx(1)
+    for _ in range(60):
+        run = rng.choice("_-.").join(rng.sample(unseen_credentials(rng) + secrets.plain_strings(1, seed=rng.randrange(99)), 2))
+        cut = sorted(rng.sample(range(len(run) + 1), 2)) if rng.random() < 0.5 else None
+        taken = [tuple(cut)] if cut and cut[0] < cut[1] else []
+        want, upto = [], 0
+        for i in range(len(run)):
+            stop = min((a for a, b in taken if b > i), default=len(run))
+            if i < upto or i >= stop or run[i] in secrets.MARK or not (i == 0 or run[i - 1] in secrets.MARK):
+                continue
+            ends = []
+            for j in range(i + 1, stop + 1):
+                if mean(run[i:j], model.shapes, False) - mean(run[i:j], model.plain_shapes, False) < -secrets.BEHIND:
+                    break
+                ahead = (mean(run[i:j], model.shapes) - mean(run[i:j], model.plain_shapes)) * (j - i + 1)
+                if j - i >= secrets.LEAST and run[j - 1] not in secrets.MARK and (j == stop or run[j] in secrets.MARK) and ahead >= secrets.SHAPE_MARGIN * (j - i + 1):
+                    ends.append(j)
+            if ends:
+                want.append((i, max(ends)))
+                upto = max(ends)
+        got = secrets.shape_spans(run, model, taken)
+        assert [(a, b) for a, b, _ in got] == want
+        assert all(own == pytest.approx(mean(run[a:b], model.shapes)) for a, b, own in got)
+
+
 def test_toxicity_learns_words_and_pairs(spark):
     rng = random.Random(5)
     rows, labels = [], []
