@@ -411,15 +411,12 @@ class Tensor:
         return begin, len(range(begin, stop, step)), step
 
     def __getitem__(self, key) -> Tensor:
-        """Slices, whole numbers, lists of indices (out of range ones are reflected) or boolean lists, per dimension."""
+        """Per dimension a slice, a whole number, or indices: a list or a tensor of them (see lookup), or of booleans that pick positions."""
         key = key if isinstance(key, tuple) else (key,)
         out = self
         for k, s in enumerate(key):
-            if isinstance(s, list):
-                if s and isinstance(s[0], bool):
-                    s = [i for i, x in enumerate(s) if x]
-                spark = out.df.sparkSession
-                out = out.lookup(Tensor.host(spark, s, dtype="s64"), k)
+            if isinstance(s, (list, Tensor)):
+                out = out.lookup(self._indices(s), k)
                 continue
             begin, count, step = self.span(s, out.dims[k])
             c = F.col(COORDS[k])
@@ -428,36 +425,52 @@ class Tensor:
             out = replace(out, df=kept)._moved((*out.dims[:k], count, *out.dims[k + 1 :]), **{COORDS[k]: at})
         return out
 
+    def _indices(self, s: list | Tensor) -> Tensor:
+        """Indices as a tensor; booleans become the positions of the true ones."""
+        if isinstance(s, Tensor):
+            return s.where() if s.dtype == "b8" else s
+        if s and isinstance(s[0], bool):
+            s = [i for i, x in enumerate(s) if x]
+        return Tensor.host(self.df.sparkSession, s, dtype="s64")
+
     def lookup(self, indices: Tensor, dim: int = 0) -> Tensor:
-        """Elements along dim at the given positions; those out of range are reflected."""
+        """Elements along dim at the positions in a tensor of any shape, in its linear order; those out of range are reflected.
+
+        A NULL index gives NULL elements (in a sparse tensor: none). Indices stay on the executors; hot ones are split (skeinframe.operators.gather).
+        """
+        from skeinframe.operators.gather import meet
+
         c, n = COORDS[dim], self.dims[dim]
-        at = indices.df.select(linear(indices.dims).alias("__to"), reflect(F.col("v"), n).alias(c))
-        if indices.elements <= BROADCAST_ELEMENTS:
-            at = F.broadcast(at)
-        joined = self.df.join(at, c).drop(c).withColumnRenamed("__to", c)
-        return replace(self, df=joined.select(*COORDS, "v"), dims=(*self.dims[:dim], indices.elements, *self.dims[dim + 1 :]))
+        if not n and indices.elements:
+            raise IndexError("no element to look up")
+        at = indices.df.select(linear(indices.dims).alias("__to"), F.coalesce(reflect(F.col("v"), n), F.lit(0)).alias(c), F.col("v").isNull().alias("__none"))
+        if self.sparse:
+            at = at.where("NOT __none")
+        joined = meet(self.df.select(*COORDS, "v"), at, c, indices.elements, self.elements // max(n, 1))
+        v = F.when(~F.col("__none"), F.col("v")).alias("v")
+        return replace(self, df=joined.select(*[F.col("__to").alias(c) if x == c else x for x in COORDS], v), dims=(*self.dims[:dim], indices.elements, *self.dims[dim + 1 :]))
 
     def assign(self, key, value) -> Tensor:
-        """A new tensor with value (a tensor or a number) in the place that key names. Of repeated places the last wins."""
+        """A new tensor with value (a tensor or a number) in the places that key names, as __getitem__ takes it.
+
+        Of places that are named twice the last one, in value's linear order, wins; out of range ones are reflected, a NULL index names none.
+        """
+        from skeinframe.operators.gather import meet
+
         key = key if isinstance(key, tuple) else (key,)
         key = (*key, *[slice(None)] * (4 - len(key)))
-        spots = []
-        for k, s in enumerate(key):
-            if isinstance(s, list):
-                spots.append([i for i, x in enumerate(s) if x] if s and isinstance(s[0], bool) else s)
-            else:
-                begin, count, step = self.span(s, self.dims[k])
-                spots.append((begin, count, step))
-        counts = [len(s) if isinstance(s, list) else s[1] for s in spots]
+        spots = [self._indices(s) if isinstance(s, (list, Tensor)) else self.span(s, self.dims[k]) for k, s in enumerate(key)]
+        counts = [s.elements if isinstance(s, Tensor) else s[1] for s in spots]
         spark = self.df.sparkSession
         patch = value if isinstance(value, Tensor) else Tensor.constant(spark, value, counts, self.dtype)
         if patch.dims != full(counts):
             patch = patch.zip(Tensor.constant(spark, 0, counts), lambda a, b: a, patch.dtype)
         df = patch.df.withColumn("__n", linear(counts))
-        for c, s in zip(COORDS, spots, strict=True):
-            if isinstance(s, list):
-                df = df.withColumn(c, F.element_at(F.array(*map(F.lit, s)), (F.col(c) + 1).cast("int")).cast("long"))
-            elif s != (0, self.dims[COORDS.index(c)], 1):
+        for k, (c, s) in enumerate(zip(COORDS, spots, strict=True)):
+            if isinstance(s, Tensor):
+                at = s.df.where("v is not null").select(linear(s.dims).alias(c), reflect(F.col("v"), self.dims[k]).alias("__at"))
+                df = meet(df, at, c, s.elements, patch.elements // max(s.elements, 1), unique=True).drop(c).withColumnRenamed("__at", c)
+            elif s != (0, self.dims[k], 1):
                 df = df.withColumn(c, F.col(c) * s[2] + s[0])
         df = df.groupBy(*COORDS).agg(F.max_by("v", "__n").alias("__v"))
         joined = self.df.join(df.withColumn("__hit", F.lit(True)), list(COORDS), "left")

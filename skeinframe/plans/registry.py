@@ -644,6 +644,52 @@ def _(spark, d):
     return to_csr(t.select(t > 12, 0.0).to_sparse())[0]
 
 
+def _balances(spark: SparkSession, d: str) -> Tensor:
+    """A vector: every customer's balance."""
+    c = read(spark, d, "customer")
+    return Tensor.of(c.select(F.col("c_custkey").alias("d0"), F.col("c_acctbal").alias("v")), [c.agg(F.max("c_custkey") + 1).first()[0] or 0])
+
+
+def _event_index(spark: SparkSession, d: str, v: Column) -> Tensor:
+    """A vector of indices: one an event."""
+    e = read(spark, d, "events")
+    return Tensor.of(e.select(F.col("event_id").alias("d0"), v.alias("v")), [e.agg(F.max("event_id") + 1).first()[0] or 0], "s64")
+
+
+_BALANCES = "(SELECT c_custkey AS k, c_acctbal AS v, max(c_custkey) OVER () + 1 AS n FROM customer)"
+#: A third of the events name one place, the others run out of range at both ends.
+_SCATTERED = "(CASE WHEN event_id % 3 = 0 THEN 7 WHEN event_id % 11 = 0 THEN NULL ELSE user_id * 37 - 900 END)"
+_REFLECTED = "CASE WHEN i < 0 THEN (abs(i) - 1) % n WHEN i >= n THEN n - 1 - i % n ELSE i END"
+
+
+@query(
+    "index_gather",
+    f"""SELECT CAST(e.event_id AS BIGINT) AS d0, {s('b.v')} AS v FROM (SELECT event_id, {_SCATTERED} AS i, (SELECT max(c_custkey) + 1 FROM customer) AS n FROM events) e
+    LEFT JOIN {_BALANCES} b ON b.k = {_REFLECTED.replace("n -", "e.n -").replace("% n", "% e.n").replace(">= n", ">= e.n")}""",
+)
+def _(spark, d):
+    return _balances(spark, d)[_event_index(spark, d, F.expr(_SCATTERED))].df.select("d0", r(F.col("v")).alias("v"))
+
+
+@query(
+    "index_scatter",
+    f"""WITH e AS (SELECT event_id, value, {_SCATTERED} AS i, (SELECT max(c_custkey) + 1 FROM customer) AS n FROM events),
+    w AS (SELECT {_REFLECTED} AS k, arg_max(value, event_id) AS v FROM e WHERE i IS NOT NULL GROUP BY 1)
+    SELECT CAST(b.k AS BIGINT) AS d0, {s('coalesce(w.v, b.v)')} AS v FROM {_BALANCES} b LEFT JOIN w ON b.k = w.k""",
+)
+def _(spark, d):
+    e = read(spark, d, "events")
+    index = _event_index(spark, d, F.expr(_SCATTERED))
+    values = Tensor.of(e.select(F.col("event_id").alias("d0"), F.col("value").alias("v")), index.dims)
+    return _balances(spark, d).assign(index, values).df.select("d0", r(F.col("v")).alias("v"))
+
+
+def _partners(t: Tensor, d: str) -> Tensor:
+    """For each vector of the embeddings another one's place, and some twice: label * 7 + vec_id."""
+    e = read(t.df.sparkSession, d, "embeddings")
+    return Tensor.of(e.select(F.col("vec_id").alias("d0"), (F.col("label") * 7 + F.col("vec_id")).alias("v")), [t.dims[1]], "s64")
+
+
 def embedded(spark: SparkSession, d: str) -> Tensor:
     """64 x n: every embedding is a column."""
     n = read(spark, d, "embeddings").agg(F.max("vec_id") + 1).first()[0]
@@ -663,6 +709,25 @@ matrix_query("matrix_scan", lambda t: t.scan("add", 0), f"SELECT d0, d1, sum(v)
 matrix_query("matrix_sort", lambda t: t.sort(0), f"SELECT row_number() OVER (PARTITION BY d1 ORDER BY v) - 1 AS d0, d1, v FROM {_EMB}")
 matrix_query("matrix_where", lambda t: (t > 0.1).where(), f"SELECT row_number() OVER (ORDER BY d0 + 64 * d1) - 1 AS d0, 0 AS d1, d0 + 64 * d1 AS v FROM {_EMB} WHERE v > 0.1", 0)
 matrix_query("matrix_flat_scan", lambda t: t.flat().scan("max", 0), f"SELECT d0 + 64 * d1 AS d0, 0 AS d1, max(v) OVER (ORDER BY d1, d0) AS v FROM {_EMB}")
+_PARTNERS = "(SELECT vec_id AS c, label * 7 + vec_id AS i, (SELECT max(vec_id) + 1 FROM embeddings) AS n FROM embeddings)"
+
+
+@query("matrix_gather", f"SELECT CAST(e.d0 AS BIGINT) AS d0, CAST(p.c AS BIGINT) AS d1, {s('e.v')} AS v FROM (SELECT c, {_REFLECTED} AS k FROM {_PARTNERS}) p JOIN {_EMB} e ON e.d1 = p.k")
+def _(spark, d):
+    t = embedded(spark, d)
+    return t[:, _partners(t, d)].df.select("d0", "d1", r(F.col("v")).alias("v"))
+
+
+@query(
+    "matrix_scatter",
+    f"""WITH p AS (SELECT c, {_REFLECTED} AS k FROM {_PARTNERS}), w AS (SELECT 2 * e.d0 AS d0, p.k AS d1, arg_max(e.v, p.c) AS v FROM p JOIN {_EMB} e ON e.d1 = p.c WHERE e.d0 < 32 GROUP BY e.d0, p.k)
+    SELECT CAST(e.d0 AS BIGINT) AS d0, CAST(e.d1 AS BIGINT) AS d1, {s('coalesce(w.v, e.v)')} AS v FROM {_EMB} e LEFT JOIN w ON e.d0 = w.d0 AND e.d1 = w.d1""",
+)
+def _(spark, d):
+    t = embedded(spark, d)
+    return t.assign((slice(None, None, 2), _partners(t, d)), t[0:32]).df.select("d0", "d1", r(F.col("v")).alias("v"))
+
+
 matrix_query("matrix_transpose", lambda t: t.transpose(), f"SELECT d1 AS d0, d0 AS d1, v FROM {_EMB}")
 matrix_query("matrix_select", lambda t: t.select(t > 0, t.flip(0)), f"SELECT a.d0, a.d1, CASE WHEN a.v > 0 THEN a.v ELSE b.v END AS v FROM {_EMB} a JOIN {_EMB} b ON a.d1 = b.d1 AND a.d0 = 63 - b.d0")
 matrix_query("matrix_sparse_product", lambda t: t.select(t > 0.1, 0.0).to_sparse().matmul(t, trans_b=True), f"SELECT a.d0, b.d0 AS d1, sum(CASE WHEN a.v > 0.1 THEN a.v ELSE 0 END * b.v) AS v FROM {_EMB} a JOIN {_EMB} b ON a.d1 = b.d1 GROUP BY a.d0, b.d0")
