@@ -14,7 +14,7 @@ from skeinframe.functions.kernels import image as I
 from skeinframe.functions.kernels import linalg as L
 from skeinframe.functions.kernels import signal as S
 from skeinframe.functions.kernels import vision as V
-from skeinframe.operators import dense, fourier, long, neighbours, order, reduce, scan, series, stats, tall
+from skeinframe.operators import dense, fourier, long, neighbours, order, reduce, scan, series, stats, stencil, tall
 from skeinframe.operators.tensor import COORDS, Tensor, chain_matmul, to_csr
 from skeinframe.plans import dense_sql, programs
 from skeinframe.sources import files
@@ -728,6 +728,23 @@ def _(spark, d):
     return t.assign((slice(None, None, 2), _partners(t, d)), t[0:32]).df.select("d0", "d1", r(F.col("v")).alias("v"))
 
 
+def _near(i: str, j: str) -> str:
+    """SQL of each element c, and v of those in the 3 x 3 around it, at offsets a, b; i and j say where an offset leads."""
+    n = "(SELECT max(vec_id) FROM embeddings)"
+    return f"(SELECT o.d0, o.d1, o.v AS c, a, b, x.v FROM {_EMB} o CROSS JOIN range(-1, 2) p(a) CROSS JOIN range(-1, 2) q(b) JOIN {_EMB} x ON x.d0 = {i.format(at='(o.d0 + a)', last=63)} AND x.d1 = {j.format(at='(o.d1 + b)', last=n)})"
+
+
+_INSIDE, _CLAMPED, _MIRRORED = (_near(x, x) for x in ("{at}", "greatest(0, least({last}, {at}))", "least(abs({at}), 2 * {last} - {at})"))
+_CROSS = np.array([[0, 1, 0], [1, 1, 1], [0, 1, 0]])
+_LOPSIDED = np.array([[1.0, 2.0, 0.5], [0.0, -4.0, 1.0], [3.0, 0.25, -1.0]])
+_LOPSIDED_SQL = "CASE a * 10 + b " + " ".join(f"WHEN {(1 - i) * 10 + 1 - j} THEN {_LOPSIDED[i, j]}" for i in range(3) for j in range(3)) + " END"
+matrix_query("matrix_convolve2", lambda t: stencil.convolve2(t, _LOPSIDED), f"SELECT d0, d1, sum(v * {_LOPSIDED_SQL}) AS v FROM {_INSIDE} GROUP BY d0, d1")
+matrix_query("matrix_convolve2_sep", lambda t: stencil.convolve2_sep(t, [1.0, 2.0, 4.0], [1.0, 0.0, -3.0]), f"SELECT d0, d1, sum(v * CASE a WHEN 1 THEN 1 WHEN 0 THEN 2 ELSE 4 END * CASE b WHEN 1 THEN 1 WHEN 0 THEN 0 ELSE -3 END) AS v FROM {_INSIDE} GROUP BY d0, d1")
+matrix_query("matrix_medfilt2", lambda t: stencil.medfilt2(t), f"SELECT d0, d1, list_sort(list_concat(list(v), list_resize([]::DOUBLE[], 9 - count(*), 0.0)))[5] AS v FROM {_INSIDE} GROUP BY d0, d1")
+matrix_query("matrix_dilate", lambda t: stencil.dilate(t, _CROSS), f"SELECT d0, d1, CASE WHEN count(*) < 5 THEN greatest(max(v), 0) ELSE max(v) END AS v FROM {_INSIDE} WHERE a * b = 0 GROUP BY d0, d1")
+matrix_query("matrix_erode", lambda t: stencil.erode(t, _CROSS), f"SELECT d0, d1, min(v) AS v FROM {_CLAMPED} WHERE a * b = 0 GROUP BY d0, d1")
+matrix_query("matrix_bilateral", lambda t: stencil.bilateral(t, 1.0, 0.2), f"SELECT d0, d1, sum(w * v) / sum(w) AS v FROM (SELECT d0, d1, v, exp(-(a * a + b * b) / 2.0 - (c - v) * (c - v) / 0.08) AS w FROM {_CLAMPED}) GROUP BY d0, d1")
+matrix_query("matrix_sobel", lambda t: stencil.sobel(t)[0].zip(stencil.sobel(t)[1], lambda x, y: E.hypot(x, y)), f"SELECT d0, d1, sqrt(x * x + y * y) AS v FROM (SELECT d0, d1, sum(v * a * (2 - abs(b))) AS x, sum(v * b * (2 - abs(a))) AS y FROM {_MIRRORED} GROUP BY d0, d1)")
 matrix_query("matrix_transpose", lambda t: t.transpose(), f"SELECT d1 AS d0, d0 AS d1, v FROM {_EMB}")
 matrix_query("matrix_select", lambda t: t.select(t > 0, t.flip(0)), f"SELECT a.d0, a.d1, CASE WHEN a.v > 0 THEN a.v ELSE b.v END AS v FROM {_EMB} a JOIN {_EMB} b ON a.d1 = b.d1 AND a.d0 = 63 - b.d0")
 matrix_query("matrix_sparse_product", lambda t: t.select(t > 0.1, 0.0).to_sparse().matmul(t, trans_b=True), f"SELECT a.d0, b.d0 AS d1, sum(CASE WHEN a.v > 0.1 THEN a.v ELSE 0 END * b.v) AS v FROM {_EMB} a JOIN {_EMB} b ON a.d1 = b.d1 GROUP BY a.d0, b.d0")
