@@ -14,7 +14,7 @@ from skeinframe.functions.kernels import image as I
 from skeinframe.functions.kernels import linalg as L
 from skeinframe.functions.kernels import signal as S
 from skeinframe.functions.kernels import vision as V
-from skeinframe.operators import dense, fourier, long, neighbours, order, reduce, scan, series, stats, stencil, tall
+from skeinframe.operators import blocked, dense, fourier, long, neighbours, order, reduce, scan, series, stats, stencil, tall
 from skeinframe.operators.tensor import COORDS, Tensor, chain_matmul, to_csr
 from skeinframe.plans import dense_sql, programs
 from skeinframe.sources import files
@@ -728,6 +728,48 @@ def _(spark, d):
     return t.assign((slice(None, None, 2), _partners(t, d)), t[0:32]).df.select("d0", "d1", r(F.col("v")).alias("v"))
 
 
+def _ridge(t: Tensor) -> Tensor:
+    """64 x 64: the products of the embeddings' components, plus the identity."""
+    return t.matmul(t, trans_b=True).zip(Tensor.identity(t.df.sparkSession, [64, 64]), lambda a, b: a + b)
+
+
+def _labelled(t: Tensor, d: str) -> Tensor:
+    """64 x 1: sums of the embeddings, each times its label."""
+    e = read(t.df.sparkSession, d, "embeddings")
+    labels = Tensor.of(e.select(F.col("vec_id").alias("d0"), F.coalesce(F.col("label").cast("double"), F.lit(0.0)).alias("v")), [t.dims[1]])
+    return t.matmul(labels)
+
+
+_RIDGE = f"g AS (SELECT a.d0 AS i, b.d0 AS j, sum(a.v * b.v) + CASE WHEN a.d0 = b.d0 THEN 1 ELSE 0 END AS v FROM {_EMB} a JOIN {_EMB} b ON a.d1 = b.d1 GROUP BY a.d0, b.d0)"
+#: Elimination in all rows, a column a step; what is left are the right sides, columns 64 and on.
+_GAUSS = """t AS (SELECT 0 AS k, i, j, v FROM aug UNION ALL
+    SELECT a.k + 1, a.i, a.j, CASE WHEN a.i = a.k THEN a.v / p.v ELSE a.v - b.v * c.v / p.v END FROM t a JOIN t b ON b.i = a.i AND b.j = a.k JOIN t c ON c.i = a.k AND c.j = a.j JOIN t p ON p.i = a.k AND p.j = a.k
+    WHERE a.k < 64 AND a.j > a.k)"""
+matrix_query(
+    "matrix_cholesky",
+    lambda t: blocked.cholesky(_ridge(t), tile=24).dense(),
+    f"""WITH RECURSIVE {_RIDGE}, t AS (SELECT 0 AS k, i, j, v FROM g WHERE i >= j UNION ALL
+    SELECT a.k + 1, a.i, a.j, a.v - b.v * c.v / p.v FROM t a JOIN t b ON b.i = a.i AND b.j = a.k JOIN t c ON c.i = a.j AND c.j = a.k JOIN t p ON p.i = a.k AND p.j = a.k WHERE a.j > a.k)
+    SELECT g.i AS d0, g.j AS d1, coalesce(t.v / sqrt(p.v), 0) AS v FROM g LEFT JOIN t ON t.i = g.i AND t.j = g.j AND t.k = g.j LEFT JOIN t p ON p.i = g.j AND p.j = g.j AND p.k = g.j""",
+)
+@query(
+    "matrix_solve_definite",
+    f"""WITH RECURSIVE {_RIDGE}, aug AS (FROM g UNION ALL SELECT x.d0, 64, sum(x.v * coalesce(e.label, 0)) FROM {_EMB} x JOIN embeddings e ON e.vec_id = x.d1 GROUP BY x.d0), {_GAUSS}
+    SELECT CAST(i AS BIGINT) AS d0, {s('v')} AS v FROM t WHERE k = 64""",
+)
+def _(spark, d):
+    t = embedded(spark, d)
+    return blocked.solve(_ridge(t), _labelled(t, d), tile=24).df.select("d0", r(F.col("v")).alias("v"))
+
+
+matrix_query(
+    "matrix_inverse_definite",
+    lambda t: blocked.inverse(_ridge(t), tile=24),
+    f"""WITH RECURSIVE {_RIDGE}, aug AS (FROM g UNION ALL SELECT i, j + 64, CASE WHEN i = j THEN 1 ELSE 0 END FROM g), {_GAUSS}
+    SELECT i AS d0, j - 64 AS d1, v FROM t WHERE k = 64""",
+)
+
+
 def _near(i: str, j: str) -> str:
     """SQL of each element c, and v of those in the 3 x 3 around it, at offsets a, b; i and j say where an offset leads."""
     n = "(SELECT max(vec_id) FROM embeddings)"
