@@ -20,11 +20,12 @@ from skeinframe.operators.tensor import Tensor
 TILE = 256
 
 
-def neighbourhood(t: Tensor, f: Callable[[np.ndarray], np.ndarray], reach: tuple[int, int], tile: int | None = None, missing: float = np.nan) -> Tensor:
+def neighbourhood(t: Tensor, f: Callable[[np.ndarray], np.ndarray], reach: tuple[int, int], tile: int | None = None, missing: float = np.nan, placed: bool = False) -> Tensor:
     """f over every d0 x d1 matrix of t, a double an element; d2 and d3 count matrices.
 
     f takes a part of a matrix and gives as many values, each from elements within reach of its own. NULL elements and those without
-    a row are given to f as `missing` (sparse tensors: 0), and get f's value. reach may not exceed the tile.
+    a row are given to f as `missing` (sparse tensors: 0), and get f's value. reach may not exceed the tile. placed: f also takes the
+    row and column of the part's first element.
     """
     from skeinframe.operators.dense import ship
 
@@ -50,7 +51,7 @@ def neighbourhood(t: Tensor, f: Callable[[np.ndarray], np.ndarray], reach: tuple
 
         def done() -> pa.RecordBatch:
             d2, d3, *b = now
-            out = np.asarray(f(part), dtype=float)
+            out = np.asarray(f(part, *origin) if placed else f(part), dtype=float)
             own = tuple(slice(x * tile - o, min((x + 1) * tile, n) - o) for x, o, (n, _) in zip(b, origin, bounds))
             kept = out[own]
             i, j = (x.ravel() for x in np.indices(kept.shape))
