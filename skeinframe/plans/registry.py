@@ -15,6 +15,7 @@ from skeinframe.functions.kernels import linalg as L
 from skeinframe.functions.kernels import signal as S
 from skeinframe.functions.kernels import vision as V
 from skeinframe.operators import blocked, dense, fourier, long, neighbours, order, reduce, scan, series, stats, stencil, tall
+from skeinframe.operators.regions import regions
 from skeinframe.operators.tensor import COORDS, Tensor, chain_matmul, to_csr
 from skeinframe.plans import dense_sql, programs
 from skeinframe.sources import files
@@ -770,6 +771,16 @@ matrix_query(
 )
 
 
+for _n, _steps in ((4, "(0, 1), (0, -1), (1, 0), (-1, 0)"), (8, "(0, 1), (0, -1), (1, 0), (-1, 0), (1, 1), (1, -1), (-1, 1), (-1, -1)")):
+    matrix_query(
+        f"matrix_regions{_n}",
+        lambda t, n=_n: regions(t > 0.08, n, tile=64),
+        f"""WITH RECURSIVE x AS (SELECT d0, d1, d0 + 64 * d1 AS i, v > 0.08 AS c FROM {_EMB}), e AS (SELECT a.i AS a, b.i AS b FROM x a CROSS JOIN (VALUES {_steps}) o(p, q) JOIN x b ON b.d0 = a.d0 + p AND b.d1 = a.d1 + q WHERE a.c AND b.c),
+        g AS (SELECT i, i AS root FROM x WHERE c UNION SELECT e.b, g.root FROM g JOIN e ON e.a = g.i WHERE g.root < e.b), m AS (SELECT i, min(root) AS root FROM g GROUP BY i), k AS (SELECT i, dense_rank() OVER (ORDER BY root) AS v FROM m)
+        SELECT x.d0, x.d1, coalesce(k.v, 0) AS v FROM x LEFT JOIN k ON x.i = k.i""",
+    )
+
+
 def _near(i: str, j: str) -> str:
     """SQL of each element c, and v of those in the 3 x 3 around it, at offsets a, b; i and j say where an offset leads."""
     n = "(SELECT max(vec_id) FROM embeddings)"
