@@ -52,7 +52,7 @@ def nearest_neighbours(query: DataFrame, train: DataFrame, k: int = 1, metric: s
         sets = []
         for n in np.unique(lengths).tolist():
             mine = part.filter(pa.array(lengths == n))
-            sets.append((n, mine.column("q").to_numpy(), pc.list_flatten(mine.column("v")).to_numpy().reshape(-1, n)))
+            sets.append((n, mine.column("q").to_numpy(), pc.list_flatten(mine.column("v")).to_numpy().reshape(mine.num_rows, n)))
         held = spark.sparkContext.broadcast(sets)
 
         def work(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:

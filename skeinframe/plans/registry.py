@@ -14,7 +14,7 @@ from skeinframe.functions.kernels import image as I
 from skeinframe.functions.kernels import linalg as L
 from skeinframe.functions.kernels import signal as S
 from skeinframe.functions.kernels import vision as V
-from skeinframe.operators import blocked, dense, fourier, long, neighbours, order, reduce, scan, series, stats, stencil, tall
+from skeinframe.operators import blocked, dense, fourier, long, neighbours, order, pruned, reduce, scan, series, stats, stencil, tall
 from skeinframe.operators.regions import regions
 from skeinframe.operators.tensor import COORDS, Tensor, chain_matmul, to_csr
 from skeinframe.plans import dense_sql, programs
@@ -857,6 +857,13 @@ def _(spark, d):
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "train_id", r(F.col("distance")).alias("distance"))
 
 
+@query("nearest_neighbour_pruned", _sql["nearest_neighbour"])
+def _(spark, d):
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    out = pruned.pruned_neighbours(e.where("id % 100 = 0"), e, 5)
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "train_id", r(F.col("distance")).alias("distance"))
+
+
 _BITS = "(SELECT l_suppkey AS id, max(l_partkey) AS a, min(l_partkey) AS b FROM lineitem GROUP BY l_suppkey)"
 
 
@@ -866,6 +873,12 @@ def _(spark, d):
     return neighbours.hamming_matcher(t, t, 2).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("hamming_matcher_pruned", _sql["hamming_matcher"])
+def _(spark, d):
+    t = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.array(F.max("l_partkey"), F.min("l_partkey")).alias("v"))
+    return pruned.pruned_neighbours(t, t, 2, "shd").withColumn("rank", F.col("rank").cast("long"))
+
+
 # dense arrays: transforms, factorizations, images -----------------------------------------------------
 
 
