@@ -19,6 +19,8 @@ from skeinframe.operators.tensor import COORDS, Tensor, linear
 
 ARRAY = "struct<dims: array<int>, re: array<double>, im: array<double>>"
 _TYPE = pa.struct([("dims", pa.list_(pa.int32())), ("re", pa.list_(pa.float64())), ("im", pa.list_(pa.float64()))])
+#: Tasks, at least, that search for keypoints: milliseconds an array.
+PARTS = 96
 FEATURES = "x double, y double, score double, orientation double, size double, descriptor array<double>"
 
 
@@ -111,6 +113,13 @@ def apply(df: DataFrame, inputs: Sequence[str], outputs: Sequence[str], f: Calla
     return df.select(*keep).mapInArrow(work, schema)
 
 
+def dealt(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """df's rows dealt evenly, a batch a task or less: thousands of arrays are a small file, which one task would read and work on alone."""
+    spark = df.sparkSession
+    parts = max(PARTS, 4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))) if parts is None else parts
+    return df.repartition(parts)
+
+
 def features(df: DataFrame, source: str, f: Callable[[np.ndarray], Sequence[dict]], keys: Sequence[str] = ("id",)) -> DataFrame:
     """keys and a row per keypoint that f finds: x, y, score, orientation, size, descriptor."""
     ship(df.sparkSession)
@@ -128,4 +137,4 @@ def features(df: DataFrame, source: str, f: Callable[[np.ndarray], Sequence[dict
                     yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array([i] * len(found))) for k in range(n)), *arrays], [*keys, *names])
 
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys]) + ", " + FEATURES
-    return df.select(*keys, source).mapInArrow(work, schema)
+    return dealt(df.select(*keys, source)).mapInArrow(work, schema)
