@@ -140,8 +140,20 @@ def runs(df: DataFrame, key: str, order: Sequence[str], by: Sequence[str] = (),
     return df.withColumn(name, F.sum(changed).over(w) - 1)
 
 
+#: Rows that a shuffled task takes, about, if lanes are small.
+SHARE = 1 << 19
+
+
+def spread(df: DataFrame, share: int | None = None) -> int:
+    """Tasks for a shuffle of df, so that one's share of the rows doesn't grow with them: the session's number or more."""
+    share = SHARE if share is None else share
+    return max(-(-df.count() // share), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def reduce_by_key(df: DataFrame, key: str, value: str, order: Sequence[str], ops: Sequence[str], by: Sequence[str] = (), nanval: float | None = None) -> DataFrame:
     """A row per lane and run of consecutive equal keys: `by`, run, the key, then one column an op."""
+    if by:  # the window and both steps of the aggregate share this shuffle; each holds its task's rows
+        df = df.repartition(spread(df), *by)
     return reduce(runs(df, key, order, by), value, ops, [*by, "run", key], nanval)
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skeinframe.operators import order, stats
+from skeinframe.operators import order, reduce, stats
 from skeinframe.plans import registry
 
 
@@ -44,3 +44,12 @@ def test_median_of_all_rows_is_selected_by_counts(spark, monkeypatch):
     prices = sorted(r[0] for r in spark.read.parquet(f"{data}/lineitem.parquet").select("l_extendedprice").collect())
     middle = (prices[(len(prices) - 1) // 2] + prices[len(prices) // 2]) / 2
     assert got.asDict().keys() == {"mean", "var", "median", "corrcoef"} and abs(got["median"] - middle) < 1e-3
+
+
+def test_runs_of_many_lanes_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(reduce, "SHARE", 100, raising=False)
+    i = F.col("id")
+    df = spark.range(2000).select(F.floor(i / 4).alias("lane"), (i % 4).alias("pos"), F.floor(i % 4 / 2).alias("k"), i.cast("double").alias("v"))
+    out = reduce.reduce_by_key(df, "k", "v", ["pos"], ["sum", "count"], ["lane"])
+    assert out.rdd.getNumPartitions() >= 20
+    assert rows(out) == sorted(((n, run, run, 8.0 * n + 4 * run + 1, 2 - (n == run == 0)) for n in range(500) for run in range(2)), key=str)
