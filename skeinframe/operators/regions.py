@@ -93,5 +93,7 @@ def regions(t: Tensor, connectivity: int = 4, tile: int | None = None) -> Tensor
     forget(names)
     number = numbered(rooted.where("label = root").select("root"), [F.col("root").asc()], "number")
     table = meet(number, rooted, "root", rooted.count(), 1).select("label", (F.col("number") + 1).alias("number"))
-    met = cells.join(table, "label", "left")
-    return Tensor(met.select("d0", "d1", "d2", "d3", F.coalesce("number", F.lit(0)).alias("v")), t.dims, "u32")
+    # elements of no region share one label, which may be that of most rows: they go beside the join
+    met = on.join(table, "label").select("d0", "d1", "d2", "d3", F.col("number").alias("v"))
+    off = cells.where("label < 0").select("d0", "d1", "d2", "d3", F.lit(0).cast("long").alias("v"))
+    return Tensor(met.unionByName(off), t.dims, "u32")
