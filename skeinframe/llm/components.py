@@ -4,7 +4,8 @@ Each round first replaces every partition's edges by a forest of the components
 that they make there, then moves each node to its smallest neighbour and maps the
 edges along. Edges that became loops go; the rounds end when none is left. Minima
 are combined before they are shuffled, and nothing is gathered per node, so a node
-with any share of the edges is no more work than others.
+with any share of the edges is no more work than others. Once at most FEW edges are
+left, one task solves them: rounds of small jobs would cost more than the work.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 
 from skeinframe.llm import _common
 
+#: Edges up to which a single task finishes; 16 bytes each.
+FEW = 1 << 17
+
 
 def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """For nodes 0..n-1 the smallest node of their component, given edges (a, b)."""
@@ -46,19 +50,33 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], root[moved]
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _held(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """The batches' edges as a forest."""
     a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
         a = np.concatenate([a, batch.column(0).to_numpy(zero_copy_only=False)])
         b = np.concatenate([b, batch.column(1).to_numpy(zero_copy_only=False)])
         if len(a) > 1 << 17:
             a, b = forest(a, b)
+    return forest(a, b) if len(a) else (a, b)
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    a, b = _held(batches)
     if len(a):
-        a, b = forest(a, b)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All nodes of the edges, the smallest of a component among them."""
+    a, b = _held(batches)
+    if len(a):
+        least = np.unique(b)
+        columns = np.concatenate([a, least]), np.concatenate([b, least])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "component"])
+
+
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """(node, component: smallest node reachable) for the nodes of edges (a long, b long), both not null.
 
     Loops and repeated edges are allowed; an empty table gives no rows.
@@ -68,7 +86,13 @@ def components(edges: DataFrame) -> DataFrame:
     schema = "a long, b long"
     edges = _common.settle(edges.mapInArrow(_contract, schema), "cc-edges")
     mapping = None
-    while edges.count():
+    while left_over := edges.count():
+        if left_over <= few:
+            rest = edges.coalesce(1).mapInArrow(_finish, "node long, component long")
+            if mapping is None:
+                return rest
+            rest = rest.select(F.col("node").alias("component"), F.col("component").alias("last"))
+            return mapping.join(F.broadcast(rest), "component", "left").select("node", F.coalesce("last", "component").alias("component"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p"))
         parent = _common.settle(parent, "cc-parent")

@@ -415,6 +415,20 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_few_edges_are_few_jobs(spark):
+    """Small graphs end in one task; the rounds give the same, alone or before it."""
+    rng = random.Random(4)
+    edges = spark.createDataFrame([(rng.randrange(10**6), rng.randrange(10**6)) for _ in range(3000)] + [(10**7 + i, 10**7 + i + 1) for i in range(500)], "a long, b long").repartition(7)
+    sc = spark.sparkContext
+    sc.setJobGroup("components", "")
+    out = sorted(components.components(edges).collect())
+    jobs = len(sc.statusTracker().getJobIdsForGroup("components"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 6
+    for few in (0, 200):
+        assert sorted(components.components(edges, few).collect()) == out
+
+
 def test_secrets(docs, corpus):
     rows = {r["doc_id"]: r for r in secrets.digest(secrets.scan(docs)).collect()}
     for i, t, _, _ in corpus:
