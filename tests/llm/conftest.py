@@ -40,3 +40,21 @@ SCHEMA = "doc_id long, text string, lang string, source string"
 @pytest.fixture(scope="session")
 def docs(spark, corpus):
     return spark.createDataFrame(corpus, SCHEMA).repartition(5).cache()
+
+
+def tongues(rng, n):
+    """(text, label) of two languages: short texts, and long ones whose words share a few syllables and so their beginnings; words of label 1 in either."""
+    syllables = [f"{c}{v}{d}" for c in "lmnrst" for v in "aei" for d in "nrs"][:30]
+    out = []
+    for _ in range(n):
+        label = int(rng.random() < 0.5)
+        if rng.random() < 0.3:
+            words = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(rng.randrange(100, 400))]
+            bad = ["vequ" + rng.choice(syllables) for _ in range(rng.randint(1, 4))]
+        else:
+            words = [f"w{rng.randrange(300)}x" for _ in range(rng.randrange(10, 60))]
+            bad = rng.sample(["vile", "scum", "rot"], 2)
+        for w in bad * label:
+            words.insert(rng.randrange(len(words)), w)
+        out.append((" ".join(words), label))
+    return out

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinframe.llm import bpe, components, embed, exact, langid, license, minhash, mixing, packing, queries, secrets, tokenfile, toxic
-from tests.llm.conftest import text
+from tests.llm.conftest import text, tongues
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -589,6 +589,20 @@ def test_toxicity_learns_what_single_words_dont_say(spark):
     assert np.mean([out[i]["predicted"] == y for i, y in labels if out[i]["held_out"]]) >= 0.95
 
 
+def test_toxicity_of_long_texts():
+    """Long texts of a few syllables aren't flagged for their length, and no clean text scores above the toxic ones, in whatever order they are learned from."""
+    rows = tongues(random.Random(2), 1400)
+    labels = np.array([y for _, y in rows])
+    buf, off = np.frombuffer("".join(t for t, _ in rows).encode(), np.uint8), np.cumsum([0, *(len(t) for t, _ in rows)])
+    hashed, first = toxic.terms(buf, off)
+    texts = [toxic.levelled(hashed[a:b]) for a, b in zip(first[:800], first[1:801])]
+    for seed in range(4):
+        score = toxic.learn(texts, labels[:800], seed=seed).scores(buf, off)[800:]
+        bad, clean = score[labels[800:] == 1], score[labels[800:] == 0]
+        assert (bad >= 0.5).mean() >= 0.95 and (clean < 0.5).mean() >= 0.95
+        assert (bad > np.quantile(clean, 0.99)).mean() >= 0.95
+
+
 def test_scores_against_all_pairs():
     """A score is the bias, the weights, and the products of every pair of different terms."""
     rng = np.random.default_rng(4)
