@@ -1,10 +1,13 @@
 """The pipeline's stages against brute force on a small corpus."""
 
 import hashlib
+import random
 import re
 
 import pytest
 
+from tests.llm.conftest import tongues
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
@@ -51,3 +54,14 @@ def test_stages(spark, folder):
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder[0]).count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mix_sources", "pack_windows"]
+
+
+def test_toxicity_of_long_texts(spark, tmp_path):
+    """Toxic texts go and clean ones stay in a language of long texts, whose words share a few syllables."""
+    rows = list(enumerate(tongues(random.Random(4), 1000)))
+    spark.createDataFrame([(i, t) for i, (t, _) in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, y) for i, (_, y) in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.toxicity(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()}
+    for label in (0, 1):
+        some = [i for i, (_, y) in rows if y == label]
+        assert sum((i in kept) == (label == 0) for i in some) >= 0.95 * len(some)
