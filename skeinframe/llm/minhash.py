@@ -4,8 +4,9 @@
    consecutive words (all its words if it has fewer). Weights are tf * idf with idf = ln(1 + documents / df). Document
    frequencies come from a count sketch of one row and 2^40 counters: tasks add up their texts' shingles by the first 40 bits
    of their hashes and only counters that aren't zero are moved, four bytes each. A counter is too high by the shingles that
-   share it, shingles / 2^40 on average, which is 1e-4 of FLOOR or less for texts of up to 1,000 words, however many they are.
-   Shingles in FLOOR of the documents or less, or in one, weigh most and alike. The others, at most (shingles a document) /
+   share it, shingles / 2^40 on average, which is 1e-6 of FLOOR or less for texts of up to 1,000 words, however many they are.
+   Shingles in FLOOR of the documents or less, or in one, weigh most and alike, so that a group of copies up to that share
+   of the table doesn't weigh its members' edits above the text that they share. The others, at most (shingles a document) /
    FLOOR, are looked up in a broadcast table of about 4 bytes each.
 2. Each text gets `bands` x `rows` consistent weighted samples; two texts agree in one with probability equal to their
    weighted Jaccard similarity. A band's samples are a bucket.
@@ -35,8 +36,8 @@ from skeinframe.llm.components import components
 
 U = np.uint64
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 14, 3
-#: Share of the documents up to which all shingles weigh alike.
-FLOOR = 1e-5
+#: Share of the documents up to which all shingles weigh alike: no text common to fewer counts as a commonplace.
+FLOOR = 1e-3
 #: Bits of the counters' numbers; counters summed together, about; shingles that a task holds before it adds them up.
 SLOT_BITS, PART, HELD = 40, 1 << 19, 1 << 20
 #: Texts compared with each other at a time, and members of a bucket dealt to a task.

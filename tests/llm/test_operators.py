@@ -334,6 +334,19 @@ def test_near_duplicates_in_large_groups(spark, tmp_path):
     assert kept == {0, *range(1000, 1200)}
 
 
+def test_near_copies_in_large_groups_of_large_tables(spark, tmp_path):
+    """Of 20,000 texts 20 are copies of one, each with edits of its own, any two 0.82 alike in plain similarity: one class, as the text of a
+    thousandth of the table is no commonplace. Texts that share a passage which more of the table holds stay apart."""
+    base = [f"b{k}" for k in range(300)]
+    rows = [(i, " ".join(f"e{i}y{k}" if k in (5 * i + 2, 5 * i + 102, 5 * i + 202) else w for k, w in enumerate(base))) for i in range(20)]
+    passage = " ".join(f"p{k}" for k in range(56))
+    rows += [(100 + i, " ".join(f"own{i}x{k}" for k in range(4)) + " " + passage) for i in range(400)]
+    others = spark.range(1000, 1000 + 20_000 - len(rows)).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit("o"), "id", F.lit(f"x{k}")) for k in range(7)]).alias("text"))
+    spark.createDataFrame(rows, "doc_id long, text string").unionByName(others).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r["class_id"] for r in queries.op4_near_dedup(spark, str(tmp_path)).collect()}
+    assert {i: c for i, c in out.items() if c != i} == dict.fromkeys(range(1, 20), 0) and len(out) == 20_000
+
+
 def test_sampling_matches_similarity():
     rng = np.random.default_rng(0)
     h = rng.integers(1, 1 << 63, 600, dtype=np.uint64)
